@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontam, license_scan, simhash, spm
-from corpuslake.llm.common import table
+from corpuslake.llm import decontam, langid, license_scan, quality, simhash, spm, tiff, toxicity, warc
+from corpuslake.llm.common import fresh_path, table
 
 
 def tokenizer_path() -> str:
@@ -15,10 +15,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,8 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op8_sentencepiece, op9_simhash, op10_decontamination)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op8_sentencepiece, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
