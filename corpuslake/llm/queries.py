@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontam, langid, license_scan, quality, simhash, spm, tiff, toxicity, warc
+from corpuslake.llm import chaining, decontam, langid, license_scan, quality, simhash, spm, tiff, toxicity, warc
 from corpuslake.llm.common import fresh_path, table
 
 
@@ -45,6 +45,10 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op8_sentencepiece, op9_simhash, op10_decontamination)
+QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination)
 
 
 def queries() -> dict:
