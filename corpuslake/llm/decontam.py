@@ -98,5 +98,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFr
     """The rows of docs that hold no window of any item; rows with null or empty texts stay."""
     _, hits, _ = contained_windows(docs, items, size)
     dirty = hits.select("row_key").distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(dirty, "row_key", "left_anti").drop("row_key")
+    return docs.join(dirty, F.xxhash64(docs.doc_id, docs.text) == dirty.row_key, "left_anti")

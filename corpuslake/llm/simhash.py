@@ -66,18 +66,19 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, fps) per document; fps has one fingerprint for each of `tables` independent hashes."""
+def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `carry` columns (numbers) and fps of each row of docs; fps has one fingerprint of text for each of `tables` independent hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = []
-            for text in b.column(1):
+            for text in b.column(len(carry)):
                 h = shingle_hashes(text.as_py(), size)
                 fps.append([majority(remixed(h, j)) for j in range(tables)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(fps, pa.list_(pa.int64()))], [*carry, "fps"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fps array<bigint>")
+    chosen = docs.select(*(F.col(c).cast("long") for c in carry), "text")
+    return chosen.mapInArrow(run, "".join(f"`{c}` bigint, " for c in carry) + "fps array<bigint>")
 
 
 # ---------------------------------------------------------------- the covering code

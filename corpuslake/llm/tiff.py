@@ -70,7 +70,7 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, each width ending one code early."""
+    """Codes of 9 to 12 bits, most significant bit first; the reader, one entry behind, widens one code early."""
     bits, held, out, width = 0, 0, bytearray(), 9
 
     def put(code: int) -> None:
@@ -97,13 +97,13 @@ def lzw_encode(data: bytes) -> bytes:
             put(CLEAR)
             book = {bytes((k,)): k for k in range(256)}
             nxt, width = 258, 9
-        elif nxt == (1 << width) - 1 and width < 12:
+        elif nxt == 1 << width and width < 12:
             width += 1
         cur = data[i : i + 1]
     if cur:
         put(book[cur])
         nxt += 1
-        if nxt == (1 << width) - 1 and width < 12:
+        if nxt == 1 << width and width < 12:
             width += 1
     put(END)
     if bits:
