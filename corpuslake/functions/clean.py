@@ -15,9 +15,9 @@ Rule = Callable[[Column], Column]
 # Patterns, placeholders and the correction list that the results depend on.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{feff}]"
-URL = r"(?U)https?://\S+|ftp://\S+|www\.\S+"
+URL = r"(?U)(?:https?://|ftp://|www\.)[^\s\x1c-\x1f]+"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-LONG_NUMBER = r"(?U)\b\d{15,}\b"
+LONG_NUMBER = r"(?U)(?<![\p{L}\p{N}_])\d{15,}(?![\p{L}\p{N}_])"
 URL_MARK, EMAIL_MARK, NUMBER_MARK = "[链接]", "[邮箱]", "[ID]"
 OCR_WORDS = [
     ("己经", "已经"),

@@ -17,9 +17,9 @@ def upload_stream(engine: Engine, root: str, max_files: int = 100) -> DataFrame:
 
 
 def start(engine: Engine, root: str, checkpoint: str, max_files: int = 100, semantic: bool = False, once: bool = False) -> StreamingQuery:
-    """Indexes every micro-batch; a changed source replaces its chunks.
+    """Indexes every micro-batch; a source that is stored already has its chunks replaced.
 
-    A batch that is run again after a failure finds its files stored (by content hash) and skips them.
+    A file source takes each path once: a changed file comes in under a new path, or by Engine.index. A batch that is run again after a failure finds its files stored (by content hash) and skips them.
     """
     writer = upload_stream(engine, root, max_files).writeStream.option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(lambda batch, _: engine.index_files(batch, semantic=semantic, replace=True))
