@@ -31,4 +31,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it proves to have few rows."""
-    return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

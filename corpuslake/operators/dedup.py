@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,28 +18,40 @@ def new_files(files: DataFrame, store: DataFrame, key: str = "doc_id") -> DataFr
     return files.join(store.select(key).distinct(), key, "left_anti")
 
 
-def bands(fingerprints: DataFrame, threshold: int) -> DataFrame:
-    """fingerprints exploded to threshold + 1 bands of bits: two within the threshold agree in one of them at least."""
-    n = threshold + 1
+def keyed(fingerprints: DataFrame, threshold: int, blocks: int | None = None) -> DataFrame:
+    """fingerprints exploded to (place, bits): the value of every choice of `blocks - threshold` blocks of bits.
+
+    Fingerprints within the threshold differ in at most that many blocks, so they agree in one choice at least.
+    More blocks mean more rows and longer keys, so fewer chance meetings.
+    """
+    n = blocks or threshold + 2
     edges = [64 * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return fingerprints.select("*", F.explode(F.array(*parts)).alias("_b")).select("*", "_b.band", "_b.bits").drop("_b")
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    choices = [sum(c) for c in itertools.combinations(masks, n - threshold)]
+    signed = [m - 2**64 if m >= 2**63 else m for m in choices]
+    parts = F.array(*(F.struct(F.lit(i).alias("place"), F.col("simhash").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)))
+    return fingerprints.select("*", F.explode(parts).alias("_k")).select("*", "_k.place", "_k.bits").drop("_k")
 
 
-def near_pairs(fingerprints: DataFrame, threshold: int = 3, key: str = "doc") -> DataFrame:
-    """(a, b) with a < b for all rows of fingerprints (key, simhash) within the threshold.
+def near_links(fingerprints: DataFrame, threshold: int = 3, key: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(members, links): each row's class, and the links between classes within the threshold.
 
-    Equal fingerprints are joined as one class and then expanded, so that a class of many copies isn't compared
-    with itself in every band.
+    A class is the rows of one fingerprint, named by its smallest key: members has key and class_id, links has a
+    and b with a < b, both class names. Copies are never expanded into pairs.
     """
-    classes = fingerprints.select("simhash").distinct()
-    one = bands(classes, threshold)
-    two = one.select("band", "bits", F.col("simhash").alias("other"))
-    close = one.join(two, ["band", "bits"]).filter((F.col("simhash") < F.col("other")) & (hamming(F.col("simhash"), F.col("other")) <= threshold)).select("simhash", "other").distinct()
-    a, b = fingerprints.select(F.col(key).alias("a"), "simhash"), fingerprints.select(F.col(key).alias("b"), F.col("simhash").alias("other"))
-    apart = close.join(a, "simhash").join(b, "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    same = a.join(b.withColumnRenamed("other", "simhash"), "simhash").filter("a < b").select("a", "b")
-    return apart.unionAll(same)
+    classes = fingerprints.groupBy("simhash").agg(F.min(key).alias("class_id"))
+    one = keyed(classes, threshold)
+    two = one.select("place", "bits", F.col("simhash").alias("other"), F.col("class_id").alias("b"))
+    close = one.join(two, ["place", "bits"]).filter((F.col("class_id") < F.col("b")) & (hamming(F.col("simhash"), F.col("other")) <= threshold))
+    members = fingerprints.join(classes, "simhash").select(key, "class_id")
+    return members, close.select(F.col("class_id").alias("a"), "b").distinct()
+
+
+def link_counts(fingerprints: DataFrame, threshold: int = 3, key: str = "doc") -> DataFrame:
+    """(key, class_id, n_links) of each row; n_links is how many other fingerprints are within the threshold."""
+    members, links = near_links(fingerprints, threshold, key)
+    ends = links.select(F.col("a").alias("class_id")).unionAll(links.select("b")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def first_of_each(fingerprints: DataFrame, threshold: int = 3, key: str = "doc", history: DataFrame | None = None, most_rounds: int = 1_000) -> DataFrame:
@@ -49,30 +63,26 @@ def first_of_each(fingerprints: DataFrame, threshold: int = 3, key: str = "doc",
     fingerprints kept before, which precede all.
     """
     firsts = fingerprints.groupBy("simhash").agg(F.min(key).alias("pos"))
-    one = bands(firsts, threshold)
     if history is not None:
-        old = bands(history.select(F.col("simhash").alias("other")).distinct().withColumn("simhash", F.col("other")), threshold).select("band", "bits", "other")
-        seen = one.join(old, ["band", "bits"]).filter(hamming(F.col("simhash"), F.col("other")) <= threshold).select("simhash").distinct()
-        firsts = firsts.join(seen, "simhash", "left_anti")
+        old = keyed(history.select("simhash").distinct(), threshold).select("place", "bits", F.col("simhash").alias("other"))
+        near_old = keyed(firsts, threshold).join(old, ["place", "bits"]).filter(hamming(F.col("simhash"), F.col("other")) <= threshold)
+        firsts = firsts.join(near_old.select("simhash").distinct(), "simhash", "left_anti")
     firsts = materialize(firsts, "firsts")
-    one = bands(firsts, threshold)
-    two = one.select("band", "bits", F.col("simhash").alias("other"), F.col("pos").alias("earlier"))
-    near = one.join(two, ["band", "bits"]).filter((F.col("earlier") < F.col("pos")) & (hamming(F.col("simhash"), F.col("other")) <= threshold))
+    one = keyed(firsts, threshold)
+    two = one.select("place", "bits", F.col("simhash").alias("other"), F.col("pos").alias("earlier"))
+    near = one.join(two, ["place", "bits"]).filter((F.col("earlier") < F.col("pos")) & (hamming(F.col("simhash"), F.col("other")) <= threshold))
     edges = materialize(near.select("pos", "earlier").distinct(), "edges")
-    alone = firsts.select("pos").join(edges.select("pos").distinct(), "pos", "left_anti")
-    kept = alone
-    fresh = alone
+    fresh = firsts.select("pos").join(edges.select("pos").distinct(), "pos", "left_anti")
+    kept = fresh
     for _ in range(most_rounds):
         if edges.isEmpty():
             break
-        hit = edges.join(fresh.select(F.col("pos").alias("earlier")), "earlier", "left_semi").select("pos").distinct()
-        left = edges.join(hit, "pos", "left_anti")  # rows near a kept one are decided
-        gone = hit.select(F.col("pos").alias("earlier"))
-        undecided = edges.select("pos").distinct().join(hit, "pos", "left_anti")
-        left = materialize(left.join(gone, "earlier", "left_anti"), "edges")
-        fresh = materialize(undecided.join(left.select("pos").distinct(), "pos", "left_anti"), "kept")
+        dropped = edges.join(fresh.select(F.col("pos").alias("earlier")), "earlier", "left_semi").select("pos").distinct()
+        undecided = edges.select("pos").distinct().join(dropped, "pos", "left_anti")
+        open_edges = edges.join(dropped, "pos", "left_anti").join(dropped.select(F.col("pos").alias("earlier")), "earlier", "left_anti")
+        edges = materialize(open_edges, "edges")
+        fresh = materialize(undecided.join(edges.select("pos").distinct(), "pos", "left_anti"), "kept")
         kept = kept.unionAll(fresh)
-        edges = left
     else:
         raise RuntimeError("the pass did not settle")
     return kept.select(F.col("pos").alias(key))

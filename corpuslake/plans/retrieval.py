@@ -141,12 +141,12 @@ LISTS = {"kw": [(1, 3, 3.5, 1), (1, 1, 2.0, 2), (1, 3, 1.0, 3)], "vec": [(1, 1,
 RANKED = "query_id bigint, doc bigint, score double, rank int"
 
 
-@query("SELECT * FROM (VALUES (1, 3, 0.032266, 2), (1, 1, 0.032522, 1), (1, -1, 0.016129, 3), (2, 5, 0.016393, 1), (2, 6, 0.016129, 2)) AS v(query_id, doc, score, rank)")
+@query("SELECT query_id, doc, CAST(score AS DOUBLE) AS score, rank FROM (VALUES (1, 3, 0.032266, 2), (1, 1, 0.032522, 1), (1, -1, 0.016129, 3), (2, 5, 0.016393, 1), (2, 6, 0.016129, 2)) AS v(query_id, doc, score, rank)")
 def rrf_ties(spark, sf_dir):
     return fusion.reciprocal_rank(frame(spark, LISTS["kw"], RANKED), frame(spark, LISTS["vec"], RANKED))
 
 
-@query("SELECT * FROM (VALUES (1, 3, 0.385714, 1), (1, 1, 0.171429, 2), (1, -1, 0.0, 3), (2, 5, 0.0, 1), (2, 6, 0.0, 2)) AS v(query_id, doc, score, rank)")
+@query("SELECT query_id, doc, CAST(score AS DOUBLE) AS score, rank FROM (VALUES (1, 3, 0.385714, 1), (1, 1, 0.171429, 2), (1, -1, 0.0, 3), (2, 5, 0.0, 1), (2, 6, 0.0, 2)) AS v(query_id, doc, score, rank)")
 def linear_ties(spark, sf_dir):
     return fusion.linear(frame(spark, LISTS["kw"], RANKED), frame(spark, LISTS["vec"], RANKED))
 

@@ -217,14 +217,13 @@ def simhash_docs(spark, sf_dir):
     return _marks(spark, sf_dir)
 
 
-_NEAR = "bit_count(xor(x.u::UBIGINT, y.u::UBIGINT)) <= 3"
-
-
-@query(f"WITH {SIMHASH} SELECT x.doc_id AS a, y.doc_id AS b FROM sh x JOIN sh y ON x.doc_id < y.doc_id AND bit_count(xor(CAST(x.u AS UBIGINT), CAST(y.u AS UBIGINT))) <= 3")
-def near_dup_pairs(spark, sf_dir):
+@query(f"""WITH {SIMHASH}, cl AS (SELECT u, min(doc_id) AS class_id FROM sh GROUP BY u),
+n AS (SELECT x.u, count(*) AS n FROM cl x JOIN cl y ON x.u <> y.u AND bit_count(xor(CAST(x.u AS UBIGINT), CAST(y.u AS UBIGINT))) <= 3 GROUP BY x.u)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM sh JOIN cl USING (u) LEFT JOIN n USING (u)""")
+def near_dup_links(spark, sf_dir):
     from corpuslake.operators.common import materialize
 
-    return dedup.near_pairs(materialize(_marks(spark, sf_dir), "marks"), key="doc_id")
+    return dedup.link_counts(materialize(_marks(spark, sf_dir), "marks"), key="doc_id")
 
 
 _GREEDY = f"""

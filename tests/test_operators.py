@@ -103,8 +103,15 @@ def test_first_of_each_is_the_greedy_pass(spark, threshold):
     df = spark.createDataFrame(marks, "doc int, simhash bigint")
     got = sorted(r.doc for r in dedup.first_of_each(df, threshold).collect())
     assert got == greedy(marks, threshold)
-    pairs = {(r.a, r.b) for r in dedup.near_pairs(df, threshold).collect()}
-    assert pairs == {(i, j) for i, x in marks for j, y in marks if i < j and bin((x ^ y) & (2**64 - 1)).count("1") <= threshold}
+    near = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1") <= threshold
+    first = {}
+    for i, m in marks:
+        first.setdefault(m, i)
+    members, links = dedup.near_links(df, threshold)
+    assert {(r.doc, r.class_id) for r in members.collect()} == {(i, first[m]) for i, m in marks}
+    assert {(r.a, r.b) for r in links.collect()} == {(i, j) for x, i in first.items() for y, j in first.items() if i < j and near(x, y)}
+    counts = {r.doc: r.n_links for r in dedup.link_counts(df, threshold).collect()}
+    assert counts == {i: sum(near(m, x) for x in first if x != m) for i, m in marks}
 
 
 def test_history_and_blank(spark):
