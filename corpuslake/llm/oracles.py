@@ -59,4 +59,18 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN bes
 """
 
 
-ORACLES = {"op4_license_scan": _license(), "op10_decontamination": DECONTAMINATION}
+# base 32 of a SHA-1: its 40 hexadecimal digits as 160 bits, taken five at a time
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+top AS (SELECT html, max(page_id) AS holder FROM p GROUP BY html),
+bits AS (SELECT s, array_to_string(list_transform(range(1, 41), lambda j: lpad(bin(CAST('0x' || substr(s, j, 1) AS INTEGER)), 4, '0')), '') AS b FROM (SELECT DISTINCT s FROM p)),
+digest AS (SELECT s, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST(list_sum(list_transform(range(0, 5), lambda k: CAST(substr(b, CAST(5 * i + k + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER))) AS INTEGER), 1)), '') AS d FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM p JOIN top USING (html) JOIN digest USING (s)
+"""
+
+
+ORACLES = {"op2_warc": WARC, "op4_license_scan": _license(), "op10_decontamination": DECONTAMINATION}
