@@ -40,7 +40,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df; for intermediate tables that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of one number each (a few MB) up to which a counted set of keys is broadcast; beyond, the join shuffles.
+BROADCAST_KEYS = 200_000
+
+
+def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key isn't among gone (row_key), which is written and counted first."""
+    gone = materialize(gone.select("row_key").distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return df.join(few, key == few.row_key, "left_anti")
 
 
 def wide(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import materialize, words
+from corpuslake.llm.common import materialize, without_keys, words
 
 #: Up to so many prefix tokens are tested as a literal set within the scan, and so many rows of item data are
 #: broadcast; beyond, the same rows are joined by a shuffle.
@@ -97,5 +97,4 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs that hold no window of any item; rows with null or empty texts stay."""
     _, hits, _ = contained_windows(docs, items, size)
-    dirty = hits.select("row_key").distinct()
-    return docs.join(dirty, F.xxhash64(docs.doc_id, docs.text) == dirty.row_key, "left_anti")
+    return without_keys(docs, F.xxhash64(docs.doc_id, docs.text), hits)
