@@ -37,11 +37,12 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     counts = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     words = counts.select("token").distinct().select("token", fnv1a(F.col("token")).alias("h"))
     weighed = counts.join(words, "token")
-    sums = weighed.groupBy(key).agg(*(F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)))
-    bits = [F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    value = bits[0]
-    for b in bits[1:]:
-        value = value.bitwiseOR(b)
+    # bits b and b + 32 are counted in the two halves of one number
+    lanes = [F.sum(F.col("n") * F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"s{b}") for b in range(32)]
+    sums = weighed.groupBy(key).agg(F.sum("n").alias("n"), *lanes)
+    low = [F.col(f"s{b}").bitwiseAND(F.lit(MASK)) for b in range(32)]
+    ones = F.array(*low, *(F.shiftright(f"s{b}", 32) for b in range(32)))
+    value = F.aggregate(F.transform(ones, lambda x, i: F.when(2 * x > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     return df.select(key).join(sums.select(key, value.alias("simhash")), key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
 
 
