@@ -28,13 +28,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     spread = F.pmod(F.xxhash64(F.col("labelled_id"), F.lit(label)), F.lit(1_000_000)) / 1_000_000
     share = F.coalesce(*(F.when(F.col("label") == k, F.lit(rows / n)) for k, n in counts.items()), F.lit(0.0))
-    chosen = marked.filter(spread < share).dropDuplicates(["labelled_id"]).limit(4 * rows)
+    chosen = marked.filter(spread < share).groupBy("labelled_id").agg(F.min("label").alias("label")).limit(4 * rows)
     n = F.length("text")
     step = (n - CHARS_PER_ROW // PIECES) / (PIECES - 1)
     pieces = F.concat_ws("\n", *(F.substring(F.col("text"), (F.lit(i) * step + 1).cast("int"), F.lit(CHARS_PER_ROW // PIECES)) for i in range(PIECES)))
     text = F.when(n <= CHARS_PER_ROW, F.col("text")).otherwise(pieces)
     calibrates = F.pmod(F.crc32(F.col("labelled_id").cast("string").cast("binary")), F.lit(FOLDS)) == FOLDS - 1
-    joined = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("labelled_id"), "text").join(chosen, "labelled_id")
+    joined = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("labelled_id"), "text").join(F.broadcast(chosen), "labelled_id")  # the limit bounds it
     return sorted((r.label, r.c, r.t) for r in joined.select("label", calibrates.alias("c"), text.alias("t")).limit(8 * rows).collect())
 
 
