@@ -6,7 +6,7 @@ Documents give only the places of prefix tokens, each with the words around it;
 where the window would begin (positional bound) and that it fits (length bound), and array equality verifies it.
 
 Null and empty texts have no words and no hits; repeated rows get equal results each; items without words have
-no window; empty tables give an empty or clean result; other columns are ignored.
+no window; an item with a null id makes hits but isn't counted or listed; empty tables give an empty or clean result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     positions = hits.select("row_key", F.explode(F.sequence("start", F.expr("start + length - 1"))).alias("pos")).distinct()
     n_hit = positions.groupBy("row_key").agg(F.count("*").alias("n_hit"))
     pairs = hits.select("row_key", "win_id").distinct().join(owners, "win_id").select("row_key", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = pairs.groupBy("row_key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    listed = pairs.groupBy("row_key").agg(F.count("item").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     per_doc = n_hit.join(listed, "row_key", "full")
     return base.join(per_doc, "row_key", "left").select(
         "doc_id",

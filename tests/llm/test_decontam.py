@@ -41,7 +41,7 @@ def fixture():
     rng = random.Random(3)
     vocab = ["w%d" % i for i in range(40)] + ["É", "ñandú", "日本"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 9, 10, 11, 25])))) for i in range(12)]
-    items += [(50, None), (51, ""), (52, "..."), (53, "Single"), (1, items[2][1])]
+    items += [(50, None), (51, ""), (52, "..."), (53, "Single"), (None, items[0][1]), (None, "an item without an id that no other has at all"), (1, items[2][1])]
     docs = []
     for i in range(80):
         w = rng.choices(vocab, k=rng.randint(0, 60))
@@ -50,7 +50,7 @@ def fixture():
             at = rng.randint(0, max(len(item) - 10, 0))
             w[len(w) // 2 : len(w) // 2] = item[at : at + rng.choice([9, 10, 14])]
         docs.append((i, ", ".join(w).upper() if i % 2 else "\n".join(w)))
-    docs += [(200, None), (201, ""), (5, docs[3][1]), (6, docs[6][1]), (None, docs[9][1]), (202, "w1 " * 30000 + "single")]
+    docs += [(200, None), (201, ""), (5, docs[3][1]), (6, docs[6][1]), (None, docs[9][1]), (203, "see: an item without an id that no other has at all."), (202, "w1 " * 30000 + "single")]
     return docs, items
 
 
