@@ -33,6 +33,11 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self._table("chunks", schemas.CHUNKS)
 
+    @property
+    def fingerprints(self) -> DataFrame:
+        """Fingerprints of all chunks that were kept by any run."""
+        return self._table("fingerprints", schemas.FINGERPRINTS)
+
     @property
     def log(self) -> DataFrame:
         return self._table("version_log", schemas.VERSION_LOG)
@@ -43,14 +48,15 @@ class Engine:
 
     # ------------------------------------------------------------ indexing
 
-    def index(self, root: str, force: bool = False, semantic: bool = False) -> DataFrame:
+    def index(self, root: str, force: bool = False, semantic: bool = False, history: bool = False) -> DataFrame:
         """Indexes the new files under root; one row of counts."""
-        return self.index_files(files.scan(self.spark, root), force, semantic)
+        return self.index_files(files.scan(self.spark, root), force, semantic, history=history)
 
-    def index_files(self, found: DataFrame, force: bool = False, semantic: bool = False, replace: bool = False) -> DataFrame:
+    def index_files(self, found: DataFrame, force: bool = False, semantic: bool = False, replace: bool = False, history: bool = False) -> DataFrame:
         """Scan, file dedup, archiving, loading, chunking, chunk dedup, versions, embedding and storing, as one batch.
 
-        replace deletes a source's old chunks; otherwise they stay with is_active false. As sources are archived
+        history holds chunks against the fingerprints of earlier runs too, not just those of this one. replace
+        deletes a source's old chunks; otherwise they stay with is_active false. As sources are archived
         before their text is known, a source that gives no text keeps archived chunks only.
         """
         valid = files.metadata(files.validated(found))
@@ -64,11 +70,13 @@ class Engine:
         order = F.struct(F.lower("file_name").alias("f"), "source", "chunk_index").alias("doc")
         keyed = parts.select(order, "*")
         marks = simhash(keyed, "doc", "document")
-        kept = dedup.filter_chunks(keyed.join(marks, "doc"), self.config.hamming_threshold)
+        seen = self.fingerprints if history else None
+        kept = materialize(dedup.filter_chunks(keyed.join(marks, "doc"), self.config.hamming_threshold, history=seen), "kept")
+        kept.select("doc_id", "chunk_index", "simhash").write.mode("append").parquet(f"{self.home}/fingerprints")
         counts = materialize(kept.groupBy("doc_id", "file_name").agg(F.count("*").cast("int").alias("chunk_count")), "counts")
         numbered = self._record(counts)
-        rows = store_rows = clients.embedded(kept.drop("doc", "simhash"), self.embedder, "document")
-        rows = chunk.with_chunk_ids(store_rows.join(numbered.select("doc_id", "version"), "doc_id").withColumn("is_active", F.lit(True)))
+        rows = clients.embedded(kept.drop("doc", "simhash"), self.embedder, "document")
+        rows = chunk.with_chunk_ids(rows.join(numbered.select("doc_id", "version"), "doc_id").withColumn("is_active", F.lit(True)))
         store.add(rows, f"{self.home}/chunks")
         return counts.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake import schemas
 from corpuslake.functions.strings import is_blank
+from corpuslake.sources import clients
 
 NO_EVIDENCE = "无依据"  # fixed value: the verdict of a claim that names none
 
@@ -76,3 +77,38 @@ def judge_guard(answer: Column, context: Column) -> Column:
     kind = "struct<faithfulness_score:double,total_claims:int,unsupported:int,error:string>"
     make = lambda score, n, error: F.struct(F.lit(score).alias("faithfulness_score"), F.lit(n).alias("total_claims"), F.lit(n).alias("unsupported"), F.lit(error).alias("error")).cast(kind)
     return F.when(is_blank(answer), make(1.0, 0, "blank answer")).when(is_blank(context), make(0.0, 1, "blank context"))
+
+
+JUDGE_TEMPLATE = """Check whether an answer keeps to its numbered reference passages.
+1. Take the answer apart into claims that can each be checked.
+2. Give each claim a verdict (支持, 矛盾, 无依据 or 部分支持) with the passage that shows it.
+3. Check each citation [来源:n]: does that passage hold the claim (正确), not hold it (错误), or not exist (虚构)?
+Reply with JSON only: {"claims": [{"text", "verdict", "evidence", "citation_check": {"citations_found": [], "accuracy"}}],
+"summary": {"total_claims", "supported", "contradicted", "unsupported", "partial", "citation_correct", "citation_wrong", "citation_fabricated", "faithfulness_score"}}
+where faithfulness_score = (supported + 0.5 * partial) / total_claims.
+
+References:
+{context}
+
+Question:
+{question}
+
+Answer:
+{answer}"""
+
+
+def judge_prompt(context: Column, question: Column, answer: Column) -> Column:
+    out = F.lit(JUDGE_TEMPLATE)
+    for name, value in (("context", context), ("question", question), ("answer", answer)):
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return out
+
+
+def faithfulness(df: DataFrame, model: clients.LanguageModel) -> DataFrame:
+    """df (with question, context and answer) and a judge's report: guarded rows make no call, failed calls give an error."""
+    guarded = df.withColumn("guard", judge_guard(F.col("answer"), F.col("context")))
+    asked = guarded.withColumn("judge", F.when(F.col("guard").isNull(), judge_prompt(F.col("context"), F.col("question"), F.col("answer"))))
+    parsed = clients.answered(asked, model, "judge", "report").withColumn("r", parse_report(F.col("report")))
+    pick = lambda k: F.coalesce(F.col(f"guard.{k}"), F.col(f"r.{k}")).alias(k)
+    error = F.when(F.col("guard").isNotNull(), F.col("guard.error")).otherwise(F.coalesce("report_error", "r.error")).alias("error")
+    return parsed.select(*df.columns, pick("faithfulness_score"), pick("total_claims"), pick("unsupported"), F.col("r.claims").alias("claims"), error)

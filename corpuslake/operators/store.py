@@ -50,6 +50,11 @@ def sources(store: DataFrame) -> DataFrame:
     return store.select("source").filter("source IS NOT NULL").distinct().orderBy(F.lower(basename(F.col("source"))), "source")
 
 
+def rows_at(ordinals: DataFrame, store: DataFrame, columns: list[str], doc: str = "doc") -> DataFrame:
+    """ordinals with these columns of the stored row at each; null where there is none."""
+    return ordinals.join(store.select(doc, *columns), doc, "left")
+
+
 def rewrite(df: DataFrame, path: str) -> None:
     """Replaces the table at path by df, which may be read from it: written beside it, then renamed."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.operators import bm25, context, evaluate, fusion, hybrid, vector
+from corpuslake.operators import store as stores
 from corpuslake.operators.common import materialize
 from corpuslake.plans.literals import frame, values
 from corpuslake.plans.texts import table
@@ -86,6 +87,12 @@ def documents_by_ordinal(spark, sf_dir):
     return bm25.documents_at(frame(spark, ORDINALS, "id int, doc bigint"), docs, "doc_id", "text").select("id", "doc", "document")
 
 
+@query(f"SELECT id, o.doc, source, lang FROM {values(ORDINALS, 'id, doc')} o LEFT JOIN documents ON doc_id = o.doc")
+def metadata_by_ordinal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "doc")
+    return stores.rows_at(frame(spark, ORDINALS, "id int, doc bigint"), docs, ["source", "lang"]).select("id", "doc", "source", "lang")
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding", "label")
 

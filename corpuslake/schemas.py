@@ -13,3 +13,4 @@ JUDGE = (
 )
 SESSIONS = "name string, messages array<struct<role:string,content:string,sources:array<struct<index:int,file:string,path:string,score:double,snippet:string>>>>, created_at string"
 EVAL = "question string, relevant_texts array<string>"
+FINGERPRINTS = "doc_id string, chunk_index int, simhash bigint"

@@ -4,7 +4,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake import schemas
 from corpuslake.engine import Engine
+from corpuslake.operators import evaluate, sessions
 from corpuslake.sources import clients, datasets, docx, files, pdf
 from corpuslake.streaming import ingest
 
@@ -135,3 +137,40 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"name": "n", "created_at": "t", "messages": [{"role": "user", "content": "c"}]}')
     assert datasets.load_sessions(spark, f"file://{tmp_path}/s.json").first()["messages"][0]["role"] == "user"
     assert datasets.builtin_dataset(spark).count() == 3
+
+
+def test_history_of_fingerprints(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "a.txt").write_text(paragraphs("alpha"), "utf-8")
+    (tmp_path / "two" / "b.txt").write_text(paragraphs("alpha") + "\n\nand a new end", "utf-8")
+    e = Engine(spark, f"file://{tmp_path}/home")
+    first = e.index(f"file://{tmp_path}/one").first()["chunks"]
+    assert e.fingerprints.count() == first
+    assert e.index(f"file://{tmp_path}/two", history=True).first()["chunks"] < first
+
+
+def test_faithfulness(spark):
+    class Judge(clients.EchoModel):
+        def chat(self, prompt):
+            if "boom" in prompt:
+                raise RuntimeError("down")
+            return '{"claims": [{"text": "x"}], "summary": {"total_claims": 1, "supported": 1, "faithfulness_score": 1.0}}'
+
+        generate = chat
+
+    df = spark.createDataFrame([(1, "q", "c", "a"), (2, "q", "c", " "), (3, "q", "", "a"), (4, "boom", "c", "a")], "id int, question string, context string, answer string")
+    rows = {r.id: r for r in evaluate.faithfulness(df, Judge()).collect()}
+    assert [rows[i].faithfulness_score for i in (1, 2, 3)] == [1.0, 1.0, 0.0]
+    assert rows[1].error is None and rows[2].error == "blank answer" and rows[3].unsupported == 1 and "down" in rows[4].error
+
+
+def test_sessions(spark):
+    s = spark.createDataFrame([], schemas.SESSIONS)
+    s = sessions.created(sessions.created(sessions.created(s, "a", "2020"), "b", "2021"), "a", "2022")
+    kind = "name string, seq int, role string, content string, sources array<struct<index:int,file:string,path:string,score:double,snippet:string>>"
+    new = spark.createDataFrame([("a", 2, "assistant", "yes", None), ("a", 1, "user", "ok?", None)], kind)
+    s = sessions.renamed(sessions.appended(s, new), "a", "c")
+    assert {r.name: r.turns for r in sessions.turns(s).collect()} == {"b": 0, "c": 1}
+    assert sessions.latest(s).first()["name"] == "b" and sessions.deleted(s, "b").count() == 1
+    assert [m.content for m in s.filter("name = 'c'").first().messages] == ["ok?", "yes"]
