@@ -117,3 +117,45 @@ def test_odd_rows_pass_every_stage(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
         df.collect()
+
+
+def altered(rng, w, share):
+    """A copy with single words changed until its similarity falls to `share` or just above."""
+    out, x = list(w), shingles(" ".join(w))
+    for k in rng.sample(range(len(w)), len(w)):
+        before, out[k] = out[k], "changed%d" % rng.randrange(10**6)
+        if similarity(x, shingles(" ".join(out))) < share:
+            out[k] = before
+    return out
+
+
+def alive_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    return {r.doc_id for r in near_dedup.one_of_each(df).collect()}
+
+
+def test_single_pairs_at_the_limit_are_all_found(spark):
+    rng = random.Random(21)
+    texts, near, far = [], set(), set()
+    for i in range(60):
+        w = ["w%05d" % rng.randrange(30000) for _ in range(rng.randint(80, 200))]
+        share = (0.8, 0.85, 0.9)[i % 3]
+        texts += [(i, " ".join(w)), (1000 + i, " ".join(altered(rng, w, share)))]
+        near.add(1000 + i)
+        texts.append((2000 + i, " ".join(w[: int(0.7 * len(w))] + ["x%05d" % rng.randrange(30000) for _ in range(int(0.3 * len(w)))])))
+        far.add(2000 + i)
+    assert all(similarity(shingles(texts[k][1]), shingles(texts[k + 1][1])) >= 0.8 for k in range(0, len(texts), 3))
+    assert all(similarity(shingles(texts[k][1]), shingles(texts[k + 2][1])) < 0.8 for k in range(0, len(texts), 3))
+    assert alive_of(spark, texts) == {i for i, _ in texts} - near
+
+
+def test_crowded_keys_lose_no_pair(spark):
+    """Keys shared by many texts below the limit: the only true pairs must come out of them."""
+    rng = random.Random(22)
+    common = ["c%03d" % i for i in range(60)]
+    texts = [(i, " ".join(common + ["u%05d" % rng.randrange(90000) for _ in range(20)])) for i in range(400)]
+    texts += [(500 + i, " ".join(texts[i][1].split()[:-2] + ["last%d" % i])) for i in range(0, 400, 10)]
+    x = {i: shingles(t) for i, t in texts}
+    want = {i for i in x if not any(j < i and similarity(x[i], x[j]) >= 0.8 for j in x)}
+    assert want == set(range(400))
+    assert alive_of(spark, texts) == want
