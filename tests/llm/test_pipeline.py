@@ -159,3 +159,14 @@ def test_crowded_keys_lose_no_pair(spark):
     want = {i for i in x if not any(j < i and similarity(x[i], x[j]) >= 0.8 for j in x)}
     assert want == set(range(400))
     assert alive_of(spark, texts) == want
+
+
+def test_unrelated_rows_of_one_id_stay(spark):
+    rng = random.Random(23)
+    one, other = (" ".join("w%05d" % rng.randrange(30000) for _ in range(100)) for _ in range(2))
+    near = one.rsplit(" ", 1)[0] + " last"
+    rows = [(7, one), (7, other), (7, near), (7, other), (9, other), (None, "one without an id"), (None, "two have no id at all")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    for part in (df, df.repartition(5), df.orderBy("text")):
+        got = sorted(((r.doc_id, r.text) for r in near_dedup.one_of_each(part).collect()), key=str)
+        assert len(got) == 4 and (7, other) in got and sum(t in (one, near) for _, t in got) == 1 and sum(i is None for i, _ in got) == 2
