@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
 
-A block is a line of a text. A template is a set of words; a block meets it if it holds at least the share
-`THRESHOLD` of that set (containment). Words are ordered by how often they occur over all documents, rarest
+A block is a line of a text, or as many running words of it as the template has, whatever lines they stand in, so that
+wrapped notices are met. A template is a set of words; a block meets it if it holds at least the share `THRESHOLD` of
+that set (containment). Words are ordered by how often they occur over all documents, rarest
 first. A template of n words that needs c of them must share with the block one of its n - c + 1 rarest words
 (prefix filter), the block must have at least c distinct words (length filter), and when the first shared
 prefix word is the template's p-th, at most n - p + 1 words can be shared, which must still reach c
-(positional filter). What passes is verified by counting the shared words.
+(positional filter). These filters run on the words of the whole text, which hold those of any block; the blocks of
+what passes are verified by counting the shared words.
 
 Beside this, the phrases of BASE are found by their places. Null and empty texts have no words and no label;
 repeated rows get equal results each; an empty table gives an empty result; other columns are ignored.
@@ -41,9 +43,16 @@ TEMPLATES = {
 }
 
 
+def _split(template: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in template.translate(str.maketrans(UPPER, UPPER.lower()))).split()
+
+
 def template_words() -> dict[str, list[str]]:
-    lower = str.maketrans(UPPER, UPPER.lower())
-    return {k: sorted({w for w in "".join(c if c.isalnum() else " " for c in v.translate(lower)).split()}) for k, v in TEMPLATES.items()}
+    return {k: sorted(set(_split(v))) for k, v in TEMPLATES.items()}
+
+
+def template_lengths() -> dict[str, int]:
+    return {k: len(_split(v)) for k, v in TEMPLATES.items()}
 
 
 def needed(n: int, threshold: float) -> int:
@@ -56,25 +65,34 @@ def token_counts(split: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in hit.collect()}  # one row for each template word at most
 
 
-def block_matches(rows: DataFrame, counts: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
-    """(row_key, block, label, containment) for every pair of a block and a template that meets the threshold.
+def block_matches(split: DataFrame, counts: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
+    """(row_key, label, containment) for every row and template that one of the row's blocks meets; containment is that of its best block.
 
-    rows has row_key and text; block is the line's number from 0.
+    split has row_key, text and its words w.
     """
     sets = {k: sorted(v, key=lambda w: (counts.get(w, 0), w)) for k, v in template_words().items()}
     prefix = {k: v[: len(v) - needed(len(v), threshold) + 1] for k, v in sets.items()}
     probes = sorted({w for v in prefix.values() for w in v})
-    spark = rows.sparkSession
-    index = [(w, at, len(sets[k]), needed(len(sets[k]), threshold), k, sets[k]) for k, v in prefix.items() for at, w in enumerate(v)]
-    index_df = F.broadcast(spark.createDataFrame(index, "token string, at int, n int, c int, label string, tokens array<string>"))  # TEMPLATES bounds it
-
-    lines = rows.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    sized = lines.select("row_key", "block", F.array_distinct(words(F.col("line"))).alias("b"))
-    probed = sized.select("row_key", "block", "b", F.explode(F.filter("b", lambda x: x.isin(probes))).alias("token"))
+    spark = split.sparkSession
+    length = template_lengths()
+    index = [(w, at, len(sets[k]), needed(len(sets[k]), threshold), length[k], k, v, sets[k]) for k, v in prefix.items() for at, w in enumerate(v)]
+    schema = "token string, at int, n int, c int, span int, label string, prefix array<string>, tokens array<string>"
+    index_df = F.broadcast(spark.createDataFrame(index, schema))  # TEMPLATES bounds it
+
+    sized = split.select("row_key", "text", "w", F.array_distinct("w").alias("b"))
+    probed = sized.select("*", F.explode(F.filter("b", lambda x: x.isin(probes))).alias("token"))
     joined = probed.join(index_df, "token").filter((F.size("b") >= F.col("c")) & (F.col("n") - F.col("at") >= F.col("c")))
-    shared = F.size(F.array_intersect("b", "tokens"))
-    met = joined.filter(shared >= F.col("c"))
-    return met.select("row_key", "block", "label", (shared / F.col("n")).alias("containment")).distinct()
+    once = joined.filter(F.get(F.array_intersect("prefix", "b"), F.lit(0)) == F.col("token"))  # one row for each template
+    whole = once.filter(F.size(F.array_intersect("b", "tokens")) >= F.col("c"))
+
+    def shared(block: Column) -> Column:
+        return F.size(F.array_intersect(block, F.col("tokens")))
+
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(F.col("tokens"), F.get("w", i)))
+    runs = F.array_max(F.transform(begins, lambda i: shared(F.slice("w", i + 1, F.col("span")))))
+    lines = F.array_max(F.transform(F.split("text", "\n", -1), lambda line: shared(words(line))))
+    met = whole.select("row_key", "label", "n", "c", F.greatest(runs, lines).alias("best")).filter(F.col("best") >= F.col("c"))
+    return met.select("row_key", "label", (F.col("best") / F.col("n")).alias("containment")).distinct()
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -114,7 +132,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.filter(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(k)) for k in sorted(base))), lambda x: x.isNotNull()).alias("base"),
     )
     counts = token_counts(split, vocabulary)
-    matches = block_matches(keyed, counts, threshold)
+    matches = block_matches(split, counts, threshold)
     per_doc = matches.groupBy("row_key").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))  # TEMPLATES bounds the set
     out = hits.join(materialize(per_doc, "licenses"), "row_key", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))

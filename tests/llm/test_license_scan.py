@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from corpuslake.llm import license_scan as ls
 
@@ -39,3 +40,19 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    rows, want = [], {}
+    for label, notice in ls.TEMPLATES.items():
+        for width in (20, 40, 72):
+            for mark in ("", "# ", " * "):
+                lines = textwrap.wrap("Copyright the authors. " + notice + " and what follows after it.", width, break_long_words=False, break_on_hyphens=False)
+                want[len(rows)] = label
+                rows.append((len(rows), "first line\n" + "\n".join(mark + x for x in lines) + "\nlast line"))
+    scattered = len(rows)
+    rows.append((scattered, "\n".join(f"{w} " + "filler " * 30 for w in ls.TEMPLATES["bsd-notice"].split())))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in ls.scan(df).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+    assert got[scattered].labels == "" and got[scattered].score == 0.0
