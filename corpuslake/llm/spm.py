@@ -37,12 +37,20 @@ class Segmenter:
         self.limit = table_limit
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
+        self._reset()
 
     def _plain(self) -> bool:
         """Whether the model keeps every space and puts one marker in front, with no other normalisation of these probes."""
-        probes = ("a", " a", "a  b ", "ﬁ 　 x", "éé", "Ａ\t\n")
+        probes = ("a", " a", "a ", "a  b ", "ﬁ 　 x", "éé", "Ａ\t\n")
         return all(self.sp.decode(self.sp.encode(p)) == p for p in probes) and self.sp.encode_as_pieces("a")[:1] in ([MARK + "a"], [MARK])
 
+    def _reset(self) -> None:
+        """Empties the table but for the lone marker, which is what a single space at a text's end leaves."""
+        self.ids.clear()
+        self.texts.clear()
+        self.ids[""] = np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes()
+        self.texts[""] = ""
+
     def _learn(self, keys: list[str]) -> None:
         for at in range(0, len(keys), 20_000):
             part = keys[at : at + 20_000]
@@ -59,8 +67,7 @@ class Segmenter:
             ids = self.sp.encode(texts, add_bos=True, add_eos=True, num_threads=1)
             return [(np.array(v, "<u4").tobytes(), self.sp.decode(v)) for v in ids]
         if len(self.ids) > self.limit:
-            self.ids.clear()
-            self.texts.clear()
+            self._reset()
         keyed = [self._keys(t) for t in texts]
         if fresh := {k for keys in keyed for k in keys} - self.ids.keys():
             self._learn(list(fresh))
