@@ -63,6 +63,13 @@ def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return df.join(few, key == few.row_key, "left_anti")
 
 
+def row_key(doc_id: Column | str, text: Column | str) -> Column:
+    """16 bytes that stand for an id and a text together; nulls differ from any value."""
+    doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), text)))
+    return F.unhex(F.md5(said.cast("binary")))
+
+
 def wide(spark: SparkSession) -> int:
     """Partitions for steps whose work is large beside their bytes, so that they aren't coalesced to a few tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

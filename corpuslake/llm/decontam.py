@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import materialize, without_keys, words
+from corpuslake.llm.common import materialize, row_key, without_keys, words
 
 #: Up to so many prefix tokens are tested as a literal set within the scan, and so many rows of item data are
 #: broadcast; beyond, the same rows are joined by a shuffle.
@@ -57,7 +57,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> tupl
 
     distinct = prefixes.select("token").distinct()
     few = [r.token for r in distinct.limit(LITERAL_TOKENS + 1).collect()]  # bounded: else every word is a candidate of the shuffle join
-    split = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words(F.col("text")).alias("w"))
+    split = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), words(F.col("text")).alias("w"))
     places = F.sequence(F.lit(0), F.size("w") - 1)
     if len(few) <= LITERAL_TOKENS:
         places = F.filter(places, lambda i: F.get("w", i).isin(few)) if few else F.array().cast("array<int>")
@@ -97,4 +97,4 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs that hold no window of any item; rows with null or empty texts stay."""
     _, hits, _ = contained_windows(docs, items, size)
-    return without_keys(docs, F.xxhash64(docs.doc_id, docs.text), hits)
+    return without_keys(docs, row_key(docs.doc_id, docs.text), hits)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import UPPER, ascii_lower, materialize, words
+from corpuslake.llm.common import UPPER, ascii_lower, materialize, row_key, words
 
 THRESHOLD = 0.8
 
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     score is the largest containment of a template among those met, 1 where a base phrase occurs, else 0.
     """
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({w for v in template_words().values() for w in v})
     w = F.col("w")
     none = F.array().cast("array<int>")

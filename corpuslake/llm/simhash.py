@@ -8,7 +8,7 @@ together; so each fingerprint is copied to all those anchors, and each anchor co
 within t bits is missed, and no pair needs a common exact band.
 
 Null and empty texts have the fingerprint zero and link like any other; repeated rows and ties share one
-class; an empty table gives an empty result; other columns are ignored.
+class; texts of any length are taken whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import materialize, wide
+from corpuslake.llm.common import BROADCAST_KEYS, materialize, wide
 
 RADIUS, BITS, CHECKS = 3, 23, 11
 GOLAY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -234,16 +234,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def towards_min(pairs: DataFrame) -> DataFrame:
+    def towards_min(pairs: DataFrame, few: bool) -> DataFrame:
+        """A node of very many pairs must not end up in one task: its least neighbour is broadcast, or written so that Spark can split the join."""
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        least = F.broadcast(least) if few else materialize(least, "least")
         return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
     edges = materialize(links.select("a", "b"), "links")
     before = mark(edges)
     for _ in range(most_rounds if before[0] else 0):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = towards_min(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = towards_min(large)
+        few = before[0] <= BROADCAST_KEYS
+        large = towards_min(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = towards_min(large, few)
         small = small.select(F.col("v").alias("b"), F.col("m").alias("a")).union(small.select(F.col("u").alias("b"), F.col("m").alias("a")))
         edges = materialize(small.filter("a <> b").select("a", "b").distinct(), "links")
         now = mark(edges)
@@ -264,10 +267,12 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, threshold: int = 2) -
     """
     doc_fp = materialize(fingerprints(docs, size).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
     classes = doc_fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(classes, "classes")
     n = wide(docs.sparkSession)
     nodes = classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps")).repartition(n, "id")
     roots = components(anchor_links(to_anchors(nodes, threshold, 1), threshold))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    # both are written, so that a component or a fingerprint of very many rows makes a plain join, which Spark can split
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    by_fp = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "by_fp")
     return doc_fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")

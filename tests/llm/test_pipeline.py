@@ -62,10 +62,6 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_bits_of_a_similarity():
-    assert near_dedup.most_bits(1.0, 512) == 0 and 70 < near_dedup.most_bits(0.8, 512) < 85
-
-
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
