@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,17 @@ def row_key(doc_id: Column | str, text: Column | str) -> Column:
     return F.unhex(F.md5(said.cast("binary")))
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most so many rows and, but for a single longer text, so many bytes of its text column."""
+    ends = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(batch.column(text)).to_pylist()), np.int64, batch.num_rows))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = min(max(int(np.searchsorted(ends, before + size, side="right")) - at, 1), rows)
+        yield batch.slice(at, n)
+        at += n
+
+
 def wide(spark: SparkSession) -> int:
     """Partitions for steps whose work is large beside their bytes, so that they aren't coalesced to a few tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -1,100 +1,79 @@
-"""Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
+"""Toxicity by compression distance: windows are compressed with dictionaries of toxic and of ordinary text.
 
-Each dictionary holds the word beginnings that are over-represented in its class, by a two-sample test on how
-many texts have them; the ordinary one is filled to the same size with its commonest words. A window is a word
-with the spaces around it, before a marker that both dictionaries end with: zstandard begins no match in the last
-bytes of its input and stores what it can't shorten, and the marker takes both away. A window's distance is the
-ordinary length less the toxic one, in bytes, also by length. A text's score is calibrated from its largest
-distances and from the shares of its windows beyond several thresholds. Distinct windows are compressed once
-while a worker's table holds them.
+zstandard's own trainer makes the dictionaries, from all windows of the toxic and of the ordinary training texts. A window is a word
+with the spaces around it (of a very long word, each piece), before a marker: zstandard begins no match in the last
+bytes of its input and stores what it can't shorten, and the marker, which is in every training window and so in both
+dictionaries, takes both away. What a trainer picks beside a class's own words is chance, so there are PAIRS pairs of
+dictionaries, each trained without another part of the texts, and a window's distance is the mean over the pairs of
+the ordinary length less the toxic one.
 
-The trainer of zstandard picks what is frequent in a class, which is ordinary words in both; with its
-dictionaries the distances hardly part the classes (area under the curve 0.6 against 0.9), so the content is
-chosen as above and given to zstandard as raw dictionaries.
+Thresholds are calibrated on texts that no dictionary has seen: the distances beyond which given shares of the windows of
+ordinary texts lie. A text's score comes from its largest distances and from how many of its windows pass each
+threshold, by a logistic regression on the same texts. Distinct windows are compressed once while a worker's table
+holds them; the table starts anew when full, which changes no score.
 
 Null and empty texts have no windows and get the score of a text without any distance; repeated rows score
-alike; an empty table gives an empty result; without labelled rows every score is 0.5; labels with a null id or
-another value than 0 and 1 are skipped; other columns are ignored.
+alike; texts of any length are scored whole, in slices of rows bounded in bytes; an empty table gives an empty result;
+without labelled rows of both classes every score is 0.5 or that of the one class; labels with a null id or another
+value than 0 and 1 are skipped, and of conflicting labels the smaller counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import zdict
-from corpuslake.llm.common import fold
-
-MARKER = bytes(range(128, 192))
-SHORTEST, LONGEST = 4, 12
-SIGNIFICANCE = 7.0
-DICTIONARY_BYTES = 4_096
+from corpuslake.llm.common import fold, slices
+
+MARKER = bytes(range(128, 144))
+PAIRS = 4
+DICTIONARY_BYTES, SEGMENT, MATCH = 8_192, 16, 6
+LONGEST = 64
+#: Shares of ordinary windows below each threshold.
+QUANTILES = (0.99, 0.999, 0.9999)
+FEATURES = 3 + 2 * len(QUANTILES)
 TABLE_LIMIT = 800_000
 BLOCK = 4_096
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
-
-
-def beginnings(tokens: list[bytes]) -> set[bytes]:
-    out = set()
-    for w in set(tokens):
-        w = b" " + w + b" "
-        out.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
-    return out
-
-
-def over_represented(mine: list[list[bytes]], other: list[list[bytes]], size: int = DICTIONARY_BYTES) -> bytes:
-    """The most significant beginnings, the best last, up to size bytes; what lies in another is left out."""
-    here: Counter = Counter()
-    for t in mine:
-        here.update(beginnings(t))
-    here = Counter({k: v for k, v in here.items() if v >= 4})
-    there: Counter = Counter()
-    for t in other:
-        there.update(beginnings(t) & here.keys())
-    keys = sorted(here)
-    a, b = np.array([here[k] for k in keys], float), np.array([there[k] for k in keys], float)
-    n, m = max(len(mine), 1), max(len(other), 1)
-    p = (a + b) / (n + m)
-    z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-    out: list[bytes] = []
-    total = 0
-    for i in sorted(np.flatnonzero(z >= SIGNIFICANCE), key=lambda i: (-round(z[i], 6), -len(keys[i]), keys[i])):
-        if any(keys[i] in x for x in out):
-            continue
-        out = [x for x in out if x not in keys[i]]
-        out.append(keys[i])
-        total = sum(map(len, out))
-        if total > size:
-            break
-    return b"".join(reversed(out))
-
-
-def commonest(texts: list[list[bytes]], size: int) -> bytes:
-    counts = Counter(w for t in texts for w in t if len(w) <= LONGEST)
-    out = b""
-    for w, _ in sorted(counts.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
-        if len(out) >= size:
-            break
-        out = b" " + w + b" " + out
-    return out[-size:] if size else b""
+    """Lower-cased words between white space; words beyond LONGEST bytes in pieces."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if any(len(w) > LONGEST for w in words):
+        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
+def window(word: bytes) -> bytes:
+    return b" " + word + b" " + MARKER
+
+
+def dictionary(texts: list[list[bytes]]) -> bytes:
+    """What the trainer makes of the windows of these texts; where it has too little to go by, the marker alone."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [window(w) for t in texts for w in t], k=SEGMENT, d=MATCH, f=18, accel=1, level=3, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    fast = {"window_log": 14, "hash_log": 13, "chain_log": 13, "search_log": 5, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2}
+    return zdict.compressor(content, trained=True, **fast) if content else zdict.compressor(MARKER, **fast)
 
 
 class Distances:
-    """Distances of words, each compressed once while it stays in the table."""
+    """Distances of windows, each compressed once while it stays in the table."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        fast = {"window_log": 11, "hash_log": 10, "chain_log": 10, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": 3}
-        self.toxic = zdict.compressor(toxic + MARKER, **fast)
-        self.ordinary = zdict.compressor(ordinary + MARKER, **fast)
-        self.table: dict[bytes, int] = {}
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        self.toxic, self.ordinary = [compressor(x) for x in toxic], [compressor(x) for x in ordinary]
+        self.table: dict[bytes, float] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Compresses the windows of these texts that the table lacks."""
@@ -103,62 +82,76 @@ class Distances:
         fresh = list({w for t in texts for w in t} - self.table.keys())
         for at in range(0, len(fresh), BLOCK):
             part = fresh[at : at + BLOCK]
-            windows = [b" " + w + b" " + MARKER for w in part]
-            one, two = (c.multi_compress_to_buffer(windows) for c in (self.ordinary, self.toxic))
-            for i, w in enumerate(part):
-                self.table[w] = len(one[i]) - len(two[i])
-
-    def features(self, tokens: list[bytes]) -> list[float]:
+            windows = [window(w) for w in part]
+            total = np.zeros(len(part), np.int64)
+            for sign, made in ((1, self.ordinary), (-1, self.toxic)):
+                for c in made:
+                    sizes = c.multi_compress_to_buffer(windows)
+                    total += sign * np.fromiter((len(sizes[i]) for i in range(len(part))), np.int64, len(part))
+            self.table.update(zip(part, (total / max(len(self.toxic), 1)).tolist()))
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
         """Of a text whose windows the table has."""
-        if not tokens:
-            return [0.0] * 8
-        n = len(tokens)
-        d = np.fromiter(map(self.table.__getitem__, tokens), np.int64, n)
-        top = int(d.max())
-        if top < 2:
-            return [float(max(top, 0)), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -0.5 * float(np.log1p(n))]
-        rate = d / (np.fromiter(map(len, tokens), np.int64, n) + 2)
-        shares = [float((d >= t).sum() / n) ** 0.5 for t in (2, 3, 4, 6)]
-        whole = (rate >= 0.4) & (d >= 2)
-        return [float(min(top, 10)), float(rate.max()), *shares, float(whole.sum() / n) ** 0.5, float(np.log1p((d >= 3).sum()) - 0.5 * np.log1p(n))]
-
-    def all_features(self, texts: list[list[bytes]]) -> np.ndarray:
-        out = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            self.learn(part)
-            out += [self.features(t) for t in part]
-        return np.array(out, float).reshape(len(texts), 8)
+        return np.fromiter(map(self.table.__getitem__, tokens), float, len(tokens))
+
+
+class Thresholds:
+    def __init__(self, ordinary: np.ndarray):
+        """From the distances of windows of ordinary texts."""
+        self.middle = float(np.median(ordinary)) if len(ordinary) else 0.0
+        self.at = [float(x) for x in np.quantile(ordinary, QUANTILES)] if len(ordinary) else [0.0] * len(QUANTILES)
+
+    def features(self, d: np.ndarray) -> list[float]:
+        n = len(d)
+        if not n:
+            return [0.0] * FEATURES
+        top = np.sort(np.partition(d, n - min(n, 3))[-3:])[::-1]
+        top = np.minimum(top, self.at[-1] + 3) - self.middle
+        out = [float(top[min(i, n - 1)]) for i in range(3)]
+        for t in self.at:
+            beyond = int((d > t).sum())
+            out += [(beyond / n) ** 0.5, float(np.log1p(beyond) - 0.5 * np.log1p(n))]
+        return out
 
 
 class Model:
     def __init__(self, sample: list[tuple[int, bool, str]]):
         split = {(k, c): [words_of(t) for label, cal, t in sample if label == k and cal == c] for k in (0, 1) for c in (False, True)}
-        self.toxic = over_represented(split[1, False], split[0, False])
-        ordinary = over_represented(split[0, False], split[1, False])
-        self.ordinary = commonest(split[0, False], max(len(self.toxic) - len(ordinary), 0)) + ordinary
+
+        def trained(texts: list[list[bytes]]) -> list[bytes]:
+            part = [zlib.crc32(b" ".join(t)) % PAIRS for t in texts]
+            return [dictionary([t for t, p in zip(texts, part) if p != i]) for i in range(PAIRS)]
+
+        self.toxic, self.ordinary = trained(split[1, False]), trained(split[0, False])
         apart = Distances(self.toxic, self.ordinary)
-        x = apart.all_features(split[0, True] + split[1, True])
-        self.logistic = zdict.Logistic(x, np.repeat([0.0, 1.0], [len(split[0, True]), len(split[1, True])]))
+        apart.learn(split[0, True] + split[1, True])
+        found = {k: [apart.of(t) for t in split[k, True]] for k in (0, 1)}
+        self.thresholds = Thresholds(np.concatenate([np.empty(0), *found[0]]))
+        rows = [self.thresholds.features(d) for k in (0, 1) for d in found[k]]
+        self.logistic = zdict.Logistic(np.array(rows, float).reshape(len(rows), FEATURES), np.repeat([0.0, 1.0], [len(found[0]), len(found[1])]))
+
+
+_distances: dict[tuple, Distances] = {}
 
 
-_distances: dict[tuple[bytes, bytes], Distances] = {}
+def scores(texts: list[str | None], model: Model) -> np.ndarray:
+    key = (*model.toxic, *model.ordinary)
+    if key not in _distances:
+        _distances.clear()
+        _distances[key] = Distances(model.toxic, model.ordinary)
+    apart = _distances[key]
+    tokens = [words_of(t) for t in texts]
+    apart.learn(tokens)
+    return model.logistic(np.array([model.thresholds.features(apart.of(t)) for t in tokens], float).reshape(len(texts), FEATURES))
 
 
 def score(docs: DataFrame, model: Model, held_out_remainder: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every whole text."""
-    toxic, ordinary, logistic = model.toxic, model.ordinary, model.logistic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (toxic, ordinary)
-        if key not in _distances:
-            _distances.clear()
-            _distances[key] = Distances(toxic, ordinary)
-        apart = _distances[key]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                s = logistic(apart.all_features([words_of(t) for t in part.column(2).to_pylist()]))
+            for part in slices(b, 2):
+                s = scores(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", fold("doc_id", held_out_remainder, zdict.FOLDS).alias("held_out"), F.col("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
