@@ -2,22 +2,25 @@
 
 A block is a line of a text, or as many running words of it as the template has, whatever lines they stand in, so that
 wrapped notices are met. A template is a set of words; a block meets it if it holds at least the share `THRESHOLD` of
-that set (containment). Words are ordered by how often they occur over all documents, rarest
-first. A template of n words that needs c of them must share with the block one of its n - c + 1 rarest words
-(prefix filter), the block must have at least c distinct words (length filter), and when the first shared
-prefix word is the template's p-th, at most n - p + 1 words can be shared, which must still reach c
-(positional filter). These filters run on the words of the whole text, which hold those of any block; the blocks of
-what passes are verified by counting the shared words.
-
-Beside this, the phrases of BASE are found by their places. Null and empty texts have no words and no label;
-repeated rows get equal results each; an empty table gives an empty result; other columns are ignored.
+that set (containment), all of the words that set this license apart (`MUST`) and none that names another (`NEVER`).
+
+Words are in one global order: first those of no template, then the templates' by how often they occur over all
+documents, rarest first. A template of n words that needs c of them must share with a block one of its n - c + 1 rarest
+words (prefix filter); the block must have at least c distinct words (length filter); and all shared words stand in
+the order of either side at or behind the first shared prefix word, so of the template's and of the block's words c must
+be left from there (positional filter). The prefix and length filters run first on the words of whole texts, which hold those of any
+block, then on blocks; only blocks around a prefix word are formed. What passes is verified by counting the shared words.
+
+Beside this, the phrases of BASE are found by their places. Null and empty texts have no words and no label; texts of
+any length are scanned whole; of ties the best containment counts; repeated rows get equal results each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import UPPER, ascii_lower, materialize, row_key, words
@@ -43,6 +46,29 @@ TEMPLATES = {
 }
 
 
+#: Words that a block must hold, beside the threshold.
+MUST = {
+    "mit-notice": ["mit"],
+    "mit-grant": ["permission", "granted"],
+    "mit-warranty": ["software", "warranty"],
+    "apache-2.0-notice": ["apache", "2"],
+    "apache-2.0-terms": ["compliance", "license"],
+    "apache-2.0-copy": ["apache"],
+    "gpl-3.0-notice": ["general", "public", "3"],
+    "gpl-notice": ["general", "public"],
+    "bsd-notice": ["redistribution", "source", "binary"],
+    "cc-by-notice": ["creative", "commons", "attribution", "4"],
+    "mpl-2.0-notice": ["mozilla", "2"],
+}
+
+#: Words that a block must not hold.
+NEVER = {
+    "gpl-3.0-notice": ["lesser", "library", "affero"],
+    "gpl-notice": ["lesser", "library", "affero"],
+    "cc-by-notice": ["noncommercial", "noderivatives", "sharealike"],
+}
+
+
 def _split(template: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in template.translate(str.maketrans(UPPER, UPPER.lower()))).split()
 
@@ -65,34 +91,52 @@ def token_counts(split: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in hit.collect()}  # one row for each template word at most
 
 
-def block_matches(split: DataFrame, counts: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
-    """(row_key, label, containment) for every row and template that one of the row's blocks meets; containment is that of its best block.
+def template_index(spark: SparkSession, counts: dict[str, int], threshold: float) -> tuple[DataFrame, list[str], list[str]]:
+    """One row for each template and prefix word; the template vocabulary in the global order; the prefix words."""
+    ordered = sorted({w for v in template_words().values() for w in v}, key=lambda w: (counts.get(w, 0), w))
+    rows = []
+    for k, v in template_words().items():
+        tokens, c = sorted(v, key=ordered.index), needed(len(v), threshold)
+        prefix = tokens[: len(v) - c + 1]
+        rows += [(w, k, len(v), c, template_lengths()[k], prefix, tokens, MUST[k], NEVER.get(k, [])) for w in prefix]
+    schema = "token string, label string, n int, c int, span int, prefix array<string>, tokens array<string>, must array<string>, never array<string>"
+    return spark.createDataFrame(rows, schema), ordered, sorted({r[0] for r in rows})
+
+
+def candidate_blocks(split: DataFrame, index: DataFrame, probes: list[str]) -> DataFrame:
+    """A row with the distinct words b of each block of a text that holds a prefix word of a template, beside the template's columns.
 
     split has row_key, text and its words w.
     """
-    sets = {k: sorted(v, key=lambda w: (counts.get(w, 0), w)) for k, v in template_words().items()}
-    prefix = {k: v[: len(v) - needed(len(v), threshold) + 1] for k, v in sets.items()}
-    probes = sorted({w for v in prefix.values() for w in v})
-    spark = split.sparkSession
-    length = template_lengths()
-    index = [(w, at, len(sets[k]), needed(len(sets[k]), threshold), length[k], k, v, sets[k]) for k, v in prefix.items() for at, w in enumerate(v)]
-    schema = "token string, at int, n int, c int, span int, label string, prefix array<string>, tokens array<string>"
-    index_df = F.broadcast(spark.createDataFrame(index, schema))  # TEMPLATES bounds it
-
-    sized = split.select("row_key", "text", "w", F.array_distinct("w").alias("b"))
-    probed = sized.select("*", F.explode(F.filter("b", lambda x: x.isin(probes))).alias("token"))
-    joined = probed.join(index_df, "token").filter((F.size("b") >= F.col("c")) & (F.col("n") - F.col("at") >= F.col("c")))
-    once = joined.filter(F.get(F.array_intersect("prefix", "b"), F.lit(0)) == F.col("token"))  # one row for each template
-    whole = once.filter(F.size(F.array_intersect("b", "tokens")) >= F.col("c"))
-
-    def shared(block: Column) -> Column:
-        return F.size(F.array_intersect(block, F.col("tokens")))
-
-    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(F.col("tokens"), F.get("w", i)))
-    runs = F.array_max(F.transform(begins, lambda i: shared(F.slice("w", i + 1, F.col("span")))))
-    lines = F.array_max(F.transform(F.split("text", "\n", -1), lambda line: shared(words(line))))
-    met = whole.select("row_key", "label", "n", "c", F.greatest(runs, lines).alias("best")).filter(F.col("best") >= F.col("c"))
-    return met.select("row_key", "label", (F.col("best") / F.col("n")).alias("containment")).distinct()
+    sized = split.select("row_key", "text", "w", F.array_distinct("w").alias("d"))
+    probed = sized.select("*", F.explode(F.filter("d", lambda x: x.isin(probes))).alias("token"))
+    joined = probed.join(F.broadcast(index), "token").filter(F.size("d") >= F.col("c"))  # TEMPLATES bounds the index
+    once = joined.filter(F.get(F.filter("prefix", lambda x: F.array_contains("d", x)), F.lit(0)) == F.col("token"))  # one row for each template
+    every = F.sequence(F.lit(0), F.size("w") - 1)
+    probe_at = F.filter(every, lambda i: F.array_contains("prefix", F.get("w", i)))
+    around = F.array_distinct(F.flatten(F.transform(probe_at, lambda i: F.sequence(F.greatest(i - F.col("span") + 1, F.lit(0)), i))))
+    runs = F.transform(around, lambda i: F.array_distinct(F.slice("w", i + 1, F.col("span"))))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda line: F.array_distinct(words(line))), lambda b: F.arrays_overlap(b, F.col("prefix")))
+    return once.select("row_key", "label", "n", "c", "prefix", "tokens", "must", "never", F.explode(F.concat(runs, lines)).alias("b"))
+
+
+def filtered_blocks(blocks: DataFrame, ordered: list[str]) -> DataFrame:
+    """blocks with `left`: how many of the block's words stand, in the global order, at or behind the first shared prefix word; those that pass the length and positional filters."""
+    vocabulary = F.array(*map(F.lit, ordered))
+    first = F.get(F.filter("prefix", lambda x: F.array_contains("b", x)), F.lit(0))
+    ranked = blocks.filter(F.size("b") >= F.col("c")).withColumn("first", first).withColumn("mine", F.filter(vocabulary, lambda x: F.array_contains("b", x)))
+    left = F.size("mine") - F.array_position("mine", F.col("first")) + 1
+    return ranked.withColumn("left", left).filter((F.col("left") >= F.col("c")) & (F.col("n") - F.array_position("tokens", F.col("first")) + 1 >= F.col("c")))
+
+
+def block_matches(split: DataFrame, counts: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
+    """(row_key, label, containment) for every row and template that one of the row's blocks meets; containment is that of its best block."""
+    index, ordered, probes = template_index(split.sparkSession, counts, threshold)
+    passed = filtered_blocks(candidate_blocks(split, index, probes), ordered)
+    shared = F.size(F.array_intersect("b", "tokens"))
+    whole = (F.size(F.array_except("must", "b")) == 0) & ~F.arrays_overlap("never", "b")
+    met = passed.select("row_key", "label", "n", "c", shared.alias("shared"), whole.alias("whole")).filter("shared >= c AND whole")
+    return met.groupBy("row_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -148,4 +192,4 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-__all__ = ["BASE", "TEMPLATES", "THRESHOLD", "ascii_lower", "block_matches", "scan", "token_counts"]
+__all__ = ["BASE", "MUST", "NEVER", "TEMPLATES", "THRESHOLD", "ascii_lower", "block_matches", "scan", "token_counts"]

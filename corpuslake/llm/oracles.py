@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from corpuslake.llm.license_scan import BASE, THRESHOLD, needed, template_words
+from corpuslake.llm.license_scan import BASE, MUST, NEVER, THRESHOLD, needed, template_lengths, template_words
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,18 +36,21 @@ def _license() -> str:
         parts = phrase.split(" ")
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         cases.append(f"SELECT doc_id, i - 1 AS spot, '{label}' AS label FROM p WHERE {test}")
-    values = ", ".join(f"('{k}', {len(v)}, {needed(len(v), THRESHOLD)}, {v!r})" for k, v in template_words().items())
+    values = ", ".join(f"('{k}', {len(v)}, {needed(len(v), THRESHOLD)}, {template_lengths()[k]}, {v!r}, {MUST[k]!r}, CAST({NEVER.get(k, [])!r} AS VARCHAR[]))" for k, v in template_words().items())
     return f"""
 WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE list_contains(w, 'license')),
 base AS ({" UNION ALL ".join(cases)}),
 per AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
-t(label, n, c, tokens) AS (VALUES {values}),
+t(label, n, c, span, tokens, must, never) AS (VALUES {values}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-blocks AS (SELECT doc_id, list_distinct({_words('line')}) AS b FROM lines),
+texts AS (SELECT doc_id, label, w FROM d, t WHERE len(list_intersect(w, tokens)) >= c AND list_has_all(w, must)),
+spots AS (SELECT doc_id, label, w, unnest(generate_series(1, len(w))) AS i FROM texts),
+blocks AS (SELECT doc_id, label, list_distinct({_words('line')}) AS b FROM lines, t
+           UNION ALL SELECT doc_id, label, list_distinct(w[i:i + span - 1]) FROM spots JOIN t USING (label)),
 met AS (SELECT doc_id, label, CAST(len(list_intersect(b, tokens)) AS DOUBLE) / n AS containment
-        FROM blocks, t WHERE len(b) >= c AND len(list_intersect(b, tokens)) >= c),
+        FROM blocks JOIN t USING (label) WHERE len(list_intersect(b, tokens)) >= c AND list_has_all(b, must) AND NOT list_has_any(b, never)),
 best AS (SELECT doc_id, max(containment) AS best FROM met GROUP BY doc_id),
 every AS (SELECT DISTINCT doc_id, label FROM (SELECT doc_id, label FROM met UNION ALL SELECT doc_id, label FROM base)),
 named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id)
