@@ -1,12 +1,14 @@
 """TIFF: a codec for media columns, with one row per page.
 
 `pages` walks the chain of image directories of a file in either byte order, decodes strips and tiles that are
-stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing, and yields each page's samples.
-`build` writes such files; it is what the round trip and the tests use.
-
-A null file has no pages; a broken one gives one row with `error` set and no pixels, so that one bad file
-doesn't stop a job; null payloads are stored as empty ones. Ties, repeated rows and long payloads need no care;
-an empty table gives an empty result; only the named columns are carried.
+stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing (of whole numbers and of floats), and
+yields each page's samples: of 1, 2, 4, 8, 16 or 32 bits, or floats of 32, chunky or in planes. Samples of less than a
+byte come out a byte each. `build` writes such files of 8 or 16 bits; it is what the round trip and the tests use.
+
+A null file has no pages; a broken or unknown one, or a page of no pixels or of over MAX_PAGE bytes, gives one row with
+`error` set and no pixels behind the pages before it, so that one bad file doesn't stop a job; null payloads are stored
+as empty ones; payloads of any length are stored whole, in slices of rows bounded in bytes; repeated rows and ties give
+equal rows; an empty table gives an empty result; only the named columns are carried.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.common import slices
+
 #: Tags and compression schemes of TIFF 6.0.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE = 284, 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q"}
 
 CLEAR, END = 256, 257
 
+#: Decoded bytes of a page up to which it is read; a header may say anything.
+MAX_PAGE = 1 << 30
+
 
 # ---------------------------------------------------------------- schemes
 
@@ -239,25 +247,54 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _kind(tags: dict[int, tuple]) -> tuple[int, np.dtype]:
+    """Bits of a sample and the type it is read as."""
+    bits, form = set(tags.get(BITS, (1,))), set(tags.get(SAMPLE_FORMAT, (1,)))
+    found = {1: np.uint8, 2: np.uint8, 4: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.float32 if form == {3} else np.uint32}
+    if len(bits) != 1 or not bits <= found.keys() or (form == {3} and bits != {32}) or len(form) != 1:
+        raise ValueError("samples of these bits aren't read")
+    return bits.pop(), np.dtype(found[min(set(tags.get(BITS, (1,))))])
+
+
+def _block(raw: bytes, rows: int, width: int, samples: int, bits: int, kind: np.dtype, predictor: int, order: str) -> np.ndarray:
+    """The samples of a decoded strip or tile."""
+    if bits < 8:
+        row = -(-width * samples * bits // 8)
+        lines = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, row), axis=1)[:, : width * samples * bits]
+        return np.packbits(lines.reshape(-1, bits), axis=1).reshape(rows, width, samples) >> (8 - bits)
+    if predictor == 3:  # bytes differenced along the row, the most significant ones of all samples first
+        sums = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width * samples)
+        return np.ascontiguousarray(sums.transpose(0, 2, 1)).view(kind.newbyteorder(">")).astype(kind).reshape(rows, width, samples)
+    part = np.frombuffer(raw, kind.newbyteorder(order)).astype(kind).reshape(rows, width, samples)
+    return np.cumsum(part, axis=1, dtype=kind) if predictor == 2 else part
+
+
 def _samples(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
-    bits, scheme, predictor = set(tags.get(BITS, (1,))), tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    if bits not in ({8}, {16}) or tags.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
-        raise ValueError("only chunky samples of 8 or 16 bits, differenced horizontally or not, are read")
-    kind = np.dtype(np.uint8 if bits == {8} else np.uint16)
+    scheme, predictor, planes = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0], tags.get(PLANAR, (1,))[0]
+    bits, kind = _kind(tags)
+    if predictor not in (1, 2, 3) or (predictor == 3) != (kind == np.float32 and predictor != 1) or (predictor == 2 and bits < 8) or planes not in (1, 2) or tags.get(FILL_ORDER, (1,))[0] != 1:
+        raise ValueError("this predictor, planar configuration or fill order isn't read")
     tiled = TILE_AT in tags
     bw = tags[TILE_W][0] if tiled else width
     bh = tags[TILE_H][0] if tiled else min(tags.get(ROWS, (height,))[0], height)
-    across = -(-width // bw) if bw else 0
+    if min(width, height, samples, bw, bh) < 1:
+        raise ValueError("a page of no pixels")
+    if max(width, bw) * max(height, bh) * samples * kind.itemsize > MAX_PAGE:
+        raise ValueError("a page of too many pixels")
+    across, down = -(-width // bw), -(-height // bh)
+    each = samples if planes == 1 else 1
+    places = list(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_SIZE if tiled else STRIP_SIZE], strict=True))
+    if len(places) != across * down * (samples // each):
+        raise ValueError("strips or tiles are missing")
     page = np.zeros((height, width, samples), kind)
-    for i, (at, size) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_SIZE if tiled else STRIP_SIZE])):
+    for i, (at, size) in enumerate(places):
+        plane, i = divmod(i, across * down)
         y, x = (i // across) * bh, (i % across) * bw
         rows = bh if tiled else min(bh, height - y)
-        raw = _unpack(data[at : at + size], scheme, rows * bw * samples * kind.itemsize)
-        part = np.frombuffer(raw, kind.newbyteorder(order)).astype(kind).reshape(rows, bw, samples)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind)
-        page[y : y + rows, x : x + bw] = part[: height - y, : width - x]
+        raw = _unpack(data[at : at + size], scheme, rows * -(-bw * each * bits // 8))
+        part = _block(raw, rows, bw, each, bits, kind, predictor, order)
+        page[y : y + rows, x : x + bw, plane : plane + each] = part[: height - y, : width - x]
     return page
 
 
@@ -287,15 +324,14 @@ def read_pages(files: DataFrame, id_col: str, media_col: str = "media", extra: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in slices(b, len(carried), 128):
                 rows, source = [], []
                 for i, media in enumerate(part.column(len(carried)).to_pylist()):
                     try:
                         for no, a in enumerate(pages(media) if media is not None else ()):
                             rows.append((no, a.shape[1], a.shape[0], a.shape[2], a.tobytes(), None))
                             source.append(i)
-                    except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError) as e:
+                    except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
                         rows.append((None, None, None, None, None, str(e)[:200] or "broken"))
                         source.append(i)
                 if rows:
@@ -319,8 +355,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in slices(b, 1, 128):
                 texts = part.column(1).to_pylist()
                 media = [build([np.frombuffer(payload_of(t, width), np.uint8).reshape(-1, width)]) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])

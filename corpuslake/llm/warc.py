@@ -9,12 +9,15 @@ task, any file system) and read back with its binaryFile reader.
 
 The reader parses records by their Content-Length. Records without segments are decoded at once; continuation
 records are grouped by origin, ordered by segment number, checked against the total length and decoded.
-A group is one payload. Records that don't hold together (a missing or repeated segment, a wrong total, broken
-framing, another digest) come out with valid = false and no payload.
+A group is one payload. Archives whose bytes are gzip members are unpacked first. What doesn't hold together (a missing
+or repeated segment, a wrong total, broken framing, another digest, a record without a length or cut off, bytes that
+belong to no record, a broken gzip member) comes out as a row with valid = false and no payload, and reading goes on at
+the next record, so that one bad archive stops no job.
 
 Null and empty html are payloads of no bytes; a null url has no target; a null page_id is the response only if
 no equal payload has an id; rows that repeat a page_id with an equal payload are all responses if that id is
-the largest; empty tables give an empty archive and result; other columns are ignored.
+the largest; payloads of any length are cut into segments; empty tables give an empty archive and result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,8 +153,37 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record of an archive."""
+def whole_number(value: str | bytes | None) -> int | None:
+    """The number that a field says, or None."""
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def unpacked(data: bytes) -> tuple[bytes, bool]:
+    """The bytes of an archive, out of its gzip members if it has them, and whether all could be unpacked."""
+    if data[:2] != b"\x1f\x8b":
+        return data, True
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof and at < len(data):
+            piece = data[at : at + 65_536]
+            try:
+                out.append(member.decompress(piece))
+            except zlib.error:
+                return b"".join(out), False
+            at += len(piece) - len(member.unused_data)
+        if not member.eof:
+            return b"".join(out), False
+        while data[at : at + 1] == b"\0":
+            at += 1
+    return b"".join(out), True
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(fields with lower-case names, block) of each record of an archive; block None for what is no whole record."""
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
@@ -158,17 +191,21 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if at >= len(data):
             return
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-        start = end + 4
-        at = start + int(fields["content-length"])
-        if at > len(data):
-            raise ValueError("an archive ends within a record")
-        yield fields, data[start:at]
+        fields: dict[str, str] = {}
+        if data[at : at + 5] == b"WARC/":
+            for line in data[at : end if end >= 0 else len(data)].split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
+        size = whole_number(fields.get("content-length"))
+        if end >= 0 and size is not None and 0 <= size <= len(data) - end - 4:
+            at = end + 4 + size
+            yield fields, data[at - size : at]
+            continue
+        yield fields, None
+        following = data.find(b"\r\nWARC/", at + 1)
+        if following < 0:
+            return
+        at = following
 
 
 RESULT = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, valid boolean, payload binary"
@@ -178,20 +215,19 @@ TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string
 
 def decoded(fields: dict[str, str], block: bytes | None, keep: bool) -> list:
     """A result row from a whole record; block None: the segments don't hold together."""
-    number = lambda k: int(fields[k]) if fields.get(k, "") != "" else None
     told = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    kind, url = fields.get("warc-type"), fields.get("warc-target-uri")
+    kind, url, page = fields.get("warc-type"), fields.get("warc-target-uri"), whole_number(fields.get("warc-page-id"))
     if kind == "revisit" and block is not None:
         heads = dict(x.split(b": ", 1) for x in block.split(b"\r\n") if b": " in x)
-        return [number("warc-page-id"), url, kind, number("warc-refers-to-page-id"), int(heads.get(b"Content-Length", b"0")), told, True, None]
+        return [page, url, kind, whole_number(fields.get("warc-refers-to-page-id")), whole_number(heads.get(b"Content-Length", b"0")), told, True, None]
     payload = None if block is None else http_payload(block)
     if payload is None or (told and sha1_base32(payload) != told):
-        return [number("warc-page-id"), url, kind, None, None, told, False, None]
-    return [number("warc-page-id"), url, kind, None, len(payload), sha1_base32(payload), True, payload if keep else None]
+        return [page, url, kind, None, None, told, False, None]
+    return [page, url, kind, None, len(payload), sha1_base32(payload), True, payload if keep else None]
 
 
-def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """One row per response or revisit record under path: page_id, url, record_type, refers_to, payload_bytes, payload_digest, valid, payload."""
+def read_archives(spark: SparkSession, path: str, keep_payload: bool = False, pattern: str = "part-*") -> DataFrame:
+    """One row per response or revisit record, and per broken piece, of the files under path that match the pattern: page_id, url, record_type, refers_to, payload_bytes, payload_digest, valid, payload."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([*zip(NAMES, TYPES), ("origin", pa.string()), ("no", pa.int32()), ("total", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -201,12 +237,15 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
 
         for b in batches:
             for content in b.column(0):
-                rows, held = [], 0
-                for fields, block in parse_records(content.as_py()):
-                    if "warc-segment-number" in fields:
-                        total = fields.get("warc-segment-total-length")
+                data, sound = unpacked(content.as_py())
+                rows, held = [] if sound else [[*decoded({}, None, False), None, None, None, None, None]], 0
+                for fields, block in parse_records(data):
+                    number = whole_number(fields.get("warc-segment-number"))
+                    if block is None or ("warc-segment-number" in fields and number is None):
+                        rows.append([*decoded(fields, None, False), None, None, None, None, None])
+                    elif number is not None:
                         origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
-                        rows.append([None] * len(NAMES) + [origin, int(fields["warc-segment-number"]), int(total) if total else None, list(fields.items()), block])
+                        rows.append([None] * len(NAMES) + [origin, number, whole_number(fields.get("warc-segment-total-length")), list(fields.items()), block])
                         held += len(block)
                     elif fields.get("warc-type") in ("response", "revisit"):
                         rows.append([*decoded(fields, block, keep_payload), None, None, None, None, None])
@@ -230,7 +269,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter("length > 0").select("content")
     parsed = materialize(files.mapInArrow(parse, RESULT + ", origin string, no int, total bigint, fields map<string,string>, block binary"), "records")
     whole = parsed.filter("no IS NULL").select(*NAMES)
     parts = parsed.filter("no IS NOT NULL").select("origin", F.struct("no", "total", "fields", "block").alias("part"))

@@ -1,5 +1,7 @@
 import hashlib
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,3 +64,110 @@ def test_texts_come_back(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
     assert got[6][2:] == got[7][2:]
     assert tiff.digests(tiff.store_texts(df.limit(0))).count() == 0
+
+
+def header(tags, blocks=(), order="<"):
+    """A one-page file from raw tags {tag: (type, values)}; the places of blocks go into STRIP_AT."""
+    out, at = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0)), []
+    for b in blocks:
+        at.append(len(out))
+        out += b
+    if blocks:
+        tags = tags | {tiff.STRIP_AT: (4, at), tiff.STRIP_SIZE: (4, [len(b) for b in blocks])}
+    entries = bytearray()
+    for tag, (kind, values) in sorted(tags.items()):
+        raw = struct.pack(f"{order}{len(values)}{tiff.TYPE_CODE[kind]}", *values)
+        if len(raw) > 4:
+            place = len(out)
+            out += raw
+            raw = struct.pack(order + "I", place)
+        entries += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    struct.pack_into(order + "I", out, 4, len(out))
+    return bytes(out + struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0))
+
+
+def base(width, height, bits=8, **more):
+    names = {"samples": (tiff.SAMPLES, 3), "planar": (tiff.PLANAR, 3), "predictor": (tiff.PREDICTOR, 3), "rows": (tiff.ROWS, 4), "form": (tiff.SAMPLE_FORMAT, 3), "fill": (tiff.FILL_ORDER, 3)}
+    return {tiff.WIDTH: (4, [width]), tiff.HEIGHT: (4, [height]), tiff.BITS: (3, [bits]), **{names[k][0]: (names[k][1], [v]) for k, v in more.items()}}
+
+
+def test_small_samples_planes_and_floats():
+    rng = np.random.default_rng(4)
+    for bits in (1, 2, 4):
+        a = rng.integers(0, 1 << bits, (5, 11)).astype(np.uint8)
+        lines = np.unpackbits(a[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1)
+        (got,) = tiff.pages(header(base(11, 5, bits), [np.packbits(lines, axis=1).tobytes()]))
+        assert (got[:, :, 0] == a).all()
+    planes = rng.integers(0, 255, (3, 6, 7)).astype(np.uint8)
+    strips = [p[y : y + 4].tobytes() for p in planes for y in (0, 4)]
+    (got,) = tiff.pages(header(base(7, 6, 8, samples=3, planar=2, rows=4), strips))
+    assert (got == planes.transpose(1, 2, 0)).all()
+    for order in "<>":
+        wide = rng.integers(0, 2**32, (4, 9), np.uint64).astype(np.uint32)
+        diff = np.concatenate((wide[:, :1], np.diff(wide, axis=1).astype(np.uint32)), axis=1)
+        (got,) = tiff.pages(header(base(9, 4, 32, predictor=2), [diff.astype(np.dtype(np.uint32).newbyteorder(order)).tobytes()], order))
+        assert (got[:, :, 0] == wide).all()
+    for samples in (1, 2):
+        f = rng.normal(size=(4, 9, samples)).astype(np.float32)
+        rows = f.astype(">f4").reshape(4, -1).view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1).reshape(4, -1, samples)
+        rows = np.concatenate((rows[:, :1], np.diff(rows.astype(np.int16), axis=1).astype(np.uint8)), axis=1)
+        (got,) = tiff.pages(header(base(9, 4, 32, predictor=3, form=3, samples=samples), [rows.tobytes()]))
+        assert (got == f).all()
+
+
+def test_any_broken_file_makes_an_error_row(spark):
+    ok = tiff.build([np.arange(64, dtype=np.uint8).reshape(8, 8)], rows=4)
+    files = [
+        header(base(0, 4), [b"x"]),
+        header(base(4, 0), [b"x"]),
+        header(base(4, 4, samples=0), [b"x"]),
+        header(base(2**32 - 1, 2**32 - 1), [b"x"]),
+        header(base(4, 4, rows=0), [b"x" * 16]),
+        header(base(4, 4, rows=2), [b"x" * 8]),
+        header(base(4, 4), [b"x" * 8, b"x" * 8, b"x" * 8]),
+        header(base(4, 4, bits=12), [b"x" * 24]),
+        header(base(4, 4, fill=2), [b"x" * 16]),
+        header(base(4, 4, predictor=9), [b"x" * 16]),
+        header(base(4, 4, predictor=3), [b"x" * 16]),
+        header(base(4, 4, bits=1, predictor=2), [b"x" * 16]),
+        header(base(4, 4) | {tiff.TILE_AT: (4, [8]), tiff.TILE_SIZE: (4, [9]), tiff.TILE_W: (4, [0]), tiff.TILE_H: (4, [16])}),
+        header(base(4, 4)),
+        ok[: len(ok) // 2],
+        ok[:9],
+        ok[:4] + b"\xff\xff\xff\x7f" + ok[8:],
+        b"II*\0",
+    ]
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        bad = bytearray(ok)
+        for k in rng.integers(4, len(ok), 3):
+            bad[k] = rng.integers(0, 256)
+        files.append(bytes(bad))
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id int, media binary")
+    rows = tiff.read_pages(df, "doc_id").collect()
+    told = {r.doc_id for r in rows if r.error}
+    assert set(range(18)) <= told and {r.doc_id for r in rows} == set(range(len(files)))
+
+
+@given(st.binary(max_size=300), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_random_bytes_raise_known_errors_only(data, big):
+    try:
+        for _ in tiff.pages((b"MM\0*" if big else b"II*\0") + data):
+            pass
+    except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError, MemoryError):
+        pass
+
+
+def test_feature_and_stored_form_against_plain_counting(spark):
+    texts = ["", "abc", "aaaa" * 100, "é日" * 300]
+    got = {r.doc_id: r for r in tiff.digests(tiff.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        pad = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        media = tiff.build([np.frombuffer(pad, np.uint8).reshape(-1, 64)])
+        mean = sum(pad) / len(pad)
+        sd = max(sum(x * x for x in pad) / len(pad) - mean * mean, 0) ** 0.5
+        top = [f"{k:02x}" for k, _ in sorted(Counter({k: pad.count(k) for k in range(256)}).items(), key=lambda x: (-x[1], x[0]))[:5]]
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert got[i].feature == f"64x{len(pad) // 64}:{mean:.2f}:{sd:.2f}:" + ".".join(top)

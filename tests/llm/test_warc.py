@@ -1,5 +1,6 @@
 import base64
 import glob
+import gzip
 import hashlib
 import os
 
@@ -95,3 +96,41 @@ def test_pieces_keep_characters_whole():
         for a, b in zip([0, *ends], ends):
             assert 0 < b - a <= size
             data[a:b].decode()
+
+
+def simple(page, body, **fields):
+    head = {"WARC-Type": "response", "WARC-Record-ID": f"<r{page}>", "WARC-Page-ID": page, **fields}
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_broken_archives_make_rows_and_stop_no_job(spark, tmp_path):
+    good = simple(1, b"one"), simple(2, b"two")
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 7\r\n\r\nabc\r\n\r\n"
+    cases = {
+        "a": (b"".join(good), [(1, True), (2, True)]),
+        "b": (good[0] + good[1][:-12], [(1, True), (2, False)]),
+        "c": (no_length + good[1], [(7, False), (2, True)]),
+        "d": (b"bytes before\r\n" + good[0], [(None, False), (1, True)]),
+        "e": (gzip.compress(good[0]) + gzip.compress(good[1]), [(1, True), (2, True)]),
+        "f": (gzip.compress(good[0]) + gzip.compress(good[1])[:-9], [(None, False), (1, True), (2, True)]),
+        "g": (gzip.compress(good[0])[:30], [(None, False), (None, False)]),  # the member and what it begins
+        "h": (good[0].replace(b"Length: 22", b"Length: x"), [(1, False)]),
+        "i": (simple("no number", b"x") + simple(3, b"y", **{"WARC-Segment-Number": "one"}), [(None, True), (3, False)]),
+        "j": (simple(4, b"z", **{"WARC-Payload-Digest": "sha1:WRONG"}) + b"\x1f\x8b", [(4, False), (None, False)]),
+        "k": (b"no archive at all", [(None, False)]),
+        "l": (simple(5, b"r", **{"WARC-Type": "revisit", "WARC-Refers-To-Page-ID": "?"}), [(5, True)]),
+        "m": (simple(6, b"s", **{"WARC-Segment-Number": 1}), [(6, False)]),
+    }
+    for name, (data, want) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        got = warc.read_archives(spark, f"file://{tmp_path}/{name}", pattern="*.warc").collect()
+        assert sorted(((r.page_id, r.valid) for r in got), key=str) == sorted(want, key=str), name
+
+
+def test_many_gzip_members():
+    data = b"".join(gzip.compress(simple(i, b"x" * i)) for i in range(300))
+    whole, sound = warc.unpacked(data)
+    assert sound and len(list(warc.parse_records(whole))) == 300
