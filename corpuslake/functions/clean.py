@@ -42,11 +42,20 @@ def sub(pattern: str, to: str) -> Rule:
     return lambda c: F.regexp_replace(c, pattern, to)
 
 
+def bound(c: Column, f: Rule) -> Column:
+    """f(c) with c computed once, however often f names it: a lambda's variable holds its value."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def quotes(c: Column) -> Column:
     """The first straight quote opens, every later one closes."""
-    at = F.instr(c, '"')
-    rest = F.replace(F.substring(c, at + 1, F.length(c)), F.lit('"'), F.lit("”"))
-    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit("“"), rest)).otherwise(c)
+
+    def turned(x: Column) -> Column:
+        at = F.instr(x, '"')
+        rest = F.replace(F.substring(x, at + 1, F.length(x)), F.lit('"'), F.lit("”"))
+        return F.when(at > 0, F.concat(F.substring(x, F.lit(1), at - 1), F.lit("“"), rest)).otherwise(x)
+
+    return bound(c, turned)
 
 
 def ocr_words(c: Column) -> Column:
@@ -84,17 +93,26 @@ class TextCleaner:
 
     def __call__(self, c: Column) -> Column:
         """The cleaned text; '' for null and blank texts."""
-        cleaned = strip(reduce(lambda x, named: named[1](x), self.rules, c))
+        cleaned = bound(reduce(lambda x, named: named[1](x), self.rules, c), strip)
         return F.when(c.isNull() | (strip(c) == ""), F.lit("")).otherwise(cleaned)
 
     def deltas(self, c: Column) -> list[Column]:
-        """For each rule, by how many characters it shortens the text as it finds it."""
-        out = []
-        for name, rule in self.rules:
-            after = rule(c)
-            out.append((F.length(c) - F.length(after)).alias(name))
-            c = after
-        return out
+        """For each rule, by how many characters it shortens the text as it finds it.
+
+        One pass: the text is folded through the rules, each computed once, and the lengths are noted on the way.
+        """
+        state = F.struct(c.alias("text"), F.array(F.length(c)).alias("lengths"))
+
+        def applied(rule: Rule) -> Rule:
+            return lambda s: F.struct(rule(s["text"]).alias("text"), s["lengths"].alias("lengths"))
+
+        def noted(s: Column) -> Column:
+            return F.struct(s["text"].alias("text"), F.concat(s["lengths"], F.array(F.length(s["text"]))).alias("lengths"))
+
+        for _, rule in self.rules:
+            state = bound(bound(state, applied(rule)), noted)
+        lengths = state["lengths"]
+        return [(F.get(lengths, F.lit(i)) - F.get(lengths, F.lit(i + 1))).alias(name) for i, (name, _) in enumerate(self.rules)]
 
 
 def clean(c: Column, ocr: bool = True) -> Column:

@@ -28,16 +28,20 @@ def chunk_pages(chunks: DataFrame, texts: DataFrame, offsets: DataFrame) -> Data
     the first page whose span, with the glue behind it, holds the place, and ends on the last page that begins
     before its end; 1 where there is none.
     """
+    spans = offsets.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "page", "end"))).alias("spans"))  # the pages of one document
+    whole = texts.select("doc", "text").join(spans, "doc", "left")  # one row for each document, looked into by its chunks
     at = F.instr(F.col("text"), F.col("document"))
     near = F.instr(F.col("text"), F.substring("document", 1, 50))
     pos = F.when(at > 0, at - 1).otherwise(F.greatest(near - 1, F.lit(0)))
-    placed = chunks.join(texts.select("doc", "text"), "doc").select("doc", "chunk_index", "document", pos.alias("pos"), (pos + F.length("document")).alias("stop"))
-    spans = offsets.select("doc", "page", "start", "end")
-    joined = placed.join(spans, "doc", "left")  # an equi-join: the pages of one document
-    first = F.min(F.when((F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end") + GLUE), F.struct("start", "page")))
-    last = F.max(F.when(F.col("start") < F.col("stop"), F.struct("start", "page")))
-    out = joined.groupBy("doc", "chunk_index", "document").agg(first.alias("f"), last.alias("l"))
-    return out.select("doc", "chunk_index", "document", F.coalesce("f.page", F.lit(1)).alias("page_start"), F.coalesce("l.page", F.lit(1)).alias("page_end"))
+    placed = chunks.join(whole, "doc").select("doc", "chunk_index", "document", "spans", pos.alias("pos"))
+
+    def page(place: Column, last: bool) -> Column:
+        """The page of the first span that holds a place, or of the last one that begins before it."""
+        held = F.filter("spans", lambda s: (s["start"] < place) if last else (s["start"] <= place) & (place < s["end"] + GLUE))
+        return F.coalesce(F.try_element_at(held, F.lit(-1 if last else 1))["page"], F.lit(1))
+
+    stop = F.col("pos") + F.length("document")
+    return placed.select("doc", "chunk_index", "document", page(F.col("pos"), False).alias("page_start"), page(stop, True).alias("page_end"))
 
 
 def page_text(lines: DataFrame) -> DataFrame:

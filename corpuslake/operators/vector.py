@@ -18,10 +18,11 @@ def nearest(store: DataFrame, queries: DataFrame, top_k: int = 5, where: Column
 
     Queries are a stated set, taken against all rows in blocks: each block of queries is sent to the executors,
     which multiply it with their rows by matrix products and keep top_k candidates for each query and batch,
-    so that only those are shuffled. Vectors are normalised in double precision.
+    so that only those are shuffled. Vectors are normalised in double precision. A null vector, one with a null
+    element, or one of another length than the query's is never a hit; a query with such a vector has none.
     """
     rows = store.filter(where) if where is not None else store
-    asked = queries.select("query_id", unit(doubles(F.col("vector"))).alias("vector"))
+    asked = queries.filter(whole(F.col("vector"))).select("query_id", unit(doubles(F.col("vector"))).alias("vector"))
     found = None
     for ids, matrix in _query_blocks(asked):
         part = _block_top(rows, ids, matrix, top_k, threshold)
@@ -32,17 +33,23 @@ def nearest(store: DataFrame, queries: DataFrame, top_k: int = 5, where: Column
     return ranked(found, top_k, F.col("score").desc(), F.col("doc"))
 
 
+def whole(vector: Column) -> Column:
+    """Whether a vector has elements and none of them is null."""
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), F.lit(False))
+
+
 def _query_blocks(queries: DataFrame, size: int = 2_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and their matrix, a bounded block at a time."""
-    ids, vectors = [], []
+    """Query ids and their matrix, a bounded block of vectors of one length at a time."""
+    held: dict[int, list] = {}
     for r in queries.toLocalIterator():
-        ids.append(r.query_id)
-        vectors.append(r.vector)
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors)
+        block = held.setdefault(len(r.vector), [])
+        block.append((r.query_id, r.vector))
+        if len(block) == size:
+            yield np.array([i for i, _ in block], np.int64), np.array([v for _, v in block])
+            block.clear()
+    for block in held.values():
+        if block:
+            yield np.array([i for i, _ in block], np.int64), np.array([v for _, v in block])
 
 
 def _block_top(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, top_k: int, threshold: float | None) -> DataFrame:
@@ -65,7 +72,8 @@ def _block_top(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, top_k: int,
             i, j = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(wanted[j]), pa.array(docs[i]), pa.array(score[i, j])], ["query_id", "doc", "score"])
 
-    return rows.select(F.col("doc").cast("long"), doubles(F.col("embedding"))).mapInArrow(run, "query_id bigint, doc bigint, score double")
+    fitting = rows.filter(whole(F.col("embedding")) & (F.size("embedding") == matrix.shape[1]))
+    return fitting.select(F.col("doc").cast("long"), doubles(F.col("embedding"))).mapInArrow(run, "query_id bigint, doc bigint, score double")
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:

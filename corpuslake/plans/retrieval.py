@@ -70,7 +70,7 @@ def _store(spark, sf_dir) -> DataFrame:
 
 
 def _keyword(spark, sf_dir, top_k: int) -> DataFrame:
-    return bm25.search(bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", "text"), _items(spark, sf_dir), top_k)
+    return bm25.search(bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", written=True), _items(spark, sf_dir), top_k)
 
 
 @query(f"WITH {_bm25(ALL_DOCS, 20)} SELECT query_id, doc, score, rank FROM kw")
@@ -131,7 +131,7 @@ fused AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id
 
 def _fused(spark, sf_dir, method: str) -> DataFrame:
     store = _store(spark, sf_dir)
-    return hybrid.candidates(bm25.build_index(store), store, _asked(spark, sf_dir), POOL, method)
+    return hybrid.candidates(bm25.build_index(store, written=True), store, _asked(spark, sf_dir), POOL, method)
 
 
 @query(f"WITH {_RRF} SELECT query_id, doc, score, rank FROM fused")
@@ -170,7 +170,7 @@ def hits_to_ordinals(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, **options) -> DataFrame:
     store = _store(spark, sf_dir)
-    found = hybrid.search(bm25.build_index(store), store, _asked(spark, sf_dir), **{"dedup": False, **options})
+    found = hybrid.search(bm25.build_index(store, written=True), store, _asked(spark, sf_dir), **{"dedup": False, **options})
     return found.select("query_id", "doc", "source", "score", "rank")
 
 

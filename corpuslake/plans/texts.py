@@ -10,6 +10,7 @@ from corpuslake.functions import markdown
 from corpuslake.functions.fingerprint import fnv1a, simhash
 from corpuslake.functions.tokens import tokens
 from corpuslake.operators import bm25, chunk, dedup, pages
+from corpuslake.operators.common import spread
 from corpuslake.plans.literals import frame, values
 from corpuslake.sources import files
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for heavy expressions: a table of one row group is dealt to all cores first."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 # ---------------------------------------------------------------- cleaning
 
 SQL_RULES = {
@@ -76,14 +82,24 @@ _rule_query("clean_urls", "urls", "pages", "page_id", "url")
 
 @query(f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents")
 def clean_full(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", c.clean(F.col("text")).alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", c.clean(F.col("text")).alias("cleaned"))
+
+
+def _sql_deltas() -> str:
+    """Each rule's step as a CTE, so that its SQL is said once."""
+    names = [n for n, _ in c.TextCleaner().rules]
+    steps = ["s0 AS (SELECT doc_id, text FROM documents)"]
+    for i, name in enumerate(names):
+        done = _sql_words("text") if name == "ocr_words" else SQL_RULES[name].format("text")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT doc_id, {done} AS text FROM s{i})")
+    columns = ", ".join(f"length(s{i}.text) - length(s{i + 1}.text) AS {n}" for i, n in enumerate(names))
+    joins = " ".join(f"JOIN s{i + 1} USING (doc_id)" for i in range(len(names)))
+    return f"WITH {', '.join(steps)} SELECT doc_id, {columns} FROM s0 {joins}"
 
 
-@query(f"SELECT doc_id, length(text) - length({SQL_RULES['control_chars'].format('text')}) AS control_chars, length(text) - length({SQL_RULES['emails'].format('text')}) AS emails FROM documents")
+@query(_sql_deltas())
 def clean_deltas(spark, sf_dir):
-    deltas = c.TextCleaner().deltas(F.col("text"))
-    one = table(spark, sf_dir, "documents").select("doc_id", *deltas)
-    return one.select("doc_id", "control_chars", "emails")
+    return documents(spark, sf_dir).select("doc_id", *c.TextCleaner().deltas(F.col("text")))
 
 
 OCR_TEXTS = [(1, "己经末来大阳"), (2, "干万 白勺因力下牛下年"), (3, "木文昨大．"), (4, "3la 4lb 5l6"), (5, "甲一一一乙一丙"), (6, "plain"), (7, "巳经太阴未末")]
@@ -153,7 +169,7 @@ POSTINGS = f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_
 
 @query(f"SELECT doc_id, len({_TOK}) AS n_tokens, len(list_distinct({_TOK})) AS n_distinct FROM documents")
 def token_counts(spark, sf_dir):
-    split = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    split = documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("t"))
     return split.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -209,7 +225,7 @@ def fnv_tokens(spark, sf_dir):
 
 
 def _marks(spark, sf_dir) -> DataFrame:
-    return simhash(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return simhash(documents(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"WITH {SIMHASH} SELECT doc_id, {_SIGNED.format('u')} AS simhash FROM sh")
@@ -240,7 +256,7 @@ r(i, kept, doc_id, keep) AS (
 
 
 def _kept(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return docs, dedup.filter_chunks(docs.join(_marks(spark, sf_dir), "doc_id"), key="doc_id", text="text")
 
 
@@ -271,12 +287,12 @@ def already_indexed_anti(spark, sf_dir):
 
 @query()
 def chunks_by_size(spark, sf_dir):
-    return chunk.chunk_by_size(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "document")
+    return chunk.chunk_by_size(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk_index", "document")
 
 
 @query()
 def chunks_metadata(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "source")
+    docs = documents(spark, sf_dir)
     return chunk.with_chunk_ids(chunk.chunk_by_size(docs)).drop("document")
 
 
@@ -318,7 +334,7 @@ FROM c JOIN o ON o.doc = c.doc GROUP BY c.doc, chunk_index
 def chunk_pages(spark, sf_dir):
     p = _pages(spark, sf_dir)
     chunks = p.select("doc", F.col("page").alias("chunk_index"), F.col("text").alias("document"))
-    return pages.chunk_pages(chunks, pages.whole_text(p), pages.page_offsets(p)).drop("document")
+    return pages.chunk_pages(spread(chunks), pages.whole_text(p), pages.page_offsets(p)).drop("document")
 
 
 LINES = [(d, p, y, 100.0, t) for d in ("a", "b") for p in ((1, 2, 3) if d == "a" else (1, 2)) for y, t in ((5.0, " Title "), (50.0, "body"), (95.0, "Page"), (20.0, "not a header"))]
