@@ -5,7 +5,8 @@ token: its rarest word, by counts over all documents. Windows with a word that n
 Documents give only the places of prefix tokens, each with the words around it; the join on the token fixes
 where the window would begin (positional bound) and that it fits (length bound), and array equality verifies it.
 
-Null and empty texts have no words and no hits; repeated rows get equal results each; items without words have
+Null and empty texts have no words and no hits; texts of any length are taken whole; of equally rare words of a window
+the first by name is its prefix; repeated rows get equal results each; items without words have
 no window; an item with a null id makes hits but isn't counted or listed; empty tables give an empty or clean result; other columns are ignored.
 """
 

@@ -7,8 +7,9 @@ text, and its windows' probabilities are averaged. For scoring, embedding and fi
 over byte pairs, so that a filter's response is the sum of two looked-up rows.
 
 Null texts and texts without a letter are `und` with score 0; so is every text where nothing could be learned.
-Rows with a null language are scored and never learned from; repeated rows score alike; an empty table gives an
-empty result; other columns are ignored.
+Rows with a null language are scored and never learned from; repeated rows score alike; of ties between languages the
+first by name counts; texts of any length are scored whole, in pieces; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import fold
+from corpuslake.llm.common import fold, slices
 
 WINDOW = 128
 PAD = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
 SPAN = max(WIDTHS)
+#: Bytes that are scored at once; a multiple of WINDOW.
+PIECE = 4_096 * WINDOW
 UNKNOWN = "und"
 
 #: Bound of the sample: expected texts of each language, and windows of each text (placed evenly over all of it).
@@ -52,6 +55,14 @@ def text_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def split_text(data: bytes) -> list[bytes]:
+    """Pieces whose windows are those of the whole text: the last window ends with the text."""
+    out = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+    if len(out[-1]) < WINDOW:
+        out[-1] = data[-WINDOW:]
+    return out
+
+
 # ---------------------------------------------------------------- the network
 
 
@@ -137,10 +148,21 @@ class Scorer:
         return np.concatenate(out) if out else np.empty((0, len(self.net.classes)), np.float32)
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities of each text's windows."""
-        x, counts = text_windows(texts)
-        p = self.probabilities(x)
-        return np.add.reduceat(p, np.cumsum(counts) - counts) / counts[:, None] if len(texts) else p
+        """Mean probabilities of each text's windows; a long text goes through in pieces with the same windows."""
+        pieces = [(i, t) for i, text in enumerate(texts) for t in ([text] if len(text) <= PIECE else split_text(text))]
+        total, windows = np.zeros((len(texts), len(self.net.classes))), np.zeros(len(texts))
+        at = 0
+        while at < len(pieces):
+            n = 1
+            while at + n < len(pieces) and sum(len(t) for _, t in pieces[at : at + n]) < PIECE and n < 64:
+                n += 1
+            x, counts = text_windows([t for _, t in pieces[at : at + n]])
+            sums = np.add.reduceat(self.probabilities(x), np.cumsum(counts) - counts)
+            owner = [i for i, _ in pieces[at : at + n]]
+            np.add.at(total, owner, sums)
+            np.add.at(windows, owner, counts)
+            at += n
+        return total / np.maximum(windows, 1)[:, None]
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -191,8 +213,7 @@ def identify(docs: DataFrame, net: Network | None, held_out_remainder: int = 2,
                 _scorers[key] = Scorer(net)
             scorer = _scorers[key]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 2):
                 texts = part.column(2).to_pylist()
                 lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if scorer else []
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -5,8 +5,9 @@ sizes over their sum (bad less good) is its normalised difference. A text's scor
 and the extremes of its windows' differences and from how far the text compresses at all.
 
 Null and empty texts have no window and get the score that calibration gives to no evidence; repeated rows score
-alike; an empty table gives an empty result; without labelled rows every score is 0.5; labels with a null id or
-another value than 0 and 1 are skipped; other columns are ignored.
+alike; texts of any length are scored whole; an empty table gives an empty result; without labelled rows every score is
+0.5; labels with a null id or another value than 0 and 1 are skipped, and of conflicting labels the smaller counts;
+other columns are ignored.
 """
 
 from __future__ import annotations

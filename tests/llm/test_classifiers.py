@@ -159,3 +159,16 @@ def test_keep_good_keeps_columns(spark, labelled):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.score(docs, model).collect() if r.predicted}
+
+
+def test_long_texts_have_the_same_windows():
+    rng = np.random.default_rng(6)
+    scorer = langid.Scorer(langid.Network(["a", "b"], seed=5))
+    for extra in (0, 1, 127, 128, 129, 5000):
+        data = rng.integers(1, 256, langid.PIECE * 2 + extra, np.uint8).tobytes()
+        x, counts = langid.text_windows([data])
+        seen = np.concatenate([langid.text_windows([t])[0] for t in langid.split_text(data)])
+        assert len(x) == counts[0] == len(seen) and (x == seen).all()
+    texts = [b"short", data, b"x" * 300]
+    whole = [scorer.probabilities(langid.text_windows([t])[0]).mean(0) for t in texts]
+    assert np.allclose(scorer.texts(texts), whole, atol=1e-5)
