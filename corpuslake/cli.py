@@ -20,16 +20,22 @@ def parser() -> argparse.ArgumentParser:
     q = sub.add_parser("query")
     q.add_argument("question")
     q.add_argument("--top-k", type=int, default=5)
+    q.add_argument("--threshold", type=float)
     q.add_argument("--fusion", choices=["rrf", "linear"], default="rrf")
     sub.add_parser("stats")
     sub.add_parser("delete").add_argument("source")
-    sub.add_parser("versions").add_argument("doc_id", nargs="?")
+    sub.add_parser("versions").add_argument("source", nargs="?", help="a path or file name; all files if left out")
     r = sub.add_parser("rollback")
-    r.add_argument("doc_id")
+    r.add_argument("source", help="a path or file name")
     r.add_argument("version", type=int)
-    e = sub.add_parser("eval")
-    e.add_argument("dataset", nargs="?")
-    e.add_argument("--top-k", type=int, default=5)
+    kinds = sub.add_parser("eval").add_subparsers(dest="kind", required=True)
+    recall = kinds.add_parser("recall")
+    recall.add_argument("dataset", nargs="?", help="a JSON file; the built-in questions if left out")
+    recall.add_argument("--top-k", type=int, default=5)
+    faithful = kinds.add_parser("faithfulness")
+    faithful.add_argument("question")
+    faithful.add_argument("--top-k", type=int, default=5)
+    faithful.add_argument("--threshold", type=float)
     return p
 
 
@@ -40,16 +46,19 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "index":
         engine.index(a.root, a.force, a.semantic).show()
     elif a.command == "query":
-        engine.search([a.question], a.top_k, method=a.fusion).select("rank", "score", "source", "document").show(truncate=80)
-        engine.ask([a.question], a.top_k).select("answer").show(truncate=False)
+        limit = engine.config.similarity_threshold if a.threshold is None else a.threshold
+        engine.search([a.question], a.top_k, method=a.fusion, threshold=limit).select("rank", "score", "source", "document").show(truncate=80)
+        engine.ask([a.question], a.top_k, a.threshold).select("answer").show(truncate=False)
     elif a.command == "stats":
         engine.stats().show()
     elif a.command == "delete":
         print(engine.delete(a.source))
     elif a.command == "versions":
-        engine.versions(a.doc_id).show(truncate=False)
+        (engine.source_versions(a.source) if a.source else engine.versions()).show(truncate=False)
     elif a.command == "rollback":
-        return 0 if engine.rollback(a.doc_id, a.version) else 1
+        return 0 if engine.rollback_source(a.source, a.version) else 1
+    elif a.command == "eval" and a.kind == "faithfulness":
+        engine.evaluate_faithfulness([a.question], a.top_k, a.threshold).show(truncate=80)
     elif a.command == "eval":
         data = datasets.load_dataset(spark, a.dataset) if a.dataset else datasets.builtin_dataset(spark)
         engine.evaluate_recall(data, a.top_k)[1].show()

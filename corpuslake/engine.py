@@ -1,4 +1,9 @@
-"""The engine: indexing, search, answers, versions and evaluation over one folder of tables."""
+"""The engine: indexing, search, answers, versions and evaluation over one folder of tables.
+
+Beside the chunks it keeps what searches read, under `search`: the chunks with ordinals, postings laid out by token,
+lengths and statistics. Indexing brings them up to date: new files are appended; a change of stored chunks makes
+them stale, and they are written anew once. Searches only read them.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslake import schemas
 from corpuslake.config import EngineConfig
 from corpuslake.functions.fingerprint import simhash
-from corpuslake.operators import bm25, chunk, context, dedup, evaluate, hybrid, store, versions
+from corpuslake.operators import bm25, chunk, context, dedup, evaluate, hybrid, store, vector, versions
 from corpuslake.operators.common import materialize
 from corpuslake.sources import clients, files
 
@@ -23,9 +28,16 @@ class Engine:
         self.embedder, self.model = embedder or clients.HashEmbedder(), model or clients.EchoModel()
         self.config, self.pdf_parser = config or EngineConfig.from_env(), pdf_parser
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
-        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, fs = self._path(name)
+        return fs.exists(path)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        if self._exists(name):
             return self.spark.read.schema(schema).parquet(f"{self.home}/{name}")
         return self.spark.createDataFrame([], schema)
 
@@ -53,16 +65,19 @@ class Engine:
         return self.index_files(files.scan(self.spark, root), force, semantic, history=history)
 
     def index_files(self, found: DataFrame, force: bool = False, semantic: bool = False, replace: bool = False, history: bool = False) -> DataFrame:
-        """Scan, file dedup, archiving, loading, chunking, chunk dedup, versions, embedding and storing, as one batch.
-
-        history holds chunks against the fingerprints of earlier runs too, not just those of this one. replace
-        deletes a source's old chunks; otherwise they stay with is_active false. As sources are archived
-        before their text is known, a source that gives no text keeps archived chunks only.
+        """Scan, file dedup, archiving, loading, chunking, chunk dedup in two layers, embedding, storing and versions, as one batch.
+
+        Chunks are held against each other's fingerprints, and against the vectors of the stored active chunks (those
+        that reach cosine_duplicate are dropped; a value over 1 turns this off). history holds them against the
+        fingerprints of earlier runs too. replace deletes a source's old chunks; otherwise they stay with is_active
+        false. As sources are archived before their text is known, a source that gives no text keeps archived chunks
+        only. Chunks are stored before versions and fingerprints are logged, so that a batch which fails between
+        can be run again.
         """
         valid = files.metadata(files.validated(found))
         fresh = valid if force else dedup.new_files(valid, self.chunks)
         fresh = materialize(fresh, "files")
-        self._retire(fresh, replace)
+        retired = self._retire(fresh, replace)
         texts = files.load(fresh, self.pdf_parser)
         split: Chunker = chunk.chunk_by_heading if semantic else chunk.chunk_by_size
         parts = split(texts.drop("path", "modificationTime", "length", "content", "oversize"), "text", self.config.chunk_size, self.config.chunk_overlap)
@@ -72,23 +87,43 @@ class Engine:
         marks = simhash(keyed, "doc", "document")
         seen = self.fingerprints if history else None
         kept = materialize(dedup.filter_chunks(keyed.join(marks, "doc"), self.config.hamming_threshold, history=seen), "kept")
-        kept.select("doc_id", "chunk_index", "simhash").write.mode("append").parquet(f"{self.home}/fingerprints")
+        kept = self._vector_layer(materialize(clients.embedded(kept.drop("doc"), self.embedder, "document"), "embedded"))
         counts = materialize(kept.groupBy("doc_id", "file_name").agg(F.count("*").cast("int").alias("chunk_count")), "counts")
-        numbered = self._record(counts)
-        rows = clients.embedded(kept.drop("doc", "simhash"), self.embedder, "document")
-        rows = chunk.with_chunk_ids(rows.join(numbered.select("doc_id", "version"), "doc_id").withColumn("is_active", F.lit(True)))
+        numbered = self._next_versions(counts)
+        rows = kept.drop("simhash").join(numbered.select("doc_id", "version"), "doc_id").withColumn("is_active", F.lit(True))
+        rows = materialize(chunk.with_chunk_ids(rows), "rows")
+        ready = not retired and self._ready()
+        self._stale()
         store.add(rows, f"{self.home}/chunks")
+        kept.select("doc_id", "chunk_index", "simhash").write.mode("append").parquet(f"{self.home}/fingerprints")
+        self._record(numbered)
+        self._append_search(rows) if ready else self.refresh()
         return counts.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 
-    def _retire(self, fresh: DataFrame, replace: bool) -> None:
+    def _vector_layer(self, kept: DataFrame) -> DataFrame:
+        """Chunks that no stored active chunk is too near to."""
+        live = self.chunks.filter("is_active")
+        if self.config.cosine_duplicate > 1 or live.isEmpty():
+            return kept
+        numbered = materialize(kept.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+        stored = live.select(F.xxhash64("chunk_id").alias("doc"), "embedding")  # which of them it is doesn't matter
+        near = vector.vector_duplicates(numbered.select(F.col("_id").alias("query_id"), F.col("embedding").alias("vector")), stored, self.config.cosine_duplicate)
+        return materialize(numbered.join(near.select(F.col("query_id").alias("_id")), "_id", "left_anti").drop("_id"), "kept")
+
+    def _retire(self, fresh: DataFrame, replace: bool) -> bool:
         gone = fresh.select("source").distinct()
         if self.chunks.join(gone, "source", "left_semi").isEmpty():
-            return
+            return False
         marked = self.chunks.join(gone.withColumn("_gone", F.lit(True)), "source", "left")
         kept = marked.filter("_gone IS NULL") if replace else marked.withColumn("is_active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("is_active")))
-        store.rewrite(kept.drop("_gone").select(*self.chunks.columns), f"{self.home}/chunks")
+        self._rewrite(kept.drop("_gone").select(*self.chunks.columns))
+        return True
 
-    def _record(self, counts: DataFrame) -> DataFrame:
+    def _rewrite(self, chunks: DataFrame) -> None:
+        self._stale()
+        store.rewrite(chunks, f"{self.home}/chunks")
+
+    def _next_versions(self, counts: DataFrame) -> DataFrame:
         before = self.log.groupBy("doc_id").agg(F.max_by("version", "seq").alias("v"), F.max_by("chunk_count", "seq").alias("n"), F.max("seq").alias("s"))
         joined = counts.join(before, "doc_id", "left")
         new = joined.select(
@@ -100,17 +135,56 @@ class Engine:
             F.current_timestamp().alias("created_at"),
             F.unix_micros(F.current_timestamp()).alias("seq"),
         )
-        new = materialize(new, "versions")
+        return materialize(new, "versions")
+
+    def _record(self, new: DataFrame) -> None:
         new.write.mode("append").parquet(f"{self.home}/version_log")
         new.select("doc_id", "version", "seq").write.mode("append").parquet(f"{self.home}/pointers")
-        return new
 
-    # ------------------------------------------------------------ search and answers
+    # ------------------------------------------------------------ what searches read
+
+    def _ready(self) -> bool:
+        return self._exists("search/READY")
+
+    def _stale(self) -> None:
+        path, fs = self._path("search/READY")
+        fs.delete(path, False)
+
+    def _set_ready(self) -> None:
+        path, fs = self._path("search/READY")
+        fs.create(path, True).close()
+
+    def refresh(self) -> None:
+        """Writes the search tables anew: ordinals follow the file order."""
+        self._stale()
+        order = F.lower("file_name"), F.col("source"), F.col("chunk_index")
+        ordered = self.chunks.repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered.withColumn("doc", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.home}/search/store")
+        bm25.build_index(self._stored(), written=True).write(f"{self.home}/search")
+        self._set_ready()
+
+    def _append_search(self, rows: DataFrame) -> None:
+        """Adds new chunks behind the ordinals there are."""
+        base = self._stored().agg(F.coalesce(F.max("doc") + 1, F.lit(0))).first()[0]
+        columns = self._stored().columns
+        placed = self.chunks.join(rows.select("chunk_id"), "chunk_id", "left_semi")
+        order = F.lower("file_name"), F.col("source"), F.col("chunk_index")
+        placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.lit(base) + F.monotonically_increasing_id())
+        placed = materialize(placed.select(*columns), "placed")
+        placed.write.mode("append").parquet(f"{self.home}/search/store")
+        bm25.build_index(placed, written=True).append(f"{self.home}/search")
+        self._set_ready()
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(f"{schemas.CHUNKS}, doc bigint").parquet(f"{self.home}/search/store")
+
+    def search_tables(self) -> tuple[DataFrame, bm25.Index]:
+        """(chunks with ordinals, index), read from their tables; written first only if chunks have changed since."""
+        if not self._ready():
+            self.refresh()
+        return self._stored(), bm25.Index.read(self.spark, f"{self.home}/search")
 
-    def _store(self) -> DataFrame:
-        """Chunks with an ordinal made of their file order; written once, as ordinals must not change between reads."""
-        ordered = self.chunks.repartitionByRange(F.lower("file_name"), F.col("source"), F.col("chunk_index")).sortWithinPartitions(F.lower("file_name"), "source", "chunk_index")
-        return materialize(ordered.withColumn("doc", F.monotonically_increasing_id()), "store")
+    # ------------------------------------------------------------ search and answers
 
     def query_frame(self, questions: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(questions)), "query_id bigint, question string")
@@ -118,18 +192,19 @@ class Engine:
 
     def search(self, questions: list[str] | DataFrame, top_k: int | None = None, **options) -> DataFrame:
         asked = self.query_frame(questions) if isinstance(questions, list) else questions
-        return hybrid.hybrid_search(self._store(), asked, top_k=top_k or self.config.top_k, **options)
+        rows, index = self.search_tables()
+        return hybrid.search(index, rows, asked, top_k=top_k or self.config.top_k, **options)
 
-    def prompts(self, questions: list[str], top_k: int | None = None) -> DataFrame:
-        """(query_id, question, context, prompt, stopped)."""
-        hits = self.search(questions, top_k)
+    def prompts(self, questions: list[str], top_k: int | None = None, threshold: float | None = None) -> DataFrame:
+        """(query_id, question, context, prompt, stopped); the threshold is the configured one unless told."""
+        hits = self.search(questions, top_k, threshold=self.config.similarity_threshold if threshold is None else threshold)
         contexts = context.trim(context.parts(hits), self.config.context_chars)
         asked = self.spark.createDataFrame(list(enumerate(questions)), "query_id bigint, question string")
         joined = asked.join(contexts, "query_id", "left").withColumn("stopped", context.guard(F.col("context"), F.col("question")))
         return joined.withColumn("prompt", F.when(F.col("stopped").isNull(), context.prompt(F.col("context"), F.col("question"))))
 
-    def ask(self, questions: list[str], top_k: int | None = None) -> DataFrame:
-        return clients.answered(self.prompts(questions, top_k), self.model)
+    def ask(self, questions: list[str], top_k: int | None = None, threshold: float | None = None) -> DataFrame:
+        return clients.answered(self.prompts(questions, top_k, threshold), self.model)
 
     # ------------------------------------------------------------ management
 
@@ -141,18 +216,34 @@ class Engine:
         before = self.chunks
         n = before.filter(F.col("source") == source).count()
         if n:
-            store.rewrite(store.without_source(before, source), f"{self.home}/chunks")
+            self._rewrite(store.without_source(before, source))
         return n
 
     def delete_all(self) -> int:
         n = self.chunks.count()
         if n:
-            store.rewrite(self.spark.createDataFrame([], schemas.CHUNKS), f"{self.home}/chunks")
+            self._rewrite(self.spark.createDataFrame([], schemas.CHUNKS))
         return n
 
     def versions(self, doc_id: str | None = None) -> DataFrame:
         return versions.list_versions(self.log, doc_id)
 
+    def documents_of(self, source: str) -> list[str]:
+        """The ids that a source's chunks have or had, by its path, its URI or its file name; one for each content it had."""
+        bare = source.rsplit("/", 1)[-1]
+        path = F.regexp_replace("source", "^[a-z]+:/*/", "/")
+        mine = (F.col("source") == source) | (path == F.lit(source)) | ((F.col("file_name") == source) if bare == source else F.lit(False))
+        return [r.doc_id for r in self.chunks.filter(mine).select("doc_id").distinct().orderBy("doc_id").collect()]  # the contents of one file
+
+    def source_versions(self, source: str) -> DataFrame:
+        """Versions of a file by its path or name, over all contents it had."""
+        return versions.list_versions(self.log).filter(F.col("doc_id").isin(self.documents_of(source)))
+
+    def rollback_source(self, source: str, version: int) -> bool:
+        """Rolls back the document of a file that has this version; of several the one logged last."""
+        wanted = self.log.filter(F.col("doc_id").isin(self.documents_of(source)) & (F.col("version") == version)).orderBy(F.desc("seq")).first()
+        return bool(wanted) and self.rollback(wanted.doc_id, version)
+
     def active_version(self, doc_id: str) -> int:
         one = self.spark.createDataFrame([(doc_id,)], "doc_id string")
         return versions.active_versions(self.pointer_log, one).first()["active_version"]
@@ -164,7 +255,7 @@ class Engine:
         if done:
             wanted.select("doc_id", F.col("target").alias("version"), "seq").write.mode("append").parquet(f"{self.home}/pointers")
             mine = F.col("doc_id") == doc_id
-            store.rewrite(self.chunks.withColumn("is_active", F.when(mine, F.col("version") == version).otherwise(F.col("is_active"))), f"{self.home}/chunks")
+            self._rewrite(self.chunks.withColumn("is_active", F.when(mine, F.col("version") == version).otherwise(F.col("is_active"))))
         return done
 
     # ------------------------------------------------------------ evaluation
@@ -175,5 +266,9 @@ class Engine:
         details = materialize(evaluate.question_hits(dataset, self.search(asked, top_k), top_k), "details")
         return details, evaluate.recall_summary(details, top_k)
 
+    def evaluate_faithfulness(self, questions: list[str], top_k: int | None = None, threshold: float | None = None) -> DataFrame:
+        """The judging model's report on the engine's own answers: claims, counts, faithfulness_score and error beside each question."""
+        return evaluate.faithfulness(materialize(self.ask(questions, top_k, threshold), "answers"), self.model)
+
     def index_tables(self) -> bm25.Index:
-        return bm25.build_index(self._store())
+        return self.search_tables()[1]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpuslake.functions.strings import is_blank, strip
 
@@ -29,19 +32,29 @@ def chunk_pages(chunks: DataFrame, texts: DataFrame, offsets: DataFrame) -> Data
     before its end; 1 where there is none.
     """
     spans = offsets.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "page", "end"))).alias("spans"))  # the pages of one document
-    whole = texts.select("doc", "text").join(spans, "doc", "left")  # one row for each document, looked into by its chunks
-    at = F.instr(F.col("text"), F.col("document"))
-    near = F.instr(F.col("text"), F.substring("document", 1, 50))
-    pos = F.when(at > 0, at - 1).otherwise(F.greatest(near - 1, F.lit(0)))
-    placed = chunks.join(whole, "doc").select("doc", "chunk_index", "document", "spans", pos.alias("pos"))
-
-    def page(place: Column, last: bool) -> Column:
-        """The page of the first span that holds a place, or of the last one that begins before it."""
-        held = F.filter("spans", lambda s: (s["start"] < place) if last else (s["start"] <= place) & (place < s["end"] + GLUE))
-        return F.coalesce(F.try_element_at(held, F.lit(-1 if last else 1))["page"], F.lit(1))
-
-    stop = F.col("pos") + F.length("document")
-    return placed.select("doc", "chunk_index", "document", page(F.col("pos"), False).alias("page_start"), page(stop, True).alias("page_end"))
+    whole = texts.select("doc", "text").join(spans, "doc", "left")
+    rows = chunks.select(*(F.col(c).alias(c) for c in ("doc", "chunk_index", "document")))  # told apart from texts of the same origin
+
+    def look(key, mine: pd.DataFrame, document: pd.DataFrame) -> pd.DataFrame:
+        """Each document's text is looked into by its own chunks only, and its pages by bisection of their begins."""
+        if mine.empty or document.empty:
+            return mine.iloc[:0].assign(page_start=[], page_end=[])
+        text, held = document["text"].iloc[0] or "", document["spans"].iloc[0]
+        held = [] if held is None else [(x["start"], x["page"], x["end"]) for x in held]
+        starts = [x[0] for x in held]
+        first, last = [], []
+        for chunk in (c or "" for c in mine["document"]):
+            pos = text.find(chunk)
+            pos = pos if pos >= 0 else max(text.find(chunk[:50]), 0)
+            reach = bisect_right(starts, pos)
+            on = held[reach - 1] if reach else None  # spans with their glue don't overlap
+            first.append(on[1] if on and pos < on[2] + GLUE else 1)
+            before = bisect_left(starts, pos + len(chunk))
+            last.append(held[before - 1][1] if before else 1)
+        return mine.assign(page_start=first, page_end=last)
+
+    schema = StructType([*rows.schema.fields, StructField("page_start", IntegerType()), StructField("page_end", IntegerType())])
+    return rows.groupBy("doc").cogroup(whole.groupBy("doc")).applyInPandas(look, schema)
 
 
 def page_text(lines: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.vectors import dot, doubles, similarity_score, unit
 from corpuslake.operators.bm25 import ranked
+from corpuslake.operators.common import materialize
 
 
 def nearest(store: DataFrame, queries: DataFrame, top_k: int = 5, where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -86,6 +88,79 @@ def pair_score(a: Column, b: Column) -> Column:
     return similarity_score(dot(unit(doubles(a)), unit(doubles(b))))
 
 
+#: Bounded sample of stored vectors that the cells are made of, and rows of a side up to which a cell's comparisons are one group.
+PIVOTS, GROUP_ROWS, BLOCK_ROWS = 256, 20_000, 1_000
+
+
 def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """(query_id, doc, score) for the rows of batch (query_id, vector) whose nearest stored row reaches the threshold."""
-    return nearest(store, batch, 1, threshold=threshold).select("query_id", "doc", "score")
+    """(query_id, doc, score): the nearest of the rows of store (doc, embedding) to each of batch (query_id, vector) that reaches the threshold; of ties the smallest doc.
+
+    A distributed join, exact at any size of either side. A bounded sample of stored vectors parts space into the cells
+    nearest to each. A stored row goes to its cell. A vector that scores the threshold lies within a fixed distance, so
+    a row of batch goes to the cells whose dividing plane isn't further off. A cell with many rows on a side is parted, and
+    the parts are compared by matrix products. Null and odd vectors never match.
+    """
+    rows = _units(store, "doc", "embedding")
+    asked = _units(batch, "query_id", "vector")
+    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("id")).limit(PIVOTS).collect()], dtype=object)  # bounded
+    by_length = {n: np.array([v for v in pivots if len(v) == n], float) for n in {len(v) for v in pivots}}
+    reach = float(np.sqrt(max(2 - 2 * (threshold - 1e-4), 0.0))) + 1e-9  # scores are rounded
+
+    def cells(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = by_length[v.shape[1]]
+        d = np.maximum(2 - 2 * v @ p.T, 0)
+        home = d.argmin(axis=1)
+        between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[home]
+        far = (d - d.min(axis=1, keepdims=True)) > 2 * reach * between + 1e-9
+        return home, ~far
+
+    def placed(df: DataFrame, replicated: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                size = np.array([len(x) for x in b.column(1)], np.int64) if b.num_rows else np.empty(0, np.int64)
+                for n in np.unique(size):
+                    if n not in by_length:
+                        continue
+                    part = b.filter(pa.array(size == n))
+                    home, near = cells(part.column(1).flatten().to_numpy().reshape(part.num_rows, n))
+                    i, j = np.nonzero(near) if replicated else (np.arange(len(home)), home)
+                    taken = part.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int64) + int(n) * PIVOTS), *taken.columns], ["cell", "id", "v"])
+
+        return df.mapInArrow(run, "cell bigint, id bigint, v array<double>")
+
+    left, right = materialize(placed(asked, True), "asked"), materialize(placed(rows, False), "stored")
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(name))
+
+    split = parts(left, "ask_parts").join(parts(right, "store_parts"), "cell")  # one row a cell
+    split = materialize(split, "cells")
+    one = left.join(F.broadcast(split), "cell").withColumn("ask", F.pmod(F.xxhash64("id"), F.col("ask_parts")).cast("int")).withColumn("stored", F.explode(F.sequence(F.lit(0), F.col("store_parts") - 1)))
+    two = right.join(F.broadcast(split), "cell").withColumn("stored", F.pmod(F.xxhash64("id"), F.col("store_parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
+    key = ["cell", "ask", "stored"]
+
+    def compare(_, mine: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(mine) and len(kept):
+            kept = kept.sort_values("id")
+            docs, y, x = kept["id"].to_numpy(), np.stack(kept["v"].to_numpy()), np.stack(mine["v"].to_numpy())
+            for at in range(0, len(x), BLOCK_ROWS):
+                best, where = np.full(len(x[at : at + BLOCK_ROWS]), -1.0), np.zeros(len(x[at : at + BLOCK_ROWS]), np.int64)
+                for to in range(0, len(y), BLOCK_ROWS):
+                    score = np.clip(_half_up(x[at : at + BLOCK_ROWS] @ y[to : to + BLOCK_ROWS].T), 0.0, 1.0)
+                    top = score.argmax(axis=1)
+                    value = score[np.arange(len(score)), top]
+                    better = value > best
+                    best[better], where[better] = value[better], docs[to : to + BLOCK_ROWS][top[better]]
+                hit = best >= threshold
+                out.append(pd.DataFrame({"query_id": mine["id"].to_numpy()[at : at + BLOCK_ROWS][hit], "doc": where[hit], "score": best[hit]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc": [], "score": []})
+
+    met = one.select(*key, "id", "v").groupBy(*key).cogroup(two.select(*key, "id", "v").groupBy(*key)).applyInPandas(compare, "query_id bigint, doc bigint, score double")
+    return ranked(met, 1, F.col("score").desc(), F.col("doc")).select("query_id", "doc", "score")
+
+
+def _units(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v): unit vectors of the rows that have a whole one."""
+    return df.filter(whole(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), unit(doubles(F.col(vector))).alias("v"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.operators import bm25, context, evaluate, fusion, hybrid, vector
+from corpuslake.functions.fingerprint import simhash
+from corpuslake.operators import bm25, context, dedup, evaluate, fusion, hybrid, vector
 from corpuslake.operators import store as stores
 from corpuslake.operators.common import materialize
 from corpuslake.plans.literals import frame, values
-from corpuslake.plans.texts import table
+from corpuslake.plans.texts import SIMHASH, documents, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +115,33 @@ def vector_similar(spark, sf_dir):
     return vector.vector_duplicates(_asked(spark, sf_dir), store, 0.3)
 
 
+# the second half of the documents as new chunks, the first half's vectors as the store
+DUAL = 0.45
+_NEW = "text IS NOT NULL AND doc_id % 2 = 1"
+
+
+@query(f"""
+WITH RECURSIVE {SIMHASH},
+o AS MATERIALIZED (SELECT doc_id, CAST(u AS UBIGINT) AS s, row_number() OVER (ORDER BY doc_id) AS rn FROM sh JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id WHERE trim(text) <> '' AND {_NEW}),
+r(i, kept, doc_id, keep) AS (
+  SELECT 0::BIGINT, []::UBIGINT[], NULL::BIGINT, false
+  UNION ALL
+  SELECT r.i + 1, CASE WHEN len(list_filter(r.kept, lambda k: bit_count(xor(k, o.s)) <= 3)) = 0 THEN list_append(r.kept, o.s) ELSE r.kept END,
+         o.doc_id, len(list_filter(r.kept, lambda k: bit_count(xor(k, o.s)) <= 3)) = 0
+  FROM r JOIN o ON o.rn = r.i + 1),
+by_hash AS (SELECT doc_id, embedding AS v FROM r JOIN embeddings ON vec_id = doc_id WHERE keep),
+scored AS (SELECT b.doc_id, vec_id, greatest(0.0, least(1.0, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 4))) AS score FROM by_hash b, embeddings WHERE vec_id % 2 = 0)
+SELECT b.doc_id, arg_min(vec_id, vec_id) FILTER (score = top) AS duplicate_of, max(top) FILTER (top >= {DUAL}) AS score
+FROM by_hash b LEFT JOIN (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM scored) s ON s.doc_id = b.doc_id AND s.top >= {DUAL} GROUP BY b.doc_id""")
+def dual_dedup(spark, sf_dir):
+    """What the fingerprint layer keeps, with the stored vector that the second layer finds too near."""
+    docs = documents(spark, sf_dir).filter(F.expr(_NEW)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    kept = dedup.filter_chunks(docs.join(simhash(docs, "doc_id", "text"), "doc_id"), key="doc_id", text="text")
+    kept = materialize(kept.select("doc_id", "embedding"), "kept")
+    near = vector.vector_duplicates(kept.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), _vectors(spark, sf_dir).filter("doc % 2 = 0"), DUAL)
+    return kept.select("doc_id").join(near.select(F.col("query_id").alias("doc_id"), F.col("doc").alias("duplicate_of"), "score"), "doc_id", "left")
+
+
 # ---------------------------------------------------------------- fusion
 
 POOL = 30

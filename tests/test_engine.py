@@ -174,3 +174,69 @@ def test_sessions(spark):
     assert {r.name: r.turns for r in sessions.turns(s).collect()} == {"b": 0, "c": 1}
     assert sessions.latest(s).first()["name"] == "b" and sessions.deleted(s, "b").count() == 1
     assert [m.content for m in s.filter("name = 'c'").first().messages] == ["ok?", "yes"]
+
+
+def files_under(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*") if p.is_file()}
+
+
+def test_searches_read_what_indexing_wrote(spark, root, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/home")
+    e.index(f"file://{root}")
+    before = files_under(tmp_path / "home")
+    first = [tuple(r) for r in e.search(["gamma", "alpha3"], top_k=3).collect()]
+    assert [tuple(r) for r in e.search(["gamma", "alpha3"], top_k=3).collect()] == first
+    assert files_under(tmp_path / "home") == before
+
+    (root / "new.txt").write_text(paragraphs("sigma"), "utf-8")  # appended: what was written stays as it is
+    e.index(f"file://{root}")
+    after = files_under(tmp_path / "home")
+    kept = {k: v for k, v in before.items() if k.startswith(("search/store/part", "search/postings/part", "chunks/part"))}
+    assert kept and all(after[k] == v for k, v in kept.items())
+    assert "sigma" in e.search(["sigma3 sigma31"], top_k=1).first()["document"]
+    rows, index = e.search_tables()
+    assert rows.count() == rows.select("doc").distinct().count() == index.lengths.count() == index.stats.first()["n"] == e.chunks.count()
+
+    appended = {(r.document, r.score) for r in e.search(["sigma3 alpha3"], top_k=5).collect()}
+    e.refresh()
+    assert {(r.document, r.score) for r in e.search(["sigma3 alpha3"], top_k=5).collect()} == appended
+    e.delete(e.chunks.filter("file_name = 'new.txt'").first()["source"])
+    assert not e.search(["sigma3"], top_k=5).filter("document LIKE '%sigma%'").count()
+
+
+def test_vector_layer_while_indexing(spark, tmp_path):
+    class Same(clients.HashEmbedder):
+        def embed(self, texts):
+            return [[1.0, 0.0] if "alike" in t else [0.0, float(len(t))] for t in texts]
+
+    for name, text in (("one", "alike first text"), ("two", "alike but in quite other words"), ("three", "of its own")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_text(text, "utf-8")
+    e = Engine(spark, f"file://{tmp_path}/home", embedder=Same())
+    assert [e.index(f"file://{tmp_path}/{n}").first()["chunks"] for n in ("one", "two", "three")] == [1, 0, 1]
+    assert e.index(f"file://{tmp_path}/one", force=True).first()["chunks"] == 1  # its own archived chunk doesn't count
+
+
+def test_versions_by_source_and_faithfulness(spark, root, tmp_path, capsys, monkeypatch):
+    from corpuslake import cli
+
+    e = Engine(spark, f"file://{tmp_path}/home")
+    for force in (False, True):
+        e.index(f"file://{root}", force=force)
+    assert [r.version for r in e.source_versions(f"{root}/a.md").collect()] == [2, 1] == [r.version for r in e.source_versions("a.md").collect()]
+    assert e.rollback_source("a.md", 1) and not e.rollback_source("a.md", 7) and not e.rollback_source("none.md", 1)
+    report = e.evaluate_faithfulness(["gamma"]).first()
+    assert report["question"] == "gamma" and report["error"]
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    home = ["--home", f"file://{tmp_path}/home"]
+    assert cli.main([*home, "versions", "a.md"]) == 0 and cli.main([*home, "rollback", "a.md", "2"]) == 0 and cli.main([*home, "rollback", "a.md", "9"]) == 1
+    assert cli.main([*home, "eval", "faithfulness", "gamma"]) == 0 and cli.main([*home, "eval", "recall"]) == 0
+    assert cli.main([*home, "query", "gamma", "--threshold", "0.1"]) == 0
+    assert "faithfulness_score" in capsys.readouterr().out
+
+
+def test_hits_under_the_threshold_fill_up(spark, root, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/home")
+    e.index(f"file://{root}")
+    assert e.prompts(["gamma"]).first()["context"] == e.prompts(["gamma"], threshold=0.0).first()["context"]
+    assert e.search(["gamma"], threshold=0.35, backfill=False).count() == 0

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,30 @@ def test_recall(spark):
     short = evaluate.question_hits(data, hits, 2)
     assert tuple(evaluate.recall_summary(short, 2).first())[2:5] == (0.3333, 0.0, 0.0)
     assert tuple(evaluate.recall_summary(details.limit(0)).first()) == (0, 0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_null_and_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [0.9, 0.1]), (6, [])]
+    store = spark.createDataFrame(rows, "doc bigint, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [0.0, 0.0, 2.0])], "query_id bigint, vector array<float>")
+    got = [(r.query_id, r.doc) for r in vector.nearest(store, asked, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1), (0, 5), (3, 4)]
+    assert {(r.query_id, r.doc) for r in vector.vector_duplicates(asked, store, 0.9).collect()} == {(0, 1)}
+    assert vector.vector_duplicates(asked, store.limit(0), 0.9).count() == 0 and vector.vector_duplicates(asked.limit(0), store, 0.9).count() == 0
+
+
+@pytest.mark.parametrize("pivots, group", [(4, 10), (64, 20_000)])
+def test_vector_duplicates_equal_all_pairs(spark, monkeypatch, pivots, group):
+    monkeypatch.setattr(vector, "PIVOTS", pivots)
+    monkeypatch.setattr(vector, "GROUP_ROWS", group)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 6))
+    near = base[rng.integers(0, 300, 200)] + rng.normal(size=(200, 6)) * rng.choice([0.0, 0.02, 0.2, 1.0], (200, 1))
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "doc bigint, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "query_id bigint, vector array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.floor(np.abs(unit(near) @ unit(base).T) * 10_000 + 0.5) / 10_000 * np.sign(unit(near) @ unit(base).T)
+    want = {(i, int(s.argmax()), float(s.max())) for i, s in enumerate(score) if s.max() >= 0.95}
+    got = {(r.query_id, r.doc, r.score) for r in vector.vector_duplicates(asked, store, 0.95).collect()}
+    assert len(want) > 100 and got == want
