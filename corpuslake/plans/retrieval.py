@@ -220,7 +220,25 @@ def hybrid_threshold_backfill(spark, sf_dir):
     return _hybrid(spark, sf_dir, threshold=0.35)
 
 
-@query()
+# walks each query's candidates in rank order: texts kept so far, and for each kept place its prefix, source, score and document
+_DEDUPED = f"""{_RRF},
+cand AS MATERIALIZED (SELECT query_id, fused.doc, score, rank, coalesce(source, '') AS source, coalesce(document, '') AS document,
+  regexp_replace(left(coalesce(document, ''), 80), '^\\s+|\\s+$', '', 'g') AS prefix FROM fused LEFT JOIN src ON src.doc = fused.doc),
+walk(query_id, rank, texts, kept) AS (
+  SELECT DISTINCT query_id, 0::BIGINT, []::VARCHAR[], []::STRUCT(prefix VARCHAR, source VARCHAR, score DOUBLE, doc BIGINT)[] FROM cand
+  UNION ALL
+  SELECT query_id, rank, CASE WHEN act = 'add' THEN list_append(texts, document) ELSE texts END,
+    CASE act WHEN 'add' THEN list_append(kept, one) WHEN 'swap' THEN list_concat(list_append(kept[:place - 1], one), kept[place + 1:]) ELSE kept END
+  FROM (SELECT *, CASE WHEN list_contains(texts, document) THEN 'drop' WHEN place IS NULL OR (one.source <> '' AND kept[place].source = one.source) THEN 'add'
+                       WHEN one.score > kept[place].score THEN 'swap' ELSE 'drop' END AS act
+        FROM (SELECT w.query_id, c.rank, w.texts, w.kept, c.document, {{'prefix': c.prefix, 'source': c.source, 'score': c.score, 'doc': c.doc}} AS one,
+                CASE WHEN c.prefix <> '' THEN list_max(list_filter(range(1, len(w.kept) + 1), lambda i: w.kept[i].prefix = c.prefix)) END AS place
+              FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.rank = w.rank + 1))),
+last AS (SELECT query_id, kept FROM walk WHERE rank = (SELECT max(rank) FROM cand WHERE cand.query_id = walk.query_id)),
+top AS (SELECT query_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS rank FROM last)"""
+
+
+@query(f"WITH RECURSIVE {_DEDUPED} SELECT query_id, k.doc AS doc, k.source AS source, k.score AS score, rank FROM top WHERE rank <= 5")
 def hybrid_deduped(spark, sf_dir):
     return _hybrid(spark, sf_dir, dedup=True)
 

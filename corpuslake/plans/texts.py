@@ -285,12 +285,56 @@ def already_indexed_anti(spark, sf_dir):
 # ---------------------------------------------------------------- chunks and pages
 
 
-@query()
+def _sql_chunks(size: int = 512, overlap: int = 128) -> str:
+    """CTEs up to chunks (doc_id, chunk_index, document).
+
+    Lines of long paragraphs are packed first, group by group (pk walks them in order), then all pieces are packed
+    into chunks (ck walks them): a chunk is the run of pieces s to i, and the next one begins with the longest tail of
+    whole pieces that fits into the overlap.
+    """
+    trim = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+    return rf"""
+paras AS (SELECT doc_id, text, pn, {trim.format('p')} AS p FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\n{{2,}}'), 1) AS pn FROM documents WHERE regexp_matches(text, '\S'))),
+full_p AS (SELECT * FROM paras WHERE p <> ''),
+total AS (SELECT doc_id, sum(length(p)) AS n FROM full_p GROUP BY doc_id),
+lines AS (SELECT doc_id, pn, ln, line FROM (SELECT doc_id, pn, unnest(string_split(p, chr(10))) AS line, generate_subscripts(string_split(p, chr(10)), 1) AS ln FROM full_p JOIN total USING (doc_id) WHERE n > {size} AND length(p) > {size})),
+parts AS (SELECT doc_id, pn, ln, unnest(CASE WHEN length(t) > {size} THEN string_split(regexp_replace(t, '([。？！；])', '\1' || chr(1), 'g'), chr(1)) ELSE [t] END) AS part,
+          generate_subscripts(CASE WHEN length(t) > {size} THEN string_split(regexp_replace(t, '([。？！；])', '\1' || chr(1), 'g'), chr(1)) ELSE [t] END, 1) AS sn FROM (SELECT *, {trim.format('line')} AS t FROM lines)),
+li AS MATERIALIZED (SELECT doc_id, pn, x, length(x) AS len, row_number() OVER (PARTITION BY doc_id, pn ORDER BY ln, sn) AS i FROM (SELECT *, {trim.format('part')} AS x FROM parts) WHERE x <> ''),
+pk(doc_id, pn, i, held, g) AS (
+  SELECT doc_id, pn, i, len, 0 FROM li WHERE i = 1
+  UNION ALL
+  SELECT li.doc_id, li.pn, li.i, CASE WHEN held + 2 + len <= {size} THEN held + 2 + len ELSE len END, CASE WHEN held + 2 + len <= {size} THEN g ELSE g + 1 END
+  FROM pk JOIN li ON li.doc_id = pk.doc_id AND li.pn = pk.pn AND li.i = pk.i + 1),
+pieces AS (
+  SELECT doc_id, pn, g, string_agg(x, chr(10) || chr(10) ORDER BY i) AS piece FROM pk JOIN li USING (doc_id, pn, i) GROUP BY doc_id, pn, g
+  UNION ALL SELECT doc_id, pn, 0, p FROM full_p JOIN total USING (doc_id) WHERE n > {size} AND length(p) <= {size}),
+pc AS (SELECT doc_id, piece, length(piece) AS len, row_number() OVER w AS i, sum(length(piece)) OVER w AS upto FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY pn, g)),
+tails AS MATERIALIZED (SELECT a.doc_id, a.i, a.len, a.upto, coalesce(min(b.i), a.i + 1) AS t FROM pc a LEFT JOIN pc b ON b.doc_id = a.doc_id AND b.i <= a.i AND a.upto - b.upto + b.len + 2 * (a.i - b.i) <= {overlap} GROUP BY a.doc_id, a.i, a.len, a.upto),
+ck(doc_id, i, s, held, done, from_i) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, 1::BIGINT, 0::HUGEINT, false, 0::BIGINT FROM pc
+  UNION ALL
+  SELECT k.doc_id, k.i + 1,
+    CASE WHEN fits THEN s ELSE nt END,
+    CASE WHEN fits THEN grown ELSE greatest(kept, 0) + 2 + len END, NOT fits, s
+  FROM (SELECT *, CASE WHEN nt > i THEN -2 ELSE upto - coalesce((SELECT q.upto FROM pc q WHERE q.doc_id = m.doc_id AND q.i = m.nt - 1), 0) + 2 * (i - nt) END AS kept
+        FROM (SELECT ck.doc_id, ck.i, ck.s, p.len, held + p.len + CASE WHEN ck.i >= ck.s THEN 2 ELSE 0 END AS grown, grown <= {size} AS fits, coalesce(o.upto, 0) AS upto,
+                     CASE WHEN ck.i < ck.s THEN ck.i + 1 ELSE greatest(ck.s, o.t) END AS nt
+              FROM ck JOIN tails p ON p.doc_id = ck.doc_id AND p.i = ck.i + 1 LEFT JOIN tails o ON o.doc_id = ck.doc_id AND o.i = ck.i) m) k),
+bounds AS (SELECT doc_id, from_i AS s, i - 1 AS e FROM ck WHERE done UNION ALL SELECT doc_id, s, i FROM ck WHERE i = (SELECT max(i) FROM pc WHERE pc.doc_id = ck.doc_id)),
+packed AS (SELECT b.doc_id, b.e, coalesce(string_agg(piece, chr(10) || chr(10) ORDER BY i), '') AS document FROM bounds b LEFT JOIN pc ON pc.doc_id = b.doc_id AND pc.i BETWEEN b.s AND b.e GROUP BY b.doc_id, b.s, b.e),
+chunks AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS INTEGER) AS chunk_index, document FROM packed
+  UNION ALL SELECT doc_id, 0::INTEGER, {trim.format('text')} FROM documents JOIN total USING (doc_id) WHERE n <= {size})"""
+
+
+@query(f"WITH RECURSIVE {_sql_chunks()} SELECT doc_id, chunk_index, document FROM chunks")
 def chunks_by_size(spark, sf_dir):
     return chunk.chunk_by_size(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk_index", "document")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_sql_chunks()} SELECT doc_id, source, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks,
+sha256(doc_id || '|1|' || chunk_index) AS chunk_id FROM chunks JOIN documents USING (doc_id)""")
 def chunks_metadata(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return chunk.with_chunk_ids(chunk.chunk_by_size(docs)).drop("document")
