@@ -69,25 +69,34 @@ def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return df.join(few, key == few.row_key, "left_anti")
 
 
-#: Bits of the bitmap of maybe_among (2 MB).
+#: Bits of a bitmap (2 MB).
 BITMAP = 2**24
 
 
+def bitmap_of(keys: DataFrame) -> DataFrame:
+    """One row (_one, _bitmap) for the values of a one-column frame: a bit for the hash of each, whatever their number."""
+    spark = keys.sparkSession
+    spot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITMAP))
+    marked = keys.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits"))
+    every = spark.range(BITMAP >> 6, numPartitions=1).join(marked, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])  # as long as the bitmap
+    return materialize(every.agg(whole.alias("_bitmap")).withColumn("_one", F.lit(1)), "bitmap")
+
+
+def maybe_in(value: Column) -> Column:
+    """Whether the bitmap beside (_bitmap) has the value's bit; values that share a bit with another pass too."""
+    spot = F.pmod(F.xxhash64(value), F.lit(BITMAP))
+    word = F.get(F.col("_bitmap"), F.shiftright(spot, 6).cast("int"))
+    return F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """df less rows whose column certainly isn't among keys (one column), so that less is shuffled to the join that must follow.
 
-    A bitmap of fixed size, whatever the number of keys, is broadcast as one row; rows that share a bit with a key pass
-    too, and with very many keys all do.
+    The bitmap has a fixed size and is broadcast as one row; with very many keys all rows pass.
     """
-    spark = df.sparkSession
-    spot = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP))
-    marked = keys.toDF(column).select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits"))
-    every = spark.range(BITMAP >> 6, numPartitions=1).join(marked, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    whole = F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])  # as long as the bitmap
-    bitmap = materialize(every.agg(whole.alias("_bitmap")).withColumn("_one", F.lit(1)), "bitmap")
-    hit = F.expr("shiftright(get(_bitmap, cast(shiftright(_spot, 6) AS int)), cast(_spot & 63 AS int)) & 1") == 1
-    marked_rows = df.withColumn("_spot", spot).withColumn("_one", F.lit(1)).join(F.broadcast(bitmap), "_one")  # one row
-    return marked_rows.filter(hit).select(*(F.col(f"`{c}`") for c in df.columns))
+    beside = df.withColumn("_one", F.lit(1)).join(F.broadcast(bitmap_of(keys)), "_one")  # one row
+    return beside.filter(maybe_in(F.col(column))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def row_key(doc_id: Column | str, text: Column | str) -> Column:

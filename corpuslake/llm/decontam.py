@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import materialize, row_key, without_keys, words
+from corpuslake.llm.common import bitmap_of, materialize, maybe_in, row_key, without_keys, words
 
-#: Up to so many prefix tokens are tested as a literal set within the scan, and so many rows of item data are
-#: broadcast; beyond, the same rows are joined by a shuffle.
+#: Up to so many prefix tokens are tested as a literal set within the scan, beyond by a bitmap of their hashes; and so
+#: many rows of item data are broadcast; beyond, the same rows are joined by a shuffle.
 LITERAL_TOKENS = 20_000
 BROADCAST_ROWS = 200_000
 
@@ -57,11 +57,14 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> tupl
     prefixes = materialize(prefix_tokens(docs, windows), "prefixes")
 
     distinct = prefixes.select("token").distinct()
-    few = [r.token for r in distinct.limit(LITERAL_TOKENS + 1).collect()]  # bounded: else every word is a candidate of the shuffle join
+    few = [r.token for r in distinct.limit(LITERAL_TOKENS + 1).collect()]  # bounded: else the bitmap leaves out nearly all other words
     split = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), words(F.col("text")).alias("w"))
     places = F.sequence(F.lit(0), F.size("w") - 1)
     if len(few) <= LITERAL_TOKENS:
         places = F.filter(places, lambda i: F.get("w", i).isin(few)) if few else F.array().cast("array<int>")
+    else:
+        split = split.withColumn("_one", F.lit(1)).join(F.broadcast(bitmap_of(distinct)), "_one")  # one row
+        places = F.filter(places, lambda i: maybe_in(F.get("w", i)))
     around = F.transform(
         F.when(F.size("w") > 0, places),
         lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("token"), F.greatest(i - (size - 1), F.lit(0)).alias("first"), F.slice("w", F.greatest(i - (size - 1), F.lit(0)) + 1, 2 * size - 1).alias("near")),

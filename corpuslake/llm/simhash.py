@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import BROADCAST_KEYS, materialize, wide
+from corpuslake.llm.common import BROADCAST_KEYS, discard, materialize, wide
 
 RADIUS, BITS, CHECKS = 3, 23, 11
 GOLAY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -237,9 +237,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     def towards_min(pairs: DataFrame, few: bool) -> DataFrame:
         """A node of very many pairs must not end up in one task: its least neighbour is broadcast, or written so that Spark can split the join."""
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        least = F.broadcast(least) if few else materialize(least, "least")
+        if few:
+            least = F.broadcast(least)
+        else:
+            least = materialize(least, "least")
+            spent.append(least)
         return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
+    spent: list[DataFrame] = []
     edges = materialize(links.select("a", "b"), "links")
     before = mark(edges)
     for _ in range(most_rounds if before[0] else 0):
@@ -248,7 +253,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = towards_min(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = towards_min(large, few)
         small = small.select(F.col("v").alias("b"), F.col("m").alias("a")).union(small.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        spent.append(edges)
         edges = materialize(small.filter("a <> b").select("a", "b").distinct(), "links")
+        while spent:
+            discard(spent.pop())
         now = mark(edges)
         if now == before:
             break
