@@ -340,6 +340,18 @@ def chunks_metadata(spark, sf_dir):
     return chunk.with_chunk_ids(chunk.chunk_by_size(docs)).drop("document")
 
 
+# headings whose groups are packed with an overlap: a whole group that fits into it begins the next chunk too
+OVERLAPPING = [(1, "# A\n\naa\n\n# B\n\nbbbb\n\n# C\n\ncccccccccccc\n\n# D\n\nd"), (2, "# One\n\n" + "w" * 20 + "\n\n# Two\n\nx"), (3, " \n\n"), (4, "plain\n\n***\n\n### Deep  \n\ntext")]
+OVERLAPPING_WANT = [
+    (1, 0, "# A\n\naa\n\n# B\n\nbbbb", "A"),
+    (1, 1, "# B\n\nbbbb\n\n# C\n\ncccccccccccc", "C"),
+    (1, 2, "# D\n\nd", "D"),
+    (2, 0, "# One\n\n" + "w" * 20, "One"),
+    (2, 1, "# Two\n\nx", "Two"),
+    (4, 0, "plain\n\n### Deep\n\ntext", ""),
+]
+
+
 HEADED = [(1, "# A\n\none two\n\n## B\n\nthree\n\n---\n\n# C\n\nfour five six"), (2, "no heading\n\njust text"), (3, "# Long\n\n" + "x" * 60)]
 HEADED_WANT = [(1, 0, "# A\n\none two\n\n## B\n\nthree", "A"), (1, 1, "# C\n\nfour five six", "C"), (2, 0, "no heading\n\njust text", ""), (3, 0, None, None)]
 
@@ -350,6 +362,12 @@ def chunks_semantic(spark, sf_dir):
     return chunk.chunk_by_heading(rows, size=30, overlap=0).filter("document IS NOT NULL").select("id", "chunk_index", "document", "chapter")
 
 
+@query(f"SELECT CAST(id AS INTEGER) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, document, chapter FROM {values(OVERLAPPING_WANT, 'id, chunk_index, document, chapter')}")
+def chunks_overlap(spark, sf_dir):
+    rows = frame(spark, OVERLAPPING, "id int, text string")
+    return chunk.chunk_by_heading(rows, size=30, overlap=12).select("id", "chunk_index", "document", "chapter")
+
+
 @query(f"SELECT CAST(id AS INTEGER) AS id, CASE WHEN chapter = '' THEN NULL ELSE chapter END AS chapter, count(*) AS chunks FROM {values([r for r in HEADED_WANT if r[2]], 'id, chunk_index, document, chapter')} GROUP BY ALL")
 def chapters(spark, sf_dir):
     return chunks_semantic(spark, sf_dir).groupBy("id", F.nullif("chapter", F.lit("")).alias("chapter")).agg(F.count("*").alias("chunks"))

@@ -1,12 +1,17 @@
-"""Embedding and language-model clients: protocols, executor-side application, and deterministic stand-ins.
+"""Embedding and language-model clients: protocols, executor-side application, HTTP clients and deterministic stand-ins.
 
-The stand-ins are for tests and for runs without a server; they are not models.
+The HTTP clients call a model server with the JSON endpoints /api/embeddings, /api/chat and /api/generate. They hold
+nothing but settings, so they go to the executors as they are. The stand-ins are for tests and for runs without a
+server; they are not models.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -55,6 +60,56 @@ class EchoModel:
             yield word + " "
 
 
+def posted(url: str, body: dict, timeout: float) -> Iterator[dict]:
+    """The JSON objects of an answer, one a line."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answered_lines:
+        for line in answered_lines:
+            if line.strip():
+                yield json.loads(line)
+
+
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """Vectors from a model server, one request a text; a failed request fails the job."""
+
+    host: str
+    model: str
+    timeout: float = 30.0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [next(posted(f"{self.host}/api/embeddings", {"model": self.model, "prompt": t}, self.timeout))["embedding"] for t in texts]
+
+
+@dataclass(frozen=True)
+class HttpModel:
+    """Answers from a model server; `system`, where a prompt begins with it, goes as the system message of a chat."""
+
+    host: str
+    model: str
+    temperature: float = 0.1
+    system: str = ""
+    timeout: float = 300.0
+
+    def _chat(self, prompt: str, stream: bool) -> Iterator[dict]:
+        user = prompt.removeprefix(self.system).lstrip("\n") if self.system else prompt
+        told = [{"role": "system", "content": self.system}] if user != prompt else []
+        body = {"model": self.model, "messages": [*told, {"role": "user", "content": user}], "options": {"temperature": self.temperature}, "stream": stream}
+        return posted(f"{self.host}/api/chat", body, self.timeout)
+
+    def chat(self, prompt: str) -> str:
+        return next(self._chat(prompt, False))["message"]["content"].strip()
+
+    def generate(self, prompt: str) -> str:
+        body = {"model": self.model, "prompt": prompt, "options": {"temperature": self.temperature}, "stream": False}
+        return next(posted(f"{self.host}/api/generate", body, self.timeout))["response"].strip()
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        for piece in self._chat(prompt, True):
+            if text := piece.get("message", {}).get("content", ""):
+                yield text
+
+
 def embedded(df: DataFrame, embedder: Embedder, text: str, column: str = "embedding") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -28,6 +28,11 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("query_id", F.monotonically_increasing_id()).select("query_id", "question", "relevant_texts")
 
 
+def save_sessions(sessions: DataFrame, path: str) -> None:
+    """Writes chat sessions as load_sessions reads them: one JSON object a file, null fields included."""
+    sessions.select("name", "messages", "created_at").write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+
+
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Chat sessions, one JSON object a file; broken files give null columns."""
     return spark.read.schema(schemas.SESSIONS).option("multiLine", True).option("mode", "PERMISSIVE").json(path)

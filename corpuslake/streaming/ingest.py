@@ -16,6 +16,14 @@ def upload_stream(engine: Engine, root: str, max_files: int = 100) -> DataFrame:
     return raw.filter((F.col("length") <= engine.config.upload_limit_bytes) & (files.file_type(F.col("path")) != files.UNKNOWN))
 
 
+def refused(engine: Engine, root: str) -> DataFrame:
+    """(path, length, reason) of the files under root that upload_stream leaves out."""
+    found = engine.spark.read.format("binaryFile").schema(files.BINARY).option("recursiveFileLookup", True).load(root).select("path", "length")
+    large = F.when(F.col("length") > engine.config.upload_limit_bytes, F.lit("over the upload limit"))
+    unknown = F.when(files.file_type(F.col("path")) == files.UNKNOWN, F.lit("unknown file type"))
+    return found.withColumn("reason", F.coalesce(large, unknown)).filter("reason IS NOT NULL")
+
+
 def start(engine: Engine, root: str, checkpoint: str, max_files: int = 100, semantic: bool = False, once: bool = False) -> StreamingQuery:
     """Indexes every micro-batch; a source that is stored already has its chunks replaced.
 

@@ -1,10 +1,14 @@
 import io
+import json
+import threading
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslake import schemas
+from corpuslake.config import EngineConfig
 from corpuslake.engine import Engine
 from corpuslake.operators import evaluate, sessions
 from corpuslake.sources import clients, datasets, docx, files, pdf
@@ -240,3 +244,63 @@ def test_hits_under_the_threshold_fill_up(spark, root, tmp_path):
     e.index(f"file://{root}")
     assert e.prompts(["gamma"]).first()["context"] == e.prompts(["gamma"], threshold=0.0).first()["context"]
     assert e.search(["gamma"], threshold=0.35, backfill=False).count() == 0
+
+
+@pytest.fixture
+def server():
+    """A model server's endpoints, with what it was asked."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body))
+            if body.get("model") == "broken" and self.path == "/api/chat":
+                self.send_error(500)
+                return
+            if self.path == "/api/embeddings":
+                lines = [{"embedding": [float(len(body["prompt"])), 1.0]}]
+            elif self.path == "/api/generate":
+                lines = [{"response": " generated "}]
+            else:
+                said = body["messages"][-1]["content"]
+                lines = [{"message": {"content": w + " "}} for w in said.split()] + [{"done": True}] if body["stream"] else [{"message": {"content": f" to {said} "}}]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"\n".join(json.dumps(x).encode() for x in lines))
+
+        def log_message(self, *_):
+            pass
+
+    made = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{made.server_port}", asked
+    made.shutdown()
+
+
+def test_http_clients(spark, server):
+    host, asked = server
+    model = clients.HttpModel(host, "m", temperature=0.3, system="Be brief.")
+    assert model.chat("Be brief.\n\nhello") == "to hello" and model.generate("x") == "generated"
+    assert list(model.stream("one two")) == ["one ", "two "]
+    assert [m["role"] for m in asked[0][1]["messages"]] == ["system", "user"] and asked[0][1]["options"] == {"temperature": 0.3}
+    assert clients.answer(clients.HttpModel(host, "broken"), "p") == "generated"
+    assert list(clients.answer_stream(clients.HttpModel(host, "broken"), "p")) == ["generated"]
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, text string")
+    rows = clients.embedded(df, clients.HttpEmbedder(host, "e"), "text").orderBy("id").collect()
+    assert [r.embedding for r in rows] == [[3.0, 1.0], [0.0, 1.0]]
+    assert {r.answer for r in clients.answered(df.withColumnRenamed("text", "prompt"), clients.HttpModel(host, "m")).collect()} == {"to abc", None}
+    lost = clients.answered(df.withColumnRenamed("text", "prompt"), clients.HttpModel("http://127.0.0.1:9", "m")).orderBy("id").first()
+    assert lost.answer is None and lost.answer_error
+
+
+def test_sessions_and_refused_files(spark, tmp_path, root):
+    kind = "name string, messages array<struct<role:string,content:string,sources:array<struct<index:int,file:string,path:string,score:double,snippet:string>>>>, created_at string"
+    rows = [("a", [("user", "é?", None), ("assistant", "yes", [(1, "f", "/f", 0.5, "s")])], "2020"), ("b", [], None)]
+    datasets.save_sessions(spark.createDataFrame(rows, kind), f"file://{tmp_path}/chats")
+    assert sum(f.stat().st_size > 0 for f in (tmp_path / "chats").glob("*.json")) == 2
+    back = {r.name: r for r in datasets.load_sessions(spark, f"file://{tmp_path}/chats").collect()}
+    assert back["a"].messages[1].sources[0].snippet == "s" and back["b"].messages == [] and back["a"].messages[0].content == "é?"
+    e = Engine(spark, f"file://{tmp_path}/home", config=EngineConfig(upload_limit_bytes=100))
+    got = {r.path.rsplit("/", 1)[1]: r.reason for r in ingest.refused(e, f"file://{root}").collect()}
+    assert got["x.bin"] == "unknown file type" and got["b.txt"] == "over the upload limit" and "c.txt" not in got
