@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -172,3 +173,46 @@ def test_long_texts_have_the_same_windows():
     texts = [b"short", data, b"x" * 300]
     whole = [scorer.probabilities(langid.text_windows([t])[0]).mean(0) for t in texts]
     assert np.allclose(scorer.texts(texts), whole, atol=1e-5)
+
+
+def plain_logistic(model, row):
+    z = sum(w * (x - m) / s for w, x, m, s in zip(model.w, row, model.mean, model.scale)) + model.w[-1]
+    return 1 / (1 + math.exp(-max(min(z, 30), -30)))
+
+
+def test_toxicity_scores_against_single_compressions(spark, labelled):
+    """Every score again from its definition: each window compressed alone, features counted plainly."""
+    rows, labels = labelled
+    docs = spark.createDataFrame(rows[:150] + [r for r in ODD if r[1] is None or len(r[1]) < 100], "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), marks)
+    toxic, ordinary = ([toxicity.compressor(x) for x in made] for made in (model.toxic, model.ordinary))
+    assert len(toxic) == toxicity.PAIRS and all(len(x) > 256 for x in model.toxic + model.ordinary)  # trained, not empty
+    for r in toxicity.score(docs, model).collect():
+        text = dict(rows + ODD)[r.doc_id] or ""
+        d = []
+        for w in text.lower().split():
+            win = b" " + w.encode() + b" " + toxicity.MARKER
+            d.append(sum(len(o.compress(win)) - len(t.compress(win)) for o, t in zip(ordinary, toxic)) / len(toxic))
+        row = [0.0] * toxicity.FEATURES
+        if d:
+            top = sorted((min(x, model.thresholds.at[-1] + 3) - model.thresholds.middle for x in d), reverse=True)
+            row = [top[min(i, len(d) - 1)] for i in range(3)]
+            for t in model.thresholds.at:
+                n = sum(x > t for x in d)
+                row += [math.sqrt(n / len(d)), math.log(1 + n) - 0.5 * math.log(1 + len(d))]
+        assert abs(r.score - plain_logistic(model.logistic, row)) < 1e-9
+
+
+def test_quality_scores_against_single_compressions(spark, labelled):
+    rows, labels = labelled
+    model = quality.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    good, bad = (zdict.compressor(x, trained=True) for x in (model.good, model.bad))
+    few = rows[:100] + [(9000, "word " * 3000), (9001, "x" * 5000)]
+    for r in quality.score(spark.createDataFrame(few, "doc_id bigint, text string"), model).collect():
+        pieces = quality.windows(dict(few)[r.doc_id])
+        assert b"".join(pieces) == dict(few)[r.doc_id].encode()
+        g, b, n = [len(good.compress(p)) for p in pieces], [len(bad.compress(p)) for p in pieces], [len(p) for p in pieces]
+        d = [(y - x) / (y + x) for x, y in zip(g, b)]
+        row = [sum(x * k for x, k in zip(d, n)) / sum(n), min(d), max(d), sum(g) / sum(n), sum(b) / sum(n)]
+        assert abs(r.score - plain_logistic(model.logistic, row)) < 1e-9
