@@ -157,6 +157,30 @@ def test_crowded_keys_lose_no_pair(spark):
     assert alive_of(spark, texts) == want
 
 
+def test_parted_keys_lose_no_pair(spark, monkeypatch):
+    """Keys that are parted, as those of very many texts are, change no result."""
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    monkeypatch.setattr(near_dedup, "NOTICED", 1)
+    test_crowded_keys_lose_no_pair(spark)
+    rng = random.Random(24)
+    base = ["b%03d" % i for i in range(100)]
+    texts = [(i, " ".join(altered(rng, base, 0.9))) for i in range(120)] + [(500 + i, " ".join("z%05d" % rng.randrange(90000) for _ in range(60))) for i in range(30)]
+    x = {i: shingles(t) for i, t in texts}
+    root = {i: i for i in x}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in x:
+        for j in x:
+            if i < j and similarity(x[i], x[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert alive_of(spark, texts) == {find(i) for i in x}
+
+
 def test_unrelated_rows_of_one_id_stay(spark):
     rng = random.Random(23)
     one, other = (" ".join("w%05d" % rng.randrange(30000) for _ in range(100)) for _ in range(2))
