@@ -71,9 +71,11 @@ class Engine:
         that reach cosine_duplicate are dropped; a value over 1 turns this off). history holds them against the
         fingerprints of earlier runs too. replace deletes a source's old chunks; otherwise they stay with is_active
         false. As sources are archived before their text is known, a source that gives no text keeps archived chunks
-        only. Chunks are stored before versions and fingerprints are logged, so that a batch which fails between
-        can be run again.
+        only. Chunks are stored before versions and fingerprints are logged; what a batch that failed between didn't log
+        is logged by the next one.
         """
+        if not self._ready():
+            self._recover()
         valid = files.metadata(files.validated(found))
         fresh = valid if force else dedup.new_files(valid, self.chunks)
         fresh = materialize(fresh, "files")
@@ -141,6 +143,18 @@ class Engine:
         new.write.mode("append").parquet(f"{self.home}/version_log")
         new.select("doc_id", "version", "seq").write.mode("append").parquet(f"{self.home}/pointers")
 
+    def _recover(self) -> None:
+        """Logs stored versions that the log lacks, with their fingerprints."""
+        stored = self.chunks.filter("version IS NOT NULL").groupBy("doc_id", "file_name", "version").agg(F.count("*").cast("int").alias("chunk_count"))
+        lost = materialize(stored.join(self.log.select("doc_id", "version"), ["doc_id", "version"], "left_anti"), "lost")
+        if lost.isEmpty():
+            return
+        rows = self.chunks.join(lost.select("doc_id", "version"), ["doc_id", "version"], "left_semi").withColumn("doc", F.col("chunk_id"))
+        marks = rows.select("doc", "doc_id", "chunk_index").join(simhash(rows, "doc", "document"), "doc")
+        marks.select("doc_id", "chunk_index", "simhash").write.mode("append").parquet(f"{self.home}/fingerprints")
+        counts = lost.select("doc_id", "file_name", "chunk_count")
+        self._record(materialize(self._next_versions(counts).drop("version").join(lost.select("doc_id", "version"), "doc_id").select(*self.log.columns), "versions"))
+
     # ------------------------------------------------------------ what searches read
 
     def _ready(self) -> bool:

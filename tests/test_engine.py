@@ -304,3 +304,21 @@ def test_sessions_and_refused_files(spark, tmp_path, root):
     e = Engine(spark, f"file://{tmp_path}/home", config=EngineConfig(upload_limit_bytes=100))
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in ingest.refused(e, f"file://{root}").collect()}
     assert got["x.bin"] == "unknown file type" and got["b.txt"] == "over the upload limit" and "c.txt" not in got
+
+
+def test_a_batch_that_failed_is_logged_by_the_next(spark, root, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/home")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "_record", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            e.index(f"file://{root}")
+    stored = e.chunks.count()
+    assert stored and e.log.count() == 0
+    assert e.index(f"file://{root}").first()["files"] == 0
+    assert {(r.file_name, r.version, r.delta == r.chunk_count) for r in e.log.collect()} == {(n, 1, True) for n in ("a.md", "b.txt", "c.txt", "d.docx")}
+    assert e.chunks.count() == stored == e.fingerprints.select("doc_id", "chunk_index").distinct().count()
+    assert "gamma" in e.search(["gamma"], top_k=1).first()["document"]
