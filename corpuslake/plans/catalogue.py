@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.plans import management, retrieval, texts
+from corpuslake.plans import management, retrieval, stored, texts
 
-QUERIES: dict = texts.QUERIES | retrieval.QUERIES | management.QUERIES
-ORACLES: dict[str, str] = texts.ORACLES | retrieval.ORACLES | management.ORACLES
+QUERIES: dict = texts.QUERIES | retrieval.QUERIES | management.QUERIES | stored.QUERIES
+ORACLES: dict[str, str] = texts.ORACLES | retrieval.ORACLES | management.ORACLES | stored.ORACLES
