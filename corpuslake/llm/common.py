@@ -106,6 +106,22 @@ def row_key(doc_id: Column | str, text: Column | str) -> Column:
     return F.unhex(F.md5(said.cast("binary")))
 
 
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_ROWS = 2_048
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches of whole texts are small on both sides of the Python boundary.
+
+    This sets spark.sql.execution.arrow.maxRecordsPerBatch for the session unless it has been set to another value than
+    Spark's default; it is read when a plan is run, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of at most so many rows and, but for a single longer text, so many bytes of its text column."""
     ends = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(batch.column(text)).to_pylist()), np.int64, batch.num_rows))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import fold, slices
+from corpuslake.llm.common import fold, slices, small_batches
 
 WINDOW = 128
 PAD = 256
@@ -223,4 +223,4 @@ def identify(docs: DataFrame, net: Network | None, held_out_remainder: int = 2,
                         lang[i], score[i] = net.classes[k], min(float(s), 1.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", fold("doc_id", held_out_remainder, modulus).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", fold("doc_id", held_out_remainder, modulus).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import zdict
-from corpuslake.llm.common import fold
+from corpuslake.llm.common import fold, small_batches
 
 WINDOW = 512
 DICTIONARY_BYTES = 16_384
@@ -83,7 +83,7 @@ def score(docs: DataFrame, model: Model, held_out_remainder: int = 0, cut: float
             s = _scores(b.column(2), good, bad, logistic)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", fold("doc_id", held_out_remainder, zdict.FOLDS).alias("held_out"), F.col("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return small_batches(docs).select("doc_id", fold("doc_id", held_out_remainder, zdict.FOLDS).alias("held_out"), F.col("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def _scores(texts: pa.Array, good: bytes, bad: bytes, logistic: zdict.Logistic) -> np.ndarray:
@@ -104,7 +104,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at), good, bad, logistic) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:

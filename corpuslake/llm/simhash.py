@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import BROADCAST_KEYS, discard, materialize, wide
+from corpuslake.llm.common import BROADCAST_KEYS, discard, materialize, small_batches, wide
 
 RADIUS, BITS, CHECKS = 3, 23, 11
 GOLAY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1, carry: tuple[s
                 fps.append([majority(remixed(h, j)) for j in range(tables)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(fps, pa.list_(pa.int64()))], [*carry, "fps"])
 
-    chosen = docs.select(*(F.col(c).cast("long") for c in carry), "text")
+    chosen = small_batches(docs).select(*(F.col(c).cast("long") for c in carry), "text")
     return chosen.mapInArrow(run, "".join(f"`{c}` bigint, " for c in carry) + "fps array<bigint>")
 
 

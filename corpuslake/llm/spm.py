@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import slices, wide
+from corpuslake.llm.common import slices, small_batches, wide
 
 MARK = "▁"
 CHUNKS = re.compile(" +[^ ]*")
@@ -274,7 +274,7 @@ def encode_decode(docs: DataFrame, model: str, keep_ids: bool = False, block_chu
 
     ids_sha256 is of the ids as little-endian unsigned 32-bit numbers, decoded_sha256 of the decoded text in UTF-8.
     """
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    chosen = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text"))
     if not segmenter(model).splits:
         return whole_texts(chosen, model, keep_ids)
     parts = PARTS * wide(docs.sparkSession)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import slices
+from corpuslake.llm.common import slices, small_batches
 
 #: Tags and compression schemes of TIFF 6.0.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -360,7 +360,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 media = [build([np.frombuffer(payload_of(t, width), np.uint8).reshape(-1, width)]) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"{id_col} bigint, n_bytes bigint, media binary")
+    return small_batches(docs).select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"{id_col} bigint, n_bytes bigint, media binary")
 
 
 def feature(pixels: bytes, width: int, height: int) -> str:

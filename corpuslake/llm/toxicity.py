@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import zdict
-from corpuslake.llm.common import fold, slices
+from corpuslake.llm.common import fold, slices, small_batches
 
 MARKER = bytes(range(128, 144))
 PAIRS = 4
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, held_out_remainder: int = 0) -> DataFra
                 s = scores(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", fold("doc_id", held_out_remainder, zdict.FOLDS).alias("held_out"), F.col("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return small_batches(docs).select("doc_id", fold("doc_id", held_out_remainder, zdict.FOLDS).alias("held_out"), F.col("text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
