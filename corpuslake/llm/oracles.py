@@ -76,4 +76,27 @@ FROM p JOIN top USING (html) JOIN digest USING (s)
 """
 
 
-ORACLES = {"op2_warc": WARC, "op4_license_scan": _license(), "op10_decontamination": DECONTAMINATION}
+# the CRC-32 of an id's digits, bit by bit
+TRIE = """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+hs AS (SELECT c, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda s, b: list_reduce([xor(s, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda t, i: xor(t >> 1, CAST(3988292384 AS BIGINT) * (t & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h FROM ids),
+t AS (SELECT conv_id AS c, said, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) - 1 AS pos
+      FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, length(coalesce(text, '')) AS n FROM conversations)),
+b AS (SELECT hs.c, 0 AS own, pos, said, n FROM hs JOIN t ON t.c = hs.c - hs.c % 100 WHERE pos < h
+      UNION ALL SELECT hs.c, 1, pos, said, n FROM hs JOIN t USING (c) WHERE pos >= h),
+l AS (SELECT c, list(said ORDER BY own, pos) AS w, list(n ORDER BY own, pos) AS sizes FROM b GROUP BY c),
+r AS (SELECT c, d, md5(array_to_string(w[1:d], ',')) AS p, CASE WHEN d > 1 THEN md5(array_to_string(w[1:d - 1], ',')) ELSE '' END AS above, sizes[d] AS size, d = len(w) AS last
+      FROM (SELECT c, w, sizes, unnest(generate_series(1, len(w))) AS d FROM l)
+      UNION ALL SELECT ids.c, 0, '', NULL, 0, l.c IS NULL FROM ids LEFT JOIN l USING (c)),
+nodes AS (SELECT d, p, min(above) AS above, min(c) AS c, count(*) AS n, min(size) AS size, string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ended FROM r GROUP BY d, p),
+kids AS (SELECT above AS p, count(*) AS k FROM nodes WHERE above IS NOT NULL GROUP BY above),
+own AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p)),
+sums AS (SELECT r.p, sum((own.n - 1) * own.size) AS saved, sum(CASE WHEN own.k = 0 THEN 1 ELSE 0 END) AS leaves FROM own JOIN r ON r.c = own.c AND r.d <= own.d GROUP BY r.p)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, y.c AS parent_conv_id, x.n AS n_convs, CAST(x.k AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ended, '')) AS ends_sha256
+FROM own x JOIN sums USING (p) LEFT JOIN nodes y ON y.p = x.above
+"""
+
+
+ORACLES = {"op2_warc": WARC, "op4_license_scan": _license(), "op10_decontamination": DECONTAMINATION, "op11_prefix_trie": TRIE}

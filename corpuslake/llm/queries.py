@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import chaining, decontam, langid, license_scan, quality, simhash, spm, tiff, toxicity, warc
+from corpuslake.llm import chaining, decontam, langid, license_scan, prefix_trie, quality, simhash, spm, tiff, toxicity, warc
 from corpuslake.llm.common import fresh_path, table
 
 
@@ -62,7 +62,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination, op11_prefix_trie)
 
 
 def queries() -> dict:
