@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import chaining, decontam, langid, license_scan, prefix_trie, quality, simhash, spm, tiff, toxicity, warc
+from corpuslake.llm import alignment, chaining, decontam, langid, license_scan, prefix_trie, quality, simhash, spm, tiff, toxicity, warc
 from corpuslake.llm.common import fresh_path, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination, op11_prefix_trie)
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination, op11_prefix_trie, op12_alignment)
 
 
 def queries() -> dict:
