@@ -5,8 +5,9 @@ Where a token of either ends at the same byte, the text is cut; what lies betwee
 B ids. An A and a B token of a group are linked. Every pair of ids counts in how many documents it is linked.
 
 Neither tokenizer has a token across a single space between two words (A's pattern and B's whitespace marker begin tokens
-there), so a text falls into units, and each distinct unit of a block of rows is encoded once. A unit whose bytes come back
-otherwise has its text encoded as one whole unit, which decides by the definition. Of a block come three kinds of rows:
+there), so a text falls into units. A worker keeps a lexicon of units with their groups and encodes a unit when it first
+meets it. A unit whose bytes come back otherwise has its text encoded as one whole unit, which decides by the
+definition. Of a block of rows come three kinds of rows:
 
 * its distinct groups, with a 128-bit hash of the ids as key and the ids' counts,
 * its pairs of ids, each with the number of the block's documents that hold it: links are expanded once for each
@@ -15,8 +16,9 @@ otherwise has its text encoded as one whole unit, which decides by the definitio
 
 Pairs are summed over all blocks. Each distinct group of the corpus is expanded once more, meets its pairs' counts, and
 gets the sum of its links' counts and the number of its best links; these go back by the group's key to the blocks
-that have it and, times the frequencies, to the documents. A block ends after `block_bytes` of text or `block_groups`
-groups (and what one more piece of a text adds), and a long text is taken in pieces, cut between units.
+that have it and, times the frequencies, to the documents. A block ends after `block_bytes` characters (and what one more
+slice of a batch adds), a lexicon of more than `lexicon_units` begins anew with the next block, and a long text is taken in
+pieces, cut between units.
 
 Null and empty texts, and texts that one of the tokenizers doesn't give back byte for byte, have no tokens: zeros, and an
 empty groups_sha256. Every row is a document, also if it repeats an id or a text; of ties in count all are best; an empty
@@ -28,8 +30,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +86,7 @@ class Pair:
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of a space and text by A and of text by B, or nothing if either's bytes are others."""
         said = (" " + text).encode("utf-8", "surrogatepass")
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         if b"".join(map(self.a_bytes.__getitem__, a)) != said:
             return None
         b = self.b.encode(text)
@@ -108,127 +112,159 @@ def units(piece: str) -> list[str]:
     return BETWEEN.split(piece[1:]) if piece[1:2] != " " else [x[k == 0 :] for k, x in enumerate(BETWEEN.split(piece))]
 
 
-class Block:
-    """Rows of one partition with their units, groups and pairs as numbers of first occurrence."""
+class Lexicon:
+    """The units met so far, with their groups as numbers of first occurrence. What it holds changes no result."""
 
     def __init__(self, tokenizers: Pair):
         self.two = tokenizers
         self.numbers: dict[str, int] = {}
-        #: By unit: its group string (None if its bytes come back otherwise), its groups, and tokens of A and B.
-        self.said: list[str | None] = []
-        self.unit_groups: list[list[int]] = []
-        self.tokens: list[tuple[int, int]] = []
-        self.groups: dict[str, int] = {}
-        self.ids: list[tuple[list[int], list[int]]] = []
-        self.docs: list[tuple[int | None, list[np.ndarray], str]] = []
-        self.bytes = 0
-
-    def _learn(self, fresh: list[str]) -> None:
+        #: By unit: its groups (None if its bytes come back otherwise), and tokens of A and B.
+        self.groups: list[list[int] | None] = []
+        self.n_a: list[int] = []
+        self.n_b: list[int] = []
+        #: By group: its distinct ids of A and how often each, the same of B, its links, distinct pairs and name.
+        self.counted: list[tuple[list[int], list[int], list[int], list[int]]] = []
+        self.links: list[int] = []
+        self.pairs: list[np.ndarray] = []
+        self.names: list[str] = []
+        #: A group's number by its pair of ids or, if it has more, by its name.
+        self.single: dict[int, int] = {}
+        self.longer: dict[str, int] = {}
+
+    def numbered(self, said: list[str]) -> list[int]:
+        """The numbers of units; new ones are learnt first."""
+        if None in (found := list(map(self.numbers.get, said))):
+            self.learn([u for u in dict.fromkeys(said) if u not in self.numbers])
+            found = list(map(self.numbers.__getitem__, said))
+        return found
+
+    def learn(self, fresh: list[str]) -> None:
+        """Units that another could not stand beside as in a text, at a text's begin or end, are encoded alone."""
+        edge = [u for u in fresh if u[:1].isspace() or u[-1:] in (" ", "")]
+        inner = fresh if not edge else [u for u in fresh if not (u[:1].isspace() or u[-1:] in (" ", ""))]
+        for part in [*([u] for u in edge), *(inner[k : k + TOGETHER] for k in range(0, len(inner), TOGETHER))]:
+            self.numbers.update(zip(part, range(len(self.groups), len(self.groups) + len(part))))
+            self._encode(part)
+
+    def _add(self, a: list[int], b: list[int], name: str) -> int:
+        of_a, of_b = Counter(a), Counter(b)
+        self.counted.append(([*of_a], [*of_a.values()], [*of_b], [*of_b.values()]))
+        self.links.append(len(a) * len(b))
+        self.pairs.append(np.add.outer(np.array([*of_a], np.int64) << 32, np.array([*of_b], np.int64)).ravel())
+        self.names.append(name)
+        return len(self.names) - 1
+
+    def _group(self, a: list[int], b: list[int]) -> int:
+        name = f"{','.join([self.two.a_name[i] for i in a])}|{','.join([self.two.b_name[i] for i in b])}"
+        n = self.longer.get(name)
+        if n is None:
+            n = self.longer[name] = self._add(a, b, name)
+        return n
+
+    def _single(self, a: int, b: int) -> int:
+        n = self.single.get(a << 32 | b)
+        if n is None:
+            n = self.single[a << 32 | b] = self._add([a], [b], f"{a}|{b}")
+        return n
+
+    def _encode(self, fresh: list[str]) -> None:
         """Encodes units and numbers their groups."""
         found = self.two.encode(" ".join(fresh))
         if found is None:
             if len(fresh) == 1:
-                self.said.append(None)
-                self.unit_groups.append([])
-                self.tokens.append((0, 0))
+                self.groups.append(None)
+                self.n_a.append(0)
+                self.n_b.append(0)
             else:
                 half = len(fresh) // 2
-                self._learn(fresh[:half])
-                self._learn(fresh[half:])
+                self._encode(fresh[:half])
+                self._encode(fresh[half:])
             return
         a, b = (np.array(x, np.int64) for x in found)
         a_end, b_end = np.cumsum(self.two.a_size[a]), np.cumsum(self.two.b_size[b])
-        cut = np.intersect1d(a_end, b_end, assume_unique=False)
+        both = b_end[np.searchsorted(b_end, a_end)] == a_end  # both end with the text
+        cut = a_end[both]
         unit_end = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in fresh])
         at = np.searchsorted(cut, unit_end)
-        if not (cut[np.minimum(at, len(cut) - 1)] == unit_end).all():
+        if not (cut[at] == unit_end).all():
             raise RuntimeError("a token goes across a space between words; these tokenizers don't fit")
-        a_stop, b_stop, g_stop = np.searchsorted(a_end, cut, "right").tolist(), np.searchsorted(b_end, cut, "right").tolist(), (at + 1).tolist()
-        a_name, b_name = [self.two.a_name[i] for i in found[0]], [self.two.b_name[i] for i in found[1]]
-        groups, ids, keys, numbers = self.groups, self.ids, [], []
-        i = j = 0
-        for x, y in zip(a_stop, b_stop):
-            key = f"{a_name[i]}|{b_name[j]}" if x - i == 1 == y - j else f"{','.join(a_name[i:x])}|{','.join(b_name[j:y])}"
-            n = groups.get(key)
-            if n is None:
-                n = groups[key] = len(ids)
-                ids.append((found[0][i:x], found[1][j:y]))
-            keys.append(key)
-            numbers.append(n)
-            i, j = x, y
-        g = i = j = 0
-        for stop in g_stop:
-            self.said.append(";".join(keys[g:stop]))
-            self.unit_groups.append(numbers[g:stop])
-            x, y = a_stop[stop - 1], b_stop[stop - 1]
-            self.tokens.append((x - i, y - j))
-            g, i, j = stop, x, y
-
-    def _numbered(self, said: list[str]) -> np.ndarray:
-        fresh = [u for u in dict.fromkeys(said) if u not in self.numbers]
-        for k in range(0, len(fresh), TOGETHER):
-            part = fresh[k : k + TOGETHER]
-            self.numbers.update(zip(part, range(len(self.said), len(self.said) + len(part))))
-            self._learn(part)
-        return np.fromiter(map(self.numbers.__getitem__, said), np.int64, len(said))
-
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        if not text:
-            self.docs.append((doc_id, [], ""))
-            return
-        self.bytes += len(text)
-        parts, digest = [], hashlib.sha256()
-        for piece in pieces(text) if "▁" not in text else ():
-            numbers = self._numbered(units(piece))
-            said = [self.said[i] for i in numbers.tolist()]
-            if None in said:
-                parts = []
-                break
-            digest.update(((";" if parts else "") + ";".join(said)).encode())
-            parts.append(numbers)
-        if not parts:  # a unit's bytes are others: the whole text decides
-            parts = [self._numbered([text])]
-            said = self.said[int(parts[0][0])]
-            if said is None:
-                self.docs.append((doc_id, [], ""))
-                return
-            digest = hashlib.sha256(said.encode())
-        self.docs.append((doc_id, parts, digest.hexdigest()))
+        a_stop, b_stop = np.flatnonzero(both) + 1, np.searchsorted(b_end, cut) + 1
+        a_n, b_n = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+        one = (a_n == 1) & (b_n == 1)
+        numbers = np.empty(len(cut), np.int64)
+        code, back = np.unique(a[a_stop[one] - 1] << 32 | b[b_stop[one] - 1], return_inverse=True)
+        numbers[one] = np.array([self._single(c >> 32, c & 0xFFFFFFFF) for c in code.tolist()], np.int64)[back]
+        ids_a, ids_b = found
+        numbers[~one] = [self._group(ids_a[x - i : x], ids_b[y - j : y]) for x, i, y, j in zip(*(v[~one].tolist() for v in (a_stop, a_n, b_stop, b_n)))]
+        numbers, stops = numbers.tolist(), (at + 1).tolist()
+        self.groups += [numbers[g:h] for g, h in zip([0, *stops], stops)]
+        self.n_a += np.diff(a_stop[at], prepend=0).tolist()
+        self.n_b += np.diff(b_stop[at], prepend=0).tolist()
+
+
+@lru_cache(maxsize=1)
+def kept_lexicon(a_path: str, b_path: str) -> list[Lexicon]:
+    """A place for a worker's lexicon, from block to block."""
+    return [Lexicon(pair(a_path, b_path))]
+
+
+class Block:
+    """Rows of one partition, with their groups as numbers of a lexicon."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.docs: list[tuple[int | None, int, int, str]] = []
+        self.groups: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, doc_id: int | None, text: str | None, said: list[str] | None = None) -> None:
+        """said: the text's units, if they have been made already; all of the text then is one piece."""
+        every, n_a, n_b, digest = [], 0, 0, hashlib.sha256()
+        if text:
+            self.bytes += len(text)
+            for units_of in [said] if said else map(units, pieces(text)) if "▁" not in text else ():
+                if not self._add(units_of, every, digest):
+                    every = []
+                    break
+            if not every:  # a unit's bytes are others: the whole text decides
+                digest = hashlib.sha256()
+                self._add([text], every, digest)
+        if every:
+            n_a, n_b = (sum(x[k] for x in every) for k in (1, 2))
+        self.docs.append((doc_id, n_a, n_b, digest.hexdigest() if every else ""))
+        self.groups.append(np.concatenate([x[0] for x in every]) if every else np.empty(0, np.int32))
+
+    def _add(self, said: list[str], every: list, digest) -> bool:
+        lexicon = self.lexicon
+        numbers = lexicon.numbered(said)
+        found = list(map(lexicon.groups.__getitem__, numbers))
+        if None in found:
+            return False
+        flat = list(chain.from_iterable(found))
+        digest.update(((";" if every else "") + ";".join(map(lexicon.names.__getitem__, flat))).encode())
+        every.append((np.array(flat, np.int32), *(sum(map(n.__getitem__, numbers)) for n in (lexicon.n_a, lexicon.n_b))))
+        return True
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        sizes = [len(g) for g in self.groups]
+        self.used, group = np.unique(np.concatenate([np.empty(0, np.int32), *self.groups]), return_inverse=True)
+        key, often = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(self.used)) + group, return_counts=True)
+        doc, group = np.divmod(key, max(1, len(self.used)))
         yield from self.group_rows(block)
-        doc, group, often = self.doc_groups()
         yield from self.pair_rows(block, doc, group)
         yield from self.doc_rows(block, doc, group, often)
 
-    def doc_groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, group and frequency, in order, for each group of each document."""
-        size = np.fromiter(map(len, self.unit_groups), np.int64, len(self.unit_groups))
-        start = np.cumsum(size) - size
-        flat = np.fromiter((g for v in self.unit_groups for g in v), np.int64, int(size.sum()))
-        every = [np.concatenate(parts) for _, parts, _ in self.docs if parts]
-        if not every:
-            return (np.empty(0, np.int64),) * 3
-        docs = np.repeat([k for k, d in enumerate(self.docs) if d[1]], [len(x) for x in every])
-        key, often = np.unique(docs * len(size) + np.concatenate(every), return_counts=True)
-        doc, unit = np.divmod(key, len(size))
-        n = size[unit]
-        spots = np.repeat(start[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key, back = np.unique(np.repeat(doc, n) * len(self.ids) + flat[spots], return_inverse=True)
-        doc, group = np.divmod(key, len(self.ids))
-        return doc, group, np.bincount(back, np.repeat(often, n), len(key)).astype(np.int64)
-
     def group_rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        keys = [xxhash.xxh3_128_digest(k) for k in self.groups]
-        self.counted = [tuple(np.unique(v, return_counts=True) for v in x) if len(x[0]) + len(x[1]) > 2 else ((x[0], [1]), (x[1], [1])) for x in self.ids]
+        keys = [xxhash.xxh3_128_digest(self.lexicon.names[g]) for g in self.used.tolist()]
+        counted = [self.lexicon.counted[g] for g in self.used.tolist()]
         for k in range(0, len(keys), 8192):
-            part = self.counted[k : k + 8192]
-            yield batch(len(part), kind=GROUP, block=block, place=range(k, k + len(part)), group=keys[k : k + 8192], a=[x[0][0] for x in part], n_of_a=[x[0][1] for x in part], b=[x[1][0] for x in part], n_of_b=[x[1][1] for x in part])
+            part = counted[k : k + 8192]
+            yield batch(len(part), kind=GROUP, block=block, place=range(k, k + len(part)), group=keys[k : k + 8192], **dict(zip(("a", "n_of_a", "b", "n_of_b"), zip(*part))))
 
     def pair_rows(self, block: int, doc: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(doc):
             return
-        expanded = [np.add.outer(np.asarray(a[0], np.int64) << 32, np.asarray(b[0], np.int64)).ravel() if len(a[0]) + len(b[0]) > 2 else (a[0][0] << 32 | b[0][0],) for a, b in self.counted]
+        expanded = [self.lexicon.pairs[g] for g in self.used.tolist()]
         size = np.fromiter(map(len, expanded), np.int64, len(expanded))
         start = np.cumsum(size) - size
         known, pair_of = np.unique(np.concatenate(expanded), return_inverse=True)
@@ -245,13 +281,11 @@ class Block:
             yield batch(len(part), kind=PAIR, a_id=part >> 32, b_id=part & 0xFFFFFFFF, n=counts[k : k + 65_536])
 
     def doc_rows(self, block: int, doc: np.ndarray, group: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(self.tokens or [(0, 0)], np.int64)
-        links = np.fromiter((len(a) * len(b) for a, b in self.ids), np.int64, len(self.ids))
+        links = np.array([self.lexicon.links[g] for g in self.used.tolist()], np.int64)
         ends = np.searchsorted(doc, np.arange(len(self.docs)), "right").tolist()
         held, z = [], 0
-        for (doc_id, parts, digest), end in zip(self.docs, ends):
+        for (doc_id, n_a, n_b, digest), end in zip(self.docs, ends):
             a, z = z, end
-            n_a, n_b = (int(sum(tokens[p, k].sum() for p in parts)) for k in (0, 1))
             places = np.diff(group[a:z], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + often[a:z].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if z > a else b""
             held.append((doc_id, n_a, n_b, int(often[a:z].sum()), int((links[group[a:z]] * often[a:z]).sum()), digest, zstandard.compress(places, 1)))
             if len(held) >= 512:
@@ -282,20 +316,27 @@ def doc_batch(block: int, held: list[tuple]) -> pa.RecordBatch:
     return batch(len(held), kind=DOC, block=block, **dict(zip(names, map(list, zip(*held)))))
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int, block_groups: int) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int, lexicon_units: int) -> DataFrame:
     """ROW rows of docs (doc_id, text). The number of a block is its partition's and its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, number = pair(a_path, b_path), TaskContext.get().partitionId() << 32
-        block = Block(two)
+        kept, number, block = kept_lexicon(a_path, b_path), TaskContext.get().partitionId() << 32, None
         for b in batches:
-            for piece in slices(b, 1):
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    if block.bytes >= block_bytes or len(block.ids) >= block_groups:
+            for part in slices(b, 1):
+                if block is None or block.bytes >= block_bytes:
+                    if block:
                         yield from block.rows(number)
-                        block, number = Block(two), number + 1
-                    block.add(doc_id, text)
-        yield from block.rows(number)
+                        number += 1
+                    if len(kept[0].groups) > lexicon_units:
+                        kept[0] = Lexicon(kept[0].two)
+                    block = Block(kept[0])
+                texts = part.column(1).to_pylist()
+                said = [units(" " + t) if t and len(t) <= PIECE and "▁" not in t else None for t in texts]
+                kept[0].learn([u for u in dict.fromkeys(chain.from_iterable(filter(None, said))) if u not in kept[0].numbers])
+                for doc_id, text, own in zip(part.column(0).to_pylist(), texts, said):
+                    block.add(doc_id, text, own)
+        if block:
+            yield from block.rows(number)
 
     return docs.mapInArrow(run, ROW)
 
@@ -358,13 +399,14 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "block").sortWithinPartitions("block", "kind", "place").mapInArrow(run, RESULT)
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 8 << 20, block_groups: int = 150_000) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 8 << 20, lexicon_units: int = 300_000) -> DataFrame:
     """Per document row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
 
-    a_path: a byte-level BPE of the tokenizers library; b_path: a sentencepiece model with byte fallback.
+    a_path: a byte-level BPE of the tokenizers library; b_path: a sentencepiece model with byte fallback; block_bytes:
+    characters of a block of rows (a slice of a batch may add to it); lexicon_units: units after which a worker begins its lexicon anew.
     """
     chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = materialize(aligned(chosen, a_path, b_path, block_bytes, block_groups), "aligned")
+    rows = materialize(aligned(chosen, a_path, b_path, block_bytes, lexicon_units), "aligned")
     pairs = counted_pairs(rows)
     values = materialize(group_values(rows, pairs), "group-values")
     discard(pairs)

@@ -65,7 +65,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 20, "block_groups": 5}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20, "lexicon_units": 5}])
 def test_odd_texts(spark, options):
     assert found(spark, ODD, **options) == brute(ODD)
 
@@ -85,14 +85,18 @@ LETTERS = st.text(st.sampled_from("ab Zé'. \n\t ▁🙂\x00日1,st"), max_size
 
 
 @settings(max_examples=300, deadline=None)
-@given(LETTERS)
-def test_units_give_the_whole_text_its_groups(text):
+@given(st.lists(LETTERS, min_size=1, max_size=4))
+def test_units_give_whole_texts_their_groups(texts):
     two = alignment.pair(*PATHS)
-    block = alignment.Block(two)
-    block.add(1, text)
-    groups = whole(two, text)
-    said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-    assert block.docs[0][2] == (hashlib.sha256(said.encode()).hexdigest() if groups else "")
+    block = alignment.Block(alignment.Lexicon(two))
+    made = [alignment.units(" " + t) if t and "▁" not in t else None for t in texts]
+    block.lexicon.learn(list(dict.fromkeys(u for m in made if m for u in m)))
+    for text, own in zip(texts, made):
+        block.add(1, text, own)
+    for text, doc in zip(texts, block.docs):
+        groups = whole(two, text)
+        said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert doc[1:] == (sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), hashlib.sha256(said.encode()).hexdigest() if groups else "")
 
 
 def test_long_texts_are_taken_in_pieces():
