@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import alignment, chaining, decontam, langid, license_scan, prefix_trie, quality, simhash, spm, tiff, toxicity, warc
+from corpuslake.llm import alignment, chaining, decontam, langid, license_scan, pii, prefix_trie, quality, simhash, spm, tiff, toxicity, warc
 from corpuslake.llm.common import fresh_path, table
 
 
@@ -70,7 +70,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
 
-QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination, op11_prefix_trie, op12_alignment)
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_language_id, op2_warc, op3_toxicity, op4_license_scan, op5_quality, op6_tiff, op7_substring_dedup, op8_sentencepiece, op9_simhash, op10_decontamination, op11_prefix_trie, op12_alignment, op13_pii)
 
 
 def queries() -> dict:
