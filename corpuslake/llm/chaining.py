@@ -6,13 +6,16 @@ the matches linear in the input however many texts share a passage. A passage wh
 texts can escape that, so a second, exact pass follows: of the stretches that these passages leave open and whose
 seeds all occur elsewhere, each window of `min_words` words is matched with the first text that has the whole window
 (of equal windows in one text, those that don't overlap, and the last). So every exact run of `min_words` words that
-an earlier text has is found. The matches of a pair of texts are chained:
+an earlier text has is found. A third pass is for fuzzy passages of this kind: seeds that are open still are joined by pairs,
+each two of a text with few seeds between them, with the first text that has the pair. A pair that spans a place where texts
+with one part meet those with another is first seen where both parts stand together, and a chain grows from it; and all
+occurrences of an open seed in a text are matched, not its first alone. The matches of a pair of texts are chained:
 a chain's value is its seeds less a cost for the gaps in both texts, and the best predecessor of a seed is a
 prefix maximum that a Fenwick tree holds over the positions in the other text. Chains are then aligned word by
 word: gaps between seeds by their longest common subsequence, ends by extension while equal words outweigh the others.
 Passages of at least `min_words` equal words at `identity` or more are returned, one row each, with where they lie
 in the text and in the text that has them first. Of fuzzy passages those are found whose changes leave two common
-seeds; the share is measured in the tests.
+seeds, and if other texts had these first, a pair of them that no earlier text has; the shares are measured in the tests.
 
 Null texts and texts of fewer than `min_words` words have no passages; a text's own repetitions don't count;
 rows that repeat an id, or have none, are told apart by a row number and reported under that id (a null id
@@ -45,7 +48,7 @@ class Plan:
     identity: float = 0.8
     seed_words: int = 5
     #: Shingles of which the least is a seed; at most 15.
-    window: int = 12
+    window: int = 8
     seed_value: float = 60.0
     gap_cost: float = 0.03
     least_seeds: int = 2
@@ -57,6 +60,11 @@ class Plan:
     most: int = 2**31
     #: A gap that leaves more than so many words unaligned parts a chain.
     loose_words: int = 20
+    #: Pairs of open seeds have fewer than so many others between them, and lie within so many words.
+    pair_steps: int = 6
+    pair_words: int = 60
+    #: Open seeds that lie over fewer words than this, like those of a single common line, make no pairs.
+    open_words: int = 15
 
     def __post_init__(self):
         if not 0 < self.window <= 15 or self.min_words < self.seed_words + self.window - 1:
@@ -554,7 +562,7 @@ def window_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan
     wanted = materialize(left_open.select(F.explode("hs").alias("h")).distinct(), "wanted")
     if wanted.isEmpty():
         return None
-    again = maybe_among(repeated, "h", wanted).join(wanted, "h", "left_semi")
+    again = maybe_among(repeated.select("h", "uid", "at", "place"), "h", wanted).join(wanted, "h", "left_semi")
     none = F.lit(None).cast("array<int>")
     near = stretch_rows(seed_lists(again).select("uid", "seeds", none.alias("begins"), none.alias("stops")), plan)
     near = materialize(near.groupBy("uid").agg(F.collect_list("begin").alias("lows"), F.collect_list("end").alias("highs")).join(spans, "uid", "left"), "near")  # a text bounds its stretches
@@ -575,6 +583,102 @@ def window_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan
     return longest.drop("reached")
 
 
+# ---------------------------------------------------------------- pairs of seeds
+
+
+def covered(at: np.ndarray, begins: list[int], stops: list[int]) -> np.ndarray:
+    """Which of the ascending offsets lie in a span."""
+    out = np.zeros(len(at), bool)
+    for s, e in zip(begins, stops):
+        out[np.searchsorted(at, s) : np.searchsorted(at, e)] = True
+    return out
+
+
+def open_rows(lists: DataFrame, plan: Plan) -> DataFrame:
+    """STRETCH rows of the runs of seeds of (uid, seeds, begins, stops) that no span covers, with pair_words between them at most and open_words or more from first to last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for uid, found, begins, stops in zip(*b.columns):
+                at, place, h = (found.values.field(i).to_numpy() for i in range(3))
+                left = np.flatnonzero(~covered(at, begins.as_py() or (), stops.as_py() or ()))
+                if len(left) < plan.least_seeds:
+                    continue
+                word = place[left] >> 32
+                bounds = np.concatenate(([0], np.flatnonzero(np.diff(word) > plan.pair_words) + 1, [len(left)]))
+                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if y - x >= plan.least_seeds and word[y - 1] - word[x] >= plan.open_words:
+                        rows.append((uid.as_py(), int(at[left[x]]), int(at[left[y - 1]]) + 1, h[left[x:y]]))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["uid", "begin", "end", "hs"])
+
+    return lists.select("uid", "seeds", "begins", "stops").mapInArrow(run, STRETCH)
+
+
+PAIR = "pair bigint, uid bigint, at int, next_at int, open boolean"
+
+
+def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
+    """PAIR rows of (uid, seeds, lows, highs): a hash of each two seeds of which at most pair_steps - 1 lie between; open says that both lie in one stretch (lows, highs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, found, lows, highs in zip(*b.columns):
+                at, place, h = (found.values.field(i).to_numpy() for i in range(3))
+                word, stretch, mixed = place >> 32, np.full(len(at), -1), h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for m, (s, e) in enumerate(zip(lows.as_py() or (), highs.as_py() or ())):
+                    stretch[np.searchsorted(at, s) : np.searchsorted(at, e)] = m
+                parts = []
+                for step in range(1, min(plan.pair_steps, len(at) - 1) + 1):
+                    near = np.flatnonzero(word[step:] - word[:-step] <= plan.pair_words)
+                    key = mixed[near] ^ (h.view(np.uint64)[near + step] * np.uint64(0xFF51AFD7ED558CCD))
+                    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                    parts.append((key.view(np.int64), at[near], at[near + step], (stretch[near] >= 0) & (stretch[near] == stretch[near + step])))
+                if parts:
+                    pair, one, two, opened = map(np.concatenate, zip(*parts))
+                    cols = [pair, np.full(len(pair), uid.as_py()), one, two, opened]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], [f.split(" ")[0] for f in PAIR.split(", ")])
+
+    return lists.select("uid", "seeds", "lows", "highs").mapInArrow(run, PAIR)
+
+
+def pair_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame | None:
+    """Passages through seeds that found leaves open: by pairs of seeds with the first text that has the pair, and by all of a text's occurrences of a seed.
+
+    A pair across a place where texts with one part meet those with another is first seen where both parts stand together.
+    """
+    spans = found.groupBy("uid").agg(F.collect_list("start").alias("begins"), F.collect_list("end").alias("stops"))  # a text bounds its spans
+    later = repeated.filter("uid > first_uid")
+    left_open = materialize(open_rows(seed_lists(later).join(spans, "uid", "left"), plan), "open")
+    wanted = materialize(left_open.select(F.explode("hs").alias("h")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return None
+    ranges = left_open.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("r")).select("uid", F.col("r.begin").alias("lows"), F.col("r.end").alias("highs"))  # a text bounds its stretches
+    ranges = materialize(ranges, "ranges")
+    again = materialize(maybe_among(repeated, "h", wanted).join(wanted, "h", "left_semi").select("h", "uid", "at", "place", "lead", "first_uid", "first_at"), "again")
+    pairs = materialize(pair_rows(seed_lists(again).join(ranges, "uid", "left"), plan), "pairs")
+    first = pairs.groupBy("pair").agg(F.min(F.struct("uid", "at", "next_at")).alias("f"), F.max("uid").alias("last"), F.max("open").alias("open")).filter("open AND last > f.uid")
+    first = materialize(first.select("pair", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"), F.col("f.next_at").alias("first_next")), "firsts")
+    met = pairs.filter("open").join(first, "pair").filter("uid > first_uid")
+    ends = F.array(F.struct("at", "first_at"), F.struct(F.col("next_at").alias("at"), F.col("first_next").alias("first_at")))
+    linked = met.select("uid", "first_uid", F.inline(ends))
+    # a text's later occurrences of a seed, which weren't matched before, beside its first ones
+    inside = again.filter("uid > first_uid").join(ranges, "uid").filter(F.exists(F.arrays_zip("lows", "highs"), lambda r: (r["lows"] <= F.col("at")) & (F.col("at") < r["highs"])))
+    repeats = materialize(inside.filter("NOT lead").select("uid").distinct(), "repeats")
+    others = inside.join(repeats, "uid", "left_semi").select("uid", "first_uid", "at", "first_at")
+    chained = materialize(chain_rows(linked.unionByName(others).distinct(), plan), "chains")
+    more = passage_rows(chained, docs, plan, "pair-passages")
+    for spent in (left_open, wanted, ranges, again, pairs, first, repeats, chained):
+        discard(spent)
+    before = Window.partitionBy("uid").orderBy("start", F.desc("end"), "first_uid", "first_start").rowsBetween(Window.unboundedPreceding, -1)
+    longest = more.withColumn("reached", F.max("end").over(before)).filter("reached IS NULL OR end > reached").drop("reached")
+    # one that a found span holds is known already
+    held = longest.join(spans, "uid", "left").filter(~F.coalesce(F.exists(F.arrays_zip("begins", "stops"), lambda r: (r["begins"] <= F.col("start")) & (F.col("end") <= r["stops"])), F.lit(False)))
+    return held.drop("begins", "stops")
+
+
 # ---------------------------------------------------------------- DataFrames
 
 
@@ -604,10 +708,12 @@ def passages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     discard(rows)
     discard(first)
     found = passage_rows(chained, docs, plan, "passages")
-    more = window_passages(repeated.select("h", "uid", "at", "place", "first_uid"), found, docs, plan)
+    for finder in (window_passages, pair_passages):
+        more = finder(repeated, found, docs, plan)
+        found = found if more is None else found.unionByName(materialize(more, "more"))
     discard(repeated)
     discard(chained)
-    return found if more is None else found.unionByName(more)
+    return found
 
 
 def repeated_passages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
