@@ -64,7 +64,7 @@ class Plan:
     pair_steps: int = 6
     pair_words: int = 60
     #: Open seeds that lie over fewer words than this, like those of a single common line, make no pairs.
-    open_words: int = 15
+    open_words: int = 20
 
     def __post_init__(self):
         if not 0 < self.window <= 15 or self.min_words < self.seed_words + self.window - 1:
@@ -463,9 +463,9 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def seed_lists(repeated: DataFrame) -> DataFrame:
-    """(uid, seeds) of repeated seeds (h, uid, at, place); a text bounds its list."""
-    return repeated.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "place", "h"))).alias("seeds"))
+def seed_lists(repeated: DataFrame, *more: str) -> DataFrame:
+    """(uid, seeds) of repeated seeds (h, uid, at, place and more); a text bounds its list."""
+    return repeated.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "place", "h", *more))).alias("seeds"))
 
 
 def stretches(seeds: pa.StructScalar, plan: Plan) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -617,16 +617,17 @@ def open_rows(lists: DataFrame, plan: Plan) -> DataFrame:
     return lists.select("uid", "seeds", "begins", "stops").mapInArrow(run, STRETCH)
 
 
-PAIR = "pair bigint, uid bigint, at int, next_at int, open boolean"
+PAIR = "pair bigint, uid bigint, at int, next_at int, open boolean, known bigint"
 
 
 def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
-    """PAIR rows of (uid, seeds, lows, highs): a hash of each two seeds of which at most pair_steps - 1 lie between; open says that both lie in one stretch (lows, highs)."""
+    """PAIR rows of (uid, seeds, lows, highs): a hash of each two seeds of which at most pair_steps - 1 lie between; open says that both lie in one stretch (lows, highs); known is the first text of both seeds, if it is the same and they are the text's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uid, found, lows, highs in zip(*b.columns):
-                at, place, h = (found.values.field(i).to_numpy() for i in range(3))
+                at, place, h, first, lead = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                first = np.where(lead, first, -1)
                 word, stretch, mixed = place >> 32, np.full(len(at), -1), h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 for m, (s, e) in enumerate(zip(lows.as_py() or (), highs.as_py() or ())):
                     stretch[np.searchsorted(at, s) : np.searchsorted(at, e)] = m
@@ -635,11 +636,11 @@ def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
                     near = np.flatnonzero(word[step:] - word[:-step] <= plan.pair_words)
                     key = mixed[near] ^ (h.view(np.uint64)[near + step] * np.uint64(0xFF51AFD7ED558CCD))
                     key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                    parts.append((key.view(np.int64), at[near], at[near + step], (stretch[near] >= 0) & (stretch[near] == stretch[near + step])))
+                    parts.append((key.view(np.int64), at[near], at[near + step], (stretch[near] >= 0) & (stretch[near] == stretch[near + step]), np.where(first[near] == first[near + step], first[near], -1)))
                 if parts:
-                    pair, one, two, opened = map(np.concatenate, zip(*parts))
-                    cols = [pair, np.full(len(pair), uid.as_py()), one, two, opened]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], [f.split(" ")[0] for f in PAIR.split(", ")])
+                    pair, one, two, opened, known = map(np.concatenate, zip(*parts))
+                    cols = [pair, np.full(len(pair), uid.as_py()), one, two, opened, known]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], [f.split(" ")[0] for f in PAIR.split(", ")])
 
     return lists.select("uid", "seeds", "lows", "highs").mapInArrow(run, PAIR)
 
@@ -658,10 +659,11 @@ def pair_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan:
     ranges = left_open.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("r")).select("uid", F.col("r.begin").alias("lows"), F.col("r.end").alias("highs"))  # a text bounds its stretches
     ranges = materialize(ranges, "ranges")
     again = materialize(maybe_among(repeated, "h", wanted).join(wanted, "h", "left_semi").select("h", "uid", "at", "place", "lead", "first_uid", "first_at"), "again")
-    pairs = materialize(pair_rows(seed_lists(again).join(ranges, "uid", "left"), plan), "pairs")
+    pairs = materialize(pair_rows(seed_lists(again, "first_uid", "lead").join(ranges, "uid", "left"), plan), "pairs")
     first = pairs.groupBy("pair").agg(F.min(F.struct("uid", "at", "next_at")).alias("f"), F.max("uid").alias("last"), F.max("open").alias("open")).filter("open AND last > f.uid")
     first = materialize(first.select("pair", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"), F.col("f.next_at").alias("first_next")), "firsts")
-    met = pairs.filter("open").join(first, "pair").filter("uid > first_uid")
+    # seeds that both were matched with this text before gave no passage
+    met = pairs.filter("open").join(first, "pair").filter("uid > first_uid AND first_uid <> known")
     ends = F.array(F.struct("at", "first_at"), F.struct(F.col("next_at").alias("at"), F.col("first_next").alias("first_at")))
     linked = met.select("uid", "first_uid", F.inline(ends))
     # a text's later occurrences of a seed, which weren't matched before, beside its first ones
@@ -703,7 +705,7 @@ def passages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     first = rows.filter("lead").groupBy("h").agg(F.min("uid").alias("first_uid"), F.min_by("at", "uid").alias("first_at"), F.max("uid").alias("last"))
     # written, so that the join is one of two plain shuffles, whose hot seeds Spark can split
     first = materialize(first.filter("last > first_uid").select("h", "first_uid", "first_at"), "firsts")
-    repeated = materialize(rows.join(first, "h"), "repeated")
+    repeated = materialize(maybe_among(rows, "h", first.select("h")).join(first, "h"), "repeated")
     chained = materialize(chain_rows(repeated.filter("lead AND uid > first_uid"), plan), "chains")  # a text that repeats itself is met at its first place
     discard(rows)
     discard(first)
