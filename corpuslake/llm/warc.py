@@ -27,6 +27,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -161,25 +162,38 @@ def whole_number(value: str | bytes | None) -> int | None:
         return None
 
 
-def unpacked(data: bytes) -> tuple[bytes, bool]:
-    """The bytes of an archive, out of its gzip members if it has them, and whether all could be unpacked."""
+def unpacked(data: bytes) -> tuple[list[bytes], bool]:
+    """The bytes of an archive, out of its gzip members if it has them, and whether all could be unpacked.
+
+    A damaged member ends a piece, with what came out of it; the next begins at the next member that holds records.
+    """
     if data[:2] != b"\x1f\x8b":
-        return data, True
-    out, at = [], 0
-    while at < len(data):
-        member = zlib.decompressobj(wbits=31)
-        while not member.eof and at < len(data):
-            piece = data[at : at + 65_536]
-            try:
-                out.append(member.decompress(piece))
-            except zlib.error:
-                return b"".join(out), False
-            at += len(piece) - len(member.unused_data)
-        if not member.eof:
-            return b"".join(out), False
-        while data[at : at + 1] == b"\0":
-            at += 1
-    return b"".join(out), True
+        return [data], True
+    pieces, out, at, sound = [], [], 0, True
+    while 0 <= at < len(data):
+        member, begin, got = zlib.decompressobj(wbits=31), at, []
+        try:
+            while not member.eof and at < len(data):
+                piece = data[at : at + 65_536]
+                got.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
+        except zlib.error:
+            pass
+        if member.eof:
+            out += got
+            while data[at : at + 1] == b"\0":
+                at += 1
+            continue
+        if sound or b"".join(got).startswith(b"WARC/"):  # else the bytes looked like a member by chance
+            out += got
+        sound = False
+        if out:
+            pieces.append(b"".join(out))
+            out = []
+        at = data.find(b"\x1f\x8b\x08", begin + 1)
+    if out:
+        pieces.append(b"".join(out))
+    return pieces, sound
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -237,9 +251,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False, pa
 
         for b in batches:
             for content in b.column(0):
-                data, sound = unpacked(content.as_py())
+                pieces, sound = unpacked(content.as_py())
                 rows, held = [] if sound else [[*decoded({}, None, False), None, None, None, None, None]], 0
-                for fields, block in parse_records(data):
+                for fields, block in chain.from_iterable(map(parse_records, pieces)):
                     number = whole_number(fields.get("warc-segment-number"))
                     if block is None or ("warc-segment-number" in fields and number is None):
                         rows.append([*decoded(fields, None, False), None, None, None, None, None])

@@ -132,5 +132,19 @@ def test_broken_archives_make_rows_and_stop_no_job(spark, tmp_path):
 
 def test_many_gzip_members():
     data = b"".join(gzip.compress(simple(i, b"x" * i)) for i in range(300))
-    whole, sound = warc.unpacked(data)
-    assert sound and len(list(warc.parse_records(whole))) == 300
+    pieces, sound = warc.unpacked(data)
+    assert sound and len(pieces) == 1 and len(list(warc.parse_records(pieces[0]))) == 300
+
+
+def test_records_behind_a_damaged_gzip_member_are_read(spark, tmp_path):
+    members = [gzip.compress(simple(i, os.urandom(3000))) for i in range(5)]
+    for broken in (1, 3):
+        member = bytearray(members[broken])
+        member[200:300] = bytes(100)
+        data = b"".join(bytes(member) if i == broken else m for i, m in enumerate(members))
+        folder = tmp_path / str(broken)
+        folder.mkdir()
+        (folder / "x.warc.gz").write_bytes(data)
+        got = warc.read_archives(spark, f"file://{folder}", pattern="*.gz").collect()
+        assert sorted(r.page_id for r in got if r.valid) == [i for i in range(5) if i != broken]
+        assert any(not r.valid for r in got)
