@@ -5,7 +5,7 @@ stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing (o
 yields each page's samples: of 1, 2, 4, 8, 16 or 32 bits, or floats of 32, chunky or in planes. Samples of less than a
 byte come out a byte each. `build` writes such files of 8 or 16 bits; it is what the round trip and the tests use.
 
-A null file has no pages; a broken or unknown one, or a page of no pixels or of over MAX_PAGE bytes, gives one row with
+A null file has no pages; a broken or unknown one, or a page of no pixels or of over `limit` bytes, gives one row with
 `error` set and no pixels behind the pages before it, so that one bad file doesn't stop a job; null payloads are stored
 as empty ones; payloads of any length are stored whole, in slices of rows bounded in bytes; repeated rows and ties give
 equal rows; an empty table gives an empty result; only the named columns are carried.
@@ -269,7 +269,7 @@ def _block(raw: bytes, rows: int, width: int, samples: int, bits: int, kind: np.
     return np.cumsum(part, axis=1, dtype=kind) if predictor == 2 else part
 
 
-def _samples(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
+def _samples(data: bytes, tags: dict[int, tuple], order: str, limit: int | None) -> np.ndarray:
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
     scheme, predictor, planes = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0], tags.get(PLANAR, (1,))[0]
     bits, kind = _kind(tags)
@@ -280,7 +280,7 @@ def _samples(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     bh = tags[TILE_H][0] if tiled else min(tags.get(ROWS, (height,))[0], height)
     if min(width, height, samples, bw, bh) < 1:
         raise ValueError("a page of no pixels")
-    if max(width, bw) * max(height, bh) * samples * kind.itemsize > MAX_PAGE:
+    if limit is not None and max(width, bw) * max(height, bh) * samples * kind.itemsize > limit:
         raise ValueError("a page of too many pixels")
     across, down = -(-width // bw), -(-height // bh)
     each = samples if planes == 1 else 1
@@ -298,8 +298,8 @@ def _samples(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     return page
 
 
-def pages(data: bytes) -> Iterator[np.ndarray]:
-    """The samples (height, width, samples) of each page in the order of the directories."""
+def pages(data: bytes, limit: int | None = MAX_PAGE) -> Iterator[np.ndarray]:
+    """The samples (height, width, samples) of each page in the order of the directories; limit bounds a page's decoded bytes."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -310,7 +310,7 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
             raise ValueError("the directories form a ring")
         seen.add(at)
         tags, at = _directory(data, at, order)
-        yield _samples(data, tags, order)
+        yield _samples(data, tags, order, limit)
 
 
 # ---------------------------------------------------------------- columns
@@ -318,8 +318,11 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
 PAGE = "page int, width int, height int, samples int, pixels binary, error string"
 
 
-def read_pages(files: DataFrame, id_col: str, media_col: str = "media", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page of each file: the id, `extra` columns, then page, width, height, samples, pixels and error."""
+def read_pages(files: DataFrame, id_col: str, media_col: str = "media", extra: tuple[str, ...] = (), limit: int | None = MAX_PAGE) -> DataFrame:
+    """One row per page of each file: the id, `extra` columns, then page, width, height, samples, pixels and error.
+
+    limit: decoded bytes of a page; None for files whose headers are trusted.
+    """
     carried = [id_col, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +331,7 @@ def read_pages(files: DataFrame, id_col: str, media_col: str = "media", extra: t
                 rows, source = [], []
                 for i, media in enumerate(part.column(len(carried)).to_pylist()):
                     try:
-                        for no, a in enumerate(pages(media) if media is not None else ()):
+                        for no, a in enumerate(pages(media, limit) if media is not None else ()):
                             rows.append((no, a.shape[1], a.shape[0], a.shape[2], a.tobytes(), None))
                             source.append(i)
                     except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
@@ -374,18 +377,18 @@ def feature(pixels: bytes, width: int, height: int) -> str:
 
 
 def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per stored text: what is read back from its TIFF, as digests and a feature string."""
+    """Per stored text: what is read back from its TIFF, as digests and a feature string; null for a file that can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for pixels, w, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                out.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), feature(pixels, w, h)))
+                out.append((None,) * 4 if pixels is None else (len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), feature(pixels, w, h)))
             cols = [pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.string(), pa.int64(), pa.string()])] if out else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cols[0], cols[1], cols[2], b.column(5), b.column(6), cols[3]], NAMES)
 
     NAMES = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     sized = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    page = read_pages(sized, id_col, "media", ("n_bytes", "media_bytes", "media_sha256"))
+    page = read_pages(sized, id_col, "media", ("n_bytes", "media_bytes", "media_sha256"), None)  # store_texts wrote the files
     chosen = page.select(id_col, "n_bytes", "pixels", "width", "height", "media_bytes", "media_sha256")
     return chosen.mapInArrow(run, f"{id_col} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

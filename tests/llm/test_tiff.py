@@ -171,3 +171,16 @@ def test_feature_and_stored_form_against_plain_counting(spark):
         top = [f"{k:02x}" for k, _ in sorted(Counter({k: pad.count(k) for k in range(256)}).items(), key=lambda x: (-x[1], x[0]))[:5]]
         assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert got[i].feature == f"64x{len(pad) // 64}:{mean:.2f}:{sd:.2f}:" + ".".join(top)
+
+
+def test_a_broken_stored_file_has_null_digests_and_large_own_files_are_read(spark, ):
+    docs = spark.createDataFrame([(1, "x" * 5000), (2, "whole")], "doc_id bigint, text string")
+    stored = tiff.store_texts(docs)
+    rows = stored.collect()
+    broken = spark.createDataFrame([(r.doc_id, r.n_bytes, r.media if r.doc_id == 2 else b"II*") for r in rows], stored.schema)
+    got = {r.doc_id: r for r in tiff.digests(broken).collect()}
+    assert got[1].payload_bytes is None and got[1].feature is None and got[1].n_bytes == 5000 and got[2].payload_bytes == 64
+    media = next(bytes(r.media) for r in rows if r.doc_id == 1)
+    with pytest.raises(ValueError):
+        list(tiff.pages(media, 1000))
+    assert next(tiff.pages(media, None)).size == 5056
