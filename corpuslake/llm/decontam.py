@@ -51,7 +51,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> tupl
 
     row_key stands for the id and the text, so that documents which share an id don't mix.
     """
-    raw = item_windows(items, size).withColumn("win_id", F.xxhash64("win"))
+    raw = item_windows(items, size).withColumn("win_id", F.unhex(F.md5(F.array_join("win", " ").cast("binary"))))  # 128 bits tell the windows apart
     owners = materialize(raw.select("win_id", "item_id", "win").distinct(), "windows")
     windows = owners.select("win_id", "win").distinct()
     prefixes = materialize(prefix_tokens(docs, windows), "prefixes")

@@ -80,3 +80,10 @@ def test_clean_documents_keeps_columns_and_null_texts(spark):
     kept = decontam.clean_documents(d, b)
     assert kept.columns == d.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in brute(docs, items) if not r[5]), key=str)
+
+
+def test_windows_are_told_apart_by_128_bits(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("x", "a b c d e f g h i j k")], "item_id string, text string")
+    _, hits, owners = decontam.contained_windows(docs, items)
+    assert {len(r.win_id) for r in owners.collect()} == {16} and hits.count() == owners.count() == 2
