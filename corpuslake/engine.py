@@ -27,6 +27,8 @@ class Engine:
         self.spark, self.home = spark, home.rstrip("/")
         self.embedder, self.model = embedder or clients.HashEmbedder(), model or clients.EchoModel()
         self.config, self.pdf_parser = config or EngineConfig.from_env(), pdf_parser
+        self._chunk_path = f"{self.home}/chunks"
+        store.recover(spark, self._chunk_path)
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
@@ -43,7 +45,7 @@ class Engine:
 
     @property
     def chunks(self) -> DataFrame:
-        return self._table("chunks", schemas.CHUNKS)
+        return store.scan(self.spark, self._chunk_path) if self._exists("chunks") else self.spark.createDataFrame([], schemas.CHUNKS)
 
     @property
     def fingerprints(self) -> DataFrame:
@@ -96,7 +98,7 @@ class Engine:
         rows = materialize(chunk.with_chunk_ids(rows), "rows")
         ready = not retired and self._ready()
         self._stale()
-        store.add(rows, f"{self.home}/chunks")
+        store.add(rows, self._chunk_path)
         kept.select("doc_id", "chunk_index", "simhash").write.mode("append").parquet(f"{self.home}/fingerprints")
         self._record(numbered)
         self._append_search(rows) if ready else self.refresh()
@@ -114,16 +116,21 @@ class Engine:
 
     def _retire(self, fresh: DataFrame, replace: bool) -> bool:
         gone = fresh.select("source").distinct()
-        if self.chunks.join(gone, "source", "left_semi").isEmpty():
+        numbers = store.buckets(self.chunks.select("source").join(gone, "source", "left_semi"))
+        if not numbers:
             return False
-        marked = self.chunks.join(gone.withColumn("_gone", F.lit(True)), "source", "left")
-        kept = marked.filter("_gone IS NULL") if replace else marked.withColumn("is_active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("is_active")))
-        self._rewrite(kept.drop("_gone").select(*self.chunks.columns))
+
+        def change(chunks: DataFrame) -> DataFrame:
+            marked = chunks.join(gone.withColumn("_gone", F.lit(True)), "source", "left")
+            return (marked.filter("_gone IS NULL") if replace else marked.withColumn("is_active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("is_active")))).drop("_gone")
+
+        self._change(numbers, change)
         return True
 
-    def _rewrite(self, chunks: DataFrame) -> None:
+    def _change(self, numbers: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes some buckets of the chunk table anew."""
         self._stale()
-        store.rewrite(chunks, f"{self.home}/chunks")
+        store.replace(change(store.scan(self.spark, self._chunk_path, numbers)), self._chunk_path, numbers)
 
     def _next_versions(self, counts: DataFrame) -> DataFrame:
         before = self.log.groupBy("doc_id").agg(F.max_by("version", "seq").alias("v"), F.max_by("chunk_count", "seq").alias("n"), F.max("seq").alias("s"))
@@ -227,16 +234,18 @@ class Engine:
 
     def delete(self, source: str) -> int:
         """Deletes a source's chunks and tells how many they were."""
-        before = self.chunks
-        n = before.filter(F.col("source") == source).count()
+        if not self._exists("chunks"):
+            return 0
+        numbers = [store.bucket_of(self.spark, source)]
+        n = store.scan(self.spark, self._chunk_path, numbers).filter(F.col("source") == source).count()
         if n:
-            self._rewrite(store.without_source(before, source))
+            self._change(numbers, lambda chunks: store.without_source(chunks, source))
         return n
 
     def delete_all(self) -> int:
         n = self.chunks.count()
         if n:
-            self._rewrite(self.spark.createDataFrame([], schemas.CHUNKS))
+            self._change(list(range(store.BUCKETS)), lambda chunks: chunks.limit(0))
         return n
 
     def versions(self, doc_id: str | None = None) -> DataFrame:
@@ -269,7 +278,8 @@ class Engine:
         if done:
             wanted.select("doc_id", F.col("target").alias("version"), "seq").write.mode("append").parquet(f"{self.home}/pointers")
             mine = F.col("doc_id") == doc_id
-            self._rewrite(self.chunks.withColumn("is_active", F.when(mine, F.col("version") == version).otherwise(F.col("is_active"))))
+            numbers = store.buckets(self.chunks.filter(mine).select("source"))
+            self._change(numbers, lambda chunks: chunks.withColumn("is_active", F.when(mine, F.col("version") == version).otherwise(F.col("is_active"))))
         return done
 
     # ------------------------------------------------------------ evaluation

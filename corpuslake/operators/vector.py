@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.vectors import dot, doubles, similarity_score, unit
@@ -88,25 +88,27 @@ def pair_score(a: Column, b: Column) -> Column:
     return similarity_score(dot(unit(doubles(a)), unit(doubles(b))))
 
 
-#: Bounded sample of stored vectors that the cells are made of, and rows of a side up to which a cell's comparisons are one group.
-PIVOTS, GROUP_ROWS, BLOCK_ROWS = 256, 20_000, 1_000
+#: Bounded sample of stored vectors of a length that its cells are made of, lengths (the commonest) that get such a sample,
+#: and rows of a side up to which a cell's comparisons are one group.
+PIVOTS, LENGTHS, GROUP_ROWS, BLOCK_ROWS = 256, 16, 20_000, 1_000
 
 
 def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(query_id, doc, score): the nearest of the rows of store (doc, embedding) to each of batch (query_id, vector) that reaches the threshold; of ties the smallest doc.
 
-    A distributed join, exact at any size of either side. A bounded sample of stored vectors parts space into the cells
-    nearest to each. A stored row goes to its cell. A vector that scores the threshold lies within a fixed distance, so
+    A distributed join, exact at any size of either side. Of each of the commonest lengths a bounded sample of stored
+    vectors parts space into the cells nearest to each; vectors of another length are one cell. A stored row goes to its cell. A vector that scores the threshold lies within a fixed distance, so
     a row of batch goes to the cells whose dividing plane isn't further off. A cell with many rows on a side is parted, and
     the parts are compared by matrix products. Null and odd vectors never match.
     """
     rows = _units(store, "doc", "embedding")
     asked = _units(batch, "query_id", "vector")
-    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("id")).limit(PIVOTS).collect()], dtype=object)  # bounded
-    by_length = {n: np.array([v for v in pivots if len(v) == n], float) for n in {len(v) for v in pivots}}
+    by_length = {n: np.array(v, float) for n, v in _pivots(rows).items()}
     reach = float(np.sqrt(max(2 - 2 * (threshold - 1e-4), 0.0))) + 1e-9  # scores are rounded
 
     def cells(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if v.shape[1] not in by_length:
+            return np.zeros(len(v), np.int64), np.ones((len(v), 1), bool)
         p = by_length[v.shape[1]]
         d = np.maximum(2 - 2 * v @ p.T, 0)
         home = d.argmin(axis=1)
@@ -119,8 +121,6 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
             for b in batches:
                 size = np.array([len(x) for x in b.column(1)], np.int64) if b.num_rows else np.empty(0, np.int64)
                 for n in np.unique(size):
-                    if n not in by_length:
-                        continue
                     part = b.filter(pa.array(size == n))
                     home, near = cells(part.column(1).flatten().to_numpy().reshape(part.num_rows, n))
                     i, j = np.nonzero(near) if replicated else (np.arange(len(home)), home)
@@ -161,6 +161,17 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
     return ranked(met, 1, F.col("score").desc(), F.col("doc")).select("query_id", "doc", "score")
 
 
+def _pivots(rows: DataFrame) -> dict[int, list]:
+    """PIVOTS vectors, by a hash of their ids, of each of the LENGTHS commonest lengths of rows (id, v): a bounded number."""
+    sized = rows.select(F.size("v").alias("n"), "id", "v")
+    common = [r.n for r in sized.groupBy("n").count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()]
+    order = Window.partitionBy("n").orderBy(F.xxhash64("id"), "id")  # a limit by group, which Spark applies in each task first
+    found: dict[int, list] = {}
+    for r in sized.filter(F.col("n").isin(common)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS).collect():
+        found.setdefault(r.n, []).append(r.v)
+    return found
+
+
 def _units(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): unit vectors of the rows that have a whole one."""
     return df.filter(whole(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), unit(doubles(F.col(vector))).alias("v"))

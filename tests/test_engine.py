@@ -195,7 +195,8 @@ def test_searches_read_what_indexing_wrote(spark, root, tmp_path):
     (root / "new.txt").write_text(paragraphs("sigma"), "utf-8")  # appended: what was written stays as it is
     e.index(f"file://{root}")
     after = files_under(tmp_path / "home")
-    kept = {k: v for k, v in before.items() if k.startswith(("search/store/part", "search/postings/part", "chunks/part"))}
+    kept = {k: v for k, v in before.items() if k.startswith(("search/store/part", "search/postings/part", "chunks/bucket="))}
+    assert {k.split("/")[0] for k in kept} == {"search", "chunks"}
     assert kept and all(after[k] == v for k, v in kept.items())
     assert "sigma" in e.search(["sigma3 sigma31"], top_k=1).first()["document"]
     rows, index = e.search_tables()

@@ -236,3 +236,23 @@ def test_vector_duplicates_equal_all_pairs(spark, monkeypatch, pivots, group):
     want = {(i, int(s.argmax()), float(s.max())) for i, s in enumerate(score) if s.max() >= 0.95}
     got = {(r.query_id, r.doc, r.score) for r in vector.vector_duplicates(asked, store, 0.95).collect()}
     assert len(want) > 100 and got == want
+
+
+def test_vector_duplicates_of_mixed_lengths_equal_all_pairs(spark, monkeypatch):
+    """A few vectors of rare lengths beside many; lengths with a sample of their own and lengths without."""
+    monkeypatch.setattr(vector, "PIVOTS", 16)
+    monkeypatch.setattr(vector, "LENGTHS", 2)
+    rng = np.random.default_rng(9)
+    sizes = [3] * 4000 + [5] * 400 + [4] * 5 + [7] * 3
+    base = [rng.normal(size=n) for n in sizes]
+    near = [base[i] + rng.normal(size=sizes[i]) * rng.choice([0.0, 0.05]) for i in [*rng.integers(0, 4400, 120), *range(4400, 4408)]]
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "doc bigint, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)] + [(900, [1.0, 2.0])], "query_id bigint, vector array<double>")
+    want = set()
+    for i, v in enumerate(near):
+        scores = [(float(np.floor(np.dot(v, b) / np.linalg.norm(v) / np.linalg.norm(b) * 10_000 + 0.5) / 10_000), -d) for d, b in enumerate(base) if len(b) == len(v)]
+        top, d = max(scores)
+        if top >= 0.98:
+            want.add((i, -d, min(top, 1.0)))
+    got = {(r.query_id, r.doc, r.score) for r in vector.vector_duplicates(asked, store, 0.98).collect()}
+    assert got == want and {i for i, _, _ in want} >= set(range(120, 128))
