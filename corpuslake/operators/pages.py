@@ -100,20 +100,17 @@ def continues_table(before: Column, after: Column) -> Column:
 def merge_tables(pages: DataFrame) -> DataFrame:
     """(doc, page, text): pages whose first table row continues the text before are appended to it; page numbers anew from 1.
 
-    Each page is compared with the last filled line of what is gathered so far, so a page without any line passes
-    that line on. The pages of one document are folded in order.
+    What is gathered ends with the page before, so each page is compared with that one's last filled line; a page without
+    any line continues nothing and isn't continued. Runs of pages that belong together are islands of a running sum.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    grouped = pages.groupBy("doc").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, text: Column) -> Column:
-        n = F.size(acc)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws("\n", F.get(acc, n - 1), text)))
-        return F.when((n > 0) & continues_table(F.get(acc, n - 1), text), joined).otherwise(F.concat(acc, F.array(text)))
-
-    merged = grouped.select("doc", F.posexplode(F.aggregate("texts", empty, step)).alias("page", "text"))
-    return merged.select("doc", (F.col("page") + 1).alias("page"), "text")
+    order = Window.partitionBy("doc").orderBy("page", "text")
+    first, last = column_count(_edge(F.col("text"), False)), column_count(_edge(F.col("text"), True))
+    counted = pages.select("doc", "page", "text", first.alias("_first"), last.alias("_last"))
+    starts = F.when(F.lag("_last").over(order) == F.col("_first"), 0).otherwise(1)
+    runs = counted.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))  # the pages of one table
+    joined = F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")
+    return runs.groupBy("doc", F.col("_run").alias("page")).agg(F.when(F.count("*") == 1, F.min("text")).otherwise(joined).alias("text"))
 
 
 def whole_text(pages: DataFrame) -> DataFrame:

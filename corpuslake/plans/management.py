@@ -111,12 +111,9 @@ def version_doc_ids(spark, sf_dir):
     return _log(spark, sf_dir).select("doc_id").distinct()
 
 
-IDS = [(1, "a/b\\c"), (2, "plain"), (3, "//")]
-
-
-@query(f"SELECT id, translate(name, '/\\', '__') AS safe FROM {values(IDS, 'id, name')}")
+@query("SELECT page_id, translate(url, '/\\', '__') AS safe FROM pages")
 def safe_ids(spark, sf_dir):
-    return frame(spark, IDS, "id int, name string").select("id", versions.safe_id(F.col("name")).alias("safe"))
+    return table(spark, sf_dir, "pages").select("page_id", versions.safe_id(F.col("url")).alias("safe"))
 
 
 # ---------------------------------------------------------------- sessions, metadata, datasets

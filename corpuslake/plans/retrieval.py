@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.fingerprint import simhash
@@ -115,6 +115,24 @@ def vector_similar(spark, sf_dir):
     return vector.vector_duplicates(_asked(spark, sf_dir), store, 0.3)
 
 
+# a near vector of each embedding, and of its first five numbers, against all embeddings and all their first five numbers
+_NEAR = "list_transform({0}::DOUBLE[], lambda x, i: x + 0.004::DOUBLE * ((i * 7 + vec_id) % 3 - 1))"
+
+
+@query(f"""
+WITH store AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT -1 - vec_id, embedding[1:5]::DOUBLE[] FROM embeddings),
+asked AS (SELECT vec_id AS query_id, {_NEAR.format('embedding')} AS v FROM embeddings UNION ALL SELECT -1 - vec_id, {_NEAR.format('embedding[1:5]')} FROM embeddings),
+scored AS (SELECT query_id, doc, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(list_cosine_similarity(s.v, a.v), 4))) AS score FROM asked a JOIN store s ON len(s.v) = len(a.v))
+SELECT query_id, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc, max(score) AS score FROM scored WHERE score >= 0.98 GROUP BY query_id""")
+def vector_duplicates(spark, sf_dir):
+    """Vectors of two lengths at the threshold that indexing uses."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    both = rows.unionByName(rows.select((-1 - F.col("vec_id")).alias("vec_id"), F.slice("v", 1, 5).alias("v")))
+    place = F.when(F.col("vec_id") < 0, -1 - F.col("vec_id")).otherwise(F.col("vec_id"))
+    near = F.transform("v", lambda x, i: x + F.lit(0.004) * (((i + 1) * 7 + place) % 3 - 1))
+    return vector.vector_duplicates(both.select(F.col("vec_id").alias("query_id"), near.alias("vector")), both.select(F.col("vec_id").alias("doc"), F.col("v").alias("embedding")), 0.98)
+
+
 # the second half of the documents as new chunks, the first half's vectors as the store
 DUAL = 0.45
 _NEW = "text IS NOT NULL AND doc_id % 2 = 1"
@@ -172,18 +190,27 @@ def linear_topk(spark, sf_dir):
     return _fused(spark, sf_dir, "linear")
 
 
-LISTS = {"kw": [(1, 3, 3.5, 1), (1, 1, 2.0, 2), (1, 3, 1.0, 3)], "vec": [(1, 1, 0.9, 1), (1, -1, 0.9, 2), (2, 5, 0.4, 1), (2, 6, 0.4, 2)]}
-RANKED = "query_id bigint, doc bigint, score double, rank int"
+# two lists for each of 40 groups of documents, with many equal scores; a document is in one of them or in both
+_TIED = """kw AS (SELECT doc_id % 40 AS query_id, doc_id AS doc, CAST(n_chars % 5 AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 < 2),
+vec AS (SELECT doc_id % 40 AS query_id, doc_id AS doc, (n_chars % 7) / 10.0::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id DESC) AS rank FROM documents WHERE doc_id % 3 > 0)"""
+
+
+def _tied(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("doc"), "n_chars")
+    group = Window.partitionBy("query_id")
+    kw = docs.filter("doc % 3 < 2").select("query_id", "doc", (F.col("n_chars") % 5).cast("double").alias("score"), F.row_number().over(group.orderBy("doc")).alias("rank"))
+    vec = docs.filter("doc % 3 > 0").select("query_id", "doc", ((F.col("n_chars") % 7) / F.lit(10.0)).alias("score"), F.row_number().over(group.orderBy(F.desc("doc"))).alias("rank"))
+    return kw, vec
 
 
-@query("SELECT query_id, doc, CAST(score AS DOUBLE) AS score, rank FROM (VALUES (1, 3, 0.032266, 2), (1, 1, 0.032522, 1), (1, -1, 0.016129, 3), (2, 5, 0.016393, 1), (2, 6, 0.016129, 2)) AS v(query_id, doc, score, rank)")
+@query(f"WITH {_RRF.replace(_LISTS, _TIED)} SELECT query_id, doc, score, rank FROM fused")
 def rrf_ties(spark, sf_dir):
-    return fusion.reciprocal_rank(frame(spark, LISTS["kw"], RANKED), frame(spark, LISTS["vec"], RANKED))
+    return fusion.reciprocal_rank(*_tied(spark, sf_dir))
 
 
-@query("SELECT query_id, doc, CAST(score AS DOUBLE) AS score, rank FROM (VALUES (1, 3, 0.385714, 1), (1, 1, 0.171429, 2), (1, -1, 0.0, 3), (2, 5, 0.0, 1), (2, 6, 0.0, 2)) AS v(query_id, doc, score, rank)")
+@query(f"WITH {_LINEAR.replace(_LISTS, _TIED)} SELECT query_id, doc, score, rank FROM fused")
 def linear_ties(spark, sf_dir):
-    return fusion.linear(frame(spark, LISTS["kw"], RANKED), frame(spark, LISTS["vec"], RANKED))
+    return fusion.linear(*_tied(spark, sf_dir))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS rank, doc_id AS hit, (SELECT min(e.doc_id) FROM documents e WHERE e.text = d.text) AS doc FROM documents d")
@@ -243,22 +270,18 @@ def hybrid_deduped(spark, sf_dir):
     return _hybrid(spark, sf_dir, dedup=True)
 
 
-HITS = [
-    (1, "same text", "a", 0.9, 1),
-    (1, "same text", "b", 0.8, 2),
-    (1, "p" * 80 + " one", "a", 0.7, 3),
-    (1, "p" * 80 + " two", "b", 0.75, 4),
-    (1, "p" * 80 + " three", "b", 0.6, 5),
-    (1, "q" * 80 + " one", "", 0.5, 6),
-    (1, "q" * 80 + " two", "", 0.4, 7),
-    (2, "alone", "a", 0.1, 1),
-]
-HITS_WANT = [(1, "same text", "a", 0.9, 1), (1, "p" * 80 + " two", "b", 0.75, 2), (1, "p" * 80 + " three", "b", 0.6, 3), (1, "q" * 80 + " one", "", 0.5, 4), (2, "alone", "a", 0.1, 1)]
+# ranked hits of 40 groups of documents, whose texts agree wholly, in their first 80 characters, or not at all
+_HIT_TEXT = "concat(rpad(concat('text ', doc_id % 6), 80, '-'), ' ', n_chars % 3)"
+_HIT_ROWS = f"SELECT doc_id % 40 AS query_id, doc_id AS doc, (n_chars % 100) / 100.0 AS score, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank, source, {_HIT_TEXT} AS document FROM documents"
+_WALK = _DEDUPED[_DEDUPED.index("walk(query_id") :]
 
 
-@query(f"SELECT query_id, document, source, CAST(score AS DOUBLE) AS score, rank FROM {values(HITS_WANT, 'query_id, document, source, score, rank')}")
+@query(f"""WITH RECURSIVE cand AS MATERIALIZED (SELECT query_id, doc, CAST(score AS DOUBLE) AS score, rank, coalesce(source, '') AS source, document, left(document, 80) AS prefix FROM ({_HIT_ROWS})),
+{_WALK} SELECT query_id, c.document AS document, k.source AS source, k.score AS score, top.rank AS rank FROM top JOIN (SELECT doc, document FROM cand) c ON c.doc = k.doc""")
 def result_dedup(spark, sf_dir):
-    return hybrid.dedup_results(frame(spark, HITS, "query_id int, document string, source string, score double, rank int"))
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id % 40 AS query_id", "n_chars % 100 / 100D AS score", "doc_id", "source", f"{_HIT_TEXT} AS document")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).drop("doc_id")
+    return hybrid.dedup_results(ranked).select("query_id", "document", "source", "score", "rank")
 
 
 # ---------------------------------------------------------------- contexts
@@ -312,12 +335,14 @@ def source_list(spark, sf_dir):
     return context.source_list(_hits(spark, sf_dir))
 
 
-ASKED = [(1, "ctx", "q"), (2, " \t", "q"), (3, "ctx", " "), (4, None, None), (5, "　", "q")]
+# some contexts and questions are blank, of several white spaces, or null
+_CONTEXT = "CASE doc_id % 5 WHEN 0 THEN concat(' ', chr(9)) WHEN 1 THEN NULL WHEN 2 THEN '　' ELSE text END"
+_QUESTION = "CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN source ELSE left(text, 20) END"
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'blank context'), (3, 'blank question'), (4, 'blank question'), (5, 'blank context')) AS v(id, stopped)")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches({_QUESTION}, '\\S') THEN 'blank question' WHEN doc_id % 5 < 3 OR NOT regexp_matches(text, '\\S') THEN 'blank context' END AS stopped FROM documents")
 def qa_guards(spark, sf_dir):
-    return frame(spark, ASKED, "id int, context string, question string").select("id", context.guard(F.col("context"), F.col("question")).alias("stopped"))
+    return table(spark, sf_dir, "documents").select("doc_id", context.guard(F.expr(_CONTEXT), F.expr(_QUESTION)).alias("stopped"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -354,26 +379,23 @@ def recall_misses(spark, sf_dir):
     return evaluate.misses(_details(spark, sf_dir))
 
 
-REPORTS = [
-    (1, '```json\n{"claims": [{"text": "a", "verdict": "支持"}, {"text": "b"}], "summary": {"total_claims": 2, "supported": 1, "partial": 1, "faithfulness_score": 0.75}}\n```'),
-    (2, 'says {"claims": [{"text": "a"}]} done'),
-    (3, "no report"),
-    (4, ""),
-    (5, '{"summary": {"total_claims": 4, "supported": 2, "contradicted": 1, "unsupported": 1, "faithfulness_score": 0.5}}'),
-    (6, '{"broken": '),
-]
+# a report for each document: fenced, among other words, cut off, or none at all
+_REPORT = """concat('{"claims": [{"text": "', md5(text), '", "verdict": "支持"}, {"text": "b"}], "summary": {"total_claims": 4, "supported": ', doc_id % 3, ', "partial": ', doc_id % 2, ', "faithfulness_score": 0.75}}')"""
+_RAW = f"CASE doc_id % 5 WHEN 0 THEN concat('```json', chr(10), {_REPORT}, chr(10), '```') WHEN 1 THEN concat('it says ', {_REPORT}, ' done') WHEN 2 THEN left({_REPORT}, 60) WHEN 3 THEN source ELSE {_REPORT} END"
+_WHOLE = "doc_id % 5 IN (0, 1, 4)"
 
 
-@query("""SELECT * FROM (VALUES (1, 2, 1, 1, 0.75::DOUBLE, 0.75::DOUBLE, '无依据', NULL), (2, 1, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, '无依据', NULL), (3, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL, 'no JSON report'),
-(4, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL, 'no JSON report'), (5, 4, 2, 0, 0.5::DOUBLE, 0.5::DOUBLE, NULL, NULL), (6, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL, 'no JSON report'))
-AS v(id, total_claims, supported, partial, faithfulness_score, recomputed_score, last_verdict, error)""")
+@query(f"""SELECT doc_id, CASE WHEN {_WHOLE} THEN 4 ELSE 0 END AS total_claims, CASE WHEN {_WHOLE} THEN CAST(doc_id % 3 AS INTEGER) ELSE 0 END AS supported, CASE WHEN {_WHOLE} THEN CAST(doc_id % 2 AS INTEGER) ELSE 0 END AS partial,
+CASE WHEN {_WHOLE} THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS faithfulness_score, CASE WHEN {_WHOLE} THEN (doc_id % 3 + 0.5::DOUBLE * (doc_id % 2)) / 4 ELSE 0.0::DOUBLE END AS recomputed_score,
+CASE WHEN {_WHOLE} THEN '无依据' END AS last_verdict, CASE WHEN {_WHOLE} THEN NULL ELSE 'no JSON report' END AS error FROM documents""")
 def judge_parse(spark, sf_dir):
-    parsed = frame(spark, REPORTS, "id int, raw string").select("id", evaluate.parse_report(F.col("raw")).alias("r"))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", evaluate.parse_report(F.expr(_RAW)).alias("r"))
     last = F.try_element_at(F.col("r.claims"), F.lit(-1))["verdict"]
-    return parsed.select("id", "r.total_claims", "r.supported", "r.partial", "r.faithfulness_score", "r.recomputed_score", last.alias("last_verdict"), "r.error")
+    return parsed.select("doc_id", "r.total_claims", "r.supported", "r.partial", "r.faithfulness_score", "r.recomputed_score", last.alias("last_verdict"), "r.error")
 
 
-@query("SELECT * FROM (VALUES (1, NULL, NULL), (2, 1.0::DOUBLE, 0), (3, 0.0::DOUBLE, 1)) AS v(id, faithfulness_score, unsupported)")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS faithfulness_score, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS unsupported FROM documents WHERE regexp_matches(text, '\\S')""")
 def judge_guards(spark, sf_dir):
-    rows = frame(spark, [(1, "a", "c"), (2, " ", "c"), (3, "a", " ")], "id int, answer string, context string")
-    return rows.select("id", evaluate.judge_guard(F.col("answer"), F.col("context")).alias("g")).select("id", "g.faithfulness_score", "g.unsupported")
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S"))
+    answer, given = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(' ', chr(10)) ELSE text END"), F.expr("CASE WHEN doc_id % 3 = 1 THEN '　' ELSE concat('about ', source) END")
+    return docs.select("doc_id", evaluate.judge_guard(answer, given).alias("g")).select("doc_id", "g.faithfulness_score", "g.unsupported")

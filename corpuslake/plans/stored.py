@@ -11,8 +11,7 @@ from corpuslake import schemas
 from corpuslake.operators import chunk, hybrid, pages, store
 from corpuslake.operators.common import shared_dir
 from corpuslake.plans import retrieval
-from corpuslake.plans.literals import frame, values
-from corpuslake.plans.texts import LINES, _sql_clean, table
+from corpuslake.plans.texts import BODY, LINES_SQL, PARTS_SQL, _sql_clean, documents, lines, table
 from corpuslake.sources import datasets, files
 
 QUERIES: dict = {}
@@ -79,38 +78,34 @@ def hybrid_retriever(spark, sf_dir):
     return found.select("query_id", "doc", "source", "score", "rank")
 
 
-def _lines(spark) -> DataFrame:
-    return frame(spark, LINES, "doc string, page int, y double, height double, text string")
-
-
-@query(f"SELECT doc, page, string_agg(text, chr(10) ORDER BY y) AS text FROM {values(LINES, 'doc, page, y, height, text')} WHERE trim(text) <> '' GROUP BY doc, page")
+@query(rf"SELECT doc, page, string_agg(text, chr(10) ORDER BY y, text) AS text FROM {LINES_SQL} WHERE regexp_matches(text, '\S') GROUP BY doc, page")
 def page_texts(spark, sf_dir):
-    return pages.page_text(_lines(spark))
+    return pages.page_text(lines(spark, sf_dir))
 
 
-@query(f"""WITH l AS {values(LINES, 'doc, page, y, height, text')},
-h AS (SELECT doc, trim(text) AS t FROM l WHERE y < height * 0.15 OR y > height * 0.85 GROUP BY doc, trim(text), y < height * 0.15 HAVING count(*) >= 3 AND doc IN (SELECT doc FROM l GROUP BY doc HAVING count(DISTINCT page) >= 3))
-SELECT doc, page, CAST(y AS DOUBLE) AS y, text FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc = l.doc AND h.t = trim(l.text))""")
+@query(rf"""WITH l AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {LINES_SQL}),
+h AS (SELECT doc, t FROM l WHERE t <> '' AND (y < height * 0.15 OR y > height * 0.85) GROUP BY doc, t, y < height * 0.15 HAVING count(*) >= 3 AND doc IN (SELECT doc FROM l GROUP BY doc HAVING count(DISTINCT page) >= 3))
+SELECT doc, page, y, text FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc = l.doc AND h.t = l.t)""")
 def headers_removed(spark, sf_dir):
-    rows = _lines(spark)
+    rows = lines(spark, sf_dir)
     return pages.remove_headers_footers(rows, pages.headers_footers(rows)).select("doc", "page", "y", "text")
 
 
-BOOK = [("a", 1, "one two three"), ("a", 2, "four five"), ("a", 3, "six"), ("b", 1, "alone")]
-BOOK_WANT = [("a", 0, "one two three\n\nfour five", 1, 2), ("a", 1, "six", 3, 3), ("b", 0, "alone", 1, 1)]
-
-
-@query(f"SELECT doc, CAST(chunk_index AS INTEGER) AS chunk_index, document, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end FROM {values(BOOK_WANT, 'doc, chunk_index, document, page_start, page_end')}")
+@query(f"""WITH {PARTS_SQL} SELECT doc_id AS doc, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg(body, chr(10) || chr(10) ORDER BY i) AS document, CAST(min(i) + 1 AS INTEGER) AS page_start, CAST(max(i) + 1 AS INTEGER) AS page_end
+FROM parts GROUP BY doc_id, chunk_index""")
 def pages_chunked(spark, sf_dir):
-    rows = frame(spark, BOOK, "doc string, page int, text string")
-    return pages.load_and_chunk(rows, lambda texts: chunk.chunk_by_size(texts, size=24, overlap=0))
+    """Three pages for each document, of long and short paragraphs."""
+    body = F.array(*(F.struct(F.lit(i + 1).alias("page"), F.expr(b).alias("text")) for i, b in enumerate(BODY)))
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.inline(body))
+    return pages.load_and_chunk(rows, lambda texts: chunk.chunk_by_size(texts, size=512, overlap=0)).select("doc", "chunk_index", "document", "page_start", "page_end")
 
 
-# without a heading, long paragraphs are parted at sentence ends; the joining space isn't counted
-PLAIN = [(1, "aaaa。bbbb。cccc。dd"), (2, "short"), (3, "one\n\ntwo\n\nthree four")]
-PLAIN_WANT = [(1, 0, "aaaa。 bbbb。", ""), (1, 1, "cccc。 dd", ""), (2, 0, "short", ""), (3, 0, "one\n\ntwo", ""), (3, 1, "three four", "")]
+# without a heading a paragraph that is too long is parted at sentence ends, and its sentences are joined with spaces
+_SENTENCES = "concat(" + ", ".join(f"{b}, '。'" for b in BODY) + ")"
 
 
-@query(f"SELECT CAST(id AS INTEGER) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, document, chapter FROM {values(PLAIN_WANT, 'id, chunk_index, document, chapter')}")
+@query(f"""WITH {PARTS_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CASE WHEN n_large > 1 THEN string_agg(body || '。', ' ' ORDER BY i) ELSE string_agg(body || '。', '' ORDER BY i) END AS document, '' AS chapter
+FROM parts GROUP BY doc_id, chunk_index, n_large""")
 def chunks_headingless(spark, sf_dir):
-    return chunk.chunk_by_heading(frame(spark, PLAIN, "id int, text string"), size=12, overlap=0).select("id", "chunk_index", "document", "chapter")
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_SENTENCES).alias("text"))
+    return chunk.chunk_by_heading(rows, size=512, overlap=0).select("doc_id", "chunk_index", "document", "chapter")

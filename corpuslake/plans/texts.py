@@ -11,7 +11,6 @@ from corpuslake.functions.fingerprint import fnv1a, simhash
 from corpuslake.functions.tokens import tokens
 from corpuslake.operators import bm25, chunk, dedup, pages
 from corpuslake.operators.common import spread
-from corpuslake.plans.literals import frame, values
 from corpuslake.sources import files
 
 QUERIES: dict = {}
@@ -102,23 +101,25 @@ def clean_deltas(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", *c.TextCleaner().deltas(F.col("text")))
 
 
-OCR_TEXTS = [(1, "己经末来大阳"), (2, "干万 白勺因力下牛下年"), (3, "木文昨大．"), (4, "3la 4lb 5l6"), (5, "甲一一一乙一丙"), (6, "plain"), (7, "巳经太阴未末")]
-MARKS = [(1, "a​b﻿c"), (2, "x　y　"), (3, "no marks"), (4, "‮z ")]
+# the given texts with some letters as characters that the rules change; the expression means the same to Spark and DuckDB
+_MISREAD = "translate(text, 'abcdefghijkmnopqr', '己经末来大阳干万白勺因力下木文昨一')"
+_MARKED = "translate(text, 'aeiou', '　​﻿‮　')"
 
 
-@query(f"SELECT id, {SQL_RULES['ocr_patterns'].format(_sql_words('text'))} AS cleaned FROM {values(OCR_TEXTS, 'id, text')}")
-def ocr_fixes(spark, sf_dir):
-    return frame(spark, OCR_TEXTS, "id int, text string").select("id", c.ocr_patterns(c.ocr_words(F.col("text"))).alias("cleaned"))
-
+def _rule_on(name: str, derived: str, sql: str, *rules: str) -> None:
+    def run(spark, sf_dir):
+        x = F.expr(derived)
+        for r in rules:
+            x = c.rule(r)(x)
+        return documents(spark, sf_dir).select("doc_id", x.alias("cleaned"))
 
-@query(f"SELECT id, {SQL_RULES['wide_space'].format('text')} AS cleaned FROM {values(MARKS, 'id, text')}")
-def cjk_space(spark, sf_dir):
-    return frame(spark, MARKS, "id int, text string").select("id", c.rule("wide_space")(F.col("text")).alias("cleaned"))
+    run.__name__ = name
+    query(f"SELECT doc_id, {sql} AS cleaned FROM (SELECT doc_id, {derived} AS text FROM documents)")(run)
 
 
-@query(f"SELECT id, {SQL_RULES['zero_width'].format('text')} AS cleaned FROM {values(MARKS, 'id, text')}")
-def zero_width(spark, sf_dir):
-    return frame(spark, MARKS, "id int, text string").select("id", c.rule("zero_width")(F.col("text")).alias("cleaned"))
+_rule_on("ocr_fixes", _MISREAD, SQL_RULES["ocr_patterns"].format(_sql_words("text")), "ocr_words", "ocr_patterns")
+_rule_on("cjk_space", _MARKED, SQL_RULES["wide_space"].format("text"), "wide_space")
+_rule_on("zero_width", _MARKED, SQL_RULES["zero_width"].format("text"), "zero_width")
 
 
 @query("SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS cleaned FROM pages")
@@ -131,34 +132,46 @@ def html_tag_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markdown.tags(F.col("html")).alias("cleaned"))
 
 
-MARKDOWN = [
-    (1, "---\ntitle: x\n---\n# Head **bold**\n\ntext [link](http://a/b) and ![pic](p.png)", "Head bold\n\ntext link and pic"),
-    (2, "> quoted\n* item\n- other\n----\nend", "quoted\nitem\nother\nend"),
-    (3, "a_b_c ~~gone~~ <b>tag</b> <!-- no\nway -->x", "abc gone tag x"),
-    (4, "   ", ""),
-    (5, "## Two  spaces   \n\n\n\nlast", "Two spaces\n\nlast"),
-]
+def _word(i: int) -> str:
+    """A word made from a document's text, the same in Spark and DuckDB."""
+    return f"substr(md5(text), {2 * i + 1}, 5)"
+
+
+# a page of Markdown for each document, with its words under every kind of mark; of three stars emphasis leaves one
+_MARKDOWN = f"""concat('---', chr(10), 'title: ', source, chr(10), '---', chr(10), '# Head **', {_word(0)}, '**', chr(10), chr(10), 'to [', {_word(1)}, '](http://a/', doc_id, ') and ![', {_word(2)}, '](p.png)', chr(10),
+'> ', {_word(3)}, chr(10), '* ', {_word(4)}, chr(10), '- ', {_word(5)}, chr(10), CASE doc_id % 3 WHEN 0 THEN '----' WHEN 1 THEN '***' ELSE '=====' END, chr(10), '## ~~', {_word(6)}, '~~ __', {_word(7)}, '__', chr(10),
+'<b>', {_word(8)}, '</b> <!-- no', chr(10), 'way -->', {_word(9)}, '   ', chr(10), chr(10), chr(10), chr(10), {_word(10)})"""
+_PLAIN = f"""concat('Head ', {_word(0)}, chr(10), chr(10), 'to ', {_word(1)}, ' and ', {_word(2)}, chr(10), {_word(3)}, chr(10), {_word(4)}, chr(10), {_word(5)}, chr(10), CASE WHEN doc_id % 3 = 1 THEN concat('*', chr(10)) ELSE '' END, {_word(6)}, ' ', {_word(7)}, chr(10),
+{_word(8)}, ' ', {_word(9)}, chr(10), chr(10), {_word(10)})"""
 
 
-@query(f"SELECT id, want AS cleaned FROM {values(MARKDOWN, 'id, text, want')}")
+@query(f"SELECT doc_id, {_PLAIN} AS cleaned FROM documents")
 def markdown_strip(spark, sf_dir):
-    return frame(spark, MARKDOWN, "id int, text string, want string").select("id", markdown.strip_markdown(F.col("text")).alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", markdown.strip_markdown(F.expr(_MARKDOWN)).alias("cleaned"))
 
 
 # ---------------------------------------------------------------- files
 
-PATHS = [(1, "/a/B.MD", 10), (2, "/a/c.txt", 0), (3, "x.pdf", 200_000_000), (4, "y.DOCX", 5), (5, "noext", 5), (6, "/d.txt/z", 5), (7, "two.tar.txt", 1), (8, ".txt", 3)]
+# a path for each document, of several types and odd forms, and a size over the limit for some
+_PATH = """concat('/', source, CASE WHEN doc_id % 11 = 0 THEN '.txt/' ELSE '/' END, CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('f', doc_id) END,
+CASE doc_id % 7 WHEN 0 THEN '.MD' WHEN 1 THEN '.txt' WHEN 2 THEN '.pdf' WHEN 3 THEN '.DOCX' WHEN 4 THEN '' WHEN 5 THEN '.tar.txt' ELSE '.bin' END)"""
+_LENGTH = "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars * (doc_id % 3) * 100000 END"
+_FILES = f"(SELECT doc_id, {_PATH} AS path, {_LENGTH} AS length FROM documents)"
 _TYPE = "CASE lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'word' ELSE 'unknown' END"
 
 
-@query(f"SELECT id, {_TYPE} AS file_type FROM {values(PATHS, 'id, path, length')}")
+def _files(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATH} AS path", f"CAST({_LENGTH} AS BIGINT) AS length")
+
+
+@query(f"SELECT doc_id, {_TYPE} AS file_type FROM {_FILES}")
 def file_types(spark, sf_dir):
-    return frame(spark, PATHS, "id int, path string, length bigint").select("id", files.file_type(F.col("path")).alias("file_type"))
+    return _files(spark, sf_dir).select("doc_id", files.file_type(F.col("path")).alias("file_type"))
 
 
-@query(f"SELECT id, length > 104857600 AS oversize FROM {values(PATHS, 'id, path, length')} WHERE length > 0 AND {_TYPE} <> 'unknown'")
+@query(f"SELECT doc_id, length > 104857600 AS oversize FROM {_FILES} WHERE length > 0 AND {_TYPE} <> 'unknown'")
 def valid_files(spark, sf_dir):
-    return files.validated(frame(spark, PATHS, "id int, path string, length bigint")).select("id", "oversize")
+    return files.validated(_files(spark, sf_dir)).select("doc_id", "oversize")
 
 
 # ---------------------------------------------------------------- tokens and index
@@ -173,13 +186,16 @@ def token_counts(spark, sf_dir):
     return split.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-BIGRAMS = [(1, "中文检索", ["中文", "文检", "检索", "索"]), (2, "RAG技术 is 好", ["rag技术", "is", "好"]), (3, "a1 b2,c3", ["a1", "b2", "c3"]), (4, "中a文", ["中", "a文"]), (5, "", [])]
+# some letters as Chinese characters; a unit is such a character, another run of letters and digits, or what lies between
+_MIXED = "translate(text, 'aeiouThn', '中文检索好技术的')"
+_UNITS = rf"regexp_extract_all(lower({_MIXED}), '[\x{{4e00}}-\x{{9fff}}]|[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')"
 
 
-@query(f"SELECT id, array_to_string(want, '|') AS tokens FROM {values(BIGRAMS, 'id, text, want')}")
+@query(rf"""SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(u) + 1), lambda i: CASE
+WHEN regexp_matches(u[i], '^[\x{{4e00}}-\x{{9fff}}]$') THEN u[i] || regexp_extract(coalesce(u[i + 1], ''), '^[\x{{4e00}}-\x{{9fff}}]')
+WHEN regexp_matches(u[i], '^[\p{{L}}\p{{N}}]') THEN u[i] END), lambda t: t IS NOT NULL), '|') AS tokens FROM (SELECT doc_id, {_UNITS} AS u FROM documents)""")
 def cjk_bigrams(spark, sf_dir):
-    rows = frame(spark, [(i, t) for i, t, _ in BIGRAMS], "id int, text string")
-    return rows.select("id", F.array_join(tokens(F.col("text")), "|").alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(tokens(F.expr(_MIXED)), "|").alias("tokens"))
 
 
 def _index(spark, sf_dir) -> bm25.Index:
@@ -340,37 +356,40 @@ def chunks_metadata(spark, sf_dir):
     return chunk.with_chunk_ids(chunk.chunk_by_size(docs)).drop("document")
 
 
-# headings whose groups are packed with an overlap: a whole group that fits into it begins the next chunk too
-OVERLAPPING = [(1, "# A\n\naa\n\n# B\n\nbbbb\n\n# C\n\ncccccccccccc\n\n# D\n\nd"), (2, "# One\n\n" + "w" * 20 + "\n\n# Two\n\nx"), (3, " \n\n"), (4, "plain\n\n***\n\n### Deep  \n\ntext")]
-OVERLAPPING_WANT = [
-    (1, 0, "# A\n\naa\n\n# B\n\nbbbb", "A"),
-    (1, 1, "# B\n\nbbbb\n\n# C\n\ncccccccccccc", "C"),
-    (1, 2, "# D\n\nd", "D"),
-    (2, 0, "# One\n\n" + "w" * 20, "One"),
-    (2, 1, "# Two\n\nx", "Two"),
-    (4, 0, "plain\n\n### Deep\n\ntext", ""),
-]
-
-
-HEADED = [(1, "# A\n\none two\n\n## B\n\nthree\n\n---\n\n# C\n\nfour five six"), (2, "no heading\n\njust text"), (3, "# Long\n\n" + "x" * 60)]
-HEADED_WANT = [(1, 0, "# A\n\none two\n\n## B\n\nthree", "A"), (1, 1, "# C\n\nfour five six", "C"), (2, 0, "no heading\n\njust text", ""), (3, 0, None, None)]
+# three parts for each document, made from its text: long ones of 350 characters, of which no two fit into a chunk of 512, and
+# short ones of 60, which fit beside any; so a chunk ends before each long part but the first
+LARGE = [f"CASE WHEN doc_id % {2 << i} >= {1 << i} THEN 1 ELSE 0 END" for i in range(3)]
+BODY = [f"rpad(md5(concat(text, '{i}')), CASE WHEN doc_id % {2 << i} >= {1 << i} THEN 350 ELSE 60 END, 'x')" for i in range(3)]
+PARTS_SQL = (
+    "parts AS (SELECT doc_id, i, body, greatest(sum(large) OVER (PARTITION BY doc_id ORDER BY i) - 1, 0) AS chunk_index, sum(large) OVER (PARTITION BY doc_id) AS n_large FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {LARGE[i]} AS large, {BODY[i]} AS body FROM documents" for i in range(3))
+    + "))"
+)
+_HEADS = ["concat('# A', doc_id)", "'## B'", "'# C'"]
+_HEADED = "concat(" + ", chr(10), chr(10), ".join(f"{h}, chr(10), chr(10), {b}" for h, b in zip(_HEADS, BODY)) + ")"
+_HEAD = f"CASE i WHEN 0 THEN {_HEADS[0]} WHEN 1 THEN {_HEADS[1]} ELSE {_HEADS[2]} END"
+_SEMANTIC = f"""WITH {PARTS_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg({_HEAD} || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY i) AS document,
+regexp_replace(arg_min({_HEAD}, i), '^#+ ', '') AS chapter FROM parts GROUP BY doc_id, chunk_index"""
 
 
-@query(f"SELECT CAST(id AS INTEGER) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, document, chapter FROM {values([r for r in HEADED_WANT if r[2]], 'id, chunk_index, document, chapter')}")
+@query(_SEMANTIC)
 def chunks_semantic(spark, sf_dir):
-    rows = frame(spark, HEADED, "id int, text string")
-    return chunk.chunk_by_heading(rows, size=30, overlap=0).filter("document IS NOT NULL").select("id", "chunk_index", "document", "chapter")
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_HEADED).alias("text"))
+    return chunk.chunk_by_heading(rows, size=512, overlap=0).select("doc_id", "chunk_index", "document", "chapter")
 
 
-@query(f"SELECT CAST(id AS INTEGER) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, document, chapter FROM {values(OVERLAPPING_WANT, 'id, chunk_index, document, chapter')}")
-def chunks_overlap(spark, sf_dir):
-    rows = frame(spark, OVERLAPPING, "id int, text string")
-    return chunk.chunk_by_heading(rows, size=30, overlap=12).select("id", "chunk_index", "document", "chapter")
+@query(f"SELECT left(chapter, 1) AS chapter, count(*) AS chunks FROM ({_SEMANTIC}) GROUP BY left(chapter, 1)")
+def chapters(spark, sf_dir):
+    return chunks_semantic(spark, sf_dir).groupBy(F.left("chapter", F.lit(1)).alias("chapter")).agg(F.count("*").alias("chunks"))
 
 
-@query(f"SELECT CAST(id AS INTEGER) AS id, CASE WHEN chapter = '' THEN NULL ELSE chapter END AS chapter, count(*) AS chunks FROM {values([r for r in HEADED_WANT if r[2]], 'id, chunk_index, document, chapter')} GROUP BY ALL")
-def chapters(spark, sf_dir):
-    return chunks_semantic(spark, sf_dir).groupBy("id", F.nullif("chapter", F.lit("")).alias("chapter")).agg(F.count("*").alias("chunks"))
+# with an overlap of 100 a short part that ends a chunk begins the next one too: the second one between two long ones
+@query(f"""WITH {PARTS_SQL}, more AS (SELECT doc_id, i, body, chunk_index, true AS fresh FROM parts UNION ALL SELECT doc_id, i, body, 1, false FROM parts WHERE i = 1 AND doc_id % 8 = 5)
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg({_HEAD} || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY i) AS document,
+regexp_replace(arg_min({_HEAD}, i) FILTER (fresh), '^#+ ', '') AS chapter FROM more GROUP BY doc_id, chunk_index""")
+def chunks_overlap(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_HEADED).alias("text"))
+    return chunk.chunk_by_heading(rows, size=512, overlap=100).select("doc_id", "chunk_index", "document", "chapter")
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -399,29 +418,49 @@ def chunk_pages(spark, sf_dir):
     return pages.chunk_pages(spread(chunks), pages.whole_text(p), pages.page_offsets(p)).drop("document")
 
 
-LINES = [(d, p, y, 100.0, t) for d in ("a", "b") for p in ((1, 2, 3) if d == "a" else (1, 2)) for y, t in ((5.0, " Title "), (50.0, "body"), (95.0, "Page"), (20.0, "not a header"))]
+# the lines of each document as those of a page; equal lines lie at equal heights
+LINES_SQL = "(SELECT source AS doc, CAST(doc_id AS INTEGER) AS page, CAST(length(text) * 7 % 100 AS DOUBLE) AS y, 100.0::DOUBLE AS height, text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))"
 
 
-@query(f"""
-WITH l AS {values(LINES, 'doc, page, y, height, text')}, z AS (SELECT doc, page, CASE WHEN y < height * 0.15 THEN 'header' WHEN y > height * 0.85 THEN 'footer' END AS zone, trim(text) AS text FROM l)
-SELECT doc, zone, text, count(*) AS n FROM z WHERE zone IS NOT NULL AND doc IN (SELECT doc FROM l GROUP BY doc HAVING count(DISTINCT page) >= 3) GROUP BY doc, zone, text HAVING count(*) >= 3
+def lines(spark, sf_dir) -> DataFrame:
+    split = documents(spark, sf_dir).select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return split.select("doc", "page", (F.length("text") * 7 % 100).cast("double").alias("y"), F.lit(100.0).alias("height"), "text")
+
+
+@query(rf"""
+WITH l AS {LINES_SQL}, z AS (SELECT doc, page, CASE WHEN y < height * 0.15 THEN 'header' WHEN y > height * 0.85 THEN 'footer' END AS zone, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM l)
+SELECT doc, zone, text, count(*) AS n FROM z WHERE zone IS NOT NULL AND text <> '' AND doc IN (SELECT doc FROM l GROUP BY doc HAVING count(DISTINCT page) >= 3) GROUP BY doc, zone, text HAVING count(*) >= 3
 """)
 def headers_footers(spark, sf_dir):
-    return pages.headers_footers(frame(spark, LINES, "doc string, page int, y double, height double, text string"))
+    return pages.headers_footers(lines(spark, sf_dir))
 
 
-COLUMNS = [(1, "a\tb\tc", 3), (2, "a | b", 2), (3, "| a | b | |", 2), (4, "a  b  c", 3), (5, "plain words", None), (6, "", None), (7, "x  ", None), (8, "a\t", 2)]
+# the first lines of documents with their spaces as separators of a table
+_ROWS = "replace(left(text, 40 + doc_id % 50), ' ', CASE doc_id % 4 WHEN 0 THEN chr(9) WHEN 1 THEN ' | ' WHEN 2 THEN '  ' ELSE ' ' END)"
+_COUNT = r"""CASE WHEN strpos({0}, chr(9)) > 0 THEN len(string_split({0}, chr(9)))
+WHEN strpos({0}, ' | ') > 0 OR starts_with({0}, '|') THEN len(list_filter(string_split({0}, '|'), lambda p: regexp_matches(p, '\S')))
+WHEN len(list_filter(string_split({0}, '  '), lambda p: regexp_matches(p, '\S'))) >= 2 THEN len(list_filter(string_split({0}, '  '), lambda p: regexp_matches(p, '\S'))) END"""
 
 
-@query(f"SELECT id, CAST(n AS INTEGER) AS n FROM {values(COLUMNS, 'id, line, n')}")
+@query(f"SELECT doc_id, CAST({_COUNT.format('line')} AS INTEGER) AS n FROM (SELECT doc_id, split_part({_ROWS}, chr(10), 1) AS line FROM documents)")
 def table_columns(spark, sf_dir):
-    return frame(spark, COLUMNS, "id int, line string, n int").select("id", pages.column_count(F.col("line")).alias("n"))
+    return documents(spark, sf_dir).select("doc_id", pages.column_count(F.split(F.expr(_ROWS), "\n")[0]).alias("n"))
 
 
-SPLIT = [("a", 1, "intro\nh1\th2\n1\t2"), ("a", 2, "3\t4\nafter"), ("a", 3, "text"), ("b", 1, "a | b"), ("b", 2, ""), ("b", 3, "c | d"), ("c", 1, "x  y"), ("c", 2, "u  v  w")]
-MERGED = [("a", 1, "intro\nh1\th2\n1\t2\n3\t4\nafter"), ("a", 2, "text"), ("b", 1, "a | b"), ("b", 2, ""), ("b", 3, "c | d"), ("c", 1, "x  y"), ("c", 2, "u  v  w")]
+# a page is a document: prose, a table row or two, or nothing; the column count of neighbours is equal in some
+_PAGE = """CASE doc_id % 6 WHEN 0 THEN left(text, 30) WHEN 5 THEN '' ELSE concat(left(text, 9), chr(10), 'a', chr(9), substr(text, 1, 3), CASE WHEN doc_id % 4 = 0 THEN concat(chr(9), 'z') ELSE '' END) END"""
+_PAGE_ROW = "CASE doc_id % 6 WHEN 3 THEN concat('x', chr(9), CAST(doc_id AS {text}), chr(10), 'y', chr(9), 'last', chr(10), ' ') ELSE " + _PAGE + " END"
 
 
-@query(f"SELECT doc, CAST(page AS INTEGER) AS page, text FROM {values(MERGED, 'doc, page, text')}")
+@query(rf"""
+WITH p AS (SELECT source AS doc, doc_id AS page, {_PAGE_ROW.format(text='VARCHAR')} AS text FROM documents),
+f AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS filled FROM p),
+e AS (SELECT doc, page, text, filled[1] AS top, filled[-1] AS bottom FROM f),
+n AS (SELECT doc, page, text, {_COUNT.format('top')} AS a, {_COUNT.format('bottom')} AS z FROM e),
+g AS (SELECT *, CASE WHEN lag(z) OVER w = a THEN 0 ELSE 1 END AS starts FROM n WINDOW w AS (PARTITION BY doc ORDER BY page)),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY page) AS g FROM g)
+SELECT doc, CAST(g AS INTEGER) AS page, string_agg(text, chr(10) ORDER BY page) AS text FROM i GROUP BY doc, g
+""")
 def table_merge(spark, sf_dir):
-    return pages.merge_tables(frame(spark, SPLIT, "doc string, page int, text string"))
+    page = F.expr(_PAGE_ROW.format(text="STRING"))
+    return pages.merge_tables(documents(spark, sf_dir).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), page.alias("text")))
