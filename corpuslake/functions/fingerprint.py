@@ -1,11 +1,15 @@
-"""FNV-1a hashes, SimHash fingerprints and their distance, as native expressions."""
+"""FNV-1a hashes and the distance of fingerprints as native expressions; SimHash fingerprints by Arrow batch."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.tokens import tokens
+from corpuslake.operators.common import spread
 
 #: Fixed values of FNV-1a with 64 bits: the offset basis 14695981039346656037 in two halves, and the low part of the prime 2**40 + 435.
 BASIS_HIGH, BASIS_LOW, PRIME_LOW = 0xCBF29CE4, 0x84222325, 0x1B3
@@ -29,21 +33,53 @@ def fnv1a(word: Column) -> Column:
     return F.aggregate(places, start, step, lambda a: F.shiftleft(a["hi"], 32).bitwiseOR(a["lo"]))
 
 
+def fnv1a_words(words: list[str]) -> np.ndarray:
+    """The hashes of many words as unsigned numbers, byte place by byte place; the rest of a word over 64 bytes on its own."""
+    coded = [w.encode() for w in words]
+    sizes = np.array([len(c) for c in coded], dtype=np.int64)
+    width = int(min(sizes.max(initial=0), 64))
+    table = np.frombuffer(b"".join(c[:width].ljust(width, b"\0") for c in coded), dtype=np.uint8).reshape(len(coded), width)
+    basis, prime = BASIS_HIGH << 32 | BASIS_LOW, (1 << 40) + PRIME_LOW
+    hashes = np.full(len(coded), basis, dtype=np.uint64)
+    for place in range(width):
+        live = sizes > place
+        hashes[live] = (hashes[live] ^ table[live, place]) * np.uint64(prime)  # wraps at 64 bits
+    for i in np.flatnonzero(sizes > width):
+        h = int(hashes[i])
+        for byte in coded[i][width:]:
+            h = ((h ^ byte) * prime) & ((1 << 64) - 1)
+        hashes[i] = h
+    return hashes
+
+
+def simhash_of(lists: pa.Array) -> pa.Array:
+    """A fingerprint for each list of tokens; a token that a batch holds often is hashed once."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    words = lists.flatten().dictionary_encode()
+    hashes = fnv1a_words(words.dictionary.to_pylist())
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    places = words.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    out = np.zeros(len(ends), dtype=np.uint64)
+    begin = 0
+    for row, end in enumerate(ends):
+        if end > begin:
+            weights = np.bincount(places[begin:end])
+            some = np.flatnonzero(weights)
+            ones = weights[some] @ bits[some].astype(np.int64)
+            out[row] = np.packbits(2 * ones > end - begin, bitorder="little").view("<u8")[0]
+        begin = end
+    return pa.array(out.view(np.int64))
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, simhash): a bit is set where the tokens that have it outweigh those that don't; 0 without tokens.
+    """(key, simhash) of each row: a bit is set where the tokens that have it outweigh those that don't; 0 without tokens.
 
-    A token is hashed once for each distinct one; tokens are counted before the bits are summed.
+    A row's fingerprint comes from the row alone, so nothing is shuffled but rows of a table of few row groups, and
+    texts stay behind: tokens are split in the JVM and go to Python as Arrow lists.
     """
-    counts = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    words = counts.select("token").distinct().select("token", fnv1a(F.col("token")).alias("h"))
-    weighed = counts.join(words, "token")
-    # bits b and b + 32 are counted in the two halves of one number
-    lanes = [F.sum(F.col("n") * F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"s{b}") for b in range(32)]
-    sums = weighed.groupBy(key).agg(F.sum("n").alias("n"), *lanes)
-    low = [F.col(f"s{b}").bitwiseAND(F.lit(MASK)) for b in range(32)]
-    ones = F.array(*low, *(F.shiftright(f"s{b}", 32) for b in range(32)))
-    value = F.aggregate(F.transform(ones, lambda x, i: F.when(2 * x > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    return df.select(key).join(sums.select(key, value.alias("simhash")), key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    mark = F.arrow_udf(simhash_of, "bigint")
+    return spread(df.select(key, text)).select(key, mark(tokens(F.col(text))).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
