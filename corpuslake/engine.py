@@ -16,7 +16,7 @@ from corpuslake import schemas
 from corpuslake.config import EngineConfig
 from corpuslake.functions.fingerprint import simhash
 from corpuslake.operators import bm25, chunk, context, dedup, evaluate, hybrid, store, vector, versions
-from corpuslake.operators.common import materialize
+from corpuslake.operators.common import materialize, small
 from corpuslake.sources import clients, files
 
 Chunker = Callable[..., DataFrame]
@@ -52,6 +52,16 @@ class Engine:
         """Fingerprints of all chunks that were kept by any run."""
         return self._table("fingerprints", schemas.FINGERPRINTS)
 
+    @property
+    def vectors(self) -> DataFrame:
+        """Vectors by the hash of their text and the embedder's identity; a text is sent once."""
+        return self._table("vectors", schemas.VECTORS)
+
+    @property
+    def failures(self) -> DataFrame:
+        """Files that a run left out, as they couldn't be read or a text of theirs had no vector; later runs take them up again."""
+        return self._table("failures", schemas.FAILURES)
+
     @property
     def log(self) -> DataFrame:
         return self._table("version_log", schemas.VERSION_LOG)
@@ -70,7 +80,9 @@ class Engine:
         """Scan, file dedup, archiving, loading, chunking, chunk dedup in two layers, embedding, storing and versions, as one batch.
 
         Chunks are held against each other's fingerprints, and against the vectors of the stored active chunks (those
-        that reach cosine_duplicate are dropped; a value over 1 turns this off). history holds them against the
+        that reach cosine_duplicate are dropped; a value over 1 turns this off). A text is sent to the embedder only if no
+        run has its vector yet. A file whose parser failed, or with a text that has no vector, goes to failures: it isn't
+        stored, what is stored of its source stays, and a later run takes it up again. history holds them against the
         fingerprints of earlier runs too. replace deletes a source's old chunks; otherwise they stay with is_active
         false. As sources are archived before their text is known, a source that gives no text keeps archived chunks
         only. Chunks are stored before versions and fingerprints are logged; what a batch that failed between didn't log
@@ -81,17 +93,22 @@ class Engine:
         valid = files.metadata(files.validated(found))
         fresh = valid if force else dedup.new_files(valid, self.chunks)
         fresh = materialize(fresh, "files")
-        retired = self._retire(fresh, replace)
-        texts = files.load(fresh, self.pdf_parser)
+        texts = files.load(fresh, self.pdf_parser).drop("path", "modificationTime", "length", "content", "oversize")
+        texts = materialize(texts, "texts")
+        unread = texts.filter("load_error IS NOT NULL").select("source", "doc_id", F.lit("load").alias("stage"), F.col("load_error").alias("error"))
         split: Chunker = chunk.chunk_by_heading if semantic else chunk.chunk_by_size
-        parts = split(texts.drop("path", "modificationTime", "length", "content", "oversize"), "text", self.config.chunk_size, self.config.chunk_overlap)
+        parts = split(texts.filter("load_error IS NULL").drop("load_error"), "text", self.config.chunk_size, self.config.chunk_overlap)
         parts = materialize(parts.filter("document IS NOT NULL"), "parts")
         order = F.struct(F.lower("file_name").alias("f"), "source", "chunk_index").alias("doc")
         keyed = parts.select(order, "*")
         marks = simhash(keyed, "doc", "document")
         seen = self.fingerprints if history else None
         kept = materialize(dedup.filter_chunks(keyed.join(marks, "doc"), self.config.hamming_threshold, history=seen), "kept")
-        kept = self._vector_layer(materialize(clients.embedded(kept.drop("doc"), self.embedder, "document"), "embedded"))
+        kept, unsent = self._embedded(kept.drop("doc"))
+        failed = materialize(unread.unionByName(unsent).withColumn("seq", F.unix_micros(F.current_timestamp())), "failed")
+        failed.write.mode("append").parquet(f"{self.home}/failures")
+        retired = self._retire(fresh.join(failed.select("doc_id"), "doc_id", "left_anti"), replace)
+        kept = self._vector_layer(materialize(kept.join(failed.select("doc_id"), "doc_id", "left_anti"), "embedded"))
         counts = materialize(kept.groupBy("doc_id", "file_name").agg(F.count("*").cast("int").alias("chunk_count")), "counts")
         numbered = self._next_versions(counts)
         rows = kept.drop("simhash").join(numbered.select("doc_id", "version"), "doc_id").withColumn("is_active", F.lit(True))
@@ -104,6 +121,21 @@ class Engine:
         self._append_search(rows) if ready else self.refresh()
         return counts.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 
+    def _embedded(self, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(chunks with vectors, failures of documents): distinct texts without a kept vector are sent, and their vectors kept."""
+        made = clients.identity(self.embedder)
+        hashed = kept.withColumn("text_hash", F.sha2(F.col("document").cast("binary"), 256))
+        wanted = materialize(hashed.groupBy("text_hash").agg(F.first("document").alias("document")), "wanted")
+        known = self.vectors.filter(F.col("embedder") == made).select("text_hash", "embedding")
+        found = materialize(known.join(small(wanted.select("text_hash")), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "found")
+        unseen = wanted.join(found.select("text_hash"), "text_hash", "left_anti")
+        sent = materialize(clients.attempted(unseen, self.embedder, "document").drop("document"), "sent")
+        new = sent.filter("embedding_error IS NULL").select("text_hash", "embedding")
+        new.select("text_hash", F.lit(made).alias("embedder"), "embedding").write.mode("append").parquet(f"{self.home}/vectors")
+        lost = sent.filter("embedding_error IS NOT NULL").select("text_hash", "embedding_error")
+        errors = hashed.join(lost, "text_hash").groupBy("source", "doc_id").agg(F.lit("embed").alias("stage"), F.min("embedding_error").alias("error"))
+        return hashed.join(found.unionByName(new), "text_hash").drop("text_hash"), errors
+
     def _vector_layer(self, kept: DataFrame) -> DataFrame:
         """Chunks that no stored active chunk is too near to."""
         live = self.chunks.filter("is_active")

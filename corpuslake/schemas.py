@@ -13,4 +13,8 @@ JUDGE = (
 )
 SESSIONS = "name string, messages array<struct<role:string,content:string,sources:array<struct<index:int,file:string,path:string,score:double,snippet:string>>>>, created_at string"
 EVAL = "question string, relevant_texts array<string>"
+VECTORS = "text_hash string, embedder string, embedding array<float>"
+FAILURES = "source string, doc_id string, stage string, error string, seq bigint"
+BATCHES = "files bigint, refused bigint, finished_at timestamp, stream string, batch_id bigint"
+REFUSED = "path string, length bigint, reason string, stream string, batch_id bigint"
 FINGERPRINTS = "doc_id string, chunk_index int, simhash bigint"

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 
 
 class Embedder(Protocol):
+    """One with settings that change its vectors tells them in an attribute `identity`, by which vectors are kept."""
+
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
@@ -36,6 +40,7 @@ class HashEmbedder:
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
+        self.identity = f"hash-{dimensions}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimensions))
@@ -69,16 +74,41 @@ def posted(url: str, body: dict, timeout: float) -> Iterator[dict]:
                 yield json.loads(line)
 
 
+def again(call: Callable, retries: int, wait: float):
+    """call's result; after a lost connection or a server's error it is tried again, each time after twice the wait."""
+    for left in range(retries, -1, -1):
+        try:
+            return call()
+        except OSError as e:
+            refused = isinstance(e, urllib.error.HTTPError) and e.code < 500
+            if refused or not left:
+                raise
+            time.sleep(wait * 2 ** (retries - left))
+
+
 @dataclass(frozen=True)
 class HttpEmbedder:
-    """Vectors from a model server, one request a text; a failed request fails the job."""
+    """Vectors from a model server: `many` texts a request to /api/embed, or one to /api/embeddings where many is 1."""
 
     host: str
     model: str
     timeout: float = 30.0
+    many: int = 1
+    retries: int = 2
+    wait: float = 0.5
+
+    @property
+    def identity(self) -> str:
+        return f"http-{self.model}"
+
+    def _asked(self, texts: list[str]) -> list[list[float]]:
+        if self.many == 1:
+            return [next(posted(f"{self.host}/api/embeddings", {"model": self.model, "prompt": texts[0]}, self.timeout))["embedding"]]
+        return next(posted(f"{self.host}/api/embed", {"model": self.model, "input": texts}, self.timeout))["embeddings"]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [next(posted(f"{self.host}/api/embeddings", {"model": self.model, "prompt": t}, self.timeout))["embedding"] for t in texts]
+        groups = [texts[i : i + self.many] for i in range(0, len(texts), self.many)]
+        return [v for g in groups for v in again(lambda g=g: self._asked(g), self.retries, self.wait)]
 
 
 @dataclass(frozen=True)
@@ -119,6 +149,41 @@ def embedded(df: DataFrame, embedder: Embedder, text: str, column: str = "embedd
     return df.mapInPandas(run, f"{schema}, {column} array<float>")
 
 
+def identity(embedder: Embedder) -> str:
+    """What an embedder's vectors are kept under: its `identity`, or the name of its class."""
+    kind = type(embedder)
+    return getattr(embedder, "identity", None) or f"{kind.__module__}.{kind.__qualname__}"
+
+
+def tried(embedder: Embedder, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or an error for each text; a request that fails is parted until the failing texts are alone."""
+    if not texts:
+        return []
+    try:
+        found = embedder.embed(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return [(v, None) if v is not None else (None, "no vector") for v in found]
+    except Exception as e:  # noqa: BLE001  any client's failure is that of its texts
+        if len(texts) == 1:
+            return [(None, str(e) or type(e).__name__)]
+        half = len(texts) // 2
+        return tried(embedder, texts[:half]) + tried(embedder, texts[half:])
+
+
+def attempted(df: DataFrame, embedder: Embedder, text: str, column: str = "embedding", many: int = 256) -> DataFrame:
+    """df with a vector, or null and a message in `<column>_error`; the embedder gets up to `many` texts at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t or "" for t in b[text]]
+            pairs = [p for i in range(0, len(texts), many) for p in tried(embedder, texts[i : i + many])]
+            yield b.assign(**{column: [v for v, _ in pairs], f"{column}_error": [e for _, e in pairs]})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, {column} array<float>, {column}_error string")
+
+
 def answer(model: LanguageModel, prompt: str) -> str:
     """The chat call's answer, the plain generation's if that fails."""
     try:

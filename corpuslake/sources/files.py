@@ -84,7 +84,7 @@ def load_markdown(content: Column) -> Column:
 
 
 def load(files: DataFrame, pdf_parser: pdf.Parser | None = None) -> DataFrame:
-    """files (with path and content) and a column text; what gives no text is dropped."""
+    """files (with path and content), text and load_error; what gives no text is dropped but for files whose parser failed."""
     kinds: dict[str, Callable[[DataFrame], DataFrame]] = {
         "text": lambda df: df.withColumn("text", load_text(F.col("content"))),
         "markdown": lambda df: df.withColumn("text", load_markdown(F.col("content"))),
@@ -95,5 +95,6 @@ def load(files: DataFrame, pdf_parser: pdf.Parser | None = None) -> DataFrame:
     parts = [f(files.filter(file_type(F.col("path")) == kind)) for kind, f in kinds.items()]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter("text <> ''")
+        out = out.unionByName(p, allowMissingColumns=True)
+    out = out if "load_error" in out.columns else out.withColumn("load_error", F.lit(None).cast("string"))
+    return out.filter("text <> '' OR load_error IS NOT NULL")

@@ -77,6 +77,46 @@ def test_pdf_lines(spark, tmp_path):
     assert files.load(df, parser).first()["text"] == "intro\na\tb\n1\t2\nend\n\nlast"
 
 
+def test_a_pdf_that_fails_is_a_row(spark, tmp_path):
+    def parser(content):
+        yield pdf.Line(1, 30.0, 100.0, " ".join(content.decode() * 9))
+        if content == b"broken":
+            raise ValueError("no trailer")
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.pdf").write_bytes(b"whole")
+    (tmp_path / "docs" / "b.pdf").write_bytes(b"broken")
+    e = Engine(spark, f"file://{tmp_path}/home", pdf_parser=parser)
+    assert e.index(f"file://{tmp_path}/docs").first()["files"] == 1
+    assert [(r.source.rsplit("/", 1)[1], r.stage, r.error) for r in e.failures.collect()] == [("b.pdf", "load", "no trailer")]
+    (tmp_path / "docs" / "b.pdf").write_bytes(b"mended")
+    assert e.index(f"file://{tmp_path}/docs").first()["files"] == 1
+
+
+def test_texts_are_sent_once(spark, root, tmp_path, server):
+    host, asked = server
+    e = Engine(spark, f"file://{tmp_path}/home", embedder=clients.HttpEmbedder(host, "e", many=4), config=EngineConfig(cosine_duplicate=2.0))
+    e.index(f"file://{root}")
+    sent = [t for path, b in asked if path == "/api/embed" for t in b["input"]]
+    assert len(sent) == len(set(sent)) == e.vectors.count() > 4 and any(len(b["input"]) > 1 for _, b in asked)
+    n = len(asked)
+    e.index(f"file://{root}", force=True)
+    assert len(asked) == n and e.chunks.filter("is_active AND embedding IS NULL").isEmpty()
+    (root / "a.md").write_text("poison", "utf-8")
+    (root / "e.txt").write_text("epsilon", "utf-8")
+    assert e.index(f"file://{root}").first()["files"] == 1
+    assert [r.source.rsplit("/", 1)[1] for r in e.failures.collect()] == ["a.md"]
+    assert {r.is_active for r in e.chunks.filter("file_name = 'a.md' AND version = 2").collect()} == {True}
+
+
+def test_requests_are_tried_again(server):
+    host, asked = server
+    assert clients.HttpEmbedder(host, "shaky", many=2, wait=0.01).embed(["a", "bb", "ccc"]) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]]
+    assert len(asked) == 6
+    shaky = clients.HttpEmbedder(host, "e", many=8, retries=0)
+    assert [v is None for v, _ in clients.tried(shaky, ["a", "poison", "b"])] == [False, True, False]
+
+
 def test_index_search_and_versions(spark, root, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/home")
     counts = e.index(f"file://{root}").first()
@@ -118,6 +158,38 @@ def test_stream_takes_new_files_and_a_batch_replaces_sources(spark, root, tmp_pa
     assert rows and all("omega" in r.document for r in rows) and e.stats().first()["sources"] == 5
 
 
+def test_a_batch_counts_once(spark, root, tmp_path, monkeypatch):
+    """Run twice, or stopped at some step and run again, a batch leaves the rows of one run."""
+    for name in ("b.txt", "d.docx", "empty.txt"):
+        (root / name).unlink()
+    (root / "odd [1]*.txt").write_text("odd name", "utf-8")
+    whole = spark.read.format("binaryFile").schema(files.BINARY).option("recursiveFileLookup", True).load(f"file://{root}").select(*ingest.LISTING)
+
+    def state(e):
+        chunks = sorted((r.file_name, r.chunk_index, r.version, r.is_active) for r in e.chunks.collect())
+        log = sorted((r.file_name, r.version, r.chunk_count) for r in e.log.collect())
+        return chunks, log, sorted((r.path, r.reason, r.batch_id) for r in ingest.refusals(e).collect()), [(r.files, r.refused, r.batch_id) for r in ingest.batches(e).collect()]
+
+    plain = Engine(spark, f"file://{tmp_path}/plain")
+    assert ingest.take(plain, whole, 7, "s") and not ingest.take(plain, whole, 7, "s")
+    want = state(plain)
+    assert any(name == "odd [1]*.txt" for name, *_ in want[0]) and [r[1] for r in want[2]] == ["unknown file type"]
+    for step in ("_retire", "_record"):  # before and after the chunks are stored
+        e = Engine(spark, f"file://{tmp_path}/{step}")
+
+        def broken(*_):
+            raise RuntimeError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(Engine, step, broken)
+            try:
+                ingest.take(e, whole, 7, "s")
+            except RuntimeError:
+                assert ingest.batches(e).isEmpty()
+        ingest.take(e, whole, 7, "s")
+        assert state(e) == want, step
+
+
 def test_clients_fall_back():
     class Broken(clients.EchoModel):
         def chat(self, prompt):
@@ -259,7 +331,15 @@ def server():
             if body.get("model") == "broken" and self.path == "/api/chat":
                 self.send_error(500)
                 return
-            if self.path == "/api/embeddings":
+            if body.get("model") == "shaky" and len([1 for _, b in asked if b == body]) < 3:
+                self.send_error(503)
+                return
+            if self.path == "/api/embed":
+                if "poison" in body["input"]:
+                    self.send_error(400)
+                    return
+                lines = [{"embeddings": [[float(len(t)), 1.0] for t in body["input"]]}]
+            elif self.path == "/api/embeddings":
                 lines = [{"embedding": [float(len(body["prompt"])), 1.0]}]
             elif self.path == "/api/generate":
                 lines = [{"response": " generated "}]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.functions import clean as c
-from corpuslake.functions.fingerprint import fnv1a, hamming, simhash
+from corpuslake.functions.fingerprint import fnv1a, fnv1a_words, hamming, simhash
 from corpuslake.functions.markdown import strip_markdown
 from corpuslake.functions.strings import extension, strip
 from corpuslake.functions.tokens import tokens
@@ -133,3 +133,10 @@ def test_hamming(spark):
     rows = [(0, 0), (-1, 0), (5, 6), (-(2**63), 1)]
     df = spark.createDataFrame(rows, "a bigint, b bigint")
     assert [r[0] for r in df.select(hamming(F.col("a"), F.col("b"))).collect()] == [0, 64, 2, 2]
+
+
+def test_hashes_of_many_words(spark):
+    words = ["", "a", "中文", "x" * 64, "y" * 65, "é" * 200]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    native = [r.h for r in df.select("i", fnv1a(F.col("w")).alias("h")).orderBy("i").collect()]
+    assert fnv1a_words(words).astype("int64").tolist() == native and fnv1a_words([]).tolist() == []
