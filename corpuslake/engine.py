@@ -20,6 +20,8 @@ from corpuslake.operators.common import materialize, small
 from corpuslake.sources import clients, files
 
 Chunker = Callable[..., DataFrame]
+#: Says that the search tables are up to date; named for their layout, so that tables of an earlier one are written anew.
+READY = "search/READY-blocks"
 
 
 class Engine:
@@ -197,14 +199,14 @@ class Engine:
     # ------------------------------------------------------------ what searches read
 
     def _ready(self) -> bool:
-        return self._exists("search/READY")
+        return self._exists(READY)
 
     def _stale(self) -> None:
-        path, fs = self._path("search/READY")
+        path, fs = self._path(READY)
         fs.delete(path, False)
 
     def _set_ready(self) -> None:
-        path, fs = self._path("search/READY")
+        path, fs = self._path(READY)
         fs.create(path, True).close()
 
     def refresh(self) -> None:

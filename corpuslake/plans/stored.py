@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake import schemas
-from corpuslake.operators import chunk, hybrid, pages, store
+from corpuslake.operators import bm25, chunk, hybrid, pages, store
 from corpuslake.operators.common import shared_dir
 from corpuslake.plans import retrieval
 from corpuslake.plans.texts import BODY, LINES_SQL, PARTS_SQL, _sql_clean, documents, lines, table
@@ -78,6 +78,17 @@ def hybrid_retriever(spark, sf_dir):
     return found.select("query_id", "doc", "source", "score", "rank")
 
 
+@query(retrieval.ORACLES["bm25_topk"])
+def bm25_blocks(spark, sf_dir):
+    """bm25_topk by an index that was written in two batches: blocks whose bounds can't reach the last score aren't scored."""
+    folder = _folder(spark, "index")
+    docs = table(spark, sf_dir, "documents")
+    late = F.col("doc_id") % 2 == 1
+    bm25.build_index(docs.filter(~late), "doc_id", "text", written=True).write(folder)
+    bm25.build_index(docs.filter(late), "doc_id", "text", written=True).append(folder)
+    return bm25.search(bm25.Index.read(spark, folder), retrieval._items(spark, sf_dir), 20)
+
+
 @query(rf"SELECT doc, page, string_agg(text, chr(10) ORDER BY y, text) AS text FROM {LINES_SQL} WHERE regexp_matches(text, '\S') GROUP BY doc, page")
 def page_texts(spark, sf_dir):
     return pages.page_text(lines(spark, sf_dir))

@@ -150,6 +150,35 @@ def test_bm25_scores(spark):
     assert got == [(0, i, round(want[i], 4), k) for k, i in enumerate(order[:3], 1)]
 
 
+def test_blocks_give_what_all_postings_give(spark, tmp_path):
+    """A written index, appended to, against a search of all postings; documents on one subject stand together."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(common, k=rng.randint(0, 40)) + rng.choices([f"s{i // 150}"], k=rng.randint(0, 6)))) for i in range(1500)]
+    rows += [(1500, ""), (1501, None)]
+    df = spark.createDataFrame(rows, "doc bigint, document string")
+    asked = spark.createDataFrame([(q, f"c{q} s{q % 10} s{q % 10}") for q in range(12)] + [(12, "c1 c2 c3"), (13, "nothing"), (14, ""), (15, None)], "query_id bigint, question string")
+    path = str(tmp_path / "index")
+    bm25.build_index(df.filter("doc < 700 AND doc <> 350")).write(path)
+    bm25.build_index(df.filter("doc >= 700 OR doc = 350")).append(path)  # block 2 gets a second row a token
+    stored, whole = bm25.Index.read(spark, path), bm25.build_index(df)
+    assert stored.stats.first() == whole.stats.first()
+    assert sorted(map(tuple, stored.postings.collect())) == sorted(map(tuple, whole.postings.collect()))
+    for k in (1, 10, 2000):
+        assert sorted(map(tuple, bm25.search(stored, asked, k).collect())) == sorted(map(tuple, bm25.search(whole, asked, k).collect()))
+    read = {r.query_id: (r.postings, r.read) for r in bm25.postings_read(stored, asked, 10).collect()}
+    assert sorted(read) == list(range(13)) and sum(r for _, r in read.values()) < 0.7 * sum(p for p, _ in read.values())
+    assert bm25.search(bm25.Index.read(spark, path), asked, 5, k1=-0.5).count()  # no bound holds: all postings
+
+
+def test_an_empty_index_is_written_and_read(spark, tmp_path):
+    none = spark.createDataFrame([], "doc bigint, document string")
+    bm25.build_index(none).write(str(tmp_path / "index"))
+    stored = bm25.Index.read(spark, str(tmp_path / "index"))
+    assert bm25.search(stored, spark.createDataFrame([(1, "a")], "query_id bigint, question string")).count() == 0
+    assert stored.stats.first()["n"] == 0
+
+
 def test_vector_search_equals_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, [0.0] * 8)]
