@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.vectors import dot, doubles, similarity_score, unit
 from corpuslake.operators.bm25 import ranked
-from corpuslake.operators.common import materialize
+from corpuslake.operators.common import materialize, small
 
 
 def nearest(store: DataFrame, queries: DataFrame, top_k: int = 5, where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -131,15 +132,6 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
 
     left, right = materialize(placed(asked, True), "asked"), materialize(placed(rows, False), "stored")
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(name))
-
-    split = parts(left, "ask_parts").join(parts(right, "store_parts"), "cell")  # one row a cell
-    split = materialize(split, "cells")
-    one = left.join(F.broadcast(split), "cell").withColumn("ask", F.pmod(F.xxhash64("id"), F.col("ask_parts")).cast("int")).withColumn("stored", F.explode(F.sequence(F.lit(0), F.col("store_parts") - 1)))
-    two = right.join(F.broadcast(split), "cell").withColumn("stored", F.pmod(F.xxhash64("id"), F.col("store_parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
-    key = ["cell", "ask", "stored"]
-
     def compare(_, mine: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine) and len(kept):
@@ -157,10 +149,144 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
                 out.append(pd.DataFrame({"query_id": mine["id"].to_numpy()[at : at + BLOCK_ROWS][hit], "doc": where[hit], "score": best[hit]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc": [], "score": []})
 
-    met = one.select(*key, "id", "v").groupBy(*key).cogroup(two.select(*key, "id", "v").groupBy(*key)).applyInPandas(compare, "query_id bigint, doc bigint, score double")
+    met = _met(left, right, compare)
     return ranked(met, 1, F.col("score").desc(), F.col("doc")).select("query_id", "doc", "score")
 
 
+def _met(left: DataFrame, right: DataFrame, compare) -> DataFrame:
+    """(query_id, doc, score) that compare makes of the rows (cell, id, v) of left and right of each cell; a cell with many rows on a side is parted."""
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(name))
+
+    split = parts(left, "ask_parts").join(parts(right, "store_parts"), "cell")  # one row a cell
+    split = small(materialize(split, "cells"))
+    one = left.join(split, "cell").withColumn("ask", F.pmod(F.xxhash64("id"), F.col("ask_parts")).cast("int")).withColumn("stored", F.explode(F.sequence(F.lit(0), F.col("store_parts") - 1)))
+    two = right.join(split, "cell").withColumn("stored", F.pmod(F.xxhash64("id"), F.col("store_parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
+    key = ["cell", "ask", "stored"]
+    return one.select(*key, "id", "v").groupBy(*key).cogroup(two.select(*key, "id", "v").groupBy(*key)).applyInPandas(compare, "query_id bigint, doc bigint, score double")
+
+
+@dataclass
+class Cells:
+    """A store of vectors, written for searches by cells. rows (cell, id, v) are unit vectors, in a folder for each cell; centres
+    (cell, size, centre, radius, n) has the middle of each cell of a common length and the widest angle to it."""
+
+    rows: DataFrame
+    centres: DataFrame
+
+    @staticmethod
+    def write(store: DataFrame, path: str) -> None:
+        """Writes store (doc, embedding); the vectors of each of the commonest lengths go to the nearest of a bounded sample of them, those of another length are one cell."""
+        units = materialize(_units(store, "doc", "embedding"), "units")
+        by_length = {n: np.array(v, float) for n, v in _pivots(units).items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for n, part, v in _by_length(batches):
+                home, angle = np.zeros(len(v), np.int64), np.full(len(v), np.pi)
+                if n in by_length:
+                    near = v @ by_length[n].T
+                    home = near.argmax(axis=1)
+                    angle = np.arccos(np.clip(near[np.arange(len(v)), home], -1, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(home + n * PIVOTS), *part.columns, pa.array(angle)], ["cell", "id", "v", "angle"])
+
+        placed = materialize(units.mapInArrow(run, "cell bigint, id bigint, v array<double>, angle double"), "placed")
+        placed.select("cell", "id", "v").repartitionByRange("cell", "id").write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
+        middles = [(n * PIVOTS + j, n, v.tolist()) for n, sample in by_length.items() for j, v in enumerate(sample)]  # LENGTHS * PIVOTS at most
+        middles = F.broadcast(store.sparkSession.createDataFrame(middles, "cell bigint, size int, centre array<double>"))
+        sized = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+        middles.join(sized, "cell").write.mode("overwrite").parquet(f"{path}/centres")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Cells:
+        return Cells(spark.read.schema("id bigint, v array<double>, cell bigint").parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centres"))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(length, rows, their vectors as a matrix) of batches (id, v, ...)."""
+    for b in batches:
+        size = np.array([len(x) for x in b.column(1)], np.int64) if b.num_rows else np.empty(0, np.int64)
+        for n in np.unique(size).tolist():
+            part = b.filter(pa.array(size == n))
+            yield n, part, part.column(1).flatten().to_numpy().reshape(part.num_rows, n)
+
+
+def nearest_by_cells(cells: Cells, queries: DataFrame, top_k: int = 5, threshold: float | None = None) -> DataFrame:
+    """What nearest() returns, (query_id, doc, score, rank), from a written store, with few of its cells read.
+
+    A vector of a cell is no nearer to a query than the angle to the cell's centre less its radius. The cells that this
+    bounds highest are compared first, as many as hold top_k vectors; then those whose bound reaches the last of the top_k scores
+    they gave. Queries stay a distributed side, and the driver holds the centres only, whose number is bounded.
+    """
+    found = CellSearch(cells, queries, top_k)
+    scores = found.seen.unionAll(found.compared(found.rest))
+    return ranked(scores if threshold is None else scores.filter(F.col("score") >= threshold), top_k, F.col("score").desc(), F.col("doc"))
+
+
+class CellSearch:
+    """first and rest: (cell, id, v) of the queries for each cell that they are compared with; seen: what first gave."""
+
+    def __init__(self, cells: Cells, queries: DataFrame, top_k: int):
+        self.rows, self.top_k = cells.rows, top_k
+        self.centres: dict[int, tuple] = {}
+        held = cells.centres.orderBy("size", "cell").collect()  # LENGTHS * PIVOTS at most
+        for n in {r["size"] for r in held}:
+            mine = [r for r in held if r["size"] == n]
+            self.centres[n] = tuple(np.array([r[c] for r in mine]) for c in ("cell", "centre", "radius", "n"))
+        asked = materialize(_units(queries, "query_id", "vector"), "asked")
+        self.first = materialize(self._picked(asked.withColumn("last", F.lit(None).cast("double")), True), "first")
+        self.seen = materialize(self.compared(self.first), "seen")
+        last = ranked(self.seen, top_k, F.col("score").desc(), F.col("doc")).filter(F.col("rank") == top_k)
+        again = asked.join(last.select(F.col("query_id").alias("id"), F.col("score").alias("last")), "id", "left")
+        others = self._picked(again.select("id", "v", "last"), False)
+        self.rest = materialize(others.join(self.first.select("cell", "id"), ["cell", "id"], "left_anti"), "rest")
+
+    def _picked(self, asked: DataFrame, first: bool) -> DataFrame:
+        centres, top_k = self.centres, self.top_k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for n, part, v in _by_length(batches):
+                if n in centres:
+                    cell, centre, radius, held = centres[n]
+                    angle = np.arccos(np.clip(v @ centre.T, -1, 1)) - radius - 1e-6
+                    bound = np.clip(np.cos(np.maximum(angle, 0)), 0, 1)
+                else:  # one cell, or none
+                    cell, held, bound = np.array([n * PIVOTS]), np.zeros(1), np.ones((len(v), 1))
+                if first:
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    n_before = np.cumsum(held[order], axis=1) - held[order]
+                    row, place = np.nonzero(n_before < top_k)
+                    column = order[row, place]
+                else:
+                    last = part.column(2).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                    row, column = np.nonzero(np.isnan(last) | (bound >= last - 1e-4))  # scores are rounded
+                for at in range(0, len(row), 10_000):
+                    taken = part.take(pa.array(row[at : at + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[column[at : at + 10_000]].astype(np.int64)), taken.column(0), taken.column(1)], ["cell", "id", "v"])
+
+        return asked.mapInArrow(run, "cell bigint, id bigint, v array<double>")
+
+    def compared(self, picked: DataFrame) -> DataFrame:
+        """(query_id, doc, score): the top_k of each cell, or part of one, for each query picked for it."""
+        top_k, most = self.top_k, LENGTHS * PIVOTS
+        wanted = [r.cell for r in picked.select("cell").distinct().limit(most + 1).collect()]
+        rows = self.rows.filter(F.col("cell").isin(wanted)) if len(wanted) <= most else self.rows.join(picked.select("cell").distinct(), "cell", "left_semi")
+
+        def compare(_, mine: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "doc": np.empty(0, np.int64), "score": np.empty(0)})]
+            if len(mine) and len(kept):
+                kept = kept.sort_values("id")
+                docs, y, x, ids = kept["id"].to_numpy(), np.stack(kept["v"].to_numpy()), np.stack(mine["v"].to_numpy()), mine["id"].to_numpy()
+                for at in range(0, len(x), BLOCK_ROWS):
+                    for to in range(0, len(y), BLOCK_ROWS):
+                        score = np.clip(_half_up(x[at : at + BLOCK_ROWS] @ y[to : to + BLOCK_ROWS].T), 0.0, 1.0)
+                        best = np.argsort(-score, axis=1, kind="stable")[:, :top_k]  # of ties the smallest id
+                        out.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + BLOCK_ROWS], best.shape[1]), "doc": docs[to : to + BLOCK_ROWS][best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()}))
+            return pd.concat(out)
+
+        return _met(picked, rows, compare)
+
+
 def _pivots(rows: DataFrame) -> dict[int, list]:
     """PIVOTS vectors, by a hash of their ids, of each of the LENGTHS commonest lengths of rows (id, v): a bounded number."""
     sized = rows.select(F.size("v").alias("n"), "id", "v")

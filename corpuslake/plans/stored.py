@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake import schemas
-from corpuslake.operators import bm25, chunk, hybrid, pages, store
+from corpuslake.operators import bm25, chunk, hybrid, pages, store, vector
 from corpuslake.operators.common import shared_dir
 from corpuslake.plans import retrieval
 from corpuslake.plans.texts import BODY, LINES_SQL, PARTS_SQL, _sql_clean, documents, lines, table
@@ -89,6 +89,14 @@ def bm25_blocks(spark, sf_dir):
     return bm25.search(bm25.Index.read(spark, folder), retrieval._items(spark, sf_dir), 20)
 
 
+@query(retrieval.ORACLES["vector_topk"])
+def vector_cells(spark, sf_dir):
+    """vector_topk from a store that was written by cells."""
+    folder = _folder(spark, "cells")
+    vector.Cells.write(retrieval._vectors(spark, sf_dir), folder)
+    return vector.nearest_by_cells(vector.Cells.read(spark, folder), retrieval._asked(spark, sf_dir), 10)
+
+
 @query(rf"SELECT doc, page, string_agg(text, chr(10) ORDER BY y, text) AS text FROM {LINES_SQL} WHERE regexp_matches(text, '\S') GROUP BY doc, page")
 def page_texts(spark, sf_dir):
     return pages.page_text(lines(spark, sf_dir))

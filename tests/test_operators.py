@@ -171,6 +171,29 @@ def test_blocks_give_what_all_postings_give(spark, tmp_path):
     assert bm25.search(bm25.Index.read(spark, path), asked, 5, k1=-0.5).count()  # no bound holds: all postings
 
 
+def test_cells_give_what_all_rows_give(spark, tmp_path):
+    """Clusters of vectors, repeated, zero, null and odd ones, and two more lengths."""
+    rng = random.Random(8)
+    middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in middles[i % 40]]) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(50)] + [(4000, [0.0] * 16), (4001, None), (4002, [1.0, None]), (4003, [])]
+    rows += [(5000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(30)] + [(6000, [1.0, 2.0])]
+    store = spark.createDataFrame(rows, "doc bigint, embedding array<double>")
+    asked = [(i, rows[i][1]) for i in (0, 1, 2, 45, 3050, 3051, 3054)] + [(90, [-x for x in rows[3][1]]), (91, [3.0, 4.0]), (92, [1.0, 1.0, 1.0]), (93, [1.0] * 9), (94, None)]
+    asked = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    vector.Cells.write(store, str(tmp_path))
+    cells = vector.Cells.read(spark, str(tmp_path))
+    for k in (1, 7, 100):
+        got = sorted(map(tuple, vector.nearest_by_cells(cells, asked, k).collect()))
+        assert got == sorted(map(tuple, vector.nearest(store, asked, k).collect()))
+    near = asked.filter("query_id < 4 OR query_id = 45")
+    found = vector.CellSearch(cells, near, 5)
+    assert found.first.count() + found.rest.count() < 0.3 * 5 * cells.centres.filter("size = 16").count()
+    got = vector.nearest_by_cells(cells, near, 100, threshold=0.9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vector.nearest(store, near, 100, threshold=0.9).collect()))
+    assert vector.nearest_by_cells(cells, asked.limit(0), 3).count() == 0
+
+
 def test_an_empty_index_is_written_and_read(spark, tmp_path):
     none = spark.createDataFrame([], "doc bigint, document string")
     bm25.build_index(none).write(str(tmp_path / "index"))
