@@ -38,6 +38,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def wide(spark: SparkSession) -> int:
+    """Partitions for steps whose work is large beside their bytes, so that they aren't coalesced to a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small on both sides of the Python boundary.
+
+    Sets the limits of rows and bytes for the session unless they have been set to other values than Spark's defaults; they
+    are read when a plan is run, so they stay set.
+    """
+    conf = df.sparkSession.conf
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{key}", None) == default:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    return df
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it proves to have few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

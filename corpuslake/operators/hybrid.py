@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuslake.config import EngineConfig
 from corpuslake.functions.strings import strip
 from corpuslake.operators import bm25, fusion, vector
+from corpuslake.operators.common import materialize, small
 
 CONFIG = EngineConfig()
 PREFIX = 80
@@ -76,8 +77,8 @@ def candidates(index: bm25.Index, store: DataFrame, queries: DataFrame, pool: in
 def search(index: bm25.Index, store: DataFrame, queries: DataFrame, top_k: int = CONFIG.top_k, method: str = "rrf", threshold: float = 0.0, backfill: bool = True, active_only: bool = False, dedup: bool = True) -> DataFrame:
     """(query_id, doc, document, source, score, rank): store has doc, document, source and embedding."""
     rows = store.filter("is_active") if active_only else store
-    fused = candidates(index, rows, queries, CONFIG.pool(top_k), method)
-    texts = rows.select("doc", "document", "source")
+    fused = materialize(candidates(index, rows, queries, CONFIG.pool(top_k), method), "fused")
+    texts = rows.select("doc", "document", "source").join(small(fused.select("doc").distinct()), "doc", "left_semi")  # texts of the pool alone are shuffled
     hits = fused.join(texts, "doc", "left").select("query_id", "doc", F.coalesce("document", F.lit("")).alias("document"), F.coalesce("source", F.lit("")).alias("source"), "score", "rank")
     return select_hits(dedup_results(hits) if dedup else hits, top_k, threshold, backfill)
 
@@ -87,7 +88,7 @@ class HybridRetriever:
 
     def __init__(self, store: DataFrame, path: str | None = None):
         self.store = store
-        self.index = bm25.build_index(store.select("doc", "document"))
+        self.index = bm25.build_index(store.select("doc", "document"), written=True)
         if path:
             self.index.write(path)
             self.index = bm25.Index.read(store.sparkSession, path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.fingerprint import simhash
 from corpuslake.operators import bm25, context, dedup, evaluate, fusion, hybrid, vector
 from corpuslake.operators import store as stores
-from corpuslake.operators.common import materialize
+from corpuslake.operators.common import materialize, small
 from corpuslake.plans.literals import frame, values
 from corpuslake.plans.texts import SIMHASH, documents, table
 
@@ -289,7 +289,7 @@ def result_dedup(spark, sf_dir):
 
 def _hits(spark, sf_dir, top_k: int = 5) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("document"), "source")
-    return _keyword(spark, sf_dir, top_k).join(docs, "doc")
+    return small(materialize(_keyword(spark, sf_dir, top_k), "found")).join(docs, "doc")  # few rows: no text is shuffled
 
 
 _PARTS = f"WITH {_bm25(ALL_DOCS, 5)}, parts AS (SELECT query_id, rank, score, source, document, '[来源 ' || rank || ' - ' || source || ']' || chr(10) || document AS part FROM kw JOIN src USING (doc))"
