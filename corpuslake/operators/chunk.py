@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
+from corpuslake.operators.common import bounded
 
 CONFIG = EngineConfig()
 GLUE = "\n\n"
@@ -164,13 +165,11 @@ def chunk_by_size(docs: DataFrame, text: str = "text", size: int = CONFIG.chunk_
     """docs without the text, one row per chunk: document, chunk_index, total_chunks."""
     check(size, overlap)
 
-    def split(texts):
-        import pandas as pd
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([by_size(t.as_py(), size, overlap) for t in texts], pa.list_(pa.string()))
 
-        return pd.Series([by_size(t, size, overlap) for t in texts])
-
-    chunks = F.pandas_udf(split, "array<string>")(F.col(text))
-    return _exploded(docs.withColumn("_chunks", F.transform(chunks, lambda c: F.struct(c.alias("document")))), text)
+    chunks = F.arrow_udf(split, "array<string>")(F.col(text))
+    return _exploded(bounded(docs).withColumn("_chunks", F.transform(chunks, lambda c: F.struct(c.alias("document")))), text)
 
 
 def chunk_by_heading(docs: DataFrame, text: str = "text", size: int = CONFIG.chunk_size, overlap: int = CONFIG.chunk_overlap, strict: bool = False) -> DataFrame:
@@ -197,7 +196,7 @@ def chunk_by_heading(docs: DataFrame, text: str = "text", size: int = CONFIG.chu
 
     chosen = docs.select(*keep, text)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1]) + f"_chunks {kind}"
-    return _exploded(chosen.mapInArrow(run, schema), text)
+    return _exploded(bounded(chosen).mapInArrow(run, schema), text)
 
 
 def _exploded(df: DataFrame, text: str) -> DataFrame:

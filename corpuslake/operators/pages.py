@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpuslake.functions.strings import is_blank, strip
+from corpuslake.operators.common import wide
 
 # The band of a page that headers or footers lie in, how often they repeat, and columns that make a table.
 BAND, REPEATS, TABLE_COLUMNS = 0.15, 3, 2
 GLUE = 2
+#: Characters of documents that are looked into together, on average.
+GROUP_CHARS = 4 << 20
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
@@ -34,27 +37,38 @@ def chunk_pages(chunks: DataFrame, texts: DataFrame, offsets: DataFrame) -> Data
     spans = offsets.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "page", "end"))).alias("spans"))  # the pages of one document
     whole = texts.select("doc", "text").join(spans, "doc", "left")
     rows = chunks.select(*(F.col(c).alias(c) for c in ("doc", "chunk_index", "document")))  # told apart from texts of the same origin
-
-    def look(key, mine: pd.DataFrame, document: pd.DataFrame) -> pd.DataFrame:
-        """Each document's text is looked into by its own chunks only, and its pages by bisection of their begins."""
-        if mine.empty or document.empty:
-            return mine.iloc[:0].assign(page_start=[], page_end=[])
-        text, held = document["text"].iloc[0] or "", document["spans"].iloc[0]
-        held = [] if held is None else [(x["start"], x["page"], x["end"]) for x in held]
-        starts = [x[0] for x in held]
-        first, last = [], []
-        for chunk in (c or "" for c in mine["document"]):
+    spark = rows.sparkSession
+    size = offsets.agg(F.coalesce(F.sum(F.col("end").cast("long") - F.col("start")), F.lit(0))).first()[0]
+    group = F.pmod(F.xxhash64("doc"), F.lit(max(size // GROUP_CHARS, wide(spark)))).alias("_group")  # small documents share a call
+
+    def look(mine: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+        """Each document's text is looked into by its own chunks only, once for equal ones, and its pages by bisection of their begins."""
+        mine, documents = (x.assign(doc=x["doc"].astype(object).where(x["doc"].notna(), None)) for x in (mine, documents))  # null equals null
+        texts = {d: (t or "", [] if held is None else [(x["start"], x["page"], x["end"]) for x in held]) for d, t, held in zip(documents["doc"], documents["text"], documents["spans"])}
+        mine = mine[mine["doc"].isin(texts.keys())].drop(columns="_group")
+        begins = {d: [x[0] for x in held] for d, (_, held) in texts.items()}
+        found: dict[tuple, tuple[int, int]] = {}
+
+        def pages_of(doc, chunk: str) -> tuple[int, int]:
+            text, held = texts[doc]
             pos = text.find(chunk)
             pos = pos if pos >= 0 else max(text.find(chunk[:50]), 0)
-            reach = bisect_right(starts, pos)
+            reach = bisect_right(begins[doc], pos)
             on = held[reach - 1] if reach else None  # spans with their glue don't overlap
-            first.append(on[1] if on and pos < on[2] + GLUE else 1)
-            before = bisect_left(starts, pos + len(chunk))
-            last.append(held[before - 1][1] if before else 1)
-        return mine.assign(page_start=first, page_end=last)
+            before = bisect_left(begins[doc], pos + len(chunk))
+            return on[1] if on and pos < on[2] + GLUE else 1, held[before - 1][1] if before else 1
+
+        first, last = [], []
+        for key in zip(mine["doc"], (c or "" for c in mine["document"])):
+            if key not in found:
+                found[key] = pages_of(*key)
+            first.append(found[key][0])
+            last.append(found[key][1])
+        return mine.assign(page_start=first, page_end=last).astype({"page_start": "int32", "page_end": "int32"})
 
     schema = StructType([*rows.schema.fields, StructField("page_start", IntegerType()), StructField("page_end", IntegerType())])
-    return rows.groupBy("doc").cogroup(whole.groupBy("doc")).applyInPandas(look, schema)
+    left, right = (df.select("*", group).repartition(wide(spark), "_group").groupBy("_group") for df in (rows, whole))
+    return left.cogroup(right).applyInPandas(look, schema)
 
 
 def page_text(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from corpuslake.operators import bm25
+from corpuslake.operators import bm25, chunk, pages
 
 
 def test_a_search_shuffles_candidates_not_postings(spark):
@@ -14,7 +14,7 @@ def test_a_search_shuffles_candidates_not_postings(spark):
         found = bm25._Search(index, said, 7, 1.5, 0.75).best()
         assert found.count() <= 7 * len(said) * found.rdd.getNumPartitions()
     asked = spark.createDataFrame([("x", "a")], "query_id string, question string")  # in all documents: scores are 0.0002 or 0.0001
-    assert [r.doc for r in bm25.search(index, asked, 7).orderBy("rank").collect()] == [1, 2, 3, 5, 6, 7, 8]  # the longest texts score 0.0001
+    assert [r.doc for r in bm25.search(index, asked, 7).orderBy("rank").collect()] == [1, 2, 5, 6, 7, 10, 11]  # longer texts score 0.0001
 
 
 def test_queries_are_taken_in_bounded_blocks(spark, monkeypatch):
@@ -27,3 +27,22 @@ def test_queries_are_taken_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(bm25, "BLOCK_QUERIES", 9)
     monkeypatch.setattr(bm25, "BLOCK_PAIRS", 20)
     assert sorted(map(tuple, bm25.search(index, asked, 5).collect())) == want
+
+
+def test_chunkers_take_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(3).selectExpr("id AS doc_id", "'one two' AS text")
+    for cut in (chunk.chunk_by_size, chunk.chunk_by_heading):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert cut(df).count() == 3
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2048
+
+
+def test_small_documents_share_a_call(spark):
+    """Pages of 400 documents in one Python call for each of few groups, with equal chunks, a missing document and null texts."""
+    p = spark.createDataFrame([(d, n, f"text {d} {n} " * n) for d in range(400) for n in (1, 2, 3)] + [(400, 1, None), (None, 5, "loose text")], "doc int, page int, text string")
+    chunks = spark.createDataFrame([(d, n, f"text {d} {n} ") for d in range(400) for n in (1, 2, 3)] + [(0, 4, "text 0 2 "), (7, 4, None), (999, 0, "x"), (None, 8, "text")], "doc int, chunk_index int, document string")
+    found = pages.chunk_pages(chunks, pages.whole_text(p), pages.page_offsets(p))
+    got = {(r.doc, r.chunk_index): (r.page_start, r.page_end) for r in found.collect()}
+    assert got == {(d, n): (n, n) for d in range(400) for n in (1, 2, 3)} | {(0, 4): (2, 2), (7, 4): (1, 1), (None, 8): (1, 1)}
+    assert "_group" in found._jdf.queryExecution().logical().toString()
