@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents; the last one returns those of the
-SentencePiece digest. Rows with null texts count as empty texts in every stage. The near-duplicate stage uses the
-shingle hashes and components of the SimHash operator; its candidates come from MinHash keys, as fingerprints within a
-few bits meet hardly any pair of a similarity of 0.8 (see README). SQL can't express the stages (compression
+SentencePiece digest. Rows with null texts count as empty texts in every stage. The near-duplicate stage takes the
+fingerprints, anchors and components of the SimHash operator; MinHash keys add candidates, as fingerprints within a
+few bits meet hardly any pair of a similarity of 0.8, and whole shingle sets decide (see README). SQL can't express the stages (compression
 classifiers, similarity joins, alignments), so ORACLE_SQL is None and tests hold each stage against a brute-force
 version.
 """

@@ -1,9 +1,9 @@
 """Near-duplicate filtering on sets of five-word shingles, at a similarity (Jaccard) of 0.8 or more.
 
-A SimHash fingerprint within two bits, as the query op9 has it, finds pairs of a similarity near 1 only: at 0.8 the
-fingerprints of two texts differ in about ten bits, and no covering code reaches so far. So candidates come from
-MinHash: BANDS keys a text, each of ROWS minima. A pair of similarity s misses all keys with probability
-(1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less above. Candidates are decided by their whole shingle sets, so what is
+Candidates come first from SimHash as the query op9 has it: the same fingerprints, met at the anchors of the covering
+code, within the same two bits. These are pairs of a similarity near 1 only: at 0.8 the fingerprints of two texts differ in
+about ten bits, and no covering code reaches so far. So MinHash adds the rest: BANDS keys a text, each of ROWS minima. A pair of similarity s misses all keys with probability
+(1 - s**ROWS)**BANDS, 1.3e-7 at 0.8 and less above. Candidates of both kinds are decided by their whole shingle sets, so what is
 linked is of 0.8 or more. Groups are closed transitively.
 
 Texts that share a key are compared in pairs up to CROWD of them. Beyond, each is compared with the first and the
@@ -34,6 +34,8 @@ from corpuslake.llm import simhash
 from corpuslake.llm.common import BROADCAST_KEYS, discard, materialize, row_key, slices, small_batches, wide, without_keys
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Words of a shingle of op9's fingerprint, and the bits that linked fingerprints may differ in.
+MARK_SHINGLE, MARK_BITS = 3, 2
 BANDS, ROWS = 40, 5
 CROWD, NEXT = 48, 4
 #: Rows of a key from which it is parted, and the share of rows by which such keys are noticed.
@@ -68,7 +70,7 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(keyed: DataFrame) -> DataFrame:
-    """row_key, doc_id, the digest of the row's shingle set, that set's size and the keys of its bands."""
+    """row_key, doc_id, the digest of the row's shingle set, that set's size, the keys of its bands and the row's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,10 +78,11 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 sets = [shingle_set(t.as_py()) for t in part.column(2)]
                 digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
                 bands = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], digests, pa.array(list(map(len, sets)), pa.int32()), bands], ["row_key", "doc_id", "digest", "n", "bands"])
+                marks = pa.array([simhash.majority(simhash.shingle_hashes(t.as_py(), MARK_SHINGLE)) for t in part.column(2)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], digests, pa.array(list(map(len, sets)), pa.int32()), bands, marks], ["row_key", "doc_id", "digest", "n", "bands", "fp"])
 
     chosen = keyed.select("row_key", F.col("doc_id").cast("long"), "text")
-    return chosen.mapInArrow(run, "row_key binary, doc_id bigint, digest binary, n int, bands array<bigint>")
+    return chosen.mapInArrow(run, "row_key binary, doc_id bigint, digest binary, n int, bands array<bigint>, fp bigint")
 
 
 def shingle_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,6 +103,24 @@ def shingle_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
+def by_fingerprint(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of classes whose rows' fingerprints differ in at most MARK_BITS bits, by the anchors of the covering code.
+
+    Classes that have one fingerprint are each paired with the first of them, which stands for all in links to other fingerprints.
+    """
+    marks = materialize(signed.select("digest", "fp").distinct().join(classes.select("digest", "id"), "digest").select("fp", "id"), "marks")
+    first = materialize(marks.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    nodes = first.select(F.col("fp").alias("id"), F.array("fp").alias("fps")).repartition(wide(signed.sparkSession), "id")
+    links = simhash.anchor_links(simhash.to_anchors(nodes, MARK_BITS, 1), MARK_BITS)
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab")
+    across = links.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    within = marks.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = materialize(across.union(within).filter("a <> b").distinct(), "by_fingerprint")
+    discard(marks)
+    discard(first)
+    return found
+
+
 def in_groups(rows: DataFrame, pairs, schema: str) -> DataFrame:
     """What pairs(columns of one group of rows with one key) returns; the first column is the key, the second orders a group."""
 
@@ -233,7 +254,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = materialize(first.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = classes.select(F.explode("bands").alias("key"), "id", "n")
     met = materialize(in_groups(parted(rows), near_pairs(similarity), "a bigint, b bigint, crowd bigint").distinct(), "met")
-    links = verified(met.filter("a <> b").select("a", "b").distinct(), keyed, classes, similarity)
+    marked = by_fingerprint(signed, classes)
+    links = verified(marked.union(met.filter("a <> b").select("a", "b")).distinct(), keyed, classes, similarity)
+    discard(marked)
     roots = materialize(simhash.components(links), "roots")
     crowded = met.filter("a = b").select(F.col("crowd").alias("key"), F.col("a").alias("id"))
     if not crowded.isEmpty():

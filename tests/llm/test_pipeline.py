@@ -190,3 +190,19 @@ def test_unrelated_rows_of_one_id_stay(spark):
     for part in (df, df.repartition(5), df.orderBy("text")):
         got = sorted(((r.doc_id, r.text) for r in near_dedup.one_of_each(part).collect()), key=str)
         assert len(got) == 4 and (7, other) in got and sum(t in (one, near) for _, t in got) == 1 and sum(i is None for i, _ in got) == 2
+
+
+def test_near_copies_are_linked_by_op9s_fingerprints(spark, monkeypatch):
+    """Without any MinHash pair the covering code still links near copies, and whole shingle sets decide."""
+    import numpy as np
+
+    rng, none = random.Random(11), lambda similarity: lambda group, ids, n, key: (np.empty(0, np.int64),) * 3
+    monkeypatch.setattr(near_dedup, "near_pairs", none)
+    words = [rng.choices(["w%04d" % i for i in range(3000)], k=1500) for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join([*w[:-1], "other"])) for i, w in enumerate(words)]
+    mark = lambda t: near_dedup.simhash.majority(near_dedup.simhash.shingle_hashes(t, 3))
+    close = {i for i in range(12) if ((mark(rows[i][1]) ^ mark(rows[i + 12][1])) & (2**64 - 1)).bit_count() <= 2}
+    assert len(close) >= 8
+    rows += [(300, "x y " * 60 + "z"), (301, "x y " * 80 + "u v")]  # repeats decide the fingerprint, not the set of shingles
+    kept = {r.doc_id for r in near_dedup.one_of_each(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)).collect()}
+    assert kept == {*range(12), 300, 301} | {100 + i for i in range(12) if i not in close}
