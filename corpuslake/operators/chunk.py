@@ -166,7 +166,9 @@ def chunk_by_size(docs: DataFrame, text: str = "text", size: int = CONFIG.chunk_
     check(size, overlap)
 
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([by_size(t.as_py(), size, overlap) for t in texts], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        parts = [pa.array([by_size(t.as_py(), size, overlap) for t in texts.slice(at, 128)], kind) for at in range(0, len(texts), 128)]  # few strings at once
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     chunks = F.arrow_udf(split, "array<string>")(F.col(text))
     return _exploded(bounded(docs).withColumn("_chunks", F.transform(chunks, lambda c: F.struct(c.alias("document")))), text)
