@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions.vectors import dot, doubles, similarity_score, unit
 from corpuslake.operators.bm25 import ranked
-from corpuslake.operators.common import materialize, small
+from corpuslake.operators.common import bounded, materialize, small
 
 
 def nearest(store: DataFrame, queries: DataFrame, top_k: int = 5, where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -92,6 +92,8 @@ def pair_score(a: Column, b: Column) -> Column:
 #: Bounded sample of stored vectors of a length that its cells are made of, lengths (the commonest) that get such a sample,
 #: and rows of a side up to which a cell's comparisons are one group.
 PIVOTS, LENGTHS, GROUP_ROWS, BLOCK_ROWS = 256, 16, 20_000, 1_000
+#: Vectors that are placed into cells at once, and rows of them that are given at once.
+PLACED_ROWS = 2_048
 
 
 def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -118,17 +120,7 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
         return home, ~far
 
     def placed(df: DataFrame, replicated: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                size = np.array([len(x) for x in b.column(1)], np.int64) if b.num_rows else np.empty(0, np.int64)
-                for n in np.unique(size):
-                    part = b.filter(pa.array(size == n))
-                    home, near = cells(part.column(1).flatten().to_numpy().reshape(part.num_rows, n))
-                    i, j = np.nonzero(near) if replicated else (np.arange(len(home)), home)
-                    taken = part.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int64) + int(n) * PIVOTS), *taken.columns], ["cell", "id", "v"])
-
-        return df.mapInArrow(run, "cell bigint, id bigint, v array<double>")
+        return bounded(df).mapInArrow(lambda batches: _placed(batches, cells, replicated), "cell bigint, id bigint, v array<double>")
 
     left, right = materialize(placed(asked, True), "asked"), materialize(placed(rows, False), "stored")
 
@@ -153,6 +145,17 @@ def vector_duplicates(batch: DataFrame, store: DataFrame, threshold: float = 0.9
     return ranked(met, 1, F.col("score").desc(), F.col("doc")).select("query_id", "doc", "score")
 
 
+def _placed(batches: Iterator[pa.RecordBatch], cells: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], replicated: bool) -> Iterator[pa.RecordBatch]:
+    """(cell, id, v) of batches (id, v), for each cell near to a vector or its home only. A vector may go to all cells, so few rows are taken at once and few given at once."""
+    for b in batches:
+        for n, every, v in _by_length(b.slice(at, PLACED_ROWS) for at in range(0, b.num_rows, PLACED_ROWS)):
+            home, near = cells(v)
+            i, j = np.nonzero(near) if replicated else (np.arange(len(home)), home)
+            for at in range(0, len(i), PLACED_ROWS):
+                taken = every.take(pa.array(i[at : at + PLACED_ROWS]))
+                yield pa.RecordBatch.from_arrays([pa.array(j[at : at + PLACED_ROWS].astype(np.int64) + n * PIVOTS), *taken.columns], ["cell", "id", "v"])
+
+
 def _met(left: DataFrame, right: DataFrame, compare) -> DataFrame:
     """(query_id, doc, score) that compare makes of the rows (cell, id, v) of left and right of each cell; a cell with many rows on a side is parted."""
 

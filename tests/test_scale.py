@@ -2,7 +2,10 @@
 
 import random
 
-from corpuslake.operators import bm25, chunk, pages
+import numpy as np
+import pyarrow as pa
+
+from corpuslake.operators import bm25, chunk, pages, vector
 
 
 def test_a_search_shuffles_candidates_not_postings(spark):
@@ -46,3 +49,14 @@ def test_small_documents_share_a_call(spark):
     got = {(r.doc, r.chunk_index): (r.page_start, r.page_end) for r in found.collect()}
     assert got == {(d, n): (n, n) for d in range(400) for n in (1, 2, 3)} | {(0, 4): (2, 2), (7, 4): (1, 1), (None, 8): (1, 1)}
     assert "_group" in found._jdf.queryExecution().logical().toString()
+
+
+def test_vectors_near_all_cells_are_given_in_bounded_batches():
+    v = np.random.default_rng(1).normal(size=(9000, 4))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array(v.tolist(), pa.list_(pa.float64()))], ["id", "v"])
+    near = lambda x: (np.zeros(len(x), np.int64), np.ones((len(x), 20), bool))
+    out = list(vector._placed(iter([rows]), near, True))
+    assert max(b.num_rows for b in out) <= vector.PLACED_ROWS and sum(b.num_rows for b in out) == 9000 * 20
+    first = {(c, i): x for b in out[:40] for c, i, x in zip(*(c.to_pylist() for c in b.columns))}
+    assert all(x == v[i].tolist() and c // vector.PIVOTS == 4 for (c, i), x in first.items())
+    assert sum(b.num_rows for b in vector._placed(iter([rows]), near, False)) == 9000
