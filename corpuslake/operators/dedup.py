@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.fingerprint import hamming
 from corpuslake.functions.strings import is_blank
 from corpuslake.operators import vector
-from corpuslake.operators.common import materialize
+from corpuslake.operators.common import materialize, small, wide
 
 
 def new_files(files: DataFrame, store: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -33,6 +33,26 @@ def keyed(fingerprints: DataFrame, threshold: int, blocks: int | None = None) ->
     return fingerprints.select("*", F.explode(parts).alias("_k")).select("*", "_k.place", "_k.bits").drop("_k")
 
 
+#: Fingerprints of one key that are compared with each other in one group.
+PART = 2_048
+
+
+def met(classes: DataFrame, name: str, other: str, threshold: int) -> DataFrame:
+    """(simhash, name, other) for each two of classes (simhash, name), in both orders, that are within the threshold, once for each key they share.
+
+    A key of very many fingerprints is parted, and each two parts meet in a group of their own, so that no task compares them all.
+    """
+    placed = materialize(keyed(classes, threshold), "keyed")
+    many = placed.groupBy("place", "bits").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    parted = placed.join(small(materialize(many, "many")), ["place", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = parted.select("place", "bits", "simhash", name, own.alias("mine"), every.alias("theirs"))
+    two = parted.select("place", "bits", F.col("simhash").alias("other"), F.col(name).alias(other), own.alias("theirs"), every.alias("mine"))
+    key, n = ["place", "bits", "mine", "theirs"], wide(classes.sparkSession)
+    pairs = one.repartition(n, *key).join(two.repartition(n, *key), key)
+    return pairs.filter((F.col("simhash") != F.col("other")) & (hamming(F.col("simhash"), F.col("other")) <= threshold)).select("simhash", name, other)
+
+
 def near_links(fingerprints: DataFrame, threshold: int = 3, key: str = "doc") -> tuple[DataFrame, DataFrame]:
     """(members, links): each row's class, and the links between classes within the threshold.
 
@@ -40,9 +60,7 @@ def near_links(fingerprints: DataFrame, threshold: int = 3, key: str = "doc") ->
     and b with a < b, both class names. Copies are never expanded into pairs.
     """
     classes = fingerprints.groupBy("simhash").agg(F.min(key).alias("class_id"))
-    one = keyed(classes, threshold)
-    two = one.select("place", "bits", F.col("simhash").alias("other"), F.col("class_id").alias("b"))
-    close = one.join(two, ["place", "bits"]).filter((F.col("class_id") < F.col("b")) & (hamming(F.col("simhash"), F.col("other")) <= threshold))
+    close = met(classes, "class_id", "b", threshold).filter(F.col("class_id") < F.col("b"))
     members = fingerprints.join(classes, "simhash").select(key, "class_id")
     return members, close.select(F.col("class_id").alias("a"), "b").distinct()
 
@@ -68,9 +86,7 @@ def first_of_each(fingerprints: DataFrame, threshold: int = 3, key: str = "doc",
         near_old = keyed(firsts, threshold).join(old, ["place", "bits"]).filter(hamming(F.col("simhash"), F.col("other")) <= threshold)
         firsts = firsts.join(near_old.select("simhash").distinct(), "simhash", "left_anti")
     firsts = materialize(firsts, "firsts")
-    one = keyed(firsts, threshold)
-    two = one.select("place", "bits", F.col("simhash").alias("other"), F.col("pos").alias("earlier"))
-    near = one.join(two, ["place", "bits"]).filter((F.col("earlier") < F.col("pos")) & (hamming(F.col("simhash"), F.col("other")) <= threshold))
+    near = met(firsts, "pos", "earlier", threshold).filter(F.col("earlier") < F.col("pos"))
     edges = materialize(near.select("pos", "earlier").distinct(), "edges")
     fresh = firsts.select("pos").join(edges.select("pos").distinct(), "pos", "left_anti")
     kept = fresh

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from corpuslake.operators import bm25, chunk, pages, vector
+from corpuslake.operators import bm25, chunk, dedup, pages, vector
 
 
 def test_a_search_shuffles_candidates_not_postings(spark):
@@ -60,3 +60,18 @@ def test_vectors_near_all_cells_are_given_in_bounded_batches():
     first = {(c, i): x for b in out[:40] for c, i, x in zip(*(c.to_pylist() for c in b.columns))}
     assert all(x == v[i].tolist() and c // vector.PIVOTS == 4 for (c, i), x in first.items())
     assert sum(b.num_rows for b in vector._placed(iter([rows]), near, False)) == 9000
+
+
+def test_a_key_of_many_fingerprints_is_parted(spark, monkeypatch):
+    """Fingerprints that agree in all but 12 bits crowd a key; the pairs are those of all against all, and no group is large."""
+    monkeypatch.setattr(dedup, "PART", 16)
+    rng = random.Random(2)
+    marks = list({rng.getrandbits(12) for _ in range(150)} | {rng.getrandbits(60) for _ in range(30)})
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc bigint, simhash bigint")
+    want = {(i, j) for i, a in enumerate(marks) for j, b in enumerate(marks) if i != j and (a ^ b).bit_count() <= 3}
+    assert {tuple(r) for r in dedup.met(df.withColumnRenamed("doc", "a"), "a", "b", 3).select("a", "b").collect()} == want
+    kept = []
+    for m in marks:
+        if all((m ^ k).bit_count() > 3 for k in kept):
+            kept.append(m)
+    assert sorted(r.doc for r in dedup.first_of_each(df, 3).collect()) == [marks.index(k) for k in kept]
