@@ -52,21 +52,28 @@ def fnv1a_words(words: list[str]) -> np.ndarray:
     return hashes
 
 
+#: Rows of which a byte can hold the sum, if each adds 1 at most.
+LANE_ROWS = 255
+
+
 def simhash_of(lists: pa.Array) -> pa.Array:
-    """A fingerprint for each list of tokens; a token that a batch holds often is hashed once."""
+    """A fingerprint for each list of tokens; a token that a batch holds often is hashed once.
+
+    A row costs what its own tokens do, however many distinct ones its batch holds: a token's 64 bits are 64 bytes, added up eight at a time.
+    """
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     words = lists.flatten().dictionary_encode()
     hashes = fnv1a_words(words.dictionary.to_pylist())
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    lanes = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
     places = words.indices.to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
     out = np.zeros(len(ends), dtype=np.uint64)
     begin = 0
     for row, end in enumerate(ends):
         if end > begin:
-            weights = np.bincount(places[begin:end])
-            some = np.flatnonzero(weights)
-            ones = weights[some] @ bits[some].astype(np.int64)
+            ones = np.zeros(64, dtype=np.int64)
+            for at in range(begin, end, LANE_ROWS):
+                ones += np.add.reduce(lanes[places[at : min(at + LANE_ROWS, end)]], axis=0).view(np.uint8)
             out[row] = np.packbits(2 * ones > end - begin, bitorder="little").view("<u8")[0]
         begin = end
     return pa.array(out.view(np.int64))
