@@ -27,13 +27,13 @@ its ends lie within; empty tables give an empty result; other columns are ignore
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,58 +126,59 @@ def hashed_words(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h ^ (h >> np.uint64(29)), starts, ends
 
 
-def minimizers(text: str | None, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Hashes of a text's k-word shingles, where the least shingle of each window is, and the words' (start, end); None if too short."""
-    k = plan.seed_words
-    if len(text or "") < 2 * max(plan.min_words, k) - 1:
-        return None
-    h, starts, ends = hashed_words(lower(text))
-    if len(h) < max(plan.min_words, k):
-        return None
-    n = len(h) - k + 1
-    grams = np.zeros(n, np.uint64)
-    for j in range(k):
-        grams += h[j : j + n] * np.uint64((2 * j + 3) ** 25 % 2**64)
-    grams = (grams ^ (grams >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    grams ^= grams >> np.uint64(29)
-    w = min(plan.window, n)
-    least = np.lib.stride_tricks.sliding_window_view(grams, w).argmin(axis=1) + np.arange(n - w + 1)
-    return grams, least, np.stack([starts, ends]).astype(np.int32)
-
-
 #: A reach of so many characters or more isn't kept exactly in a place.
 FAR = 2**14 - 1
 
 
-def seeds(text: str | None, plan: Plan) -> list[np.ndarray]:
-    """(hash, character offset, place, whether it is the hash's first) of a text's minimizers.
+def seeds(texts: list[str | None], plan: Plan) -> list[np.ndarray]:
+    """(hash, which text, character offset, place, whether it is the hash's first) of the texts' minimizers, for all at once; texts that are too short have none.
 
     place packs the first window that the minimizer is the least shingle of, how many there are, and how many
     characters these windows reach before the offset and behind it. The windows of one follow those of the last without
     a gap.
     """
-    found = minimizers(text, plan)
-    if found is None:
-        return [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)]
-    grams, least, (starts, ends) = found
-    at, first, count = np.unique(least, return_index=True, return_counts=True)
-    h, offset = grams[at].view(np.int64), starts[at]
-    before = np.minimum(offset - starts[first], FAR)
-    behind = np.minimum(ends[np.minimum(first + count + plan.seed_words + plan.window - 3, len(ends) - 1)] - offset, FAR)
+    k, w, least_words = plan.seed_words, plan.window, max(plan.min_words, plan.seed_words)
+    lows = [lower(t) if len(t or "") >= 2 * least_words - 1 else "" for t in texts]
+    begins = np.cumsum([0, *(len(t) + 1 for t in lows[:-1])])
+    words, starts, ends = hashed_words("\n".join(lows))  # no word holds a line feed
+    of = np.searchsorted(begins, starts, side="right") - 1
+    enough = (np.bincount(of, minlength=len(texts)) >= least_words)[of]
+    words, starts, ends, of = words[enough], starts[enough], ends[enough], of[enough]
+    if not len(words):
+        return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)]
+    n = len(words) - k + 1
+    grams = np.zeros(n, np.uint64)
+    for j in range(k):
+        grams += words[j : j + n] * np.uint64((2 * j + 3) ** 25 % 2**64)
+    grams = (grams ^ (grams >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    grams ^= grams >> np.uint64(29)
+    m = n - w + 1
+    low, least = grams[:m].copy(), np.arange(m)
+    for j in range(1, w):  # of equal shingles the first
+        less = grams[j : j + m] < low
+        low[less] = grams[j : j + m][less]
+        least[less] = np.flatnonzero(less) + j
+    window = np.flatnonzero(of[:m] == of[k + w - 2 :])  # those within one text
+    least = least[window]
+    turn = np.flatnonzero(np.concatenate(([True], np.diff(least) != 0)))
+    at, first, count = least[turn], window[turn], np.diff(np.append(turn, len(least)))
+    h, text = grams[at].view(np.int64), of[at]
+    before = np.minimum(starts[at] - starts[first], FAR)
+    behind = np.minimum(ends[first + count + k + w - 3] - starts[at], FAR)
+    order = np.lexsort((h, text))
     lead = np.zeros(len(h), bool)
-    lead[np.unique(h, return_index=True)[1]] = True
-    return [h, offset, (first << 32) | (count << 28) | (before << 14) | behind, lead]
+    lead[order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(text[order]) != 0)))]] = True
+    first = first - np.searchsorted(of, text)
+    return [h, text, (starts[at] - begins[text]).astype(np.int32), (first << 32) | (count << 28) | (before << 14) | behind, lead]
 
 
 def seed_rows(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 1):
-                found = [seeds(t.as_py(), plan) for t in part.column(1)]
-                counts = [len(x[0]) for x in found]
-                if sum(counts):
-                    h, offset, place, lead = map(np.concatenate, zip(*found))
-                    cols = [h, np.repeat(part.column(0).to_numpy(), counts), offset, place, lead]
+            for part in slices(b, 1, size=1 << 20):
+                h, text, offset, place, lead = seeds(part.column(1).to_pylist(), plan)
+                if len(h):
+                    cols = [h, part.column(0).to_numpy()[text], offset, place, lead]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "uid", "at", "place", "lead"])
 
     return docs.select("uid", "text").mapInArrow(run, "h bigint, uid bigint, at int, place bigint, lead boolean")
@@ -305,33 +306,45 @@ def common_words(a: list[str], b: list[str]) -> int:
 STEPS = ((1, 1, 2), (1, 0, 4), (0, 1, 4), (2, 1, 4), (1, 2, 4), (2, 0, 4), (0, 2, 4))
 
 
-def extend(a: list[str], b: list[str], i: int, j: int, step: int, plan: Plan) -> tuple[list[tuple[int, int, int, float]], int, bool, bool]:
+#: Words that a walk may look at beyond where it stands, and the last one, which a slice may have cut.
+AHEAD = 8
+#: Characters beyond a chain's ends that are looked at first, if it has so few seeds; longer ones mostly go on.
+NEAR, FEW = 160, 4
+
+
+def extend(a: list[str], b: list[str], i: int, j: int, step: int, plan: Plan, ahead: tuple[int, int] = (0, 0)) -> tuple[list[tuple[int, int, int, float]], int, bool, bool]:
     """Walks from (i, j) over equal and differing words.
 
-    Returns the ends of its equal runs as (i, j, equal words, score), which of them has the best score, and whether it reached the end of a and of b.
+    Returns the ends of its equal runs as (i, j, equal words, score), which of them has the best score, and whether it came to the end of a and of b, or within so many words (ahead) of it.
     """
-    same, score = 0, 0.0
+    if step > 0:
+        a, b = a[i:], b[j:]
+    else:
+        a, b = a[i::-1] if i >= 0 else [], b[j::-1] if j >= 0 else []
+    p = q = same = 0
+    score, toll = 0.0, plan.toll
     ends, best = [(i, j, 0, 0.0)], 0
-    inside = (lambda i, j: i < len(a) and j < len(b)) if step > 0 else (lambda i, j: i >= 0 and j >= 0)
-    while inside(i, j):
-        if a[i] == b[j]:
-            while inside(i, j) and a[i] == b[j] and same < plan.most:
-                i, j, same, score = i + step, j + step, same + 1, score + 1
-            ends.append((i, j, same, score))
+    la, lb = len(a), len(b)
+    while p < la and q < lb:
+        if a[p] == b[q]:
+            stop = min(la, p + lb - q, p + plan.most - same)
+            while p < stop and a[p] == b[q]:
+                p, q, same, score = p + 1, q + 1, same + 1, score + 1
+            ends.append((i + step * p, j + step * q, same, score))
             best = len(ends) - 1 if score >= ends[best][3] else best
             if same == plan.most:
-                return ends, best, False, False
+                return ends, best, bool(ahead[0]) and p + ahead[0] >= la, bool(ahead[1]) and q + ahead[1] >= lb
             continue
-        p = q = 1
-        for x, y, need in STEPS:
-            u, v = i + step * x, j + step * y
-            if inside(u + (need - 1) * step, v + (need - 1) * step) and all(a[u + step * m] == b[v + step * m] for m in range(need)):
-                p, q = x, y
+        x = y = 1
+        for more, other, need in STEPS:
+            u, v = p + more, q + other
+            if u + need <= la and v + need <= lb and a[u] == b[v] and a[u : u + need] == b[v : v + need]:
+                x, y = more, other
                 break
-        i, j, score = i + step * p, j + step * q, score - plan.toll * max(p, q)
+        p, q, score = p + x, q + y, score - toll * max(x, y)
         if score < ends[best][3] - plan.drop:
-            return ends, best, False, False
-    return ends, best, not 0 <= i < len(a), not 0 <= j < len(b)
+            return ends, best, bool(ahead[0]) and p + ahead[0] >= la, bool(ahead[1]) and q + ahead[1] >= lb
+    return ends, best, p + ahead[0] >= la, q + ahead[1] >= lb
 
 
 def farthest(ends: list[tuple[int, int, int, float]], best: int, slack: float) -> int:
@@ -339,22 +352,42 @@ def farthest(ends: list[tuple[int, int, int, float]], best: int, slack: float) -
 
 
 def align(text: str, other: str, xs: list[int], ys: list[int], plan: Plan) -> tuple[list[tuple[int, int, int, int, int, int]], tuple[bool, ...]]:
-    """Passages (start, end, other's start, other's end, words, equal words) along a chain, and whether one was stopped by the begin of text, of other, by the end of text, of other; offsets are within the slices."""
+    """Passages (start, end, other's start, other's end, words, equal words) along a chain, and whether one was stopped by the begin of text, of other, by the end of text, of other; offsets are within the slices.
+
+    Most chains end close by, so what lies near is taken first, and all if an extension comes to where that was cut.
+    """
     if text == other and xs == ys:  # copies
         _, starts, ends = hashed_words(lower(text))
         n = len(starts)
         s, e = (int(starts[0]), int(ends[-1])) if n else (0, 0)
         return [(s, e, s, e, n, n)] if n >= plan.min_words else [], (True,) * 4
-    parts = []
-    for t in (text, other):
-        low = lower(t)
-        spans = [m.span() for m in WORD.finditer(low)]
-        parts.append((spans, [low[s:e] for s, e in spans], [s for s, _ in spans]))
-    (sa, a, oa), (sb, b, ob) = parts
+    c, d = max(xs[0] - NEAR, 0), max(ys[0] - NEAR, 0)
+    e, f = xs[-1] + 2 * NEAR, ys[-1] + 2 * NEAR
+    cut = (c > 0, d > 0, e < len(text), f < len(other))
+    if any(cut) and len(xs) < FEW:
+        out, stopped = along(text[c:e], other[d:f], [x - c for x in xs], [y - d for y in ys], plan, tuple(AHEAD * x for x in cut))
+        if not any(x and y for x, y in zip(stopped, cut)):
+            return [(s + c, t + c, fs + d, ft + d, n, same) for s, t, fs, ft, n, same in out], stopped
+    return along(text, other, xs, ys, plan, (0,) * 4)
+
+
+def words_at(low: str, offsets: list[int]) -> tuple[list[str], list[int]]:
+    """The words of a lower-cased text, and which of them begin at the given ascending offsets."""
+    words, places, at = [], [], 0
+    for x in offsets:
+        words += WORD.findall(low, at, x)
+        places.append(len(words))
+        at = x
+    return words + WORD.findall(low, at), places
+
+
+def along(text: str, other: str, xs: list[int], ys: list[int], plan: Plan, ahead: tuple[int, ...]) -> tuple[list[tuple[int, int, int, int, int, int]], tuple[bool, ...]]:
+    """align() of the given slices; stopped also where an extension comes within so many words (ahead) of an end."""
+    low, other_low = lower(text), lower(other)
+    (a, at), (b, other_at) = words_at(low, xs), words_at(other_low, ys)
     k = plan.seed_words
     marks = []
-    for x, y in zip(xs, ys):
-        i, j = bisect_left(oa, x), bisect_left(ob, y)
+    for i, j in zip(at, other_at):
         if i + k <= len(a) and j + k <= len(b) and a[i : i + k] == b[j : j + k] and (not marks or (i > marks[-1][0] and j > marks[-1][1])):
             marks.append((i, j))
     runs: list[list[list[int]]] = []  # pieces: begin and end in a, begin and end in b, equal words, score of the gap before it, equal words there
@@ -377,8 +410,8 @@ def align(text: str, other: str, xs: list[int], ys: list[int], plan: Plan) -> tu
     out, stopped = [], [False] * 4
     while runs:
         r = runs.pop()
-        left, lbest, *at_begin = extend(a, b, r[0][0] - 1, r[0][2] - 1, -1, plan)
-        right, rbest, *at_end = extend(a, b, r[-1][1], r[-1][3], 1, plan)
+        left, lbest, *at_begin = extend(a, b, r[0][0] - 1, r[0][2] - 1, -1, plan, ahead[:2])
+        right, rbest, *at_end = extend(a, b, r[-1][1], r[-1][3], 1, plan, ahead[2:])
         stopped = [x or y for x, y in zip(stopped, at_begin + at_end)]
         core = sum(x[4] for x in r) + sum(x[6] for x in r[1:])
         if core + left[lbest][2] + right[rbest][2] < plan.min_words:  # as far as the identity allows
@@ -392,8 +425,11 @@ def align(text: str, other: str, xs: list[int], ys: list[int], plan: Plan) -> tu
             worst = min(range(1, len(r)), key=lambda m: r[m][5])
             runs += [r[:worst], r[worst:]]
         elif same >= plan.min_words and same >= plan.identity * n:
-            out.append((sa[i][0], sa[u - 1][1], sb[j][0], sb[v - 1][1], u - i, same))
-    return out[::-1], tuple(stopped)
+            out.append((i, u, j, v, same))
+    if out:
+        sa, sb = ([m.span() for m in WORD.finditer(t)] for t in (low, other_low))
+        out = [(sa[i][0], sa[u - 1][1], sb[j][0], sb[v - 1][1], u - i, same) for i, u, j, v, same in out[::-1]]
+    return out, tuple(stopped)
 
 
 PASSAGE = "uid bigint, first_uid bigint, start int, end int, first_start int, first_end int, n_words int, n_equal int"
@@ -624,23 +660,32 @@ def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
     """PAIR rows of (uid, seeds, lows, highs): a hash of each two seeds of which at most pair_steps - 1 lie between; open says that both lie in one stretch (lows, highs); known is the first text of both seeds, if it is the same and they are the text's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
         for b in batches:
-            for uid, found, lows, highs in zip(*b.columns):
-                at, place, h, first, lead = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-                first = np.where(lead, first, -1)
-                word, stretch, mixed = place >> 32, np.full(len(at), -1), h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for m, (s, e) in enumerate(zip(lows.as_py() or (), highs.as_py() or ())):
-                    stretch[np.searchsorted(at, s) : np.searchsorted(at, e)] = m
-                parts = []
-                for step in range(1, min(plan.pair_steps, len(at) - 1) + 1):
-                    near = np.flatnonzero(word[step:] - word[:-step] <= plan.pair_words)
-                    key = mixed[near] ^ (h.view(np.uint64)[near + step] * np.uint64(0xFF51AFD7ED558CCD))
-                    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                    parts.append((key.view(np.int64), at[near], at[near + step], (stretch[near] >= 0) & (stretch[near] == stretch[near + step]), np.where(first[near] == first[near + step], first[near], -1)))
-                if parts:
-                    pair, one, two, opened, known = map(np.concatenate, zip(*parts))
-                    cols = [pair, np.full(len(pair), uid.as_py()), one, two, opened, known]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], [f.split(" ")[0] for f in PAIR.split(", ")])
+            uids, found, lows, highs = b.columns
+            seeds = found.flatten()
+            at, place, h, first, lead = (seeds.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            text = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))  # of each seed; a batch's texts at once
+            uid, first = uids.to_numpy()[text], np.where(lead, first, -1)
+            word, mixed, unmixed = place >> 32, h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), h.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+            where, stretch = (text << 32) + at, np.full(len(at), -1)
+            of = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(lows), 0).to_numpy(zero_copy_only=False)) << 32
+            edges = (np.searchsorted(where, of + x.flatten().to_numpy()).tolist() for x in (lows, highs))
+            for m, (x, y) in enumerate(zip(*edges)):
+                stretch[x:y] = m
+            parts = []
+            for step in range(1, plan.pair_steps + 1):
+                near = np.flatnonzero((text[step:] == text[:-step]) & (word[step:] - word[:-step] <= plan.pair_words))
+                parts.append((near, near + step))
+            one, two = map(np.concatenate, zip(*parts))
+            order = np.argsort(text[one], kind="stable")  # a text's rows together, which are written in less room
+            one, two = one[order], two[order]
+            key = mixed[one] ^ unmixed[two]
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            opened, known = (stretch[one] >= 0) & (stretch[one] == stretch[two]), np.where(first[one] == first[two], first[one], -1)
+            if len(one):
+                cols = [key.view(np.int64), uid[one], at[one], at[two], opened, known]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split(" ")[0] for f in PAIR.split(", ")])
 
     return lists.select("uid", "seeds", "lows", "highs").mapInArrow(run, PAIR)
 
@@ -671,9 +716,10 @@ def pair_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan:
     repeats = materialize(inside.filter("NOT lead").select("uid").distinct(), "repeats")
     others = inside.join(repeats, "uid", "left_semi").select("uid", "first_uid", "at", "first_at")
     chained = materialize(chain_rows(linked.unionByName(others).distinct(), plan), "chains")
-    more = passage_rows(chained, docs, plan, "pair-passages")
-    for spent in (left_open, wanted, ranges, again, pairs, first, repeats, chained):
+    for spent in (left_open, wanted, ranges, again, pairs, first, repeats):  # before texts are shuffled
         discard(spent)
+    more = passage_rows(chained, docs, plan, "pair-passages")
+    discard(chained)
     before = Window.partitionBy("uid").orderBy("start", F.desc("end"), "first_uid", "first_start").rowsBetween(Window.unboundedPreceding, -1)
     longest = more.withColumn("reached", F.max("end").over(before)).filter("reached IS NULL OR end > reached").drop("reached")
     # one that a found span holds is known already
@@ -710,11 +756,11 @@ def passages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     discard(rows)
     discard(first)
     found = passage_rows(chained, docs, plan, "passages")
+    discard(chained)
     for finder in (window_passages, pair_passages):
         more = finder(repeated, found, docs, plan)
         found = found if more is None else found.unionByName(materialize(more, "more"))
     discard(repeated)
-    discard(chained)
     return found
 
 

@@ -258,3 +258,44 @@ def test_common_words_against_the_table():
 def test_settings_that_lose_passages_are_refused(wrong):
     with pytest.raises(ValueError):
         Plan(**wrong)
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["a", "bb", "Ünï", "中文", "w%d" % rng.randrange(40)]) for _ in range(rng.choice([0, 3, 49, 50, 51, 300]))) for _ in range(60)]
+    texts += [None, "", "same " * 200]
+    every = chaining.seeds(texts, PLAN)
+    for i, text in enumerate(texts):
+        alone = chaining.seeds([text], PLAN)
+        assert all((x[every[1] == i] == y).all() for x, y in zip(every[:1] + every[2:], alone[:1] + alone[2:]))
+        assert not len(alone[0]) or len(text.split()) >= PLAN.min_words
+
+
+def test_a_chance_meeting_is_aligned_by_what_lies_near(monkeypatch):
+    """Of two long texts with one common run of words little is read, and the result is that of the whole texts."""
+    rng = random.Random(4)
+    run = " ".join(f"common{i}" for i in range(12))
+
+    def around(name):
+        left, right = (" ".join(f"{name}{rng.randrange(10**6)}" for _ in range(2_000)) + " " for _ in range(2))
+        return left + run + " " + right, [len(left), len(left) + run.index("common5")]
+
+    (a, xs), (b, ys) = around("a"), around("b")
+    want = chaining.along(a, b, xs, ys, PLAN, (0,) * 4)
+    read, lower = [], chaining.lower
+    monkeypatch.setattr(chaining, "lower", lambda text: read.append(len(text)) or lower(text))
+    assert chaining.align(a, b, xs, ys, PLAN) == want == ([], (False,) * 4)
+    assert sum(read) < 2_000
+
+
+def test_near_words_first_give_the_alignment_of_all_words():
+    rng = random.Random(8)
+    for _ in range(300):
+        common = [f"c{rng.randrange(50)}" for _ in range(rng.randrange(8, 120))]
+        texts = []
+        for name in "ab":
+            left, right = ([f"{name}{rng.randrange(90)}" for _ in range(rng.choice([0, 5, 30, 90]))] for _ in range(2))
+            changed = [w if 3 < i < 9 or rng.random() > 0.08 else f"{name}x" for i, w in enumerate(common)]
+            texts.append((" ".join([*left, *changed, *right]), len(" ".join([*left, *changed[:4], ""]))))
+        (a, x), (b, y) = texts
+        assert chaining.align(a, b, [x], [y], PLAN)[0] == chaining.along(a, b, [x], [y], PLAN, (0,) * 4)[0]
