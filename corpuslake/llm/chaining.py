@@ -34,10 +34,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import BROADCAST_KEYS, discard, materialize, maybe_among, slices, small_batches, wide
+from corpuslake.llm.common import BROADCAST_KEYS, bitmap_of, discard, few_or_all, materialize, maybe_among, maybe_in, slices, small_batches, wide
 
 WORD = re.compile(r"\w+")
 
@@ -131,7 +131,7 @@ FAR = 2**14 - 1
 
 
 def seeds(texts: list[str | None], plan: Plan) -> list[np.ndarray]:
-    """(hash, which text, character offset, place, whether it is the hash's first) of the texts' minimizers, for all at once; texts that are too short have none.
+    """(hash, which text, character offset, place) of the texts' minimizers, for all at once; texts that are too short have none.
 
     place packs the first window that the minimizer is the least shingle of, how many there are, and how many
     characters these windows reach before the offset and behind it. The windows of one follow those of the last without
@@ -145,7 +145,7 @@ def seeds(texts: list[str | None], plan: Plan) -> list[np.ndarray]:
     enough = (np.bincount(of, minlength=len(texts)) >= least_words)[of]
     words, starts, ends, of = words[enough], starts[enough], ends[enough], of[enough]
     if not len(words):
-        return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)]
+        return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
     n = len(words) - k + 1
     grams = np.zeros(n, np.uint64)
     for j in range(k):
@@ -165,23 +165,96 @@ def seeds(texts: list[str | None], plan: Plan) -> list[np.ndarray]:
     h, text = grams[at].view(np.int64), of[at]
     before = np.minimum(starts[at] - starts[first], FAR)
     behind = np.minimum(ends[first + count + k + w - 3] - starts[at], FAR)
-    order = np.lexsort((h, text))
-    lead = np.zeros(len(h), bool)
-    lead[order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(text[order]) != 0)))]] = True
     first = first - np.searchsorted(of, text)
-    return [h, text, (starts[at] - begins[text]).astype(np.int32), (first << 32) | (count << 28) | (before << 14) | behind, lead]
+    return [h, text, (starts[at] - begins[text]).astype(np.int32), (first << 32) | (count << 28) | (before << 14) | behind]
 
 
-def seed_rows(docs: DataFrame, plan: Plan) -> DataFrame:
+SEEDS = "h bigint, uid bigint, at int, place bigint, deal int"
+
+
+def seed_rows(docs: DataFrame, plan: Plan, common: np.ndarray | None = None, parts: int = 1) -> DataFrame:
+    """SEEDS rows of all texts; deal is 0, but of a common seed (ascending hashes) it tells the texts apart by so many parts, so that they can be dealt out."""
+    common = np.empty(0, np.int64) if common is None else common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SEEDS.split(", ")]
         for b in batches:
             for part in slices(b, 1, size=1 << 20):
-                h, text, offset, place, lead = seeds(part.column(1).to_pylist(), plan)
+                h, text, offset, place = seeds(part.column(1).to_pylist(), plan)
                 if len(h):
-                    cols = [h, part.column(0).to_numpy()[text], offset, place, lead]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "uid", "at", "place", "lead"])
+                    uid, deal = part.column(0).to_numpy()[text], np.zeros(len(h), np.int32)
+                    if len(common):
+                        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                        deal[often] = 1 + uid[often] % parts
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, uid, offset, place, deal)], names)
+
+    return docs.select("uid", "text").mapInArrow(run, SEEDS)
+
+
+#: Of so many texts one is looked at for common seeds.
+LOOK = 64
+
+
+def common_seeds(docs: DataFrame, plan: Plan, parts: int) -> np.ndarray:
+    """Ascending hashes of seeds that would be a quarter of a part's rows or more, by the texts that are looked at: four for each part at most.
+
+    They decide how rows are dealt out, and nothing else.
+    """
+    some = seed_rows(docs.filter(F.pmod(F.xxhash64("uid"), F.lit(LOOK)) == 0), plan)
+    counts = materialize(some.groupBy("h").agg(F.count("*").alias("n")), "common")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / (4 * parts)
+    found = sorted(r.h for r in counts.filter((F.col("n") >= least) & (F.col("n") > 4)).collect())  # fewer say nothing
+    discard(counts)
+    return np.array(found, np.int64)
+
 
-    return docs.select("uid", "text").mapInArrow(run, "h bigint, uid bigint, at int, place bigint, lead boolean")
+SEED_LIST = "uid bigint, seeds array<struct<at:int,place:bigint,h:bigint,first_uid:bigint,first_at:int,lead:boolean>>"
+
+
+def seed_lists(repeated: DataFrame) -> DataFrame:
+    """SEED_LIST rows of repeated seeds, by their places in the text; a text bounds its list. lead says that a seed is the text's first of its hash; it is made here if repeated doesn't have it."""
+    names = re.findall(r"(\w+):", SEED_LIST)
+    given = [x for x in names if x in repeated.columns]
+
+    def lists(cols: list[np.ndarray]) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+        if len(given) < len(names):
+            order = np.lexsort((cols[3], cols[0]))
+            h, uid, lead = cols[3][order], cols[0][order], np.ones(len(order), bool)
+            lead[order[1:]] = (h[1:] != h[:-1]) | (uid[1:] != uid[:-1])
+            cols = [*cols, lead]
+        values = pa.StructArray.from_arrays([pa.array(c) for c in cols[1:]], names)
+        found = pa.ListArray.from_arrays(pa.array(np.append(begin, len(cols[0])), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0][begin]), found], ["uid", "seeds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_texts(batches):
+            yield lists(cols)
+
+    n = wide(repeated.sparkSession)
+    return repeated.select("uid", *given).repartition(n, "uid").sortWithinPartitions("uid", "at").mapInArrow(run, SEED_LIST)
+
+
+def repeated_seeds(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Written SEED_LIST rows of the seeds that two texts or more have, with the first text (the smallest id) of each and its first place there.
+
+    All of a seed's rows meet in one shuffle. A common seed's are dealt out by texts; its first text is the first of all parts.
+    """
+    parts = wide(docs.sparkSession)
+    common = common_seeds(docs, plan, parts)
+    every = Window.partitionBy("h", "deal").orderBy("uid", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = seed_rows(docs, plan, common, parts)
+    rows = rows.select("*", F.first("uid").over(every).alias("first_uid"), F.first("at").over(every).alias("first_at"), F.last("uid").over(every).alias("last"))
+    written = materialize(rows.filter("deal > 0 OR last > first_uid"), "repeated")
+    repeated = written
+    if len(common):
+        often = written.filter("deal > 0")
+        first = often.groupBy("h").agg(F.min(F.struct(F.col("first_uid").alias("uid"), F.col("first_at").alias("at"))).alias("f"), F.max("last").alias("last")).filter("last > f.uid")
+        first = first.select("h", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"))  # not more than common
+        repeated = written.filter("deal = 0").drop("last").unionByName(often.drop("first_uid", "first_at", "last").join(F.broadcast(first), "h"))
+    lists = materialize(seed_lists(repeated), "lists")
+    discard(written)
+    return lists
 
 
 # ---------------------------------------------------------------- chains
@@ -245,45 +318,72 @@ def chains(x: np.ndarray, y: np.ndarray, plan: Plan) -> list[np.ndarray]:
 CHAIN = "uid bigint, first_uid bigint, xs array<int>, ys array<int>"
 
 
+def chain_batch(u: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """CHAIN rows of matches, which are in order."""
+    if not len(u):
+        return
+    cut = np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1
+    bounds = np.concatenate(([0], cut, [len(u)]))
+    enough = np.flatnonzero(np.diff(bounds) >= plan.least_seeds)
+    rows = []
+    for a, b in zip(bounds[enough].tolist(), bounds[enough + 1].tolist()):
+        for c in chains(x[a:b], y[a:b], plan):
+            if len(c) >= plan.least_seeds:
+                rows.append((u[a], v[a], x[a:b][c], y[a:b][c]))
+    if rows:
+        c = list(zip(*rows))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(c, kinds)], ["uid", "first_uid", "xs", "ys"])
+
+
+def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The batches' columns, of which the first is ascending, cut so that no value of it is parted."""
+    held: list[list[np.ndarray]] = []  # the last text's rows, which may go on
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if held and held[-1][0][-1] == cols[0][-1]:
+            held.append(cols)
+            continue
+        parts = [*held, [c[:cut] for c in cols]] if cut else held
+        if parts:
+            yield [np.concatenate(p) for p in zip(*parts)]
+        held = [[c[cut:] for c in cols]]
+    if held:
+        yield [np.concatenate(p) for p in zip(*held)]
+
+
 def chain_rows(matches: DataFrame, plan: Plan) -> DataFrame:
     """Chains of matches (uid, first_uid, at, first_at), each with its seeds' offsets in both texts."""
 
-    def groups(u, v, x, y):
-        cut = np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1
-        bounds = np.concatenate(([0], cut, [len(u)]))
-        rows = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if b - a >= plan.least_seeds:
-                for c in chains(x[a:b], y[a:b], plan):
-                    if len(c) >= plan.least_seeds:
-                        rows.append((u[a], v[a], x[a:b][c], y[a:b][c]))
-        if rows:
-            c = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(c, kinds)], ["uid", "first_uid", "xs", "ys"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the last text's matches, which may go on
-        for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if held and held[-1][0][-1] == cols[0][-1]:
-                held.append(cols)
-                continue
-            parts = [*held, [c[:cut] for c in cols]] if cut else held
-            if parts:
-                yield from groups(*(np.concatenate(p) for p in zip(*parts)))
-            held = [[c[cut:] for c in cols]]
-        if held:
-            yield from groups(*(np.concatenate(p) for p in zip(*held)))
+        for cols in whole_texts(batches):
+            yield from chain_batch(*cols, plan)
 
     n = wide(matches.sparkSession)
     placed = matches.select("uid", "first_uid", "at", "first_at").repartition(n, "uid").sortWithinPartitions("uid", "first_uid", "at", "first_at")
     return placed.mapInArrow(run, CHAIN)
 
 
+def list_chains(lists: DataFrame, plan: Plan) -> DataFrame:
+    """Chains of the first occurrences of each text's seeds with the first texts that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids, found = b.columns
+            values = found.flatten()
+            at, first, first_at, lead = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5))
+            uid = np.repeat(uids.to_numpy(), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            met = np.flatnonzero(lead & (uid > first))
+            uid, first, at, first_at = uid[met], first[met], at[met], first_at[met]
+            order = np.lexsort((first_at, at, first, uid))
+            yield from chain_batch(uid[order], first[order], at[order], first_at[order], plan)
+
+    return lists.mapInArrow(run, CHAIN)
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -436,18 +536,33 @@ PASSAGE = "uid bigint, first_uid bigint, start int, end int, first_start int, fi
 ALIGNED = f"{PASSAGE}, cut boolean, xs array<int>, ys array<int>"
 
 
+def even(texts: DataFrame) -> DataFrame:
+    """(uid, width, raw) of texts (uid, text): each in the narrowest code that has width bytes for every character, so that a slice is cut without counting characters up to it."""
+    n, two = F.length("text"), F.encode("text", "UTF-16BE")
+    width = F.when((F.octet_length("text") == n) | ~F.col("text").rlike(r"[^\x00-\xff]"), 1).when(F.octet_length(two) == 2 * n, 2).otherwise(4)
+    raw = F.when(F.octet_length("text") == n, F.col("text").cast("binary")).when(F.col("width") == 1, F.encode("text", "ISO-8859-1")).when(F.col("width") == 2, two).otherwise(F.encode("text", "UTF-32"))
+    return texts.withColumn("width", width).select("uid", "width", raw.alias("raw"))
+
+
+def piece(begin: Column, length: Column) -> Column:
+    """The slice of length characters from begin (0 is the first) of an even() text."""
+    width = F.col("width")
+    cut = F.substring(F.col("raw"), begin * width + 1, length * width)
+    return F.when(width == 1, F.decode(cut, "ISO-8859-1")).when(width == 2, F.decode(cut, "UTF-16BE")).otherwise(F.decode(cut, "UTF-32"))
+
+
 def aligned_rows(found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """PASSAGE rows of chains, and each chain (cut) whose alignment the slices' ends may have stopped, which has no other row; the slices are cut by the executors before they go to Python."""
-    texts = maybe_among(docs.select("uid", "text"), "uid", found.select("uid").union(found.select("first_uid")))
+    texts = even(maybe_among(docs.select("uid", "text"), "uid", found.select("uid").union(found.select("first_uid"))))
 
-    def cut(column: str, offsets: str):
+    def cut(offsets: str):
         begin = F.greatest(F.element_at(offsets, 1) - plan.margin, F.lit(0))
         length = F.element_at(offsets, -1) + 2 * plan.margin - begin
-        return begin, F.substring(F.col(column), begin + 1, length), F.length(column) > begin + length
+        return begin, piece(begin, length), F.octet_length("raw") > (begin + length) * F.col("width")
 
-    a0, a_slice, a_more = cut("text", "xs")
+    a0, a_slice, a_more = cut("xs")
     one = found.join(texts, "uid").select("uid", "first_uid", "xs", "ys", a0.alias("a0"), a_slice.alias("a"), a_more.alias("a_more"))
-    b0, b_slice, b_more = cut("text", "ys")
+    b0, b_slice, b_more = cut("ys")
     both = one.join(texts.withColumnRenamed("uid", "first_uid"), "first_uid")
     both = both.select("uid", "first_uid", "xs", "ys", "a0", "a", "a_more", b0.alias("b0"), b_slice.alias("b"), b_more.alias("b_more"))
 
@@ -499,9 +614,9 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def seed_lists(repeated: DataFrame, *more: str) -> DataFrame:
-    """(uid, seeds) of repeated seeds (h, uid, at, place and more); a text bounds its list."""
-    return repeated.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "place", "h", *more))).alias("seeds"))
+def later_seeds(lists: DataFrame) -> DataFrame:
+    """lists less the seeds that no earlier text has."""
+    return lists.select("uid", F.filter("seeds", lambda s: s["first_uid"] < F.col("uid")).alias("seeds")).filter(F.size("seeds") > 0)
 
 
 def stretches(seeds: pa.StructScalar, plan: Plan) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -591,16 +706,23 @@ def window_rows(texts: DataFrame, plan: Plan) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, uid bigint, at int, tail int, open boolean")
 
 
-def window_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame | None:
-    """Passages of exact runs of min_words words that found leaves open; repeated has (h, uid, at, place, first_uid) of the seeds of two texts or more."""
-    spans = found.groupBy("uid").agg(F.collect_list("start").alias("begins"), F.collect_list("end").alias("stops"))  # a text bounds its spans
-    left_open = materialize(stretch_rows(seed_lists(repeated.filter("uid > first_uid")).join(spans, "uid", "left"), plan), "open")
+def found_spans(found: DataFrame) -> DataFrame:
+    """(uid, begins, stops) of passages; a text bounds its spans."""
+    return few_or_all(found.groupBy("uid").agg(F.collect_list("start").alias("begins"), F.collect_list("end").alias("stops")), found.count())
+
+
+def window_passages(lists: DataFrame, found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame | None:
+    """Passages of exact runs of min_words words that found leaves open; lists has the seeds of two texts or more."""
+    spans = found_spans(found)
+    left_open = materialize(stretch_rows(later_seeds(lists).join(spans, "uid", "left"), plan), "open")
     wanted = materialize(left_open.select(F.explode("hs").alias("h")).distinct(), "wanted")
     if wanted.isEmpty():
         return None
-    again = maybe_among(repeated.select("h", "uid", "at", "place"), "h", wanted).join(wanted, "h", "left_semi")
+    # a seed that passes without being wanted makes a stretch longer, but no window of two texts
+    beside = lists.withColumn("_one", F.lit(1)).join(F.broadcast(bitmap_of(wanted)), "_one")  # one row
+    again = beside.select("uid", F.filter("seeds", lambda s: maybe_in(s["h"])).alias("seeds")).filter(F.size("seeds") > 0)
     none = F.lit(None).cast("array<int>")
-    near = stretch_rows(seed_lists(again).select("uid", "seeds", none.alias("begins"), none.alias("stops")), plan)
+    near = stretch_rows(again.select("uid", "seeds", none.alias("begins"), none.alias("stops")), plan)
     near = materialize(near.groupBy("uid").agg(F.collect_list("begin").alias("lows"), F.collect_list("end").alias("highs")).join(spans, "uid", "left"), "near")  # a text bounds its stretches
     texts = maybe_among(docs.select("uid", "text"), "uid", near.select("uid"))
     rows = materialize(window_rows(texts.join(near, "uid").select("uid", "text", "lows", "highs", "begins", "stops"), plan), "windows")
@@ -664,7 +786,7 @@ def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
         for b in batches:
             uids, found, lows, highs = b.columns
             seeds = found.flatten()
-            at, place, h, first, lead = (seeds.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            at, place, h, first, lead = (seeds.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
             text = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))  # of each seed; a batch's texts at once
             uid, first = uids.to_numpy()[text], np.where(lead, first, -1)
             word, mixed, unmixed = place >> 32, h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), h.view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
@@ -690,21 +812,20 @@ def pair_rows(lists: DataFrame, plan: Plan) -> DataFrame:
     return lists.select("uid", "seeds", "lows", "highs").mapInArrow(run, PAIR)
 
 
-def pair_passages(repeated: DataFrame, found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame | None:
+def pair_passages(lists: DataFrame, found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame | None:
     """Passages through seeds that found leaves open: by pairs of seeds with the first text that has the pair, and by all of a text's occurrences of a seed.
 
     A pair across a place where texts with one part meet those with another is first seen where both parts stand together.
     """
-    spans = found.groupBy("uid").agg(F.collect_list("start").alias("begins"), F.collect_list("end").alias("stops"))  # a text bounds its spans
-    later = repeated.filter("uid > first_uid")
-    left_open = materialize(open_rows(seed_lists(later).join(spans, "uid", "left"), plan), "open")
+    spans = found_spans(found)
+    left_open = materialize(open_rows(later_seeds(lists).join(spans, "uid", "left"), plan), "open")
     wanted = materialize(left_open.select(F.explode("hs").alias("h")).distinct(), "wanted")
     if wanted.isEmpty():
         return None
     ranges = left_open.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("r")).select("uid", F.col("r.begin").alias("lows"), F.col("r.end").alias("highs"))  # a text bounds its stretches
     ranges = materialize(ranges, "ranges")
-    again = materialize(maybe_among(repeated, "h", wanted).join(wanted, "h", "left_semi").select("h", "uid", "at", "place", "lead", "first_uid", "first_at"), "again")
-    pairs = materialize(pair_rows(seed_lists(again, "first_uid", "lead").join(ranges, "uid", "left"), plan), "pairs")
+    again = materialize(maybe_among(lists.select("uid", F.inline("seeds")), "h", wanted).join(few_or_all(wanted, wanted.count()), "h", "left_semi"), "again")
+    pairs = materialize(pair_rows(seed_lists(again).join(ranges, "uid", "left"), plan), "pairs")
     first = pairs.groupBy("pair").agg(F.min(F.struct("uid", "at", "next_at")).alias("f"), F.max("uid").alias("last"), F.max("open").alias("open")).filter("open AND last > f.uid")
     first = materialize(first.select("pair", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"), F.col("f.next_at").alias("first_next")), "firsts")
     # seeds that both were matched with this text before gave no passage
@@ -746,21 +867,14 @@ def passages(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     start and end are character offsets into the text of uid; first_uid has the passage before it and keeps it.
     """
-    rows = materialize(seed_rows(docs, plan), "seeds")
-    # a text has one leading row a hash, so that min_by has no ties
-    first = rows.filter("lead").groupBy("h").agg(F.min("uid").alias("first_uid"), F.min_by("at", "uid").alias("first_at"), F.max("uid").alias("last"))
-    # written, so that the join is one of two plain shuffles, whose hot seeds Spark can split
-    first = materialize(first.filter("last > first_uid").select("h", "first_uid", "first_at"), "firsts")
-    repeated = materialize(maybe_among(rows, "h", first.select("h")).join(first, "h"), "repeated")
-    chained = materialize(chain_rows(repeated.filter("lead AND uid > first_uid"), plan), "chains")  # a text that repeats itself is met at its first place
-    discard(rows)
-    discard(first)
+    lists = repeated_seeds(docs, plan)
+    chained = materialize(list_chains(lists, plan), "chains")  # a text that repeats itself is met at its first place
     found = passage_rows(chained, docs, plan, "passages")
     discard(chained)
     for finder in (window_passages, pair_passages):
-        more = finder(repeated, found, docs, plan)
+        more = finder(lists, found, docs, plan)
         found = found if more is None else found.unionByName(materialize(more, "more"))
-    discard(repeated)
+    discard(lists)
     return found
 
 

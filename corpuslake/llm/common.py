@@ -38,14 +38,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpuslake/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether a query's shuffle files are deleted when it ends; read when a query begins.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
-    This cuts the lineage without localCheckpoint: a lost executor costs nothing that was finished.
+    This cuts the lineage without localCheckpoint: a lost executor costs nothing that was finished. The shuffle files of the
+    write go when it ends, and don't wait until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -90,6 +100,11 @@ def maybe_in(value: Column) -> Column:
     return F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def few_or_all(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many rows, to be broadcast if these are few."""
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+
+
 def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """df less rows whose column certainly isn't among keys (one column), so that less is shuffled to the join that must follow.
 

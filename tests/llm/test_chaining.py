@@ -299,3 +299,80 @@ def test_near_words_first_give_the_alignment_of_all_words():
             texts.append((" ".join([*left, *changed, *right]), len(" ".join([*left, *changed[:4], ""]))))
         (a, x), (b, y) = texts
         assert chaining.align(a, b, [x], [y], PLAN)[0] == chaining.along(a, b, [x], [y], PLAN, (0,) * 4)[0]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_common_seeds_that_are_dealt_out_find_the_same(spark, monkeypatch):
+    docs, _ = corpus(random.Random(11))
+    line = " ".join(f"line{i}" for i in range(14))
+    rows = [(i, " ".join([*w, line]) if i % 3 else f"{line} {' '.join(w)} {line}") for i, w in docs.items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, kept = rows_of(chaining.repeated_passages(df)), rows_of(chaining.without_repeats(df))
+    assert len(want) >= 4
+    every = np.unique(chaining.seeds([t for _, t in rows], PLAN)[0])
+    for some in (every, every[::2]):
+        monkeypatch.setattr(chaining, "common_seeds", lambda *_, some=some: some)
+        assert rows_of(chaining.repeated_passages(df)) == want
+        assert rows_of(chaining.without_repeats(df)) == kept
+
+
+def test_common_seeds_are_those_that_would_fill_a_part(spark, monkeypatch):
+    rng = random.Random(3)
+    line = " ".join(f"line{i}" for i in range(14))
+    rows = [(i, " ".join(["w%06d" % rng.randrange(10**6) for _ in range(80)] + [line] * (i % 2))) for i in range(40)]
+    docs = chaining.numbered(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    monkeypatch.setattr(chaining, "LOOK", 1)
+    inside = chaining.seeds([" ".join([line] * 8)], PLAN)[0]
+    common = chaining.common_seeds(docs, PLAN, 20)
+    assert 0 < len(common) and set(common.tolist()) < set(inside.tolist()) and (np.diff(common) > 0).all()
+    assert not len(chaining.common_seeds(docs, PLAN, 1))  # of a single part they are little
+    parts = chaining.seed_rows(docs, PLAN, common, 20).filter("deal > 0").select("h", "uid", "deal").distinct().groupBy("h").count().collect()
+    assert len(parts) == len(common) and all(r["count"] == 20 for r in parts)
+
+
+def test_slices_are_those_of_the_text(spark):
+    texts = ["plain words", "Ünï naïve ÿ", "中文 Ünï", "a𝒳b 中 é", "", "\x00é\x7f"]
+    rows = [(i, t, b, n) for i, t in enumerate(texts) for b in range(5) for n in (0, 1, 3, 99)]
+    df = spark.createDataFrame(rows, "uid bigint, text string, b int, n int")
+    raw = chaining.even(df.select("uid", "text").distinct())
+    assert {r.uid: r.width for r in raw.collect()} == {0: 1, 1: 1, 2: 2, 3: 4, 4: 1, 5: 1}
+    from pyspark.sql import functions as F
+
+    got = df.join(raw, "uid").select("text", "b", "n", chaining.piece(F.col("b"), F.col("n")).alias("cut")).collect()
+    assert len(got) == len(rows) and all(r.cut == r.text[r.b : r.b + r.n] for r in got)
+
+
+def test_no_step_leaves_shuffle_files_or_a_table_of_all_seeds(spark, monkeypatch):
+    """A table of all seeds and the shuffles of all steps made the disk of 2.9 x the input at 0.5 GB."""
+    import time
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("|").split("|") if "shuffle_" in f and f.endswith(".data")}
+
+    labels, write = [], chaining.materialize
+    monkeypatch.setattr(chaining, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    docs, _ = corpus(random.Random(11))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    before = shuffles()
+    lists = chaining.repeated_seeds(chaining.numbered(df), PLAN)
+    assert lists.count() and labels == ["common", "repeated", "lists"]
+    rare = {i for i, w in docs.items()} - {r.uid for r in lists.collect()}
+    assert 22 in rare  # too short
+    from pyspark.sql import functions as F
+
+    seeds = lists.select("uid", F.inline("seeds")).collect()
+    assert all(r.first_uid <= r.uid for r in seeds) and any(r.first_uid < r.uid for r in seeds)
+    small = lists.select(F.inline("seeds")).groupBy("h").count()  # a shuffle of a written table
+    written = chaining.materialize(small, "small")
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 2 * 4 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # numbered() and counts, which aren't written
+    chaining.discard(written)
+    chaining.discard(lists)
