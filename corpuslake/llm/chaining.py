@@ -229,10 +229,11 @@ def seed_lists(repeated: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in whole_texts(batches):
-            yield lists(cols)
+            order = np.lexsort((cols[1], cols[0]))
+            yield lists([c[order] for c in cols])
 
     n = wide(repeated.sparkSession)
-    return repeated.select("uid", *given).repartition(n, "uid").sortWithinPartitions("uid", "at").mapInArrow(run, SEED_LIST)
+    return repeated.select("uid", *given).repartition(n, "uid").sortWithinPartitions("uid").mapInArrow(run, SEED_LIST)
 
 
 def repeated_seeds(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -245,13 +246,13 @@ def repeated_seeds(docs: DataFrame, plan: Plan) -> DataFrame:
     every = Window.partitionBy("h", "deal").orderBy("uid", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = seed_rows(docs, plan, common, parts)
     rows = rows.select("*", F.first("uid").over(every).alias("first_uid"), F.first("at").over(every).alias("first_at"), F.last("uid").over(every).alias("last"))
+    if not len(common):
+        return materialize(seed_lists(rows.filter("last > first_uid")), "lists")
     written = materialize(rows.filter("deal > 0 OR last > first_uid"), "repeated")
-    repeated = written
-    if len(common):
-        often = written.filter("deal > 0")
-        first = often.groupBy("h").agg(F.min(F.struct(F.col("first_uid").alias("uid"), F.col("first_at").alias("at"))).alias("f"), F.max("last").alias("last")).filter("last > f.uid")
-        first = first.select("h", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"))  # not more than common
-        repeated = written.filter("deal = 0").drop("last").unionByName(often.drop("first_uid", "first_at", "last").join(F.broadcast(first), "h"))
+    often = written.filter("deal > 0")
+    first = often.groupBy("h").agg(F.min(F.struct(F.col("first_uid").alias("uid"), F.col("first_at").alias("at"))).alias("f"), F.max("last").alias("last")).filter("last > f.uid")
+    first = first.select("h", F.col("f.uid").alias("first_uid"), F.col("f.at").alias("first_at"))  # not more than common
+    repeated = written.filter("deal = 0").drop("last").unionByName(often.drop("first_uid", "first_at", "last").join(F.broadcast(first), "h"))
     lists = materialize(seed_lists(repeated), "lists")
     discard(written)
     return lists
@@ -481,10 +482,17 @@ def words_at(low: str, offsets: list[int]) -> tuple[list[str], list[int]]:
     return words + WORD.findall(low, at), places
 
 
+@lru_cache(maxsize=64)
+def other_words(other: str, offsets: tuple[int, ...]) -> tuple[str, list[str], list[int]]:
+    """A first text's slice in lower case and its words_at(); rows of one first text come one after another."""
+    low = lower(other)
+    return low, *words_at(low, offsets)
+
+
 def along(text: str, other: str, xs: list[int], ys: list[int], plan: Plan, ahead: tuple[int, ...]) -> tuple[list[tuple[int, int, int, int, int, int]], tuple[bool, ...]]:
     """align() of the given slices; stopped also where an extension comes within so many words (ahead) of an end."""
-    low, other_low = lower(text), lower(other)
-    (a, at), (b, other_at) = words_at(low, xs), words_at(other_low, ys)
+    low, (other_low, b, other_at) = lower(text), other_words(other, tuple(ys))
+    a, at = words_at(low, xs)
     k = plan.seed_words
     marks = []
     for i, j in zip(at, other_at):
@@ -572,14 +580,13 @@ def aligned_rows(found: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index("a")):
                 rows = []
-                for r in part.to_pylist():
-                    xs, ys = [x - r["a0"] for x in r["xs"]], [y - r["b0"] for y in r["ys"]]
-                    done, stopped = align(r["a"], r["b"], xs, ys, plan)
-                    if any(x and more for x, more in zip(stopped, (r["a0"], r["b0"], r["a_more"], r["b_more"]))):
-                        rows.append((r["uid"], r["first_uid"], *[None] * 6, True, r["xs"], r["ys"]))
+                for uid, first, xs, ys, a0, a, a_more, b0, b, b_more in zip(*(c.to_pylist() for c in part.columns)):
+                    done, stopped = align(a, b, [x - a0 for x in xs], [y - b0 for y in ys], plan)
+                    if any(x and more for x, more in zip(stopped, (a0, b0, a_more, b_more))):
+                        rows.append((uid, first, *[None] * 6, True, xs, ys))
                         continue
                     for s, e, fs, fe, n, same in done:
-                        rows.append((r["uid"], r["first_uid"], s + r["a0"], e + r["a0"], fs + r["b0"], fe + r["b0"], n, same, False, None, None))
+                        rows.append((uid, first, s + a0, e + a0, fs + b0, fe + b0, n, same, False, None, None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -596,7 +603,7 @@ def passage_rows(found: DataFrame, docs: DataFrame, plan: Plan, label: str) -> D
         found = aligned.filter("cut").select("uid", "first_uid", "xs", "ys")
         if found.isEmpty():
             return done
-        plan = replace(plan, margin=64 * plan.margin)
+        plan = replace(plan, margin=min(4096 * plan.margin, 2**27))  # mostly the whole texts, which are read once more for it
 
 
 # ---------------------------------------------------------------- whole windows
