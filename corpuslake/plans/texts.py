@@ -413,9 +413,9 @@ SELECT c.doc, chunk_index,
 FROM c JOIN o ON o.doc = c.doc GROUP BY c.doc, chunk_index
 """)
 def chunk_pages(spark, sf_dir):
-    p = _pages(spark, sf_dir)
+    p = _pages(spark, sf_dir).filter("doc IS NOT NULL")
     chunks = p.select("doc", F.col("page").alias("chunk_index"), F.col("text").alias("document"))
-    return pages.chunk_pages(spread(chunks), pages.whole_text(p), pages.page_offsets(p)).drop("document")
+    return pages.chunks_on_pages(spread(chunks), p).drop("document")
 
 
 # the lines of each document as those of a page; equal lines lie at equal heights

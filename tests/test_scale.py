@@ -3,11 +3,14 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corpuslake.functions.fingerprint import simhash_of
-from corpuslake.operators import bm25, chunk, dedup, pages, vector
+from corpuslake.operators import bm25, chunk, dedup, occurrences, pages, vector
+from corpuslake.plans.catalogue import ORACLES, QUERIES
 
 
 def test_a_search_shuffles_candidates_not_postings(spark):
@@ -53,6 +56,52 @@ def test_small_documents_share_a_call(spark):
     assert "_group" in found._jdf.queryExecution().logical().toString()
 
 
+def test_chunk_pages_makes_no_whole_text(spark, monkeypatch, tmp_path):
+    """The query equals its SQL without joining a source's texts; with texts that are null, empty, equal, parts of others, or in no source."""
+    def whole_text(_):
+        raise AssertionError("a document's whole text is made")
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choices(["alpha", "beta", "γ", "d"], k=n))
+    texts = [words(rng.choice([1, 2, 5, 60, 400])) for _ in range(120)] + ["", "beta", "x" * 40_000 + words(3), "x" * 40_000]
+    rows = [(i, rng.choice(texts), f"s{i % 4}") for i in range(300)] + [(300, None, "s0"), (301, None, "nulls"), (302, "alpha", None), (303, "", "empty")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pages, "whole_text", whole_text)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["chunk_pages"]).fetchall()
+    assert sorted(map(tuple, QUERIES["chunk_pages"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 303
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_on_pages_are_the_first_occurrences(spark, monkeypatch, seed):
+    """Chunks over pages, cut or missing ones, and long ones in parts, in texts read by small blocks and stretches, against str.find."""
+    rng = random.Random(seed)
+    for name, values in (("LONGEST", (4, 16, 64)), ("BLOCK", (8, 64)), ("PAIRS", (3, 1000)), ("TOGETHER", (2, 4096))):
+        monkeypatch.setattr(occurrences, name, rng.choice(values))
+    stretch = rng.choice((70, 300))
+    monkeypatch.setattr(occurrences, "STRETCH", stretch)
+    monkeypatch.setattr(occurrences, "SHORT_STRETCH", stretch)
+    monkeypatch.setattr(pages, "PLACES", rng.choice((8, 100)))
+    word = lambda n: "".join(rng.choices(("ab", "αβ中😀 \n", "a")[seed], k=n))
+    rows, chunks, want = [], [], {}
+    for d in (*range(8), None):
+        base = word(120)
+        mine = [(p, rng.choice(["", word(rng.randint(1, 5)), word(rng.randint(0, 300)), base, base + word(3)])) for p in range(3, rng.randint(4, 12))]
+        rows += [(d, *x) for x in mine]
+        whole, begins = "\n\n".join(t for _, t in mine), [sum(len(t) + 2 for _, t in mine[:i]) for i in range(len(mine))]
+        for i in range(20):
+            a = rng.randrange(max(len(whole), 1))
+            c = rng.choice([whole[a : a + rng.choice([1, 2, 3, 7, 60, 300])], whole[a : a + 55] + "zz", word(rng.randint(0, 70)), "", whole + "\n\n"])
+            at = whole.find(c) if c in whole else max(whole.find(c[:50]), 0)
+            before = [p for (p, _), b in zip(mine, begins) if b < at + len(c)]
+            chunks.append((d, i, c))
+            want[d, i] = next((p for (p, t), b in zip(mine, begins) if b <= at < b + len(t) + 2), 1), before[-1] if before else 1
+    rng.shuffle(rows)
+    found = pages.chunks_on_pages(spark.createDataFrame([*chunks, (99, 0, "a")], "doc int, chunk_index int, document string"), spark.createDataFrame(rows, "doc int, page int, text string"))
+    assert {(r.doc, r.chunk_index): (r.page_start, r.page_end) for r in found.collect()} == want
+
+
 def test_vectors_near_all_cells_are_given_in_bounded_batches():
     v = np.random.default_rng(1).normal(size=(9000, 4))
     rows = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array(v.tolist(), pa.list_(pa.float64()))], ["id", "v"])
